@@ -131,7 +131,7 @@ ORACLES: dict[str, str] = {
     FROM r GROUP BY conv_id""",
     "op4_source_mixing": f"""
     WITH leaves AS (SELECT doc_id, 'domain' || (coalesce(try_cast(nullif(regexp_extract(coalesce(source, ''), '([0-9]+)$', 1), '') AS BIGINT), 0) % 3) AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
-        len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), w -> w <> ''))::BIGINT AS n_tokens FROM documents),
+        len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_tokens FROM documents),
     own AS (SELECT 0 AS root, domain, lang, source, sum(n_tokens)::BIGINT AS supply, (sum(n_tokens) * {EPOCHS})::BIGINT AS capacity FROM leaves GROUP BY domain, lang, source),
     top AS (SELECT 0 AS root, (coalesce(sum(supply), 0) * {PERCENT} // 100)::BIGINT AS budget FROM own)
     {_level("a", "domain", ["root"], "top")}{_level("b", "lang", ["root", "domain"], "a")}{_level("c", "source", ["root", "domain", "lang"], "b")},
