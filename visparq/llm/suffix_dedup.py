@@ -135,36 +135,45 @@ class Block:
         out *= _MIX
         return out ^ (out >> np.uint64(29))
 
-    def sample(self, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places of the cover sample; the sorted distinct names of their seeds; which name each has."""
+    def sample(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the cover sample, and the names of their seeds."""
         cover = np.zeros(PERIOD, bool)
         cover[list(COVER)] = True
-        at = np.flatnonzero(cover[self.place % PERIOD] & (self.left >= SEED))
-        at = at[self.lengths[self.doc[at]] >= LENGTH]
-        names, which = np.unique(self.names(at, SEED) >> np.uint64(64 - bits), return_inverse=True)
-        return at, names, which
+        long = self.lengths >= LENGTH
+        # A document's sample is its start plus the cover's multiples, as far as a seed fits.
+        fits = np.where(long, self.lengths - SEED + 1, 0)
+        steps = np.flatnonzero(np.tile(cover, -(-int(fits.max(initial=0)) // PERIOD)))
+        many = np.searchsorted(steps, fits)
+        first = np.cumsum(many) - many
+        at = np.repeat(self.starts, many) + steps[np.arange(many.sum()) - np.repeat(first, many)]
+        return at, self.names(at, SEED) >> np.uint64(64 - bits)
+
+    def seeds(self, bits: int) -> np.ndarray:
+        """The sorted distinct names of the sampled seeds."""
+        names = np.sort(self.sample(bits)[1])
+        return names[np.concatenate(([True], names[1:] != names[:-1]))] if len(names) else names
 
     def candidates(self, bits: int, shared: np.ndarray) -> np.ndarray:
         """Places whose first LENGTH bytes hold a sampled seed that two documents share."""
-        at, names, which = self.sample(bits)
+        at, names = self.sample(bits)
         if not len(at):
             return at
-        doc = self.doc[at]
-        low, high = np.full(len(names), len(self.ids)), np.full(len(names), -1)
-        np.minimum.at(low, which, doc)
-        np.maximum.at(high, which, doc)
-        hit = ((low != high) | shared)[which]
-        edge = np.zeros(self.n + 1, np.int32)
-        np.add.at(edge, np.maximum(at[hit] - (LENGTH - SEED), at[hit] - self.place[at[hit]]), 1)
-        np.add.at(edge, at[hit] + 1, -1)
-        return np.flatnonzero((np.cumsum(edge[:-1]) > 0) & (self.left >= LENGTH))
+        order = np.argsort(names)
+        ranked, doc = names[order], self.doc[at[order]]
+        first = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
+        local = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
+        hit = np.repeat(local | shared, np.diff(np.append(first, len(ranked))))
+        seen = np.zeros(self.n + PERIOD, np.int32)
+        seen[at[order[hit]] + 1] = 1
+        upto = np.cumsum(seen, dtype=np.int32)
+        return np.flatnonzero((upto[PERIOD:] > upto[:-PERIOD]) & (self.left >= LENGTH))
 
     def suffixes(self, at: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of the places, those whose names lie in [low, high): places, sorted names, which each has, and per name the least id."""
         name = self.names(at, LENGTH)
         own = (name >= np.uint64(low)) & (name <= np.uint64(high - 1))
         at, name = at[own], name[own]
-        order = np.argsort(name, kind="stable")
+        order = np.argsort(name)
         ranked = name[order]
         first = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1]))) if len(ranked) else np.zeros(0, int)
         which = np.empty(len(at), np.int64)
@@ -202,7 +211,7 @@ def _answers(asked: DataFrame) -> DataFrame:
         sizes = [len(p) for p in parts]
         names = np.concatenate(parts)
         del parts
-        order = np.argsort(names, kind="stable")
+        order = np.argsort(names)
         ranked = names[order]
         new = np.concatenate(([True], ranked[1:] != ranked[:-1]))
         yes = np.empty(len(names), bool)
@@ -246,7 +255,7 @@ def deduplicate(docs: DataFrame, passes: int = PASSES) -> DataFrame:
 
     def ask_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _rows(batches):
-            _, names, _ = Block(r["doc_ids"], r["lengths"], r["text"]).sample(bits)
+            names = Block(r["doc_ids"], r["lengths"], r["text"]).seeds(bits)
             if rows := [(k, r["block_id"], s.stop - s.start, pack_sorted(names[s]), None) for k, s in _dealt(names, 0, 1 << bits, buckets)]:
                 yield _asked(rows)
 
@@ -280,8 +289,8 @@ def deduplicate(docs: DataFrame, passes: int = PASSES) -> DataFrame:
             for k, (low, high) in enumerate(ranges):
                 place, names, which, least, ids = block.suffixes(at, low, high)
                 gone = place[_bits_of(r[f"pass{k}"], len(names))[which] | (least[which] < ids)] if len(place) else place
-                np.add.at(edge, gone, 1)
-                np.add.at(edge, gone + LENGTH, -1)
+                edge[gone] += 1  # places are distinct within a pass
+                edge[gone + LENGTH] -= 1
             yield from _results(block, np.cumsum(edge[:-1]) > 0)
 
     return known.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
