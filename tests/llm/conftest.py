@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import types as T
 
-SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("start", T.StringType()), T.StructField("fingerprint", T.StringType()), T.StructField("group", T.StringType())])
+SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("start", T.StringType()), T.StructField("fingerprint", T.StringType()), T.StructField("group", T.StringType()), *(T.StructField(c, T.StringType()) for c in ("id", "doc", "terms", "copies"))])
 
 
 def hard_rows() -> list[tuple]:
@@ -27,7 +27,7 @@ def hard_rows() -> list[tuple]:
 
 @pytest.fixture(scope="session")
 def hard(spark):
-    return spark.createDataFrame(hard_rows(), SCHEMA)
+    return spark.createDataFrame([(*r, "x", None, "y", "z") for r in hard_rows()], SCHEMA)
 
 
 @pytest.fixture(scope="session")

@@ -67,3 +67,12 @@ def let(value, body):
 def words_of(text):
     """The text's words, ``[^\\x20\\x09-\\x0D]+``, as an array; no regular expression runs."""
     return F.array_remove(F.split(F.translate(text, "\t\n\x0b\x0c\r", "     "), " "), "")
+
+
+def wrapped(docs: DataFrame) -> DataFrame:
+    """``doc``, a struct of all columns: whatever they are called, they cannot clash with an operator's own."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+
+
+def unwrapped(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.select(*(F.col("doc").getField(c).alias(c) for c in columns))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from visparq.llm._common import durable, words_of
+from visparq.llm._common import durable, unwrapped, words_of, wrapped
 
 MODULUS, SLOT_BITS = 2**31 - 1, 21
 LEVELS = ("domain", "lang", "source")
@@ -89,6 +89,7 @@ def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, int]], per
 
 def apply_mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, int]], percent: int = 100, max_epochs: int = 4, seed: int = 7) -> DataFrame:
     """The documents of the mix, all columns, each as often as it was taken. Rows that share an id share their least count."""
-    taken = mix(docs, domain, weights, percent, max_epochs, seed).groupBy(F.coalesce("doc_id", F.lit(-(2**63))).alias("_id")).agg(F.min("n_copies").alias("_copies")).where("_copies > 0")
-    joined = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).join(taken, "_id")
-    return joined.withColumn("_copy", F.explode(F.expr("sequence(1L, _copies)"))).select(*docs.columns)
+    key = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(2**63)))
+    taken = mix(docs, domain, weights, percent, max_epochs, seed).groupBy(key("doc_id").alias("id")).agg(F.min("n_copies").alias("copies")).where("copies > 0")
+    joined = wrapped(docs).withColumn("id", key("doc.doc_id")).join(taken, "id")
+    return unwrapped(joined.select("doc", F.explode(F.expr("sequence(1L, copies)")).alias("copy")), docs.columns)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from visparq.llm._common import durable, struct_to_batch, workers_can_import
+from visparq.llm._common import durable, struct_to_batch, workers_can_import, wrapped
 
 KINDS = ("email", "ip", "card", "phone", "term", "drop")
 REACH, SUPPORT, GENERALISE, REMOVE, BITS = 4, 3, 0.5, 0.9, 4.0
@@ -183,14 +183,18 @@ def sanitise(docs: DataFrame) -> DataFrame:
 
     A text with neither a digit nor an @ holds no entity and passes unshuffled; the others meet their terms' spans by id.
     """
-    found = detect(docs).where("size(terms) > 0").groupBy(F.coalesce("doc_id", F.lit(-(2**63))).alias("_id"), F.col("text_key").alias("_key")).agg(F.first("terms").alias("_terms"))
-    may = F.coalesce(F.col("text").rlike("[0-9@]"), F.lit(False))
-    held = docs.where(may).withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "_key": F.xxhash64("text")}).join(found, ["_id", "_key"], "left").drop("_id", "_key")
-    columns = docs.columns
+    key = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(2**63)))
+    found = detect(docs).where("size(terms) > 0").groupBy(key("doc_id").alias("id"), "text_key").agg(F.first("terms").alias("terms"))
+    whole, columns = wrapped(docs), docs.columns
+    may = F.coalesce(F.col("doc.text").rlike("[0-9@]"), F.lit(False))
+    held = whole.where(may).withColumns({"id": key("doc.doc_id"), "text_key": F.xxhash64("doc.text")}).join(found, ["id", "text_key"], "left")
+    at = columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [rewrite(t, find_base(t) + [(s["start"], s["kind"], s["end"]) for s in more or []]) for t, more in zip(b.column("text").to_pylist(), b.column("_terms").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else b.column(c) for c in columns], names=columns)
+            own = [b.column(k) for k in range(len(columns))]
+            texts = [rewrite(t, find_base(t) + [(s["start"], s["kind"], s["end"]) for s in more or []]) for t, more in zip(own[at].to_pylist(), b.column(len(columns)).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == at else c for k, c in enumerate(own)], names=columns)
 
-    return docs.where(~may).unionByName(held.mapInArrow(run, docs.schema))
+    flat = held.select(*(F.col("doc").getField(c).alias(f"c{k}") for k, c in enumerate(columns)), "terms")
+    return docs.where(~F.coalesce(F.col("text").rlike("[0-9@]"), F.lit(False))).unionByName(flat.mapInArrow(run, docs.schema))

@@ -22,9 +22,9 @@ from visparq.llm._common import durable, let, words_of
 
 WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 8, 20, 30
 KEEP, STEPS, LEAST, GRID = 0.75, 4, 50, 64
-#: Squared distance beyond which a vector is rejected. Far in the tail of chi-square with four degrees of freedom, where
-#: 1e-6 of a normal population lies beyond 33.4: transformed statistics have heavier tails than that.
-CUTOFF = 60.0
+#: Squared distance beyond which a vector is rejected: 1e-6 of a normal population lies beyond it (chi-square, four
+#: degrees of freedom).
+CUTOFF = 33.4
 CHI2_MEDIAN = 3.357  # of four degrees of freedom
 #: The statistics, and for each a standard deviation below which differences mean nothing.
 STATS, FLOORS = ("z_length", "z_symbols", "z_lines", "z_repeats"), (0.08, 0.5, 0.5, 0.5)

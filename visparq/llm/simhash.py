@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from visparq.llm._common import durable, texts_of
+from visparq.llm._common import durable, texts_of, unwrapped, wrapped
 
 SHINGLE, SEED, DISTANCE, BITS = 4, 42, 4, 64
 HOT, PAIRWISE = 4096, 48
@@ -183,7 +183,8 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """One document of each group, all columns: the one whose id names the group; documents with a null id stay."""
     named = near_duplicates(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
     first = durable(named, "first")
-    named = docs.withColumn("_id", F.col("doc_id").cast("long")).join(first.select(F.col("doc_id").alias("_id")), "_id", "left_semi").drop("_id")
+    whole = wrapped(docs).withColumn("id", F.col("doc.doc_id").cast("long"))
+    kept = whole.join(first.select(F.col("doc_id").alias("id")), "id", "left_semi")
     if not first.where("n > 1").isEmpty():  # rows that repeat an id: one of them stays
-        named = named.dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id IS NULL"))
+        kept = kept.groupBy("id").agg(F.min_by("doc", F.xxhash64(F.col("doc.text"))).alias("doc"))
+    return unwrapped(kept.select("doc").unionByName(whole.where("id IS NULL").select("doc")), docs.columns)

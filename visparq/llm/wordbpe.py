@@ -1,7 +1,7 @@
 """Exact ids and counts of the word-level BPE vocabulary, through a cache of white-space chunks.
 
 The vocabulary's pre-tokens never cross white space, so the ids of a text are those of its chunks, joined. A chunk of
-letters and closing punctuation is split here and merged by a byte-pair core; every other chunk (digits, quotes,
+letters and closing marks is split here and merged by a byte-pair core; every other chunk (digits, quotes,
 special strings, rare scripts) goes to the tokenizer library itself, so the ids are the library's by construction.
 """
 
@@ -9,11 +9,14 @@ from __future__ import annotations
 
 import json
 import re
+import sys
+from array import array
 
 import numpy as np
 
-#: Letters whose lower case and composed form are one code point each, in every Unicode version.
-SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+#: Letters whose lower case and composed form are one code point each, in every Unicode version; then one run of ASCII
+#: marks, without those that begin contractions or special strings.
+SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=-@\[-`{-~]*)")
 #: ASCII white space, which the vocabulary's own splitting drops; other white space stays inside its chunk.
 BLANK = re.compile(r"[\x09-\x0d\x20]+")
 CACHE_ENTRIES = 400_000
@@ -39,6 +42,8 @@ class WordBpe:
         return cls._made[path]
 
     def __init__(self, path: str):
+        if sys.byteorder != "little" or array("I").itemsize != 4:
+            raise RuntimeError("ids are kept as little-endian 32-bit integers")
         import tiktoken
         from tokenizers import Tokenizer
 
@@ -61,28 +66,42 @@ class WordBpe:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self._ids: dict[str, bytes] = {}
+        self._ids: dict[bytes, bytes] = {}
+        self._older: dict[bytes, bytes] = {}
+        self._closing: dict[str, list[int]] = {}
         self._prefix: dict[str, tuple[int, ...]] = {}
         self._fits: dict[tuple[int, int], bool] = {}
 
     # -- ids ---------------------------------------------------------------------------------------------------
-    def _chunk_ids(self, chunk: str) -> bytes:
-        m = SIMPLE.fullmatch(chunk)
-        if m:
-            ids = self.core.encode_single_piece(m[1].lower().encode() + MARK)
-            if m[2]:
-                ids = [*ids, *self.core.encode_single_piece(m[2].encode() + MARK)]
-        else:
-            ids = self.library.encode(chunk, add_special_tokens=False).ids
+    def _chunk_ids(self, chunk: bytes) -> bytes:
+        """A chunk's ids; full caches become the older generation, which is asked before anything is encoded again."""
+        out = self._older.get(chunk)
+        if out is None:
+            text = chunk.decode()
+            m = SIMPLE.fullmatch(text)
+            if m:
+                word, close = m.groups()
+                ids = self.core.encode_single_piece(word.lower().encode() + MARK)
+                if close:
+                    ids += self._closing.get(close) or self._closing.setdefault(close, self.core.encode_single_piece(close.encode() + MARK))
+            else:
+                ids = self.library.encode(text, add_special_tokens=False).ids
+            out = array("I", ids).tobytes()
         if len(self._ids) >= CACHE_ENTRIES:
+            self._older = dict(self._ids)
             self._ids.clear()
-        out = self._ids[chunk] = np.array(ids, "<u4").tobytes()
+            self._closing.clear()
+        self._ids[chunk] = out
         return out
 
+    def chunk_ids(self, text: str) -> list[bytes]:
+        """The ids of the text's chunks, one by one; splitting bytes cuts at ASCII white space only."""
+        get, make = self._ids.get, self._chunk_ids
+        return [get(c) or make(c) for c in text.encode().split()]
+
     def ids(self, text: str) -> bytes:
-        """The text's ids as little-endian unsigned 32-bit integers, without special tokens of the tokenizer's own."""
-        get, make, chunks = self._ids.get, self._chunk_ids, BLANK.split(text)
-        return b"".join([get(c) or make(c) for c in chunks if c])
+        """The text's ids as unsigned 32-bit integers of this machine (little-endian), without the tokenizer's own special tokens."""
+        return b"".join(self.chunk_ids(text))
 
     # -- counts at every prefix ----------------------------------------------------------------------------------
     def _joins(self, left: int, right: int) -> bool:
@@ -145,9 +164,7 @@ class WordBpe:
 
     def boundary_counts(self, text: str) -> np.ndarray:
         """The programme at chunk ends: entry j is the exact count of the text up to the end of its chunk j (uint32)."""
-        get, make = self._ids.get, self._chunk_ids
-        steps = [len(get(c) or make(c)) for c in BLANK.split(text) if c]
-        return np.cumsum(np.array(steps, np.int64) >> 2).astype("<u4")
+        return np.cumsum(np.fromiter(map(len, self.chunk_ids(text)), np.int64) >> 2).astype("<u4")
 
     def count_at(self, text: str, length: int, boundaries: np.ndarray) -> int:
         """The exact count of ``text[:length]`` from stored boundary counts: only the chunk that is cut is looked into."""
