@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from visparq.plans import evidence, inks, pages, pixels, scalars, streams
+from visparq.plans import composites, evidence, inks, pages, pixels, scalars, streams
 
-ALL: dict = {**pixels.QUERIES, **inks.QUERIES, **scalars.QUERIES, **evidence.QUERIES, **pages.QUERIES, **streams.QUERIES}
+ALL: dict = {**pixels.QUERIES, **inks.QUERIES, **scalars.QUERIES, **evidence.QUERIES, **pages.QUERIES, **streams.QUERIES, **composites.QUERIES}
