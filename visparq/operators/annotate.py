@@ -34,15 +34,15 @@ def shapes(annotations: DataFrame) -> DataFrame:
     own = own.withColumns({"_ux": (F.col("_ex") - F.col("_x")) / F.greatest("_len", F.lit(1.0)), "_uy": (F.col("_ey") - F.col("_y")) / F.greatest("_len", F.lit(1.0))})
     own = own.withColumns({"_bx": F.col("_ex") - F.col("_ux") * 12, "_by": F.col("_ey") - F.col("_uy") * 12})
     c = {k: F.col(f"_{k}") for k in ("x", "y", "size", "w", "h", "r", "ex", "ey", "bx", "by", "ux", "uy")}
-    # Every number as text, once.
+    # Every number as text, by one function over one array: little code is generated, however many numbers there are.
     values = {"x": c["x"], "y": c["y"], "size": c["size"], "w": c["w"], "h": c["h"], "r": c["r"], "ex": c["ex"], "ey": c["ey"], "bx": c["bx"], "by": c["by"], "ty": c["y"] - c["size"] + 2, "tw": F.greatest(F.lit(1.0), F.floor(F.length("_said") * c["size"] * 0.6 + 10 + 0.5).cast("double")), "th": c["size"] + 4, "lx": c["x"] + 5, "p1x": c["bx"] - c["uy"] * 7.2, "p1y": c["by"] + c["ux"] * 7.2, "p2x": c["bx"] + c["uy"] * 7.2, "p2y": c["by"] - c["ux"] * 7.2}
-    own = own.withColumns({f"_n_{k}": v for k, v in values.items()})
-    own = own.withColumns({f"_s_{k}": number(F.col(f"_n_{k}")) for k in values})
+    place = {k: n for n, k in enumerate(values)}
+    own = own.select(*annotations.columns, "_k", "_len", "_paint", "_rgb", "_said", F.transform(F.array(*values.values()), number).alias("_s"))
 
     def svg(template: str) -> Column:
         """Text with ``{name}`` for a number and ``{:name}`` for a string column."""
         parts = re.split(r"\{(:?\w+)\}", template)
-        return F.concat(*(F.lit(p) if k % 2 == 0 else F.col(f"_{p[1:]}" if p[0] == ":" else f"_s_{p}") for k, p in enumerate(parts)))
+        return F.concat(*(F.lit(p) if k % 2 == 0 else F.col(f"_{p[1:]}") if p[0] == ":" else F.get("_s", F.lit(place[p])) for k, p in enumerate(parts)))
 
     label = svg('<rect x="{x}" y="{ty}" width="{tw}" height="{th}" fill="rgba({:rgb},0.85)" rx="3"/>' + f'<text x="{{lx}}" y="{{y}}" font-family="{FONT}" font-size="{{size}}" fill="white">{{:said}}</text>')
     box = svg('<rect x="{x}" y="{y}" width="{w}" height="{h}" fill="none" stroke="{:paint}" stroke-width="3" rx="2"/>')
@@ -55,8 +55,10 @@ def shapes(annotations: DataFrame) -> DataFrame:
 
 def overlay(annotations: DataFrame) -> DataFrame:
     """image_id, svg: annotations (image_id, ord, image_width, image_height, type, ...) in order; images without a shape dropped."""
-    own = shapes(annotations).where("shape IS NOT NULL")
-    rows = own.groupBy("image_id", "image_width", "image_height").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "shape"))), lambda s: s["shape"]), "").alias("body"))
+    # Shapes that draw nothing are dropped by the aggregate: a filter on them would be pushed down, and the strings built twice.
+    drawn = F.collect_list(F.when(F.col("shape").isNotNull(), F.struct("ord", "shape")))
+    rows = shapes(annotations).groupBy("image_id", "image_width", "image_height").agg(F.sort_array(drawn).alias("drawn")).where(F.size("drawn") > 0)
+    rows = rows.withColumn("body", F.array_join(F.transform("drawn", lambda s: s["shape"]), ""))
     return rows.select("image_id", F.concat(F.lit('<svg width="'), "image_width", F.lit('" height="'), "image_height", F.lit('" xmlns="http://www.w3.org/2000/svg">'), "body", F.lit("</svg>")).alias("svg"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from visparq.functions import color, geometry, guards, text
@@ -231,6 +233,26 @@ def timeout_diagnosis(spark, sf):
     return _colours(spark, sf).select("id", annotate.timeout_diagnosis(F.lit("m1"), loaded, F.when(k % 2 == 0, k * 100), 20_000).alias("diagnosis"))
 
 
+
+def _n(x: str) -> str:
+    return f"(CASE WHEN abs({x} - floor({x})) < 1e-9 THEN floor({x})::BIGINT::VARCHAR ELSE regexp_replace(printf('%.6f', {x}), '0+$', '') END)"
+
+
+def _svg(template: str) -> str:
+    """SQL of a template: ``{name}`` a number, ``{:name}`` a string column."""
+    parts = re.split(r"\{(:?\w+)\}", template)
+    return " || ".join("'" + p + "'" if k % 2 == 0 else p[1:] if p[0] == ":" else _n(p) for k, p in enumerate(parts))
+
+
+SVG_SQL = f"""WITH c AS ({COLOURS}), a AS (SELECT id // 8 AS image_id, id % 8 AS ord, id % 4 AS kind, r::DOUBLE AS x, g::DOUBLE AS y, greatest(10, least(72, CASE WHEN id % 90 = 0 THEN 16 ELSE id % 90 END))::DOUBLE AS size, greatest(1, CASE WHEN b = 0 THEN 50 ELSE b END)::DOUBLE AS w, greatest(1, CASE WHEN r2 = 0 THEN 50 ELSE r2 END)::DOUBLE AS h, greatest(1, CASE WHEN b = 0 THEN 25 ELSE b END)::DOUBLE AS rad,
+ CASE WHEN id % 5 = 0 THEN '#FF0000' ELSE '#' || printf('%02x%02x%02x', r2, g2, b2) END AS paint, CASE WHEN id % 5 = 0 THEN '255,0,0' ELSE r2 || ',' || g2 || ',' || b2 END AS rgb, p_type AS said, CASE WHEN id % 3 = 0 THEN r + 50 ELSE r + 30 END::DOUBLE AS ex, (g + 40)::DOUBLE AS ey FROM c WHERE id <= 2000),
+l AS (SELECT *, sqrt((ex - x) * (ex - x) + (ey - y) * (ey - y)) AS len FROM a), u AS (SELECT *, (ex - x) / greatest(len, 1) AS ux, (ey - y) / greatest(len, 1) AS uy FROM l), b AS (SELECT *, ex - ux * 12 AS bx, ey - uy * 12 AS by_ FROM u),
+p AS (SELECT *, y - size + 2 AS ty, greatest(1, floor(length(said) * size * 0.6::DOUBLE + 10 + 0.5)) AS tw, size + 4 AS th, x + 5 AS lx, bx - uy * 7.2::DOUBLE AS p1x, by_ + ux * 7.2::DOUBLE AS p1y, bx + uy * 7.2::DOUBLE AS p2x, by_ - ux * 7.2::DOUBLE AS p2y FROM b),
+s AS (SELECT image_id, ord, CASE kind WHEN 0 THEN {_svg('<rect x="{x}" y="{ty}" width="{tw}" height="{th}" fill="rgba({:rgb},0.85)" rx="3"/><text x="{lx}" y="{y}" font-family="DejaVu Sans, sans-serif" font-size="{size}" fill="white">{:said}</text>')}
+ WHEN 1 THEN {_svg('<rect x="{x}" y="{y}" width="{w}" height="{h}" fill="none" stroke="{:paint}" stroke-width="3" rx="2"/>')} WHEN 2 THEN {_svg('<circle cx="{x}" cy="{y}" r="{rad}" fill="none" stroke="{:paint}" stroke-width="3"/>')}
+ ELSE {_svg('<line x1="{x}" y1="{y}" x2="{bx}" y2="{by_}" stroke="{:paint}" stroke-width="3" stroke-linecap="round"/><polygon points="{ex},{ey} {p1x},{p1y} {p2x},{p2y}" fill="{:paint}" stroke="none"/>')} END AS shape FROM p WHERE kind < 3 OR len >= 1)
+SELECT image_id, '<svg width="800" height="600" xmlns="http://www.w3.org/2000/svg">' || string_agg(shape, '' ORDER BY ord) || '</svg>' AS svg FROM s GROUP BY image_id"""
+
 _BOX_SHARE = 'greatest(0, least(320, q * 6 + q * 2 + 1) - greatest(100, q * 6)) * greatest(0, least(280, p * 3 + p) - greatest(80, p * 3))'
 QUERIES = {
     "colour_scalars": (colour_scalars, f"""WITH c AS ({COLOURS}) SELECT id, '#' || lower(printf('%02x%02x%02x', r, g, b)) AS hex, (r * 65536 + g * 256 + b)::BIGINT AS key, ((r // 8) * 65536 + (g // 8) * 256 + b // 8)::BIGINT AS quant,
@@ -264,7 +286,7 @@ QUERIES = {
     "text_truncate": (text_truncate, "SELECT doc_id, CASE WHEN length(text) > 300 THEN left(text, 300) || chr(10) || '…[truncated]' ELSE text END AS shown FROM documents"),
     "dom_fragment": (dom_fragment, "SELECT doc_id, CASE WHEN length(t) < 3 THEN '' ELSE t END AS fragment FROM (SELECT doc_id, regexp_replace(left(text, 4), '^[\\s\\x0b]+|[\\s\\x0b]+$', '', 'g') AS t FROM documents)"),
     "image_sources": (image_sources, "SELECT s_suppkey AS id, CASE WHEN s_suppkey % 3 = 0 THEN 'a' || s_suppkey || '.png|b.png' END AS sources FROM supplier"),
-    "annotation_svg": (annotation_svg, None),
+    "annotation_svg": (annotation_svg, SVG_SQL),
     "provenance_footer": (provenance_footer, f"WITH c AS ({COLOURS}) SELECT id, concat_ws(' | ', 'model: ' || p_type, 'ttft: ' || CASE WHEN id % 3 > 0 THEN id END || 'ms', 'total: ' || CASE WHEN id % 4 > 0 THEN id * 2 END || 'ms', 'image: ' || r || 'x' || CASE WHEN id % 5 > 0 THEN g END || CASE WHEN id % 2 = 0 THEN ' (downscaled)' ELSE '' END) AS footer FROM c"),
     "prompts": (prompts, f"WITH c AS ({COLOURS}) SELECT id, concat_ws('', 'Report only what is visible in the image. If something cannot be determined, say so instead of guessing.' || chr(10) || 'Describe: ', p_name, CASE WHEN id % 2 = 0 THEN chr(10) || 'Focus: ' || p_type END) AS prompt FROM c"),
     "timeout_diagnosis": (timeout_diagnosis, f"WITH c AS ({COLOURS}) SELECT id, CASE id % 3 WHEN 0 THEN 'inference:' || CASE WHEN id % 2 = 0 AND id * 100 <= 20000 THEN 'quick' ELSE 'slow' END WHEN 1 THEN 'contention:m2 ' || printf('%.1f', (id * 1e8) / 1e9) || 'GB' ELSE 'cold' END AS diagnosis FROM c"),
