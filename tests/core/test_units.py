@@ -130,3 +130,33 @@ def test_tree_depth_and_hidden(spark):
 
 def test_env_lines():
     assert session.load_env('A=1\n# c\nB="x y"\nC=\'z\'\nbad\nA=2', {"C": "kept"}) == {"A": "1", "B": "x y", "C": "kept"}
+
+
+def test_deadlines(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    from visparq.streaming.deadlines import Progress, with_deadline
+
+    said = []
+    listener = Progress(lambda event, rows: said.append(event))
+    spark.streams.addListener(listener)
+    rows = [(1, False), (1, True), (2, False), (1, True)]
+    spark.createDataFrame(rows, "key long, done boolean").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("key long, done boolean").parquet(str(tmp_path / "in"))
+    q = with_deadline(stream, 1).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck")).option("path", str(tmp_path / "out")).trigger(processingTime="1 second").start()
+    import time
+
+    for _ in range(60):
+        time.sleep(1)
+        if (tmp_path / "out").exists() and len(got := spark.read.schema("key long, outcome string, chunks long").parquet(str(tmp_path / "out")).collect()) == 2:
+            break
+    q.stop()
+    spark.streams.removeListener(listener)
+    assert {(r["key"], r["outcome"]) for r in got} == {(1, "done"), (2, "timeout")} and "progress" in said
+
+
+def test_tree_scan(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.txt").write_text("hello")
+    (tmp_path / "top.md").write_text("hi")
+    got = {(r["path"], r["size"]) for r in tree.scan(spark, str(tmp_path)).collect()}
+    assert got == {("a/x.txt", 5), ("top.md", 2)}

@@ -78,3 +78,16 @@ def within(base: Column, path: Column) -> Column:
     """Whether a path, relative to ``base`` unless absolute, stays in ``base``."""
     b, p = normal_path(base), normal_path(F.when(path.startswith("/"), path).otherwise(F.concat(base, F.lit("/"), path)))
     return (p == b) | p.startswith(F.when(b == "/", "/").otherwise(F.concat(b, F.lit("/"))))
+
+
+def download_error(status: Column, content_type: Column, declared_bytes: Column, content: Column, most: int = 20 * 1024 * 1024) -> Column:
+    """Why a fetched reply is refused, the first reason in order, or null."""
+    kind = F.lower(F.coalesce(content_type, F.lit("")))
+    return (
+        F.when(~status.between(200, 299), "http")
+        .when(F.contains(kind, F.lit("text/html")) | F.contains(kind, F.lit("application/json")), "content_type")
+        .when(declared_bytes > most, "declared_size")
+        .when(F.length(content) == 0, "empty")
+        .when(F.length(content) > most, "size")
+        .when(~supported(content), "signature")
+    )

@@ -110,3 +110,43 @@ def ink_mask_local(interpolated: DataFrame, threshold: int = S.INK_THRESHOLD, k:
     """Pixels further from their local background than the threshold and k sigmas."""
     d = F.sqrt(color.distance2((F.col("r"), F.col("g"), F.col("b")), (F.col("br"), F.col("bg"), F.col("bb"))))
     return interpolated.where(d > F.greatest(F.lit(float(threshold)), k * F.col("sigma"))).select("image_id", "x", "y", "r", "g", "b")
+
+
+def in_region(pixels: DataFrame, left: int, top: int, width: int, height: int) -> DataFrame:
+    """Pixels of a region; coordinates stay those of the image."""
+    return pixels.where((F.col("x") >= left) & (F.col("x") < left + width) & (F.col("y") >= top) & (F.col("y") < top + height))
+
+
+def palette_of(palette: DataFrame) -> DataFrame:
+    """image_id, palette: the entries (image_id, ord, other) of an image as one ordered array."""
+    return palette.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("ord", "other"))).alias("palette"))
+
+
+def ink_mask_plateaus(pixels: DataFrame, palette: DataFrame, threshold: int = S.INK_THRESHOLD) -> DataFrame:
+    """Pixels that are within the threshold of none of their image's plateaus."""
+    key = color.pack(F.col("r"), F.col("g"), F.col("b"))
+    joined = pixels.withColumn("key", key).join(palette_of(palette), "image_id", "left")
+    return joined.where(~F.coalesce(F.exists("palette", lambda p: near2(F.col("key"), p["other"]) <= threshold**2), F.lit(False))).drop("palette", "key")
+
+
+def first_near(hist: DataFrame, palette: DataFrame, reach: int = S.PLATEAU_MERGE) -> DataFrame:
+    """image_id, key and the first palette entry within reach, null if none."""
+    joined = hist.join(palette_of(palette), "image_id")
+    met = F.filter("palette", lambda p: near2(F.col("key"), p["other"]) <= reach * reach)
+    return joined.select("image_id", "key", F.get(met, F.lit(0))["other"].alias("plateau"))
+
+
+def ink_thresholds(interpolated: DataFrame, threshold: int = S.INK_THRESHOLD, k: float = S.NOISE_K, first: int = 4096) -> DataFrame:
+    """image_id, effective (largest) and median (upper) ink threshold of an image's first pixels in scan order."""
+    w = Window.partitionBy("image_id").orderBy("y", "x")
+    own = interpolated.select("image_id", F.greatest(F.lit(float(threshold)), k * F.col("sigma")).alias("t"), F.row_number().over(w).alias("n")).where(F.col("n") <= first)
+    return own.groupBy("image_id").agg(F.max("t").alias("effective"), F.sort_array(F.collect_list("t"))[F.expr("CAST(count(*) div 2 AS INT)")].alias("median"))
+
+
+def shade_bands(failing: DataFrame, masked: DataFrame) -> DataFrame:
+    """Failing colours (image_id, key, bg, mean) on the line from the background to a masked colour (image_id, ord, other):
+    'shade' under 25 pixels a piece, 'text' from 100 on, 'ambiguous' between; null for colours on no such line."""
+    joined = failing.join(palette_of(masked), "image_id", "left")
+    on = F.coalesce(F.exists("palette", lambda m: color.is_blend(color.unpack(F.col("key")), color.unpack(m["other"]), color.unpack(F.col("bg")), 0.0, 1.0)), F.lit(False))
+    band = F.when(F.col("mean") < S.TEXT_MEAN / 4, "shade").when(F.col("mean") >= S.TEXT_MEAN, "text").otherwise("ambiguous")
+    return joined.select("image_id", "key", F.when(on, band).alias("band"))

@@ -40,3 +40,10 @@ def dot(found: DataFrame) -> DataFrame:
     arcs = edges(found).select("graph_id", F.lit(1).alias("k"), F.col("target").alias("at"), F.concat(F.lit("  "), quote(F.col("source")), F.lit(" -> "), quote(F.col("target")), F.lit(";")).alias("line"))
     rows = points.unionByName(arcs).groupBy("graph_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "at", "line"))), lambda r: r["line"]), "\n").alias("body"))
     return rows.select("graph_id", F.concat(F.lit("digraph G {\n  rankdir=LR;\n"), "body", F.lit("\n}")).alias("dot"))
+
+
+def scan(spark, root: str, graph_id: int = 0) -> DataFrame:
+    """Files below a folder as paths relative to it; contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
+    base = root.split("://", 1)[-1].rstrip("/")
+    return files.select(F.lit(graph_id).cast("long").alias("graph_id"), F.substring_index("path", base + "/", -1).alias("path"), F.col("length").alias("size"))

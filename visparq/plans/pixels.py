@@ -168,7 +168,53 @@ def contrast_in_region(spark, sf):
     return own.groupBy("image_id").agg(F.min("ratio").alias("worst"), F.max("ratio").alias("best"), F.count_if(F.col("ratio") < 4.5).alias("failing"), F.count("*").alias("evaluated"), F.bool_and(F.col("ratio") >= 4.5).alias("all_meet_aa"))
 
 
+def region_histogram(spark, sf):
+    own = histogram.histogram(histogram.in_region(rgb(spark, sf), 1, 0, 4, 2))
+    return own.select("image_id", F.col("key").cast("long").alias("key"), "n")
+
+
+def _frequent(spark, sf):
+    """Colours that occur twice or more stand for plateaus, in scan order."""
+    return hist(spark, sf).where("n >= 2").select("image_id", (F.col("first_y") * 7 + F.col("first_x")).alias("ord"), F.col("key").alias("other"))
+
+
+def multi_plateau_mask(spark, sf):
+    own = histogram.ink_mask_plateaus(rgb(spark, sf), _frequent(spark, sf), 90)
+    return own.select("image_id", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"))
+
+
+def first_plateau(spark, sf):
+    own = histogram.first_near(hist(spark, sf), _frequent(spark, sf), 90)
+    return own.select("image_id", F.col("key").cast("long").alias("key"), F.col("plateau").cast("long").alias("plateau"))
+
+
+def ink_thresholds(spark, sf):
+    p = _gray_pixels(spark, sf)
+    own = histogram.ink_thresholds(histogram.tile_interpolation(p, histogram.tile_background(p, 4), 4), 4, 0.5, 40)
+    return own.select("image_id", *((F.floor(F.col(c) * 1e4 + 0.5) / 1e4).alias(c) for c in ("effective", "median")))
+
+
+def masked_shades(spark, sf):
+    h = hist(spark, sf)
+    failing = h.where("n = 1").join(histogram.background(h).withColumnRenamed("key", "bg"), "image_id").select("image_id", "key", "bg", ((F.col("first_y") * 7 + F.col("first_x")) * 7.0).alias("mean"))
+    own = histogram.shade_bands(failing, _frequent(spark, sf))
+    return own.select("image_id", F.col("key").cast("long").alias("key"), "band")
+
+
+def _blend_sql(x, y, bg):
+    t = " + ".join(f"CASE WHEN {y}.{c} <> {bg}.{c} THEN ({x}.{c} - {bg}.{c})::DOUBLE / ({y}.{c} - {bg}.{c}) ELSE 0 END" for c in "rgb")
+    n = " + ".join(f"({y}.{c} <> {bg}.{c})::INT" for c in "rgb")
+    t = f"(({t}) / nullif({n}, 0))"
+    off = " + ".join(f"pow({x}.{c} - ({bg}.{c} + {t} * ({y}.{c} - {bg}.{c})), 2)" for c in "rgb")
+    return f"coalesce({t} > 0 AND {t} < 1 AND sqrt({off}) < 3, false)"
+
+
 QUERIES = {
+    "region_histogram": (region_histogram, f"SELECT image_id, (r * 65536 + g * 256 + b)::BIGINT AS key, count(*) AS n FROM ({RGB}) WHERE x BETWEEN 1 AND 4 AND y < 2 GROUP BY ALL"),
+    "multi_plateau_mask": (multi_plateau_mask, f"WITH {HIST} SELECT image_id, x::BIGINT AS x, y::BIGINT AS y FROM p h WHERE NOT EXISTS (SELECT 1 FROM hist m WHERE m.image_id = h.image_id AND m.n >= 2 AND {D2} <= 8100)"),
+    "first_plateau": (first_plateau, f"WITH {HIST} SELECT h.image_id, h.key::BIGINT AS key, arg_min(m.key, m.first) FILTER ({D2} <= 8100)::BIGINT AS plateau FROM hist h JOIN (SELECT * FROM hist WHERE n >= 2) m ON h.image_id = m.image_id GROUP BY h.image_id, h.key"),
+    "ink_thresholds": (ink_thresholds, f"WITH {INTER}, th AS (SELECT image_id, greatest(4.0, 0.5 * sigma) AS t FROM i QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY y, x) <= 40) SELECT image_id, floor(max(t) * 1e4 + 0.5) / 1e4 AS effective, floor(list_sort(list(t))[count(*) // 2 + 1] * 1e4 + 0.5) / 1e4 AS median FROM th GROUP BY image_id"),
+    "masked_shades": (masked_shades, f"WITH {HIST} SELECT h.image_id, h.key::BIGINT AS key, CASE WHEN coalesce(bool_or({_blend_sql('h', 'q', 'm')}), false) THEN CASE WHEN any_value(h.first) * 7.0 < 25 THEN 'shade' WHEN any_value(h.first) * 7.0 >= 100 THEN 'text' ELSE 'ambiguous' END END AS band FROM hist h JOIN mode m ON h.image_id = m.image_id LEFT JOIN (SELECT * FROM hist WHERE n >= 2) q ON q.image_id = h.image_id WHERE h.n = 1 GROUP BY h.image_id, h.key"),
     "colour_histogram": (colour_histogram, f"WITH {HIST} SELECT image_id, key::BIGINT AS key, n, first::BIGINT AS first_at FROM hist"),
     "dominant_colors": (dominant_colors, f"WITH {HIST} SELECT image_id, rank, '#' || printf('%02x%02x%02x', r, g, b) AS hex, n, floor(n * 100.0::DOUBLE / total * 100 + 0.5) / 100 AS share FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY n DESC, first) AS rank, sum(n) OVER (PARTITION BY image_id) AS total FROM hist) WHERE rank <= 8"),
     "modal_background": (modal_background, f"WITH {HIST} SELECT image_id, key::BIGINT AS key FROM mode"),

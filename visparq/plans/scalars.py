@@ -254,7 +254,26 @@ s AS (SELECT image_id, ord, CASE kind WHEN 0 THEN {_svg('<rect x="{x}" y="{ty}"
 SELECT image_id, '<svg width="800" height="600" xmlns="http://www.w3.org/2000/svg">' || string_agg(shape, '' ORDER BY ord) || '</svg>' AS svg FROM s GROUP BY image_id"""
 
 _BOX_SHARE = 'greatest(0, least(320, q * 6 + q * 2 + 1) - greatest(100, q * 6)) * greatest(0, least(280, p * 3 + p) - greatest(80, p * 3))'
+def download_check(spark, sf):
+    k = F.col("s_suppkey")
+    content = F.when(k % 7 == 0, F.unhex(F.lit(""))).when(k % 3 == 0, F.unhex(F.lit("FFD8FFE0"))).otherwise(F.unhex(F.lit("3C68746D")))
+    kind = F.when(k % 5 == 0, "text/html; charset=utf-8").when(k % 5 == 1, "image/jpeg")
+    own = guards.download_error(F.when(k % 11 == 0, 404).otherwise(200), kind, F.when(k % 13 == 0, 30_000_000), content)
+    return table(spark, sf, "supplier").select(k.alias("id"), own.alias("refused"))
+
+
+def reference_lookup(spark, sf):
+    """Upload references to stored files: an equi-join on the file's name; unknown references give null."""
+    k = F.col("c_custkey")
+    refs = table(spark, sf, "customer").select(k.alias("id"), F.concat(F.lit("upload://f"), k % 300, F.lit(".png")).alias("ref"))
+    files = table(spark, sf, "supplier").select(F.concat(F.lit("f"), F.col("s_suppkey"), F.lit(".png")).alias("name"), F.col("s_suppkey").alias("size"))
+    named = refs.where(guards.scheme(F.col("ref")) == "upload").withColumn("name", F.regexp_replace("ref", "^upload://", ""))
+    return named.join(files, "name", "left").select("id", "name", "size")
+
+
 QUERIES = {
+    "download_check": (download_check, "SELECT s_suppkey AS id, CASE WHEN s_suppkey % 11 = 0 THEN 'http' WHEN s_suppkey % 5 = 0 THEN 'content_type' WHEN s_suppkey % 13 = 0 THEN 'declared_size' WHEN s_suppkey % 7 = 0 THEN 'empty' WHEN s_suppkey % 3 > 0 THEN 'signature' END AS refused FROM supplier"),
+    "reference_lookup": (reference_lookup, "SELECT c_custkey AS id, 'f' || (c_custkey % 300) || '.png' AS name, s_suppkey AS size FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey % 300"),
     "colour_scalars": (colour_scalars, f"""WITH c AS ({COLOURS}) SELECT id, '#' || lower(printf('%02x%02x%02x', r, g, b)) AS hex, (r * 65536 + g * 256 + b)::BIGINT AS key, ((r // 8) * 65536 + (g // 8) * 256 + b // 8)::BIGINT AS quant,
         floor({lum()} * 1e6 + 0.5) / 1e6 AS luminance, ((r - r2) * (r - r2) + (g - g2) * (g - g2) + (b - b2) * (b - b2))::BIGINT AS d2, greatest(0, least(255, floor(p_retailprice - 900.5 + 0.5)))::BIGINT AS clamped FROM c"""),
     "contrast_ratio": (contrast_ratio, f"WITH c AS ({COLOURS}), l AS (SELECT id, {lum()} AS a, {lum('r2', 'g2', 'b2')} AS z FROM c) SELECT id, floor((greatest(a, z) + 0.05) / (least(a, z) + 0.05) * 100 + 0.5) / 100 AS ratio FROM l"),
