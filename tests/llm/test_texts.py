@@ -206,3 +206,16 @@ def test_disclosing_terms_and_rewriting(hard, empty):
     untouched = {r["doc_id"]: r["text"] for r in clean.where("doc_id < 60").collect()}
     assert all(untouched[k] == texts[k] for k in range(60))
     assert pii.detect(empty).count() == 0 and pii.sanitise(empty).count() == 0
+
+
+def test_pii_query(spark, documents):
+    from tests.conftest import SF
+
+    names = ["email", "ip", "card", "phone"]
+    got = {r["doc_id"]: r for r in queries.op10(spark, SF).collect()}
+    for r in documents.collect():
+        base = plain_base(r["text"])
+        own = ",".join(f"{names[k]}:{a}:{e}" for a, k, e in base)
+        assert got[r["doc_id"]]["base_sha256"] == hashlib.sha256(own.encode()).hexdigest()
+        assert [got[r["doc_id"]][f"n_{n}"] for n in names] == [sum(k == n for _, k, _ in base) for n in range(4)]
+        assert set(own.split(",")) <= {*got[r["doc_id"]]["spans"].split(","), ""}

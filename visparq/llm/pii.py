@@ -26,7 +26,7 @@ from visparq.llm._common import durable, struct_to_batch, workers_can_import, wr
 
 KINDS = ("email", "ip", "card", "phone", "term", "drop")
 REACH, SUPPORT, GENERALISE, REMOVE, BITS = 4, 3, 0.5, 0.9, 4.0
-FLUSH = 400_000
+FLUSH, SLICE = 250_000, 1024
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -122,10 +122,11 @@ def _scan(docs: DataFrame) -> DataFrame:
             return struct_to_batch({k: (columns.get(k, [None] * n), t) for k, t in kinds.items()})
 
         def counts() -> Iterator[pa.RecordBatch]:
-            for names in [list(count)[k : k + 20_000] for k in range(0, len(count), 20_000)]:
+            whole = list(count)
+            for names in (whole[k : k + 20_000] for k in range(0, len(whole), 20_000)):
                 yield rows(len(names), term=[_key(t) for t in names], n_docs=[count[t] for t in names])
 
-        for b in batches:
+        for b in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
             base, about, entities = [], [], []
             for text in b.column("text").to_pylist():
                 count.update({t.lower() for t in set(_TERM.findall(text))})
@@ -159,6 +160,10 @@ def detect(docs: DataFrame) -> DataFrame:
     return joined.select("doc_id", "text_key", "base", F.expr(f"coalesce(transform(found, s -> struct(s.kind AS kind, s.start AS start, s.end AS end)), CAST(array() AS array<{SPAN}>))").alias("terms"))
 
 
+def of_kind(spans, kind: int):
+    return F.filter(spans, lambda s: s["kind"] == kind)
+
+
 def span_string(spans):
     """``kind:start:end`` by start, then kind, comma-joined."""
     names = F.array(*(F.lit(k) for k in KINDS))
@@ -187,7 +192,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
     found = detect(docs).where("size(terms) > 0").groupBy(key("doc_id").alias("id"), "text_key").agg(F.first("terms").alias("terms"))
     whole, columns = wrapped(docs), docs.columns
     may = F.coalesce(F.col("doc.text").rlike("[0-9@]"), F.lit(False))
-    held = whole.where(may).withColumns({"id": key("doc.doc_id"), "text_key": F.xxhash64("doc.text")}).join(found, ["id", "text_key"], "left")
+    held = whole.where(may).withColumns({"id": key("doc.doc_id"), "text_key": F.xxhash64("doc.text")}).join(found.hint("merge"), ["id", "text_key"], "left")
     at = columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
