@@ -63,13 +63,16 @@ def share(children: DataFrame, parent: list[str], name: str) -> DataFrame:
 def budgets(leaves: DataFrame, weights: dict[str, dict[str, int]], percent: int, max_epochs: int) -> DataFrame:
     """domain, lang, source, supply, given: tokens that each leaf may give; ``percent`` of all tokens is the whole budget."""
     own = leaves.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("supply"))
-    own = own.withColumn("capacity", F.col("supply") * max_epochs)
-    given = own.agg(F.expr(f"coalesce(sum(supply), 0) * {percent} div 100").alias("budget")).withColumn("root", F.lit(0))
-    parent = ["root"]
+    own = own.withColumn("capacity", F.col("supply") * max_epochs).withColumn("root", F.lit(0))
+    parent, given = ["root"], None
     for depth, level in enumerate(LEVELS):
         keys = ["root", *LEVELS[: depth + 1]]
-        nodes = own.withColumn("root", F.lit(0)).groupBy(*keys).agg(F.sum("supply").alias("supply"), F.sum("capacity").alias("capacity")).withColumn("weight", _weight(level, weights.get(level, {})))
-        given = share(nodes.join(given.select(*parent, "budget"), parent), parent, level).select(*keys, "supply", F.col("given").alias("budget"))
+        nodes = own.groupBy(*keys).agg(F.sum("supply").alias("supply"), F.sum("capacity").alias("capacity")).withColumn("weight", _weight(level, weights.get(level, {})))
+        if given is None:
+            children = nodes.withColumn("total", F.sum("supply").over(Window.partitionBy("root"))).withColumn("budget", F.expr(f"total * {percent} div 100")).drop("total")
+        else:
+            children = nodes.join(given.select(*parent, "budget"), parent)
+        given = share(children, parent, level).select(*keys, "supply", F.col("given").alias("budget"))
         parent = keys
     return given.select(*LEVELS, "supply", F.col("budget").alias("given"))
 
@@ -91,5 +94,5 @@ def apply_mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, int]
     """The documents of the mix, all columns, each as often as it was taken. Rows that share an id share their least count."""
     key = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(2**63)))
     taken = mix(docs, domain, weights, percent, max_epochs, seed).groupBy(key("doc_id").alias("id")).agg(F.min("n_copies").alias("copies")).where("copies > 0")
-    joined = wrapped(docs).withColumn("id", key("doc.doc_id")).join(taken, "id")
+    joined = wrapped(docs).withColumn("id", key("doc.doc_id")).join(taken.hint("merge"), "id")  # grows with the corpus: never a broadcast
     return unwrapped(joined.select("doc", F.explode(F.expr("sequence(1L, copies)")).alias("copy")), docs.columns)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from visparq.llm._common import durable, texts_of, unwrapped, wrapped
 
 SHINGLE, SEED, DISTANCE, BITS = 4, 42, 4, 64
-HOT, PAIRWISE = 4096, 48
+HOT, PAIRWISE, SLICE = 4096, 48, 1024
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -50,7 +50,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (the 64 bits as a signed long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
             own = np.array([fingerprint(t) for t in b.column("text").to_pylist()], "<u8")
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(own.view("<i8"))], names=["doc_id", "fingerprint"])
 
@@ -184,7 +184,8 @@ def keep_first(docs: DataFrame) -> DataFrame:
     named = near_duplicates(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
     first = durable(named, "first")
     whole = wrapped(docs).withColumn("id", F.col("doc.doc_id").cast("long"))
-    kept = whole.join(first.select(F.col("doc_id").alias("id")), "id", "left_semi")
+    # The survivors grow with the corpus: never a broadcast, at any size.
+    kept = whole.join(first.select(F.col("doc_id").alias("id")).hint("merge"), "id", "left_semi")
     if not first.where("n > 1").isEmpty():  # rows that repeat an id: one of them stays
         kept = kept.groupBy("id").agg(F.min_by("doc", F.xxhash64(F.col("doc.text"))).alias("doc"))
     return unwrapped(kept.select("doc").unionByName(whole.where("id IS NULL").select("doc")), docs.columns)
