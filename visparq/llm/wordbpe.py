@@ -19,7 +19,7 @@ import numpy as np
 SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=-@\[-`{-~]*)")
 #: ASCII white space, which the vocabulary's own splitting drops; other white space stays inside its chunk.
 BLANK = re.compile(r"[\x09-\x0d\x20]+")
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 200_000  # a generation; two are held, about 80 MB
 MARK = b"\xff"  # never a byte of UTF-8; stands for the end of a pre-token
 
 
