@@ -133,7 +133,8 @@ class Frame:
         self.area = self.width * self.height
 
     def within(self, c: Rgb, reach: float) -> np.ndarray:
-        return ((self.part - np.array(c)) ** 2).sum(-1) <= reach * reach
+        r, g, b = (self.part[..., k] - c[k] for k in range(3))
+        return r * r + g * g + b * b <= reach * reach
 
 
 # -- background -------------------------------------------------------------------------------------------------------
@@ -189,9 +190,9 @@ def tile_field(f: Frame) -> tuple[np.ndarray, np.ndarray]:
     for ty in range(ny):
         for tx in range(nx):
             px = img[ty * t : (ty + 1) * t, tx * t : (tx + 1) * t].reshape(-1, 3)
-            middle[ty, tx] = np.sort(px, axis=0)[len(px) // 2]
+            middle[ty, tx] = np.partition(px, len(px) // 2, axis=0)[len(px) // 2]
             # Per channel about its own median; the noisiest channel counts.
-            noise[ty, tx] = (np.sort(np.abs(px - middle[ty, tx]), axis=0)[len(px) // 2] * S.MAD_SCALE).max()
+            noise[ty, tx] = (np.partition(np.abs(px - middle[ty, tx]), len(px) // 2, axis=0)[len(px) // 2] * S.MAD_SCALE).max()
     axis = lambda at, n: (lambda g: (np.clip(np.floor(g), 0, n - 1).astype(int), np.clip(np.floor(g) + 1, 0, n - 1).astype(int), g - np.floor(g)))((at + 0.5) / t - 0.5)
     xa, xb, wx = axis(np.arange(f.left, f.left + f.width), nx)
     ya, yb, wy = axis(np.arange(f.top, f.top + f.height), ny)
@@ -236,18 +237,15 @@ def pieces_of(f: Frame, bg: Rgb, plateaus: list[Plateau], o: Options) -> tuple[l
     truncated = len(big) > S.MAX_COMPONENTS
     big = big[: S.MAX_COMPONENTS]
     flat = labels.ravel()
-    at = np.flatnonzero(flat >= 0)
-    pair = np.stack([flat[at], f.keys.ravel()[at]], 1)
-    kind, first, count = np.unique(pair, axis=0, return_index=True, return_counts=True)
-    edge = np.searchsorted(kind[:, 0], box["label"][big])
-    stop = np.searchsorted(kind[:, 0], box["label"][big], "right")
+    kind, first, count = kernels.counted(np.where(flat >= 0, flat << 24 | f.keys.ravel(), -1))
+    edge, stop = np.searchsorted(kind, box["label"][big] << 24), np.searchsorted(kind, (box["label"][big] + 1) << 24)
     multi = [p.rgb for p in plateaus] if len(plateaus) >= 2 else []
     pieces: list[Piece] = []
     waiting: list[tuple[Piece, list[tuple[int, int, float]]]] = []
     totals: dict[int, list[int]] = {}
     for k, a, z in zip(big, edge, stop, strict=True):
         order = a + np.argsort(first[a:z])
-        colours = [(int(kind[j, 1]), int(count[j])) for j in order]
+        colours = [(int(kind[j] & 0xFFFFFF), int(count[j])) for j in order]
         modal = max(colours, key=lambda c: c[1])[0]
         x, y, w, h, n = (int(box[c][k]) for c in ("left", "top", "width", "height", "area"))
         ref = _surround(f, mask, x, y, w, h, multi, unpack(modal)) if multi else bg

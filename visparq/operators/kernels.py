@@ -8,15 +8,24 @@ import numpy as np
 def label4(keys: np.ndarray, valid: np.ndarray | None = None) -> np.ndarray:
     """4-connected regions of equal keys; each pixel gets the least linear index of its region, -1 where not valid.
 
-    Runs along rows are joined to the runs under them; only run pairs are walked one by one.
+    Runs along rows are joined to the runs under them; only distinct run pairs are walked one by one.
     """
     h, w = keys.shape
-    valid = np.ones((h, w), bool) if valid is None else valid
     cut = np.ones((h, w), bool)
-    cut[:, 1:] = (keys[:, 1:] != keys[:, :-1]) | (valid[:, 1:] != valid[:, :-1])
-    run = (np.cumsum(cut) - 1).reshape(h, w)
+    cut[:, 1:] = keys[:, 1:] != keys[:, :-1]
+    if valid is not None:
+        cut[:, 1:] |= valid[:, 1:] != valid[:, :-1]
     first = np.flatnonzero(cut)
-    down = (keys[1:] == keys[:-1]) & valid[1:] & valid[:-1]
+    length = np.diff(np.append(first, h * w))
+    run = np.repeat(np.arange(len(first)), length).reshape(h, w)
+    # Two runs meet where either begins: looking at beginnings alone sees every pair.
+    begins = cut[1:] | cut[:-1]
+    y, x = np.nonzero(begins)
+    above, below = run[y, x], run[y + 1, x]
+    same = keys.ravel()[first[above]] == keys.ravel()[first[below]]
+    if valid is not None:
+        ok = valid.ravel()[first]
+        same &= ok[above] & ok[below]
     parent = list(range(len(first)))
 
     def root(k: int) -> int:
@@ -25,13 +34,28 @@ def label4(keys: np.ndarray, valid: np.ndarray | None = None) -> np.ndarray:
             k = parent[k]
         return k
 
-    if down.any():
-        for a, b in np.unique(np.stack([run[:-1][down], run[1:][down]], 1), axis=0).tolist():
-            a, b = root(a), root(b)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-    roots = np.array([root(k) for k in range(len(parent))], np.int64)
-    return np.where(valid, first[roots][run], -1)
+    pairs = np.unique(above[same] * np.int64(len(first)) + below[same])
+    for a, b in zip((pairs // len(first)).tolist(), (pairs % len(first)).tolist(), strict=True):
+        a, b = root(a), root(b)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+    label = first[np.array([root(k) for k in range(len(parent))], np.int64)]
+    if valid is not None:
+        label = np.where(ok, label, -1)
+    return np.repeat(label, length).reshape(h, w)
+
+
+def runs(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the stretches of equal values."""
+    start = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1]))) if len(flat) else np.zeros(0, np.int64)
+    return start, np.diff(np.append(start, len(flat)))
+
+
+def counted(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values in order, the place of each one's first appearance, and their counts; stretches are counted at once."""
+    start, length = runs(flat)
+    value, first, which = np.unique(flat[start], return_index=True, return_inverse=True)
+    return value, start[first], np.bincount(which, length, len(value)).astype(np.int64)
 
 
 def pack_rgb(image: np.ndarray) -> np.ndarray:
@@ -41,23 +65,27 @@ def pack_rgb(image: np.ndarray) -> np.ndarray:
 
 def modal(keys: np.ndarray) -> int:
     """The most frequent key; ties go to the one seen first."""
-    value, first, count = np.unique(keys, return_index=True, return_counts=True)
+    value, first, count = counted(keys)
     return int(value[np.lexsort((first, -count))[0]])
 
 
 def boxes_of(labels: np.ndarray) -> dict[str, np.ndarray]:
-    """label, area, left, top, width, height of each region, in order of label."""
-    y, x = np.nonzero(labels >= 0)
-    own = labels[y, x]
-    value, which, area = np.unique(own, return_inverse=True, return_counts=True)
-    low = lambda v: np.minimum.reduceat(v[order], edge)
-    high = lambda v: np.maximum.reduceat(v[order], edge)
-    if not len(value):
+    """label, area, left, top, width, height and coordinate sums of each region, in order of label; counted by row runs."""
+    h, w = labels.shape
+    cut = np.ones((h, w), bool)
+    cut[:, 1:] = labels[:, 1:] != labels[:, :-1]
+    first = np.flatnonzero(cut)
+    length = np.diff(np.append(first, h * w))
+    own = labels.ravel()[first]
+    first, length, own = first[own >= 0], length[own >= 0], own[own >= 0]
+    if not len(own):
         return {k: np.zeros(0, np.int64) for k in ("label", "area", "left", "top", "width", "height", "sum_x", "sum_y")}
-    order = np.argsort(which, kind="stable")
-    edge = np.concatenate(([0], np.cumsum(area)[:-1]))
-    left, top = low(x), low(y)
-    return {"label": value, "area": area, "left": left, "top": top, "width": high(x) - left + 1, "height": high(y) - top + 1, "sum_x": np.add.reduceat(x[order], edge), "sum_y": np.add.reduceat(y[order], edge)}
+    y, x = first // w, first % w
+    order = np.argsort(own, kind="stable")
+    edge = np.flatnonzero(np.concatenate(([True], own[order][1:] != own[order][:-1])))
+    over = lambda f, v: f.reduceat(v[order], edge)
+    left, top = over(np.minimum, x), over(np.minimum, y)
+    return {"label": own[order][edge], "area": over(np.add, length), "left": left, "top": top, "width": over(np.maximum, x + length) - left, "height": over(np.maximum, y) - top + 1, "sum_x": over(np.add, length * (2 * x + length - 1) // 2), "sum_y": over(np.add, length * y)}
 
 
 def enclosed_hole(solid: np.ndarray) -> int:
