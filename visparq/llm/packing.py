@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 from visparq.llm._common import durable, struct_to_batch, texts_of
 from visparq.llm.wordbpe import WordBpe
 
-SALTS = 64
+SALTS = 256
 SLICE = 2048
 
 
@@ -89,11 +89,10 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
 def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0, keep_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset: one row per piece, each placed in a sequence."""
     pieces = durable(cut(docs, vocabulary, capacity, end_id, keep_ids).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int")), "pieces")
-    # At most capacity * SALTS rows (131,072 with the defaults) reach the driver.
-    rows = pieces.groupBy("length", "salt").count().collect()
+    # At most capacity * SALTS rows (524,288 with the defaults) reach the driver, as arrays.
+    rows = pieces.groupBy("length", "salt").count().toArrow()
     per = np.zeros((capacity + 1, SALTS), np.int64)
-    for r in rows:
-        per[r["length"], r["salt"]] = r["count"]
+    per[rows.column("length").to_numpy(), rows.column("salt").to_numpy()] = rows.column("count").to_numpy()
     base = np.cumsum(per, axis=1) - per
     totals = {int(n): int(c) for n, c in enumerate(per.sum(axis=1)) if c}
     ranges = sorted(plan(totals, capacity))
