@@ -10,7 +10,13 @@ from pyspark.sql import functions as F
 from visparq.functions import color
 from visparq.functions.text import escape_xml
 
-FONT = "DejaVu Sans, sans-serif"
+#: The SVG of each kind of annotation; ``{name}`` is a number, ``{:name}`` a text.
+SHAPES = {
+    "label": '<rect x="{x}" y="{ty}" width="{tw}" height="{th}" fill="rgba({:rgb},0.85)" rx="3"/><text x="{lx}" y="{y}" font-family="DejaVu Sans, sans-serif" font-size="{size}" fill="white">{:said}</text>',
+    "box": '<rect x="{x}" y="{y}" width="{w}" height="{h}" fill="none" stroke="{:paint}" stroke-width="3" rx="2"/>',
+    "circle": '<circle cx="{x}" cy="{y}" r="{r}" fill="none" stroke="{:paint}" stroke-width="3"/>',
+    "arrow": '<line x1="{x}" y1="{y}" x2="{bx}" y2="{by}" stroke="{:paint}" stroke-width="3" stroke-linecap="round"/><polygon points="{ex},{ey} {p1x},{p1y} {p2x},{p2y}" fill="{:paint}" stroke="none"/>',
+}
 
 
 def number(x: Column) -> Column:
@@ -44,10 +50,7 @@ def shapes(annotations: DataFrame) -> DataFrame:
         parts = re.split(r"\{(:?\w+)\}", template)
         return F.concat(*(F.lit(p) if k % 2 == 0 else F.col(f"_{p[1:]}") if p[0] == ":" else F.get("_s", F.lit(place[p])) for k, p in enumerate(parts)))
 
-    label = svg('<rect x="{x}" y="{ty}" width="{tw}" height="{th}" fill="rgba({:rgb},0.85)" rx="3"/>' + f'<text x="{{lx}}" y="{{y}}" font-family="{FONT}" font-size="{{size}}" fill="white">{{:said}}</text>')
-    box = svg('<rect x="{x}" y="{y}" width="{w}" height="{h}" fill="none" stroke="{:paint}" stroke-width="3" rx="2"/>')
-    circle = svg('<circle cx="{x}" cy="{y}" r="{r}" fill="none" stroke="{:paint}" stroke-width="3"/>')
-    arrow = svg('<line x1="{x}" y1="{y}" x2="{bx}" y2="{by}" stroke="{:paint}" stroke-width="3" stroke-linecap="round"/><polygon points="{ex},{ey} {p1x},{p1y} {p2x},{p2y}" fill="{:paint}" stroke="none"/>')
+    label, box, circle, arrow = (svg(SHAPES[n]) for n in ("label", "box", "circle", "arrow"))
     k = F.col("_k")
     drawn = F.when((k == "label") & (F.trim("text") != ""), label).when(k.isin("box", "rectangle"), box).when(k == "circle", circle).when((k == "arrow") & (F.col("_len") >= 1), arrow)
     return own.select(*annotations.columns, drawn.alias("shape"))

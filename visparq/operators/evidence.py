@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from visparq.functions import color, geometry, text
 
+#: Fixed value: general excuses, without regard to case.
 EXCUSES = r"(?i)too small|unreadable|can ?not read|cannot read|blurry|illegible|not legible|hard to read|difficult to read"
 
 

@@ -10,7 +10,14 @@ from pyspark.sql import functions as F
 
 from visparq.functions.text import SPACE
 
-GROUPS = r"(?i)"
+#: The patterns that define what is extracted, all without regard to case.
+DESCRIPTION = r"""(?i)<meta[^>]*name=["']description["'][^>]*content=["']([^"']*)["']"""
+HEADING = r"(?i)(<h[1-6][^>]*>[\s\S]*?)</h[1-6]>"
+LINK = r"""(?i)<a[^>]+href=["']([^"']+)["'][^>]*>([\s\S]*?)</a>"""
+SECTION = r"(?i)<(main|article|section)([^>]*)>([\s\S]*?)</\1>"
+LIST = r"(?i)<(ul|ol)([^>]*)>([\s\S]*?)</\1>"
+IMAGE = r"""(?i)<img[^>]+src=["']([^"']+)["'][^>]*alt=["']([^"']*)["'][^>]*>"""
+TAG, ANY_TAG = r"(?i)<{0}[^>]*>([\s\S]*?)</{0}>", "<[^>]+>"
 
 
 def trim(s: Column) -> Column:
@@ -19,17 +26,17 @@ def trim(s: Column) -> Column:
 
 def strip(s: Column) -> Column:
     """Tags deleted, then trimmed."""
-    return trim(F.regexp_replace(s, "<[^>]+>", ""))
+    return trim(F.regexp_replace(s, ANY_TAG, ""))
 
 
 def first(html: Column, tag: str) -> Column:
     """The inside of the first ``tag``, or null if there is none."""
-    pattern = rf"(?i)<{tag}[^>]*>([\s\S]*?)</{tag}>"
+    pattern = TAG.format(tag)
     return F.when(html.rlike(pattern), F.regexp_extract(html, pattern, 1))
 
 
 def inner(html: Column, tag: str) -> Column:
-    return F.regexp_extract_all(html, F.lit(rf"(?i)<{tag}[^>]*>([\s\S]*?)</{tag}>"), F.lit(1))
+    return F.regexp_extract_all(html, F.lit(TAG.format(tag)), F.lit(1))
 
 
 def count(html: Column, pattern: str) -> Column:
@@ -45,28 +52,25 @@ def title(html: Column) -> Column:
 
 
 def description(html: Column) -> Column:
-    pattern = r"""(?i)<meta[^>]*name=["']description["'][^>]*content=["']([^"']*)["']"""
-    return F.when(html.rlike(pattern), F.regexp_extract(html, pattern, 1))
+    return F.when(html.rlike(DESCRIPTION), F.regexp_extract(html, DESCRIPTION, 1))
 
 
 def headings(html: Column, least: int) -> Column:
     """Array of (level, text); the closing level need not be the opening one."""
-    found = F.regexp_extract_all(html, F.lit(r"(?i)(<h[1-6][^>]*>[\s\S]*?)</h[1-6]>"), F.lit(1))
+    found = F.regexp_extract_all(html, F.lit(HEADING), F.lit(1))
     own = F.transform(found, lambda m: F.struct(F.substring(m, 3, 1).cast("int").alias("level"), strip(F.regexp_replace(m, "^<[^>]*>", "")).alias("text")))
     return F.filter(own, lambda h: F.length(h["text"]) >= least)
 
 
 def nav_links(html: Column) -> Column:
     """Array of (href, text) of the first nav."""
-    pattern = r"""(?i)<a[^>]+href=["']([^"']+)["'][^>]*>([\s\S]*?)</a>"""
-    whole = F.regexp_extract_all(F.coalesce(first(html, "nav"), F.lit("")), F.lit(pattern), F.lit(0))
-    return F.transform(whole, lambda m: F.struct(F.regexp_extract(m, pattern, 1).alias("href"), strip(F.regexp_extract(m, pattern, 2)).alias("text")))
+    whole = F.regexp_extract_all(F.coalesce(first(html, "nav"), F.lit("")), F.lit(LINK), F.lit(0))
+    return F.transform(whole, lambda m: F.struct(F.regexp_extract(m, LINK, 1).alias("href"), strip(F.regexp_extract(m, LINK, 2)).alias("text")))
 
 
 def sections(html: Column, least: int) -> Column:
     """Array of (tag, attrs, preview, body) of main, article and section, each to the first close of its own kind."""
-    pattern = r"(?i)<(main|article|section)([^>]*)>([\s\S]*?)</\1>"
-    own = F.transform(F.regexp_extract_all(html, F.lit(pattern), F.lit(0)), lambda m: F.struct(F.lower(F.regexp_extract(m, pattern, 1)).alias("tag"), F.regexp_extract(m, pattern, 2).alias("attrs"), F.regexp_extract(m, pattern, 3).alias("body")))
+    own = F.transform(F.regexp_extract_all(html, F.lit(SECTION), F.lit(0)), lambda m: F.struct(F.lower(F.regexp_extract(m, SECTION, 1)).alias("tag"), F.regexp_extract(m, SECTION, 2).alias("attrs"), F.regexp_extract(m, SECTION, 3).alias("body")))
     named = F.transform(own, lambda s: F.struct(s["tag"].alias("tag"), s["attrs"].alias("attrs"), strip(s["body"]).alias("text"), s["body"].alias("body")))
     return F.filter(named, lambda s: (F.length(s["text"]) >= least) | (s["tag"] == "main"))
 
@@ -84,8 +88,7 @@ def main_content(html: Column, least: int) -> Column:
 
 def lists(html: Column, least: int) -> Column:
     """Array of (type, item_count, items): items cut to 100 characters, 20 of them shown; lists without items dropped."""
-    pattern = r"(?i)<(ul|ol)([^>]*)>([\s\S]*?)</\1>"
-    own = F.transform(F.regexp_extract_all(html, F.lit(pattern), F.lit(0)), lambda m: F.struct(F.regexp_extract(m, pattern, 1).alias("type"), F.transform(long_enough(F.transform(inner(F.regexp_extract(m, pattern, 3), "li"), strip), least), lambda t: F.substring(t, 1, 100)).alias("items")))
+    own = F.transform(F.regexp_extract_all(html, F.lit(LIST), F.lit(0)), lambda m: F.struct(F.regexp_extract(m, LIST, 1).alias("type"), F.transform(long_enough(F.transform(inner(F.regexp_extract(m, LIST, 3), "li"), strip), least), lambda t: F.substring(t, 1, 100)).alias("items")))
     kept = F.filter(own, lambda s: F.size(s["items"]) > 0)
     return F.transform(kept, lambda s: F.struct(s["type"].alias("type"), F.size(s["items"]).cast("long").alias("item_count"), F.slice(s["items"], 1, 20).alias("items")))
 
@@ -104,14 +107,13 @@ def footer(html: Column) -> Column:
 
 def images(html: Column) -> Column:
     """Array of (src, alt): both are needed, in that order."""
-    pattern = r"""(?i)<img[^>]+src=["']([^"']+)["'][^>]*alt=["']([^"']*)["'][^>]*>"""
-    return F.transform(F.regexp_extract_all(html, F.lit(pattern), F.lit(0)), lambda m: F.struct(F.regexp_extract(m, pattern, 1).alias("src"), F.regexp_extract(m, pattern, 2).alias("alt")))
+    return F.transform(F.regexp_extract_all(html, F.lit(IMAGE), F.lit(0)), lambda m: F.struct(F.regexp_extract(m, IMAGE, 1).alias("src"), F.regexp_extract(m, IMAGE, 2).alias("alt")))
 
 
 def raw_stats(html: Column) -> dict[str, Column]:
     """Counts over the whole page; characters in UTF-16 units."""
     astral = F.regexp_count(html, F.lit(r"[\x{10000}-\x{10FFFF}]"))
-    return {"total_tags": count(html, "<[^>]+>"), "total_links": count(html, "<a[^>]*>"), "total_images": count(html, "<img[^>]*>"), "char_count": (F.length(html) + astral).cast("long")}
+    return {"total_tags": count(html, ANY_TAG), "total_links": count(html, "<a[^>]*>"), "total_images": count(html, "<img[^>]*>"), "char_count": (F.length(html) + astral).cast("long")}
 
 
 def extract(pages: DataFrame, least: int = 10, raw: bool = False) -> DataFrame:
