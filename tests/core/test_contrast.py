@@ -147,3 +147,30 @@ def test_labels_match_a_plain_flood_fill():
 def test_over_spark(spark):
     rows = contrast.measure(images_of(spark, [glyphs("#e8dfd0"), glyphs("#484f58"), paint(50, 50, PAGE, [])])).orderBy("image_id").collect()
     assert [r["verdict"] for r in rows] == ["clean", "failing", "unverified"]
+
+
+def test_more_failing_ink_never_silences_a_disclosure():
+    panels = [(60, 40, 420, 620, "#464646"), (520, 40, 420, 620, "#464646")]
+    plain = {(r["hex"], r["contrast_ratio"]) for r in measured(paint(1000, 700, PAGE, panels))["reconciliation"]}
+    more = measured(paint(1000, 700, PAGE, panels + [(500, 60 + 30 * i, 8, 20, "#2e2a24") for i in range(12)]))
+    shown = {(r["hex"], r["contrast_ratio"]) for r in more["reconciliation"]} | {(e["hex"], e["contrast_ratio"]) for e in more["entries"]}
+    assert plain <= shown and more["all_meet_aa"] is not True
+
+
+@pytest.mark.parametrize("tolerance", [8, 12, 16, 24, 32])
+def test_verdicts_are_stable_over_tolerances(tolerance):
+    assert measured(glyphs("#e8dfd0"), tolerance=tolerance)["verdict"] == "clean"
+    assert measured(glyphs("#484f58"), tolerance=tolerance)["verdict"] == "failing"
+
+
+def test_acceptance_layout():
+    from visparq.operators.contrast import ratio
+    from visparq.sources import fixtures
+
+    rgb = lambda h: tuple(int(h[k : k + 2], 16) for k in (1, 3, 5))
+    for colour, *_, declared in fixtures.TEXTS:
+        assert contrast.two(ratio(rgb(colour), rgb(fixtures.PAGE))) == declared
+    out = measured(fixtures.layout(), (0, 0, 1200, 360))
+    assert out["verdict"] == "failing" and out["worst"] == {"hex": "#1e1c18", "contrast_ratio": 1.04} and out["best"]["contrast_ratio"] == 13.42
+    assert (out["evaluated_count"], out["failing_count"]) == (4, 2)
+    assert fixtures.owner_of(325, 390) == "ECHO" and fixtures.owner_of(310, 390) is None

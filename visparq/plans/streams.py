@@ -12,7 +12,8 @@ DAY, PER_DAY = 24 * 3600 * 1000, 3
 
 
 def events(spark, sf):
-    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    # The column has no zone: its distance from the epoch does not depend on the session's.
+    ms = F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)")
     return table(spark, sf, "events").select(F.col("user_id").alias("key"), "event_id", ms.alias("ms"))
 
 
