@@ -75,6 +75,10 @@ def two(x: float) -> float:
     return float(np.floor(x * 100 + 0.5) / 100)
 
 
+def four(x: float) -> float:
+    return float(np.floor(x * 10000 + 0.5) / 10000)
+
+
 def on_line(x: Rgb, y: Rgb, bg: Rgb, window: tuple[float, float]) -> bool:
     """Whether x blends y into bg."""
     span = np.subtract(y, bg).astype(float)
@@ -171,13 +175,15 @@ def find_plateaus(f: Frame) -> list[Plateau]:
         blobby = share >= S.PLATEAU_SHARE and area.max() / total >= S.PLATEAU_DOMINANCE and (border or hole / (w * h) < S.RING_HOLE)
         fill = area / (box["width"][own] * box["height"][own])
         solid = area[(area / f.area >= S.PLATEAU_BLOB) & (fill >= S.SOLID_FILL)]
-        tiled = len(solid) >= 2 and solid.sum() / f.area >= S.PLATEAU_SHARE and solid.std() / solid.mean() <= S.SIZE_VARIATION
+        # Variation of sizes (population deviation over mean) in whole numbers, so that the limit itself is met exactly.
+        even = len(solid) * int((solid**2).sum()) - int(solid.sum()) ** 2 <= S.SIZE_VARIATION**2 * int(solid.sum()) ** 2
+        tiled = len(solid) >= 2 and solid.sum() / f.area >= S.PLATEAU_SHARE and even
         if blobby or tiled:
-            out.append(Plateau(unpack(key), 0.0, "dominant-blob" if blobby else "tiled", round(share, 4), int(area.max())))
+            out.append(Plateau(unpack(key), 0.0, "dominant-blob" if blobby else "tiled", four(share), int(area.max())))
     kept: list[Plateau] = []
     for p in sorted(out, key=lambda p: -p.size):
         if all(d2(p.rgb, q.rgb) > S.PLATEAU_MERGE**2 for q in kept):
-            kept.append(replace(p, share=round(float(f.within(p.rgb, S.PLATEAU_MERGE).mean()), 4)))
+            kept.append(replace(p, share=four(float(f.within(p.rgb, S.PLATEAU_MERGE).mean()))))
     return kept
 
 

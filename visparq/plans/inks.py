@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from visparq import schema as S
 from visparq.operators import contrast, inks
-from visparq.plans.pixels import images, upscale
+from visparq.plans.pixels import GRAY, images, upscale
 from visparq.plans.scalars import lum, table
 from visparq.sources import rasters
 
@@ -121,7 +121,7 @@ def _measured(spark, sf, **kw):
 
 
 def plateaus(spark, sf):
-    return _measured(spark, sf).select("image_id", F.posexplode("plateaus").alias("k", "p")).select("image_id", "k", "p.*")
+    return _measured(spark, sf).select("image_id", F.posexplode("plateaus").alias("k", "p")).select("image_id", F.col("k").cast("long").alias("k"), "p.*")
 
 
 def aa_fold(spark, sf):
@@ -136,6 +136,19 @@ def model_arbitration(spark, sf):
     return _measured(spark, sf).where("disagreement IS NOT NULL").select("image_id", "verdict", "all_meet_aa", "disagreement.local_all_meet_aa", "disagreement.local_failing_count")
 
 
+PLATEAUS = f"""WITH RECURSIVE g AS (SELECT *, y * 8 + x AS i FROM ({GRAY})),
+reach AS (SELECT image_id, i, x, y, v, i AS root FROM g UNION SELECT m.image_id, m.i, m.x, m.y, m.v, r.root FROM reach r JOIN g m ON m.image_id = r.image_id AND m.v = r.v AND abs(m.x - r.x) + abs(m.y - r.y) = 1),
+lab AS (SELECT image_id, v, i, x, y, min(root) AS label FROM reach GROUP BY image_id, v, i, x, y),
+comps AS (SELECT image_id, v, label, count(*) AS area, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1, (max(x) - min(x) + 1) * (max(y) - min(y) + 1) AS box, min(x) = 0 OR min(y) = 0 OR max(x) = 7 OR max(y) = 7 AS border FROM lab GROUP BY image_id, v, label),
+best AS (SELECT * FROM comps QUALIFY row_number() OVER (PARTITION BY image_id, v ORDER BY area DESC, label) = 1),
+gap AS (SELECT b.image_id, b.v AS own, g.i, g.x, g.y, g.x IN (b.x0, b.x1) OR g.y IN (b.y0, b.y1) AS edge FROM best b JOIN g ON g.image_id = b.image_id AND g.x BETWEEN b.x0 AND b.x1 AND g.y BETWEEN b.y0 AND b.y1 AND g.v <> b.v WHERE NOT b.border),
+walk AS (SELECT image_id, own, i, x, y, i AS root FROM gap UNION SELECT w.image_id, w.own, p.i, p.x, p.y, w.root FROM walk w JOIN gap p ON p.image_id = w.image_id AND p.own = w.own AND abs(p.x - w.x) + abs(p.y - w.y) = 1),
+grp AS (SELECT image_id, own, i, min(root) AS root FROM walk GROUP BY image_id, own, i),
+hole AS (SELECT image_id, own, max(n) AS n FROM (SELECT r.image_id, r.own, r.root, count(*) AS n, bool_or(p.edge) AS edge FROM grp r JOIN gap p ON p.image_id = r.image_id AND p.own = r.own AND p.i = r.i GROUP BY r.image_id, r.own, r.root) WHERE NOT edge GROUP BY image_id, own),
+stat AS (SELECT image_id, v, min(label) AS first, sum(area) AS total, count(*) FILTER (area::DOUBLE / box >= {S.SOLID_FILL}) AS n, sum(area) FILTER (area::DOUBLE / box >= {S.SOLID_FILL}) AS s, sum(area * area) FILTER (area::DOUBLE / box >= {S.SOLID_FILL}) AS q FROM comps GROUP BY image_id, v),
+acc AS (SELECT t.image_id, t.v, t.first, t.total, b.area, b.area / 64.0 >= {S.PLATEAU_SHARE} AND b.area::DOUBLE / t.total >= {S.PLATEAU_DOMINANCE} AND (b.border OR coalesce(h.n, 0)::DOUBLE / b.box < {S.RING_HOLE}) AS blob, t.n >= 2 AND t.s / 64.0 >= {S.PLATEAU_SHARE} AND t.n * t.q - t.s * t.s <= {S.SIZE_VARIATION**2} * t.s * t.s AS tiled FROM stat t JOIN best b ON b.image_id = t.image_id AND b.v = t.v LEFT JOIN hole h ON h.image_id = t.image_id AND h.own = t.v WHERE t.total / 64.0 >= {S.PLATEAU_SHARE})
+SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY area DESC, first) - 1 AS k, '#' || repeat(printf('%02x', v), 3) AS hex, floor(total / 64.0::DOUBLE * 10000 + 0.5) / 10000 AS share, CASE WHEN blob THEN 'dominant-blob' ELSE 'tiled' END AS detection, floor(area / 64.0::DOUBLE * 10000 + 0.5) / 10000 AS largest_component_share FROM acc WHERE blob OR tiled"""
+
 QUERIES = {
     "ink_components": (ink_components, f"WITH {INK} SELECT image_id, label::BIGINT AS label, key::BIGINT AS key, area, \"left\"::BIGINT AS \"left\", top::BIGINT AS top, width::BIGINT AS width, height::BIGINT AS height, fill FROM comps"),
     "component_colours": (component_colours, f"WITH {INK} SELECT image_id, label::BIGINT AS label, key::BIGINT AS key, n FROM cnt"),
@@ -146,7 +159,7 @@ QUERIES = {
     "noise_partition": (noise_partition, f"WITH {CHAN} SELECT * FROM chan WHERE channel = 'suspected_noise'"),
     "region_backstop": (region_backstop, f"WITH {CHAN.replace(f'raw < {NOISE} AND NOT', 'false AND NOT')} SELECT * FROM chan WHERE channel = 'background_region'"),
     "ink_verdicts": (ink_verdicts, f"WITH {CHAN}, v AS (SELECT image_id, min(ratio) FILTER (channel = 'evaluated') AS worst, max(ratio) FILTER (channel = 'evaluated') AS best, count(*) FILTER (channel = 'evaluated' AND ratio < 4.5) AS failing, count(*) FILTER (channel = 'evaluated' AND ratio >= 4.5) AS passing, bool_and(ratio >= 4.5) FILTER (channel = 'evaluated') AS all_meet_aa FROM chan GROUP BY image_id) SELECT *, CASE WHEN all_meet_aa IS NULL THEN 'unverified' WHEN all_meet_aa THEN 'clean' ELSE 'failing' END AS verdict FROM v"),
-    "plateaus": (plateaus, None),
+    "plateaus": (plateaus, PLATEAUS),
     "aa_fold": (aa_fold, None),
     "mask_reconciliation": (mask_reconciliation, None),
     "model_arbitration": (model_arbitration, None),

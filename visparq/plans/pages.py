@@ -110,6 +110,13 @@ def n_of(pattern, x="html"):
     return f"len(regexp_extract_all({x}, '(?i){pattern}'))::BIGINT"
 
 
+_LEN10 = lambda x: f"len(list_filter({x}, lambda t: length(t) >= 10))::BIGINT"
+_MAP = lambda x, body: f"list_transform({x}, lambda m: {body})"
+EXTRACT_SQL = f"""WITH p AS ({PAGES}), {_SEC}, {_LI.replace("length(x) >= 3", "length(x) >= 10")}, ns AS (SELECT page_id, count(*) AS n, count(*) FILTER (tag = 'main') AS m FROM sec GROUP BY page_id), nl AS (SELECT page_id, count(*) FILTER (len(items) > 0) AS n FROM l GROUP BY page_id)
+SELECT p.page_id, {TRIM.format("regexp_extract(html, '(?i)<title[^>]*>([\\s\\S]*?)</title>', 1)")} AS title, {_LEN10(_MAP(_H, strip("regexp_replace(m, '^<[^>]*>', '')")))} AS n_headings, len(regexp_extract_all({_NAV}, '{_A}'))::BIGINT AS n_nav_links, coalesce(ns.n, 0) AS n_sections,
+ coalesce(ns.m, 0) + {_LEN10(_MAP(inner("p"), strip("m")))} AS n_main_content, coalesce(nl.n, 0) AS n_lists, len({inner("form")})::BIGINT AS n_forms, len({inner("table")})::BIGINT AS n_tables, len(regexp_extract_all(html, '{_IMG}'))::BIGINT AS n_media, {n_of('<a[^>]*>')} AS total_links FROM p LEFT JOIN ns USING (page_id) LEFT JOIN nl USING (page_id)"""
+
+
 # -- JSON -------------------------------------------------------------------------------------------------------------
 def replies(spark, sf):
     k, j = F.col("event_id"), F.col("props")
@@ -166,7 +173,7 @@ QUERIES = {
     "html_footer": (html_footer, f"WITH p AS ({PAGES}) SELECT page_id, left({strip("nullif(regexp_extract(html, '(?i)<footer[^>]*>([\\s\\S]*?)</footer>', 1), '')")}, 300) AS footer FROM p"),
     "html_images": (html_images, f"WITH p AS ({PAGES}) " + _listed(f"regexp_extract_all(html, '{_IMG}')", f"regexp_extract(m, '{_IMG}', 1) AS src, regexp_extract(m, '{_IMG}', 2) AS alt")),
     "html_raw_stats": (html_raw_stats, f"WITH p AS ({PAGES}) SELECT page_id, {n_of('<[^>]+>')} AS total_tags, {n_of('<a[^>]*>')} AS total_links, {n_of('<img[^>]*>')} AS total_images, (length(html) + len(regexp_extract_all(html, '[\\x{{10000}}-\\x{{10FFFF}}]')))::BIGINT AS char_count FROM p"),
-    "html_extract": (html_extract, None),
+    "html_extract": (html_extract, EXTRACT_SQL),
     "json_salvage": (json_salvage, f"WITH r AS ({REPLIES}) SELECT event_id, CASE {' '.join(f"WHEN {e} <> '' AND json_valid({e}) THEN '{n}'" for n, e in _TRY.items())} END AS strategy, CASE {' '.join(f"WHEN {e} <> '' AND json_valid({e}) THEN {e}" for e in _TRY.values())} END AS document FROM r"),
     "claim_parse": (claim_parse, "SELECT event_id, event_id % 4 < 3 AS parsed, CASE WHEN event_id % 4 = 1 THEN 's' END AS summary, (event_id % 4 = 0)::BIGINT AS n_claims, (event_id % 4 = 1)::BIGINT AS n_text_items, (CASE WHEN event_id % 4 = 0 THEN 2 ELSE 0 END)::BIGINT AS n_unreadable, CASE WHEN event_id % 4 = 0 THEN 'c' || event_id END AS first_claim, CASE WHEN event_id % 4 = 0 THEN (event_id % 7)::DOUBLE END AS count_a FROM events"),
     "detection_boxes": (detection_boxes, DETECT_SQL),
