@@ -12,16 +12,18 @@ from pyspark.sql import functions as F
 
 REPO_ROOT = str(Path(__file__).resolve().parents[2])
 #: Whole texts travel in small Arrow batches: an executor holds several of them at once, outside its heap.
-BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def workers_can_import(spark: SparkSession) -> None:
     """Put this checkout on the workers' import path (a cluster that ships the package another way is unaffected), and
     bound what the session sends them at once."""
-    for key, most in BATCHES.items():
-        if not 0 < int(spark.conf.get(key)) <= most:
-            spark.conf.set(key, most)
+    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    size = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch"))
+    if not 0 < size <= BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     env = spark.sparkContext.environment
     if REPO_ROOT not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (REPO_ROOT, env.get("PYTHONPATH", "")) if x)
