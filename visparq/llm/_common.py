@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-REPO_ROOT = str(Path(__file__).resolve().parents[2])
+from visparq.workers import can_import
+
 #: Whole texts travel in small Arrow batches: an executor holds several of them at once, outside its heap.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -24,9 +24,7 @@ def workers_can_import(spark: SparkSession) -> None:
     size = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch"))
     if not 0 < size <= BATCH_BYTES:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    env = spark.sparkContext.environment
-    if REPO_ROOT not in env.get("PYTHONPATH", "").split(":"):
-        env["PYTHONPATH"] = ":".join(x for x in (REPO_ROOT, env.get("PYTHONPATH", "")) if x)
+    can_import(spark)
 
 
 def shared_dir(spark: SparkSession) -> str:
