@@ -174,3 +174,13 @@ def test_acceptance_layout():
     assert out["verdict"] == "failing" and out["worst"] == {"hex": "#1e1c18", "contrast_ratio": 1.04} and out["best"]["contrast_ratio"] == 13.42
     assert (out["evaluated_count"], out["failing_count"]) == (4, 2)
     assert fixtures.owner_of(325, 390) == "ECHO" and fixtures.owner_of(310, 390) is None
+
+
+def test_regions_over_spark(spark):
+    from pyspark.sql import functions as F
+
+    image = glyphs("#e8dfd0", 6)
+    image[:, 300:] = glyphs("#484f58")[:, 300:]
+    parts = F.explode(F.array(F.lit(0), F.lit(300))).alias("r_left")
+    rows = contrast.measure(images_of(spark, [image]).select("*", parts).withColumns({"r_top": F.lit(-5), "r_width": F.lit(300), "r_height": F.lit(900)}), regions=True).orderBy("left").collect()
+    assert [(r["left"], r["top"], r["width"], r["height"], r["verdict"]) for r in rows] == [(0, 0, 300, 300, "clean"), (300, 0, 300, 300, "failing")]

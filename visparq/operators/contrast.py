@@ -425,7 +425,10 @@ def _arbitrate(image: np.ndarray, region: tuple | None, o: Options, out: dict, c
 
 
 def measure(images: DataFrame, options: Options = Options(), regions: bool = False) -> DataFrame:
-    """One row per image, or per image and region where ``regions`` says that ``images`` has left, top, width_, height_."""
+    """One row per image; with ``regions``, one per row of ``images``, whose r_left, r_top, r_width and r_height name a part.
+
+    The part that was measured comes back, clamped, as left, top, width and height.
+    """
     columns = ["image_id", "width", "height", "data", *(["r_left", "r_top", "r_width", "r_height"] if regions else [])]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

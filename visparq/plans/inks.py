@@ -120,6 +120,13 @@ def _measured(spark, sf, **kw):
     return contrast.measure(upscale(images(spark, sf), 12), contrast.Options(**kw))
 
 
+def region_contrast(spark, sf):
+    """Each raster's left and right half, measured by themselves."""
+    half = F.explode(F.array(F.lit(0), F.lit(48))).alias("r_left")
+    halves = upscale(images(spark, sf), 12).select("*", half).withColumns({"r_top": F.lit(0), "r_width": F.lit(48), "r_height": F.lit(96)})
+    return contrast.measure(halves, regions=True).select("image_id", "left", "width", "verdict", "background", "evaluated_count", "failing_count")
+
+
 def plateaus(spark, sf):
     return _measured(spark, sf).select("image_id", F.posexplode("plateaus").alias("k", "p")).select("image_id", F.col("k").cast("long").alias("k"), "p.*")
 
@@ -160,6 +167,7 @@ QUERIES = {
     "region_backstop": (region_backstop, f"WITH {CHAN.replace(f'raw < {NOISE} AND NOT', 'false AND NOT')} SELECT * FROM chan WHERE channel = 'background_region'"),
     "ink_verdicts": (ink_verdicts, f"WITH {CHAN}, v AS (SELECT image_id, min(ratio) FILTER (channel = 'evaluated') AS worst, max(ratio) FILTER (channel = 'evaluated') AS best, count(*) FILTER (channel = 'evaluated' AND ratio < 4.5) AS failing, count(*) FILTER (channel = 'evaluated' AND ratio >= 4.5) AS passing, bool_and(ratio >= 4.5) FILTER (channel = 'evaluated') AS all_meet_aa FROM chan GROUP BY image_id) SELECT *, CASE WHEN all_meet_aa IS NULL THEN 'unverified' WHEN all_meet_aa THEN 'clean' ELSE 'failing' END AS verdict FROM v"),
     "plateaus": (plateaus, PLATEAUS),
+    "region_contrast": (region_contrast, None),
     "aa_fold": (aa_fold, None),
     "mask_reconciliation": (mask_reconciliation, None),
     "model_arbitration": (model_arbitration, None),
