@@ -220,3 +220,15 @@ def test_pii_query(spark, documents):
         assert got[r["doc_id"]]["base_sha256"] == hashlib.sha256(own.encode()).hexdigest()
         assert [got[r["doc_id"]][f"n_{n}"] for n in names] == [sum(k == n for _, k, _ in base) for n in range(4)]
         assert set(own.split(",")) <= {*got[r["doc_id"]]["spans"].split(","), ""}
+
+
+def test_url_query_trains_and_judges_all(spark):
+    from tests.conftest import SF
+
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    rows = queries.op7(spark, SF).collect()
+    assert Counter(r["page_id"] for r in rows) == Counter(r["page_id"] for r in pages.collect())
+    assert {r["verdict"] for r in rows} <= {"allow", "block"}
+    labels = spark.createDataFrame([], "page_id long, blocked int")
+    trees = url_filter.train(pages, labels)
+    assert trees.trees == [] and url_filter.judge(pages.limit(0), trees, queries.RULES).count() == 0

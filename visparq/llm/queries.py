@@ -66,7 +66,10 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
-    known = labels.select(F.col("doc_id").alias("page_id"), F.when((F.col("toxic") == 1) | (F.col("quality") == 0), 1).when(F.col("quality").isNotNull(), 0).alias("blocked"))
+    # A page shows the document whose id its path names (/en/4033.html): that document's labels are the URL's.
+    shown = pages.select("page_id", F.regexp_extract(url_filter.host_and_path(F.col("url"))[1], r"^/[a-z]+/([0-9]+)", 1).try_cast("long").alias("doc_id"))
+    blocked = F.when((F.col("toxic") == 1) | (F.col("quality") == 0), 1).when(F.col("quality").isNotNull(), 0)
+    known = shown.join(labels.select("doc_id", blocked.alias("blocked")), "doc_id").select("page_id", "blocked")
     return url_filter.judge(pages, url_filter.train(pages, known), RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
