@@ -1,6 +1,7 @@
 """Chat, packing, counts, audio, URLs, PII against brute force."""
 
 import hashlib
+import math
 import re
 import wave
 import zlib
@@ -209,6 +210,37 @@ def test_disclosing_terms_and_rewriting(hard, empty):
     assert pii.detect(empty).count() == 0 and pii.sanitise(empty).count() == 0
 
 
+def plain_terms(rows):
+    """Term spans of each document by the definition, over all (doc_id, text)."""
+    held, beside, places, entities = defaultdict(set), defaultdict(set), defaultdict(set), defaultdict(set)
+    for d, t in rows:
+        base = plain_base(t)
+        for m in re.finditer(r"[^\W\d_]{4,}", t):
+            held[m[0].lower()].add(d)
+        free = [m for m in re.finditer(r"[^\W\d_]{4,}", t) if not any(a < m.end() and m.start() < e for a, _, e in base)]
+        for a, k, e in base:
+            entities[k, t[a:e]].add(d)
+            for m in [m for m in free if m.start() < a][-4:] + [m for m in free if m.start() >= e][:4]:
+                beside[m[0].lower(), k, t[a:e]].add(d)
+                places[m[0].lower(), k, t[a:e]].add((d, m.start(), m.end()))
+    out = defaultdict(dict)
+    for (term, *entity), docs in beside.items():
+        share = len(docs) / len(held[term])
+        if share >= 0.5 and math.log2(share * len(rows) / len(entities[tuple(entity)])) >= 4:
+            for d, a, e in places[(term, *entity)]:
+                out[d][a, e] = max(out[d].get((a, e), 4), 5 if share >= 0.9 else 4)
+    return out
+
+
+def test_unique_entities_disclose_terms(spark, documents):
+    made = [(k, f"plain common words stand here number {k}") for k in range(40)] + [(40, "common words then zweibrueckenhaus ask ann.smithson@mail.example.org now")]
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert "zweibrueckenhaus" not in clean[40] and "common words" in clean[40] and all(clean[k] == t for k, t in made[:40])
+    want = plain_terms([(r["doc_id"], r["text"] or "") for r in documents.collect()])
+    got = {r["doc_id"]: {(s["start"], s["end"]): s["kind"] for s in r["terms"]} for r in pii.detect(documents).collect() if r["terms"]}
+    assert got == dict(want) and sum(map(len, got.values())) > 50
+
+
 def test_pii_query(spark, documents):
     from tests.conftest import SF
 

@@ -3,8 +3,8 @@
 A protected entity is a base match's value. A term (a word of four letters or more, lower-cased) within ``REACH`` terms of
 an entity is a candidate. The corpus says how strongly it discloses the entity: the share of the documents with the term
 in which it stands beside the entity (posterior), and how many bits that share lies above the entity's own frequency.
-Terms of at least ``SUPPORT`` such documents over both thresholds are generalised, and from ``REMOVE`` on removed, where
-they stand beside that entity. Frequencies count every document.
+Terms over both thresholds are generalised, and from ``REMOVE`` on removed, where they stand beside that entity, in however
+few documents: most entities occur in one. Frequencies count every document.
 
 Base patterns are matched in linear time: each stands for the leftmost, non-overlapping matches of its expression.
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from visparq.llm._common import durable, struct_to_batch, workers_can_import, wrapped
 
 KINDS = ("email", "ip", "card", "phone", "term", "drop")
-REACH, SUPPORT, GENERALISE, REMOVE, BITS = 4, 3, 0.5, 0.9, 4.0
+REACH, GENERALISE, REMOVE, BITS = 4, 0.5, 0.9, 4.0
 FLUSH, SLICE = 250_000, 1024
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
@@ -149,7 +149,7 @@ def detect(docs: DataFrame) -> DataFrame:
     own = scan.where("term IS NULL").select(F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), "doc_id", "text_key", "base", "near", "entities")
     total = own.count()
     about = own.where("size(near) > 0").select("id", "text_key", F.explode("near").alias("n")).select("id", "text_key", "n.*")
-    pairs = about.where("once").groupBy("term", "entity").agg(F.count("*").alias("together")).where(F.col("together") >= SUPPORT)
+    pairs = about.where("once").groupBy("term", "entity").agg(F.count("*").alias("together"))
     often = scan.where("term IS NOT NULL").groupBy("term").agg(F.sum("n_docs").alias("with_term"))
     known = own.where("size(entities) > 0").select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("with_entity"))
     posterior = F.col("together") / F.col("with_term")
