@@ -157,6 +157,25 @@ def test_outliers_found_and_masking_resisted(spark):
     assert all(out[k] for k in range(300)) and not any(out[k] for k in range(300, 340))
 
 
+def test_an_outlier_in_each_statistic(spark):
+    rng = np.random.default_rng(6)
+    word = lambda n: "".join(rng.choice(list("abcdefghij"), n))
+    words = lambda n: [word(int(rng.integers(3, 9))) for _ in range(n)]
+    passage = words(15)
+    made = {
+        "good": [" ".join(words(120)) for _ in range(300)],
+        "length": [" ".join(word(30) for _ in range(120)) for _ in range(5)],
+        "symbols": [" ".join(word(2) + "####" for _ in range(120)) for _ in range(5)],
+        "lines": ["\n".join(f"{' '.join(words(6))}\nmenu" for _ in range(20)) for _ in range(5)],
+        "repeats": [" ".join([*words(40), *passage, *words(50), *passage]) for _ in range(5)],
+    }
+    kinds = [(kind, t) for kind, texts in made.items() for t in texts]
+    docs = spark.createDataFrame([(k, t, "en", "src0") for k, (_, t) in enumerate(kinds)], "doc_id long, text string, lang string, source string")
+    out = {r["doc_id"]: r for r in quality.quality(docs).collect()}
+    assert not any(r["base_failed"] for r in out.values())
+    assert {kind: {out[k]["kept"] for k, (own, _) in enumerate(kinds) if own == kind} for kind in made} == {kind: {kind == "good"} for kind in made}
+
+
 def test_estimates_match_a_plain_mcd(spark):
     """Concentration steps on plain arrays end at the same centers."""
     rng = np.random.default_rng(8)
