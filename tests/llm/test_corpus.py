@@ -41,11 +41,13 @@ def shape(out):
     return Counter((r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), hashlib.sha256(bytes(r["kept"])).hexdigest()) for r in out)
 
 
-@pytest.mark.parametrize("block", [700, 4 << 20])
-def test_suffix_dedup(spark, hard, empty, documents, monkeypatch, block):
+@pytest.mark.parametrize(("block", "bits"), [(700, 64), (4 << 20, 3)])
+def test_suffix_dedup(spark, hard, empty, documents, monkeypatch, block, bits):
+    """Whatever the blocks and however poor the hashes, which deal and no more."""
     monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", block)
-    monkeypatch.setattr(suffix_dedup, "BUCKET_ENTRIES", 5_000)
-    assert shape(suffix_dedup.deduplicate(hard.repartition(3), passes=3).collect()) == plain_dedup([(d, t) for d, t, *_ in hard_rows()])
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 5_000)
+    monkeypatch.setattr(suffix_dedup, "HASH_BITS", bits)
+    assert shape(suffix_dedup.deduplicate(hard.repartition(3)).collect()) == plain_dedup([(d, t) for d, t, *_ in hard_rows()])
     some = documents.where("doc_id < 60")
     assert shape(suffix_dedup.deduplicate(some).collect()) == plain_dedup([(r["doc_id"], r["text"]) for r in some.collect()])
     assert suffix_dedup.deduplicate(empty).count() == 0
@@ -54,15 +56,45 @@ def test_suffix_dedup(spark, hard, empty, documents, monkeypatch, block):
 def test_cover_meets_every_shift():
     cover = set(suffix_dedup.COVER)
     assert {(a - b) % suffix_dedup.PERIOD for a in cover for b in cover} == set(range(suffix_dedup.PERIOD))
-
-
-def test_packed_arrays_round_trip():
+    for a in range(31):
+        for b in range(31):
+            k = suffix_dedup._shifts()[a, b]
+            assert {(a + k) % 31, (b + k) % 31} <= cover
+
+
+def test_classes_are_those_of_the_bytes():
+    """Strings with long common prefixes, so that most ties are settled by cover ranks."""
+    rng = random.Random(3)
+    heads = [bytes(rng.choice(b"ab") for _ in range(34)) for _ in range(3)]
+    text = b"".join(rng.choice(heads) + bytes(rng.choice(b"ab") for _ in range(rng.randrange(6))) for _ in range(400)) + b"c" * 200 + b"ab" * 100
+    places = np.array(rng.sample(range(len(text) - 50), 6000))
+    got = suffix_dedup.classes(text + bytes(suffix_dedup.PAD), places)
+    own = [text[p : p + 50] for p in places]
+    assert len(set(zip(got.tolist(), own, strict=True))) == len(set(own)) == len(set(got.tolist()))
+
+
+@pytest.mark.parametrize("chunk", [40, 10**6])
+def test_earlier_by_chunks(monkeypatch, chunk):
+    monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
+    rng = random.Random(4)
+    base = bytes(rng.choice(b"abcd") for _ in range(300))
+    strings = [base[a : a + rng.randrange(50, 120)] for a in rng.choices(range(180), k=80)] + [base[:90]] * 5
+    rank = np.array([rng.randrange(40) for _ in strings])
+    anchor = np.array([rng.randrange(1) for _ in strings], "<u4")  # all in one class
+    low: dict[bytes, int] = {}
+    for s, r in zip(strings, rank.tolist(), strict=True):
+        for k in range(len(s) - 49):
+            low[s[k : k + 50]] = min(low.get(s[k : k + 50], r), r)
+    want = [low[s[k : k + 50]] < r for s, r in zip(strings, rank.tolist(), strict=True) for k in range(len(s) - 49)]
+    assert suffix_dedup.earlier(b"".join(strings), np.array([len(s) for s in strings]), anchor, rank).tolist() == want
+
+
+def test_ids_round_trip_and_rank():
     rng = np.random.default_rng(0)
     for n in (0, 1, 5, 1000):
-        v = np.sort(rng.integers(0, 2**64, n, dtype=np.uint64))
-        assert (suffix_dedup.unpack_sorted(suffix_dedup.pack_sorted(v)) == v).all()
         i = rng.integers(-(2**63), 2**63 - 1, n)
         assert (suffix_dedup.unpack_ids(suffix_dedup.pack_ids(i)) == i).all()
+    assert suffix_dedup.ranks_of(np.array([5, 0, -(2**63), 5, 7]), np.array([True, False, True, True, False])).tolist() == [2, 0, 1, 2, 0]
 
 
 # -- SimHash ----------------------------------------------------------------------------------------------------------
