@@ -46,6 +46,7 @@ def test_suffix_dedup(spark, hard, empty, documents, monkeypatch, block, bits):
     """Whatever the blocks and however poor the hashes, which deal and no more."""
     monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", block)
     monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 5_000)
+    monkeypatch.setattr(suffix_dedup, "BUCKET_ANCHORS", 100)
     monkeypatch.setattr(suffix_dedup, "HASH_BITS", bits)
     assert shape(suffix_dedup.deduplicate(hard.repartition(3)).collect()) == plain_dedup([(d, t) for d, t, *_ in hard_rows()])
     some = documents.where("doc_id < 60")
@@ -92,6 +93,8 @@ def test_earlier_by_chunks(monkeypatch, chunk):
 def test_ids_round_trip_and_rank():
     rng = np.random.default_rng(0)
     for n in (0, 1, 5, 1000):
+        v = np.sort(rng.integers(0, 2**64, n, dtype=np.uint64))
+        assert (suffix_dedup.unpack_sorted(suffix_dedup.pack_sorted(v)) == v).all()
         i = rng.integers(-(2**63), 2**63 - 1, n)
         assert (suffix_dedup.unpack_ids(suffix_dedup.pack_ids(i)) == i).all()
     assert suffix_dedup.ranks_of(np.array([5, 0, -(2**63), 5, 7]), np.array([True, False, True, True, False])).tolist() == [2, 0, 1, 2, 0]

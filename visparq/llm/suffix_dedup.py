@@ -5,10 +5,10 @@ A byte goes if a ``LENGTH``-byte string over it also starts in a document with a
 * Texts are packed once into compressed blocks in the shared folder; both passes read those, so a lost executor costs a
   task's work and nothing else.
 * **Dealing.** A suffix is dealt by its *anchor*, the least-hashed ``ANCHOR``-byte string within its first LENGTH bytes.
-  Equal LENGTH-byte strings have equal anchors, and neighbours mostly share one: a run of suffixes with one anchor travels
-  as one string (about 70 bytes for 18 suffixes). Strings that repeat within a block travel once, with their least id.
-* **One bucket at a time.** A bucket keeps the strings whose anchor another string shares and sorts their suffixes on
-  bytes, at most ``CHUNK`` suffixes at once: first by ``PREFIX`` bytes, then, where these tie, by ranks of a
+  Equal LENGTH-byte strings have equal anchors, and neighbours mostly share one: a run of suffixes with one anchor is one
+  string (about 70 bytes for 20 suffixes). First only the anchors' hashes are exchanged, a few bytes each; then the strings
+  over anchors that some other string shares. Strings that repeat within a block travel once, with their least id.
+* **One bucket at a time.** A bucket sorts the suffixes of its strings on bytes, at most ``CHUNK`` suffixes at once: first by ``PREFIX`` bytes, then, where these tie, by ranks of a
   **difference-cover sample**. The sample holds the suffixes at places ``p`` with ``p mod PERIOD`` in ``COVER``; the cover has
   every difference modulo its period, so any two tied suffixes have a common shift at which both are sampled, and the
   precomputed ranks of these two (at the depth that is left) decide. Ties are partitioned around pivots, all at once.
@@ -34,13 +34,33 @@ from pyspark.sql import functions as F
 from visparq.llm._common import durable, struct_to_batch, texts_of
 
 LENGTH, PERIOD, COVER, PREFIX, ANCHOR = 50, 31, (0, 1, 3, 8, 12, 18), 32, 16
-BLOCK_BYTES, BUCKET_BYTES, CHUNK = 4 << 20, 12 << 20, 1_500_000
-HASH_BITS = 64  # of anchors; any number gives the same result
+BLOCK_BYTES, BUCKET_BYTES, BUCKET_ANCHORS, CHUNK = 4 << 20, 12 << 20, 3_000_000, 1_500_000
+HASH_BITS = 64  # of anchors at most; any number gives the same result
 PAD = 64
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 # -- packing ----------------------------------------------------------------------------------------------------------
+def pack_sorted(values: np.ndarray) -> bytes:
+    """Sorted unsigned 64-bit values as byte planes of their differences, low planes first."""
+    if not len(values):
+        return b""
+    gaps = np.diff(values, prepend=np.uint64(0))
+    first, gaps[0] = int(values[0]), 0
+    width = max(1, (int(gaps.max()).bit_length() + 7) // 8)
+    return first.to_bytes(8, "little") + bytes([width]) + np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def unpack_sorted(raw: bytes) -> np.ndarray:
+    if not raw:
+        return np.zeros(0, np.uint64)
+    width = raw[8]
+    planes = np.frombuffer(raw, np.uint8, offset=9).reshape(width, -1)
+    full = np.zeros((planes.shape[1], 8), np.uint8)
+    full[:, :width] = planes.T
+    return np.cumsum(full.view("<u8").ravel(), dtype=np.uint64) + np.uint64(int.from_bytes(raw[:8], "little"))
+
+
 def pack_ids(ids: np.ndarray) -> bytes:
     """Signed 64-bit ids as their distance from the least, in as few bytes each as that needs."""
     if not len(ids):
@@ -105,7 +125,7 @@ def to_blocks(docs: DataFrame) -> DataFrame:
     return texts_of(docs).mapInArrow(run, "block_id long, n_bytes long, doc_ids binary, known binary, lengths binary, text binary")
 
 
-def _least_anchors(padded: bytes, first: int, count: int, bits: int) -> np.ndarray:
+def _least_anchors(padded: bytes, first: int, count: int) -> np.ndarray:
     """For ``count`` places from ``first`` on: the least hash of an ANCHOR-byte string in the place's LENGTH bytes."""
     size, wide = 1, LENGTH - ANCHOR + 1
     low, high = (np.ndarray((count + wide - 1,), "<u8", padded, first + off, (1,)) for off in (0, 8))
@@ -115,7 +135,6 @@ def _least_anchors(padded: bytes, first: int, count: int, bits: int) -> np.ndarr
     h *= _MIX
     h ^= h >> np.uint64(29)
     h *= _MIX
-    h >>= np.uint64(64 - bits)
     while 2 * size <= wide:
         h = np.minimum(h[:-size], h[size:])
         size *= 2
@@ -123,7 +142,7 @@ def _least_anchors(padded: bytes, first: int, count: int, bits: int) -> np.ndarr
 
 
 class Block:
-    """A block's bytes and its strings: runs of suffixes with one anchor, equal runs once."""
+    """A block's bytes and its strings: runs of suffixes with one anchor."""
 
     def __init__(self, row: dict, bits: int):
         import zstandard
@@ -132,7 +151,22 @@ class Block:
         self.raw = zstandard.ZstdDecompressor().decompress(row["text"]) if self.lengths.sum() else b""
         self.n = len(self.raw)
         self.starts = np.cumsum(self.lengths) - self.lengths
-        self.start, self.count, anchor = self._runs(bits)
+        self.start, self.count, anchor = self._runs()
+        anchor *= _MIX
+        anchor ^= anchor >> np.uint64(31)
+        anchor *= _MIX
+        anchor >>= np.uint64(64 - bits)
+        self.anchors, self.kind = np.unique(anchor, return_inverse=True)
+
+    def choose(self, answers: list[dict] | None, buckets: int, bits: int) -> None:
+        """Keep the runs over anchors that another run here or another block has; equal runs become one string."""
+        shared = np.bincount(self.kind, minlength=len(self.anchors)) > 1
+        said = {a["bucket"]: a["bits"] for a in answers or []}
+        for bucket, part in _dealt(self.anchors, buckets, bits):
+            if bucket in said:
+                shared[part] |= _unpacked(said[bucket], part.stop - part.start)
+        own = np.flatnonzero(shared[self.kind])
+        self.start, self.count, anchor = self.start[own], self.count[own], self.anchors[self.kind[own]]
         seen: dict[bytes, int] = {}
         self.which = np.array([seen.setdefault(self.raw[a:b], len(seen)) for a, b in zip(self.start.tolist(), (self.start + self.count + LENGTH - 1).tolist(), strict=True)], np.int64)
         self.strings = list(seen)
@@ -141,15 +175,14 @@ class Block:
         self.anchor = np.zeros(len(seen), np.uint64)
         self.anchor[self.which] = anchor
         rank = ranks_of(self.ids, self.known)
-        doc = np.searchsorted(self.starts, self.start, "right") - 1
-        self.rank = rank[doc]
+        self.rank = rank[np.searchsorted(self.starts, self.start, "right") - 1]
         self.least = np.full(len(seen), len(rank), np.int64)
         np.minimum.at(self.least, self.which, self.rank)
         by_rank = np.zeros(len(rank), np.int64)
         by_rank[rank] = np.arange(len(rank))
         self.owner = by_rank[self.least]  # a document with the string's least id
 
-    def _runs(self, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Where each run starts, how many suffixes it has, and its anchor's hash. Found stripe by stripe of long blocks."""
         padded, step = self.raw + bytes(PAD), 1 << 22
         long = self.lengths >= LENGTH
@@ -161,7 +194,7 @@ class Block:
         for a in range(0, max(0, self.n - LENGTH + 1), step):
             m = min(step, self.n - LENGTH + 1 - a)
             inside = np.cumsum(edge[a : a + m], dtype=np.int8) + np.int8(valid)
-            ok, hashes = inside > 0, _least_anchors(padded, a, m, bits)
+            ok, hashes = inside > 0, _least_anchors(padded, a, m)
             prior = np.concatenate(([before], ok[:-1]))
             other = np.concatenate(([last], hashes[:-1])) != hashes
             at = np.flatnonzero(ok & (~prior | other))
@@ -174,22 +207,18 @@ class Block:
             end = np.append(end, self.n - LENGTH + 1)
         return start, end - start, np.concatenate(anchors)
 
-    def dealt(self, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-        """The strings of each bucket."""
-        mixed = self.anchor * _MIX
-        bucket = (mixed ^ (mixed >> np.uint64(31))) % np.uint64(buckets)
-        order = np.argsort(bucket, kind="stable")
-        edge = np.flatnonzero(np.diff(bucket[order])) + 1
-        for own in np.split(order, edge):
-            if len(own):
-                yield int(bucket[own[0]]), own
-
-    def removed(self, buckets: int, answers: list[dict]) -> np.ndarray:
+    def dealt(self, buckets: int, bits: int) -> Iterator[tuple[int, np.ndarray]]:
+        """The strings of each bucket, in the order of their anchors."""
+        order = np.argsort(self.anchor, kind="stable")
+        for bucket, part in _dealt(self.anchor[order], buckets, bits):
+            yield bucket, order[part]
+
+    def removed(self, answers: list[dict] | None, buckets: int, bits: int) -> np.ndarray:
         """True for each byte that goes."""
         hits = np.zeros(int(self.sizes.sum()), bool)
         first = np.cumsum(self.sizes) - self.sizes
-        said = {a["bucket"]: a["bits"] for a in answers}
-        for bucket, own in self.dealt(buckets) if said else ():
+        said = {a["bucket"]: a["bits"] for a in answers or []}
+        for bucket, own in self.dealt(buckets, bits) if said else ():
             if bucket in said:
                 n = int(self.sizes[own].sum())
                 hits[np.repeat(first[own], self.sizes[own]) + _ramps(self.sizes[own])] = _unpacked(said[bucket], n)
@@ -205,6 +234,13 @@ class Block:
         return np.cumsum(edge[:-1]) > 0
 
 
+def _dealt(anchors: np.ndarray, buckets: int, bits: int) -> Iterator[tuple[int, slice]]:
+    """The buckets' shares, by ranges, of sorted anchors."""
+    bounds = [((k << bits) + buckets - 1) // buckets for k in range(1, buckets)]
+    cut = [0, *np.searchsorted(anchors, np.array(bounds, np.uint64)).tolist(), len(anchors)]
+    yield from ((k, slice(a, b)) for k, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if b > a)
+
+
 def _packed(bits: np.ndarray) -> bytes:
     import zstandard
 
@@ -355,7 +391,8 @@ def _least_ranks(padded: bytes, lengths: np.ndarray, anchor: np.ndarray, rank: n
 
 
 # -- the job ----------------------------------------------------------------------------------------------------------
-ASK, ANSWER = "bucket int, block_id long, lengths binary, texts binary, anchors binary, ids binary, known binary", "block_id long, bucket int, bits binary"
+ASK_ANCHORS, ASK = "bucket int, block_id long, anchors binary", "bucket int, block_id long, lengths binary, texts binary, anchors binary, owners binary"
+ANSWER = "block_id long, bucket int, hits long, bits binary"
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -364,55 +401,88 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield b.slice(k, 1).to_pylist()[0]
 
 
+def _asked(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names, kinds = zip(*(f.split() for f in schema.split(", ")), strict=True)
+    arrow = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array(c, arrow[k]) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+
+def _answered(table: pa.Table, sizes: list[int], hits: np.ndarray) -> pa.Table:
+    """One row for each block with a hit."""
+    out, at = [], 0
+    for block, bucket, n in zip(table.column("block_id").to_pylist(), table.column("bucket").to_pylist(), sizes, strict=True):
+        own = hits[at : (at := at + n)]
+        if own.any():
+            out.append((block, bucket, int(own.sum()), _packed(own)))
+    return pa.table([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.binary()))], names=["block_id", "bucket", "hits", "bits"])
+
+
+def _meet_anchors(table: pa.Table) -> pa.Table:
+    """Of the anchors that blocks (each anchor once a block) dealt to a bucket: does another block have it?"""
+    parts = [unpack_sorted(x) for x in table.column("anchors").to_pylist()]
+    every = np.concatenate(parts)
+    order = np.argsort(every)
+    same = every[order][1:] == every[order][:-1]
+    hits = np.empty(len(every), bool)
+    hits[order] = np.append(same, False) | np.concatenate(([False], same))
+    return _answered(table, [len(p) for p in parts], hits)
+
+
 def _sort_bucket(table: pa.Table) -> pa.Table:
-    """The answers to all blocks that dealt to a bucket; a block without hits is not answered."""
+    """Of the suffixes that blocks dealt to a bucket: does the same start in a document with a smaller id?"""
     import zstandard
 
     plain = zstandard.ZstdDecompressor().decompress
-    column = {c: table.column(c).to_pylist() for c in table.column_names}
+    column = {c: table.column(c).to_pylist() for c in ("lengths", "texts", "anchors", "owners")}
     lengths = [np.frombuffer(plain(x), "<i4").astype(np.int64) for x in column["lengths"]]
-    known = np.concatenate([_unpacked(x, len(n)) for x, n in zip(column["known"], lengths, strict=True)])
-    rank = ranks_of(np.concatenate([unpack_ids(x) for x in column["ids"]]), known)
-    anchor = np.concatenate([np.frombuffer(x, "<u4") for x in column["anchors"]])
+    # Owners: a byte for each string whether its id is known, and the ids.
+    owners = [(np.frombuffer(raw, bool, len(n)), unpack_ids(raw[len(n) :])) for raw, n in zip(map(plain, column["owners"]), lengths, strict=True)]
+    rank = ranks_of(np.concatenate([i for _, i in owners]), np.concatenate([k for k, _ in owners]))
+    anchor = np.concatenate([unpack_sorted(x) for x in column["anchors"]])
     hits = earlier(b"".join(map(plain, column["texts"])), np.concatenate(lengths), anchor, rank)
-    out: dict[str, list] = {"block_id": [], "bucket": [], "bits": []}
-    at = 0
-    for block, bucket, n in zip(column["block_id"], column["bucket"], lengths, strict=True):
-        own = hits[at : (at := at + int((n - LENGTH + 1).sum()))]
-        if own.any():
-            for c, v in zip(out, (block, bucket, _packed(own)), strict=True):
-                out[c].append(v)
-    return pa.table({"block_id": pa.array(out["block_id"], pa.int64()), "bucket": pa.array(out["bucket"], pa.int32()), "bits": pa.array(out["bits"], pa.binary())})
+    return _answered(table, [int((n - LENGTH + 1).sum()) for n in lengths], hits)
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (maximal removed runs), kept (the remaining bytes) of every document."""
-    bits = HASH_BITS
     blocks = durable(to_blocks(docs), "blocks")
     total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
-    buckets = max(1, -(-4 * total // BUCKET_BYTES))  # strings hold about four bytes a suffix
+    bits = min(HASH_BITS, 64, 8 * -(-(total.bit_length() + 10) // 8))
+    few = max(1, -(-total // (16 * BUCKET_ANCHORS)))  # an anchor serves twenty suffixes
+
+    def ask_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in _rows(batches):
+            anchors = Block(r, bits).anchors
+            if len(anchors):
+                yield _asked([(k, r["block_id"], pack_sorted(anchors[s])) for k, s in _dealt(anchors, few, bits)], ASK_ANCHORS)
+
+    met = durable(blocks.mapInArrow(ask_anchors, ASK_ANCHORS).groupBy("bucket").applyInArrow(_meet_anchors, ANSWER), "met")
+    buckets = max(1, -(-(met.agg(F.sum("hits")).first()[0] or 0) * (LENGTH + 20) // BUCKET_BYTES))
+    by_block = lambda answers, name: answers.groupBy("block_id").agg(F.collect_list(F.struct("bucket", "bits")).alias(name))
+    known = blocks.join(by_block(met, "met"), "block_id", "left")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        squeeze = zstandard.ZstdCompressor(level=1)
-        names = ["bucket", "block_id", "lengths", "texts", "anchors", "ids", "known"]
-        kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 5)
+        squeeze = zstandard.ZstdCompressor(level=3).compress
         for r in _rows(batches):
-            block, rows = Block(r, bits), []
-            for bucket, own in block.dealt(buckets):
-                lengths = (block.sizes[own] + LENGTH - 1).astype("<i4")
-                rows.append((bucket, r["block_id"], squeeze.compress(lengths.tobytes()), squeeze.compress(b"".join([block.strings[k] for k in own.tolist()])), (block.anchor[own] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), pack_ids(block.ids[block.owner[own]]), _packed(block.known[block.owner[own]])))
+            block = Block(r, bits)
+            block.choose(r["met"], few, bits)
+            rows = []
+            for bucket, own in block.dealt(buckets, bits):
+                lengths, owner = (block.sizes[own] + LENGTH - 1).astype("<i4"), block.owner[own]
+                rows.append((bucket, r["block_id"], squeeze(lengths.tobytes()), squeeze(b"".join([block.strings[k] for k in own.tolist()])), pack_sorted(block.anchor[own]), squeeze(block.known[owner].tobytes() + pack_ids(block.ids[owner]))))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                yield _asked(rows, ASK)
 
-    answers = durable(blocks.mapInArrow(ask, ASK).groupBy("bucket").applyInArrow(_sort_bucket, ANSWER), "answers")
-    heard = blocks.join(answers.groupBy("block_id").agg(F.collect_list(F.struct("bucket", "bits")).alias("answers")), "block_id", "left")
+    answers = durable(known.mapInArrow(ask, ASK).groupBy("bucket").applyInArrow(_sort_bucket, ANSWER), "answers")
+    heard = known.join(by_block(answers, "answers"), "block_id", "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _rows(batches):
             block = Block(r, bits)
-            yield from _results(block, block.removed(buckets, r["answers"] or []))
+            block.choose(r["met"], few, bits)
+            yield from _results(block, block.removed(r["answers"], buckets, bits))
 
     return heard.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
 
