@@ -6,13 +6,15 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from visparq.workers import can_import
 
 #: Whole texts travel in small Arrow batches: an executor holds several of them at once, outside its heap.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+#: Rows of one key that a join may leave in one task.
+PART = 256
 FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -28,9 +30,12 @@ def workers_can_import(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; one of our own only where that is unset (tests)."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``; one of our own only where driver and executors are one
+    process (tests). On a cluster that names none, nothing could be shared: an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = f"file://{tempfile.gettempdir()}/visparq-checkpoints"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -39,7 +44,8 @@ def shared_dir(spark: SparkSession) -> str:
 def durable(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: the lineage ends there, and lost executors cost nothing.
 
-    Shuffle files of the job that made it are released as soon as it is written. The files go when the application ends.
+    Shuffle files of the job that made it are released as soon as it is written. The files go with ``release``, or else when
+    the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
@@ -49,10 +55,41 @@ def durable(df: DataFrame, what: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.unset(FILE_CLEANUP) if before is None else spark.conf.set(FILE_CLEANUP, before)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    fs, at = _file(spark, path)
+    fs.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.durable_path = path
+    return out
+
+
+def _file(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete what ``durable`` wrote for these; nothing that is still to be evaluated may read them."""
+    for t in tables:
+        fs, at = _file(t.sparkSession, t.durable_path)
+        fs.delete(at, True)
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, spread_by: Column, how: str = "inner") -> DataFrame:
+    """``left`` joined by ``key`` to ``right``, which has one row a key; a key that holds many of ``left``'s rows is spread over
+    tasks: its rows are dealt by ``spread_by``, and its right row is repeated as often. No nulls in the key.
+
+    A heavy key has over PART rows and over a ten-thousandth of all, so there are at most 10,000 heavy keys to broadcast.
+    """
+    counts = left.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("n"))
+    total, most = counts.agg(F.sum("n"), F.max("n")).first()
+    least = max(PART, (total or 0) // 10_000)
+    if (most or 0) <= least:
+        return left.join(right.hint("merge"), key, how)
+    heavy = durable(counts.where(F.col("n") > least).select("_key", F.ceil(F.col("n") / least).cast("int").alias("_parts")), "heavy")
+    dealt = left.join(F.broadcast(heavy), F.col(key) == F.col("_key"), "left").withColumn("_part", F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(spread_by), F.col("_parts"))).cast("int")).drop("_key", "_parts")
+    parts = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1))
+    copies = right.join(F.broadcast(heavy), F.col(key) == F.col("_key"), "left").select(*right.columns, parts.alias("_part"))
+    return dealt.join(copies.hint("merge"), [key, "_part"], how).drop("_part")
 
 
 def texts_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
