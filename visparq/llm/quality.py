@@ -1,10 +1,17 @@
 """Quality rules: base statistics of whole texts, and robust multivariate outliers per language and source.
 
-Everything is DataFrame functions; no Python runs on the executors. Statistics are written once, slim. The minimum
-covariance determinant is found by concentration steps from medians and median deviations: each step keeps the
-``KEEP`` share of a group with the least distances (cut at a bin of the distances' histogram, counted map-side, so a
-group that holds a third of all rows is never gathered) and takes mean and covariance of those. Groups are
-(language, source); one with under ``LEAST`` documents is judged by its language, or else by all documents.
+Everything is DataFrame functions; no Python runs on the executors. Statistics are computed once and written. The vectors
+that pass the base rules are counted by *cells* (each statistic rounded to 1/GRID) per group, map-side, so everything after
+that follows the cells, not the documents, and a group that holds a third of all rows is never gathered.
+
+Minimum covariance determinant, for every group (language and source; language; all documents) from three deterministic
+starts: medians and median deviations; the covariance of spatial signs; mean and covariance of the half nearest to the
+median. Concentration steps (mean and covariance of the ``KEEP`` share with the least distances, cut at a bin of the
+distances' histogram) run from each start until its determinant no longer falls; the least determinant wins. ``FLOORS`` on
+the diagonal keep constant statistics invertible (a regularised determinant). Distances are scaled so that their median is
+that of a chi-square, mean and covariance are taken again of all within its 97.5 % quantile (reweighting), and every group,
+large or small, is shrunk towards its parent as if ``PRIOR`` documents of it were the parent's: language and source towards
+the language, the language towards all.
 
 Defined cases: a null text has no words and fails the base rules; null languages or sources are groups of their own; null
 ids are kept; repeated rows are judged alike; an empty table gives an empty result; extra columns are not read.
@@ -18,39 +25,45 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from visparq.llm._common import durable, let, words_of
+from visparq.llm._common import durable, let, spread_join, words_of
 
 WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 8, 20, 30
-KEEP, STEPS, LEAST, GRID = 0.75, 4, 50, 64
+KEEP, GRID, BINS, PRIOR = 0.75, 64, 64, 50
 #: Squared distance beyond which a vector is rejected: 1e-6 of a normal population lies beyond it (chi-square, four
 #: degrees of freedom).
 CUTOFF = 33.4
-CHI2_MEDIAN = 3.357  # of four degrees of freedom
+CHI2_MEDIAN, CHI2_INNER = 3.357, 11.143  # of four degrees of freedom: the median and the 97.5 % quantile
 #: The statistics, and for each a standard deviation below which differences mean nothing. From a group without any, a
 #: document alone passes the cutoff with over 29 % duplicate lines, or with over 22 % repeated words (the base rule: 30 %).
 STATS, FLOORS = ("z_length", "z_symbols", "z_lines", "z_repeats"), (0.08, 0.5, 0.23, 0.2)
-BOUND = 200_000  # groups whose parameters (200 bytes each) may be broadcast; more are joined by shuffle
+FALL = 1e-6  # of a determinant's logarithm: a smaller fall ends a start's steps
+BOUND = 200_000  # groups whose parameters (200 bytes each) may be broadcast; more are joined by shuffle, heavy ones spread
+PAIRS = [(i, j) for i in range(4) for j in range(i + 1)]
 
 
 def _repeat_words(words: Column) -> Column:
-    """Words in windows of 8 that are found twice or more. Hashes tell texts without any; the others compare strings."""
-    starts = F.sequence(F.lit(0), F.size(words) - WINDOW)
-    hashes = F.transform(starts, lambda i: F.xxhash64(F.slice(words, i + 1, WINDOW)))
+    """Words in windows of 8 that are found twice or more. Hashes of windows (of two, four, eight words, each of two halves)
+    tell which may repeat; only those are compared as strings."""
 
-    def exact() -> Column:
-        windows = F.transform(starts, lambda i: F.struct(F.array_join(F.slice(words, i + 1, WINDOW), " ").alias("w"), i.alias("i")))
+    def doubled(h: Column, step: int) -> Column:
+        return F.zip_with(h, F.slice(h, step + 1, F.size(h)), lambda a, b: F.xxhash64(a, b))
 
-        def twice(s: Column) -> Column:
-            met = F.filter(s, lambda x, k: (F.get(s, k - 1)["w"] == x["w"]) | F.coalesce(F.get(s, k + 1)["w"] == x["w"], F.lit(False)))
-            return F.array_sort(F.transform(met, lambda x: x["i"]))
-
-        places = let(F.sort_array(windows), twice)
+    def exact(s: Column) -> Column:
+        """``s``: windows (hash, i) in order; those beside an equal hash, as strings in order, beside an equal string."""
+        beside = lambda s, f: F.filter(s, lambda x, k: F.coalesce(F.get(s, k - 1)[f] == x[f], F.lit(False)) | F.coalesce(F.get(s, k + 1)[f] == x[f], F.lit(False)))
+        strings = F.sort_array(F.transform(beside(s, "h"), lambda x: F.struct(F.array_join(F.slice(words, x["i"] + 1, WINDOW), " ").alias("w"), x["i"].alias("i"))))
+        places = let(strings, lambda t: F.array_sort(F.transform(beside(t, "w"), lambda x: x["i"])))
         zero = F.struct(F.lit(0).alias("end"), F.lit(0).alias("total"))
         step = lambda acc, p: F.struct((p + WINDOW).alias("end"), (acc["total"] + F.least(F.lit(WINDOW), p + WINDOW - acc["end"])).alias("total"))
         return F.aggregate(places, zero, step, lambda acc: acc["total"])
 
-    any_twice = let(hashes, lambda h: F.size(F.array_distinct(h)) < F.size(h))
-    return F.when(F.size(words) < WINDOW, 0).otherwise(F.when(any_twice, exact()).otherwise(0)).cast("long")
+    def repeated(h: Column) -> Column:
+        windows = lambda: F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(h)) < F.size(h), let(windows(), exact)).otherwise(0)
+
+    single = F.transform(words, lambda w: F.xxhash64(w))
+    eights = let(single, lambda a: let(doubled(a, 1), lambda b: let(doubled(b, 2), lambda c: F.slice(doubled(c, 4), 1, F.size(c) - WINDOW + 1))))
+    return F.when(F.size(words) < WINDOW, 0).otherwise(let(eights, repeated)).cast("long")
 
 
 def base_statistics(docs: DataFrame) -> DataFrame:
@@ -84,8 +97,11 @@ def base_statistics(docs: DataFrame) -> DataFrame:
 
 def _keys() -> Column:
     """The groups that a document counts in, from its own to all: language and source, language, everything."""
-    lang, source = (F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in ("lang", "source"))
-    return F.array(F.concat(F.lit("2\x01"), lang, F.lit("\x01"), source), F.concat(F.lit("1\x01"), lang), F.lit("0"))
+    return F.array(_own_key(), F.concat(F.lit("1"), F.to_json(F.struct("lang"))), F.lit("0"))
+
+
+def _own_key() -> Column:
+    return F.concat(F.lit("2"), F.to_json(F.struct("lang", "source")))
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -93,86 +109,144 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BOUND else df
 
 
-def _distance(center: str = "m", root: str = "r") -> Column:
+def _distance() -> Column:
     """Squared Mahalanobis distance by forward substitution with the covariance's Cholesky root."""
     solved: list[Column] = []
     for i, z in enumerate(STATS):
-        rest = reduce(lambda a, j: a - F.col(f"{root}{i}{j}") * solved[j], range(i), F.col(z) - F.col(f"{center}{i}"))
-        solved.append(rest / F.col(f"{root}{i}{i}"))
+        rest = reduce(lambda a, j: a - F.col(f"r{i}{j}") * solved[j], range(i), F.col(z) - F.col(f"m{i}"))
+        solved.append(rest / F.col(f"r{i}{i}"))
     return reduce(lambda a, b: a + b, (s * s for s in solved))
 
 
-def _roots(cov: list[list[Column]]) -> dict[str, Column]:
+def _roots(cov: dict[tuple[int, int], Column]) -> dict[str, Column]:
     """Cholesky root of a covariance, floors added to its diagonal so that constant statistics stay invertible."""
     r: dict[tuple[int, int], Column] = {}
-    for i in range(len(cov)):
-        for j in range(i + 1):
-            rest = reduce(lambda a, k: a - r[i, k] * r[j, k], range(j), cov[i][j] + (FLOORS[i] ** 2 if i == j else 0))
-            r[i, j] = F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / r[j, j]
+    for i, j in sorted(PAIRS):
+        rest = reduce(lambda a, k: a - r[i, k] * r[j, k], range(j), cov[i, j] + (FLOORS[i] ** 2 if i == j else 0))
+        r[i, j] = F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / r[j, j]
     return {f"r{i}{j}": c for (i, j), c in r.items()}
 
 
+def _with_roots(df: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep``, centers, roots and the logarithm of the determinant, from centers m0.. and covariances c00.. ."""
+    out = df.select(*keep, *(f"m{i}" for i in range(4)), *(c.alias(n) for n, c in _roots({(i, j): F.col(f"c{i}{j}") for i, j in PAIRS}).items()))
+    return out.withColumn("det", 2 * reduce(lambda a, b: a + b, (F.log(f"r{i}{i}") for i in range(4))))
+
+
 def _quantile(binned: DataFrame, keys: list[str], share: float) -> DataFrame:
-    """Per group, the least bin that the share of its rows does not exceed."""
-    counts = binned.groupBy(*keys, "bin").count()
+    """Per group, the least bin that the share of its documents does not exceed."""
+    counts = binned.groupBy(*keys, "bin").agg(F.sum("n").alias("n"))
     w = Window.partitionBy(*keys)
-    ranked = counts.select(*keys, "bin", F.sum("count").over(w.orderBy("bin")).alias("upto"), F.sum("count").over(w).alias("n"))
-    return ranked.where(F.col("upto") >= F.ceil(F.col("n") * share)).groupBy(*keys).agg(F.min("bin").alias("bin"), F.first("n").alias("n"))
+    ranked = counts.select(*keys, "bin", F.sum("n").over(w.orderBy("bin")).alias("upto"), F.sum("n").over(w).alias("total"))
+    return ranked.where(F.col("upto") >= F.ceil(F.col("total") * share)).groupBy(*keys).agg(F.min("bin").alias("bin"))
+
+
+def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, docs, m0.., c00..: count, mean and covariance of weighted rows, sums taken about the centers at hand."""
+    off = [F.col(z) - F.col(f"m{i}") for i, z in enumerate(STATS)]
+    sums = rows.groupBy(*keys, *(f"m{i}" for i in range(4))).agg(F.sum("n").alias("docs"), *(F.sum(F.col("n") * off[i]).alias(f"s{i}") for i in range(4)), *(F.sum(F.col("n") * off[i] * off[j]).alias(f"q{i}{j}") for i, j in PAIRS))
+    mean = [F.col(f"s{i}") / F.col("docs") for i in range(4)]
+    return sums.select(*keys, "docs", *((F.col(f"m{i}") + mean[i]).alias(f"m{i}") for i in range(4)), *((F.col(f"q{i}{j}") / F.col("docs") - mean[i] * mean[j]).alias(f"c{i}{j}") for i, j in PAIRS))
+
+
+def cells_of(stats: DataFrame) -> DataFrame:
+    """group, the statistics rounded to 1/GRID, n: how many documents of each group have them."""
+    own = stats.groupBy("lang", "source", *((F.round(F.col(z) * GRID) / GRID).alias(z) for z in STATS)).agg(F.count("*").alias("n"))
+    return own.select(F.explode(_keys()).alias("group"), *STATS, "n").groupBy("group", *STATS).agg(F.sum("n").alias("n"))
+
+
+def _bin(distance: Column) -> Column:
+    return F.floor(F.sqrt(distance) * BINS).alias("bin")
+
+
+def starts(cells: DataFrame) -> DataFrame:
+    """group, start, m0.., r00.., det: three estimates to begin with."""
+    line = cells.select("group", "n", F.posexplode(F.array(*(F.round(F.col(z) * GRID).cast("long") for z in STATS))).alias("stat", "bin"))
+    median = durable(_quantile(line, ["group", "stat"], 0.5), "medians")
+    near = line.join(_small(median.select("group", "stat", F.col("bin").alias("mid"))), ["group", "stat"]).select("group", "stat", "n", F.abs(F.col("bin") - F.col("mid")).alias("bin"))
+    both = median.join(_quantile(near, ["group", "stat"], 0.5).select("group", "stat", (F.col("bin") / GRID * 1.4826).alias("mad")), ["group", "stat"])
+    pick = lambda c: lambda i: F.max(F.when(F.col("stat") == i, c))
+    middle = durable(both.groupBy("group").agg(*(pick(F.col("bin") / GRID)(i).alias(f"m{i}") for i in range(4)), *(F.greatest(pick(F.col("mad"))(i), F.lit(FLOORS[i])).alias(f"d{i}") for i in range(4))), "middles")
+    zero = F.lit(0.0)
+    plain = middle.select("group", F.lit(0).alias("start"), *(f"m{i}" for i in range(4)), *((F.col(f"d{i}") ** 2 if i == j else zero).alias(f"c{i}{j}") for i, j in PAIRS))
+    y = [(F.col(z) - F.col(f"m{i}")) / F.col(f"d{i}") for i, z in enumerate(STATS)]
+    norm = reduce(lambda a, b: a + b, (v * v for v in y))
+    placed = cells.join(_small(middle), "group").withColumn("norm", norm)
+    signs = placed.groupBy("group", *(f"m{i}" for i in range(4)), *(f"d{i}" for i in range(4))).agg(*((4 * F.sum(F.when(F.col("norm") > 0, F.col("n") * y[i] * y[j] / F.col("norm")).otherwise(0.0)) / F.sum("n")).alias(f"u{i}{j}") for i, j in PAIRS))
+    sign = signs.select("group", F.lit(1).alias("start"), *(f"m{i}" for i in range(4)), *((F.col(f"u{i}{j}") * F.col(f"d{i}") * F.col(f"d{j}")).alias(f"c{i}{j}") for i, j in PAIRS))
+    edge = _quantile(placed.select("group", "n", _bin(F.col("norm"))), ["group"], 0.5).select("group", F.col("bin").alias("edge"))
+    half = _moments(placed.withColumn("bin", _bin(F.col("norm"))).join(_small(edge), "group").where("bin <= edge"), ["group"])
+    half = half.select("group", F.lit(2).alias("start"), *(f"m{i}" for i in range(4)), *(f"c{i}{j}" for i, j in PAIRS))
+    return _with_roots(plain.unionByName(sign).unionByName(half), ["group", "start"])
+
+
+def concentrate(cells: DataFrame, now: DataFrame) -> DataFrame:
+    """One step from each estimate: group, start, m0.., r00.., det of the KEEP share nearest to it."""
+    placed = cells.join(_small(now), "group").withColumn("bin", _bin(_distance()))
+    edge = _quantile(placed, ["group", "start"], KEEP).withColumnRenamed("bin", "edge")
+    inner = placed.join(_small(edge), ["group", "start"]).where("bin <= edge")
+    return _with_roots(_moments(inner, ["group", "start"]), ["group", "start"])
+
+
+def _scaled(cells: DataFrame, estimate: DataFrame) -> DataFrame:
+    """``estimate`` with ``scale``: what the squared distances' median is over that of a chi-square, 1 at least."""
+    middle = _quantile(cells.join(_small(estimate), "group").select("group", "n", _bin(_distance())), ["group"], 0.5)
+    return estimate.join(middle.select("group", F.greatest(F.pow((F.col("bin") + 0.5) / BINS, F.lit(2)) / CHI2_MEDIAN, F.lit(1.0)).alias("scale")), "group")
 
 
 def fit(stats: DataFrame) -> DataFrame:
-    """group, n, centers m0.., roots r00.., scale: minimum-covariance-determinant estimates of every group.
+    """group (language and source), m0.., r00.., scale: the shrunk estimates of every group.
 
     ``stats``: lang, source and the vector of the documents that passed the base rules.
     """
-    rows = stats.select(F.explode(_keys()).alias("group"), *STATS)
-    line = rows.select("group", F.posexplode(F.array(*(F.round(F.col(z) * GRID).cast("long") for z in STATS))).alias("stat", "bin"))
-    median = durable(_quantile(line, ["group", "stat"], 0.5), "medians")
-    near = line.join(_small(median.select("group", "stat", F.col("bin").alias("mid"))), ["group", "stat"]).select("group", "stat", F.abs(F.col("bin") - F.col("mid")).alias("bin"))
-    spread = _quantile(near, ["group", "stat"], 0.5).select("group", "stat", (F.col("bin") / GRID * 1.4826).alias("mad"))
-    both = median.join(spread, ["group", "stat"]).groupBy("group").agg(
-        F.max("n").alias("n"), *(F.max(F.when(F.col("stat") == i, F.col("bin") / GRID)).alias(f"m{i}") for i in range(4)), *(F.max(F.when(F.col("stat") == i, F.col("mad"))).alias(f"d{i}") for i in range(4))
-    )
-    diagonal = [[F.col(f"d{i}") ** 2 if i == j else F.lit(0.0) for j in range(4)] for i in range(4)]
-    now = durable(both.select("group", "n", *(f"m{i}" for i in range(4)), *(c.alias(n) for n, c in _roots(diagonal).items())), "start")
-    bin_of = F.floor(F.log(_distance() + 1e-3) * GRID).alias("bin")
-    for _ in range(STEPS):
-        placed = rows.join(_small(now), "group").select("group", *STATS, bin_of)
-        edge = durable(_quantile(placed, ["group"], KEEP).select("group", "n", F.col("bin").alias("edge")), "edge")
-        inner = placed.join(_small(edge), "group").where("bin <= edge")
-        sums = inner.groupBy("group").agg(F.max("n").alias("n"), *(F.avg(z).alias(f"m{i}") for i, z in enumerate(STATS)), *(F.covar_pop(a, b).alias(f"c{i}{j}") for i, a in enumerate(STATS) for j, b in enumerate(STATS) if j <= i))
-        now = durable(sums.select("group", "n", *(f"m{i}" for i in range(4)), *(c.alias(n) for n, c in _roots([[F.col(f"c{max(i, j)}{min(i, j)}") for j in range(4)] for i in range(4)]).items())), "step")
-    middle = _quantile(rows.join(_small(now), "group").select("group", bin_of), ["group"], 0.5)
-    scale = middle.select("group", F.greatest(F.exp((F.col("bin") + 1) / GRID) / CHI2_MEDIAN, F.lit(1.0)).alias("scale"))
-    return durable(now.join(scale, "group"), "estimates")
-
-
-def judge(stats: DataFrame, estimates: DataFrame, keep: list[Column]) -> DataFrame:
-    """``keep``, distance and kept: each document by the first of its groups that is large enough."""
-    usable = estimates.where((F.col("n") >= LEAST) | (F.col("group") == "0"))
-    named = usable.select("group", F.col("group").alias("name"))
-    # Which of a document's groups are usable depends on its language and source alone: a table as long as their pairs.
-    pairs = stats.select("lang", "source").distinct().withColumn("group", F.explode(_keys())).join(named, "group").groupBy("lang", "source").agg(F.max("name").alias("group"))
-    choice = durable(pairs.join(usable, "group"), "choice")
-    on = [F.col("s.lang").eqNullSafe(F.col("e.lang")), F.col("s.source").eqNullSafe(F.col("e.source"))]
-    joined = stats.alias("s").join(_small(choice).alias("e"), on, "left")
+    cells = durable(cells_of(stats), "cells")
+    now = durable(starts(cells), "starts")
+    done = []
+    while True:  # a determinant falls by FALL at least in each step and has the floors' as its least
+        after = durable(concentrate(cells, now).join(now.select("group", "start", F.col("det").alias("was")), ["group", "start"]), "steps")
+        falling = after.where(F.col("det") < F.col("was") - FALL).drop("was")
+        done.append(now.join(falling.select("group", "start"), ["group", "start"], "left_anti"))
+        if falling.isEmpty():
+            break
+        now = falling
+    every = reduce(lambda a, b: a.unionByName(b), done)
+    raw = durable(every.groupBy("group").agg(F.min_by(F.struct(*(c for c in every.columns if c != "group")), F.struct("det", "start")).alias("e")).select("group", "e.*"), "least")
+    placed = cells.join(_small(durable(_scaled(cells, raw), "scaled")), "group")
+    weighted = _moments(placed.where(_distance() <= CHI2_INNER * F.col("scale")), ["group"])
+    own = durable(weighted.withColumn("level", F.substring("group", 1, 1).cast("int")), "reweighted")
+    names = ["docs", *(f"m{i}" for i in range(4)), *(f"c{i}{j}" for i, j in PAIRS)]
+    parent = own.where("level = 0")
+    for level in (1, 2):
+        lang = F.concat(F.lit("1"), F.to_json(F.struct(F.get_json_object(F.substring("group", 2, 1 << 30), "$.lang").alias("lang")))) if level == 2 else F.lit("0")
+        above = parent.select(F.col("group").alias("above"), *(F.col(c).alias(f"p_{c}") for c in names))
+        mixed = lambda c: ((F.col("docs") * F.col(c) + PRIOR * F.col(f"p_{c}")) / (F.col("docs") + PRIOR)).alias(c)
+        parent = own.where(F.col("level") == level).withColumn("above", lang).join(above, "above").select("group", "docs", *(mixed(c) for c in names[1:]))
+    return durable(_scaled(cells, _with_roots(parent, ["group"])), "estimates")
+
+
+def judge(stats: DataFrame, estimates: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep``, distance and kept: each document by its own group."""
+    keyed = stats.withColumn("group", _own_key())
+    joined = keyed.join(F.broadcast(estimates), "group", "left") if estimates.count() <= BOUND else spread_join(keyed, estimates, "group", F.struct(*STATS), "left")
     distance = F.coalesce(_distance() / F.col("scale"), F.lit(0.0))
     return joined.select(*keep, distance.alias("distance"), F.when(F.col("base_failed"), False).otherwise(distance <= CUTOFF).alias("kept"))
 
 
-def _slim(docs: DataFrame) -> DataFrame:
-    return base_statistics(docs).select(F.col("doc.doc_id").cast("long").alias("doc_id"), F.col("doc.lang").alias("lang"), F.col("doc.source").alias("source"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", *STATS)
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
 
 
 def quality(docs: DataFrame) -> DataFrame:
     """doc_id, the base counts, base_failed, distance, kept of every document."""
-    stats = durable(_slim(docs), "statistics")
-    return judge(stats, fit(stats.where("NOT base_failed")), [F.col(c) for c in ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")])
+    stats = durable(base_statistics(docs).select(F.col("doc.doc_id").cast("long").alias("doc_id"), *_leaf(), *COUNTS, *STATS), "statistics")
+    return judge(stats, fit(stats.where("NOT base_failed")), ["doc_id", *COUNTS])
+
+
+def _leaf() -> list[Column]:
+    return [F.col(f"doc.{c}").cast("string").alias(c) for c in ("lang", "source")]
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that are kept, all columns as they were: the texts are judged where they are read, not shuffled."""
-    stats = durable(_slim(docs), "statistics")
-    estimates = fit(stats.where("NOT base_failed"))
-    whole = base_statistics(docs).select("*", F.col("doc.lang").alias("lang"), F.col("doc.source").alias("source"))
-    return judge(whole, estimates, [F.col("doc")]).where("kept").select(*(F.col(f"doc.`{c}`").alias(c) for c in docs.columns))
+    """The documents that are kept, all columns as they were. Texts are written once beside their statistics, not shuffled and
+    not judged twice."""
+    stats = durable(base_statistics(docs).select("doc", *_leaf(), "base_failed", *STATS), "statistics")
+    return judge(stats, fit(stats.where("NOT base_failed")), ["doc"]).where("kept").select(*(F.col(f"doc.`{c}`").alias(c) for c in docs.columns))
