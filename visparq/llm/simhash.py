@@ -1,30 +1,49 @@
 """SimHash near-duplicates: pigeonhole blocks, a join on blocks, and verified Hamming distances.
 
-Documents with one fingerprint are one node, so exact copies cost one node. With ``m`` blocks of a fingerprint, two
-fingerprints that differ in at most ``distance`` bits agree on ``m - distance`` whole blocks: each choice of that many
-blocks is a table, and only fingerprints that meet in a table are compared. Runs of one key are compared in place, in
-arrays; a run answers with a spanning forest of its verified links (at most one per member), never with its pairs. A key
-met by more than ``HOT`` fingerprints is set aside and its members meet again in finer tables, which lose no link either.
-Components come from minimum labels with pointer jumping, each round written to the shared folder.
-
-Defined cases: a null text has no words and fingerprint zero, which links like any other; a null id never names a
-component; repeated rows get the same component; an empty table gives an empty result; extra columns are not read.
+``near_duplicates`` links fingerprints of 64 bits that differ in at most ``distance`` bits. Documents with one fingerprint are
+one node, so exact copies cost one node. With ``m`` blocks of a fingerprint, two that differ in at most ``distance`` bits agree
+on ``m - distance`` whole blocks: each choice of that many blocks is a table, and only fingerprints that meet in a table are
+compared. Runs of one key are compared in place, in arrays; a run answers with a spanning forest of its verified links, never
+with its pairs. A key met by more than ``HOT`` fingerprints is set aside and its members meet again in finer tables, which lose
+no link either; a key of the finest tables leaves 16 bits, so at most 65,536 fingerprints meet under it.
+
+``keep_first`` is for corpora: it links documents whose sets of ``WORDS``-word shingles have a Jaccard similarity of ``SIMILAR``
+or more. At that similarity 15 % of a fingerprint's bits differ, too many for whole blocks of 64 bits; so its fingerprints
+have ``WIDE`` bits and a table's key is one block, with as many tables (blocks of the fingerprint, then of seeded permutations
+of it) as a pair of similarity SIMILAR needs to share a key with probability ``RECALL``; more similar pairs nearly always do.
+Pairs are verified by Hamming distance: up to ``SURE`` they are links, up to ``REACH`` their shingles are compared exactly, the
+nearest pair of each component first, since most others are then within one component.
+
+Components come from minimum labels with pointer jumping, each round written to the shared folder. Forests are chains, so no
+node is a hub; joins by label or fingerprint spread heavy keys.
+
+Defined cases: a null text has no words and fingerprint zero, which links like any other; a null id never names a component
+of ``near_duplicates`` unless no other is there; ``keep_first`` keeps the least id of a component, null ids last, then the
+first row; repeated rows are copies; an empty table gives an empty result; extra columns are not read, or returned untouched.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from visparq.llm._common import durable, texts_of, unwrapped, wrapped
+from visparq.llm._common import durable, release, spread_join, texts_of, workers_can_import
 
 SHINGLE, SEED, DISTANCE, BITS = 4, 42, 4, 64
 HOT, PAIRWISE, SLICE = 4096, 48, 1024
+FINER = (10, 16)  # blocks of the tables in which members of hot keys meet again
+WORDS, SIMILAR, WIDE, RECALL = 5, 0.8, 256, 0.99
+#: The share of equal bits at similarity SIMILAR, and for SURE and REACH three standard deviations to either side of it.
+SAME = 1 - math.acos(2 * SIMILAR / (1 + SIMILAR)) / math.pi
+SURE, REACH = (int(WIDE * (1 - SAME) + k * 3 * math.sqrt(WIDE * SAME * (1 - SAME))) for k in (-1, 1))
+NEAREST_ROUNDS = 3  # of verifying each component's nearest pair; after them all other pairs are verified at once
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -69,59 +88,43 @@ def blocks_for(rows: int) -> int:
     return next((m for m in range(6, 13) if BITS * (m - DISTANCE) // m >= rows.bit_length()), 12)
 
 
-def _links(prints: DataFrame, masks: list[int], set_aside: bool) -> DataFrame:
-    """a, b: verified links; with ``set_aside``, rows with a null b are the members of keys met by over HOT of them."""
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keyed = prints.select("fingerprint", F.explode(F.array(*(F.struct(F.lit(k).cast("short").alias("table"), F.col("fingerprint").bitwiseAND(F.lit(m).cast("long")).alias("key")) for k, m in enumerate(signed)))).alias("t"))
-    dealt = keyed.select("t.table", "t.key", "fingerprint").repartition("table", "key").sortWithinPartitions("table", "key", "fingerprint")
+class Runs:
+    """Sorted rows regrouped so that no run of equal (table, key) is cut; what is held back is joined only when a run ends."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b) if b is not None else pa.nulls(len(a), pa.int64())], names=["a", "b"])
-
-        rest: tuple | None = None
-        for batch in _then_none(batches):
-            if batch is not None:
-                now = tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in ("table", "key", "fingerprint"))
-                now = tuple(np.concatenate(x) for x in zip(rest, now, strict=True)) if rest else now
-            else:
-                now = rest
-            if now is None or not len(now[0]):
+    def __init__(self, batches: Iterator[pa.RecordBatch]):
+        self.batches, self.held = batches, []
+
+    def __iter__(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Prints, and where runs start and how long they are."""
+        for b in self.batches:
+            if not b.num_rows:
                 continue
-            new = np.concatenate(([True], (now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1])))
-            first = np.flatnonzero(new)
-            if batch is not None:  # the last run may go on
-                rest, first = tuple(x[first[-1] :] for x in now), first[:-1]
-                end = len(now[0]) - len(rest[0])
-            else:
-                end = len(now[0])
-            size = np.diff(np.append(first, end))
-            prints = now[2]
-            small = (size > 1) & (size <= PAIRWISE)
-            if small.any():
-                at = np.repeat(first[small], size[small]) + _ramps(size[small])
-                left = np.repeat(size[small], size[small]) - _ramps(size[small])
-                a, b = [], []
-                for d in range(1, int(size[small].max())):
-                    own = at[left > d]
-                    near = np.bitwise_count((prints[own] ^ prints[own + d]).view(np.uint64)) <= DISTANCE
-                    a.append(prints[own[near]])
-                    b.append(prints[own[near] + d])
-                if sum(map(len, a)):
-                    yield out(np.concatenate(a), np.concatenate(b))
-            for f, n in zip(first[size > PAIRWISE], size[size > PAIRWISE], strict=True):
-                own = prints[f : f + n]
-                if set_aside and n > HOT:
-                    yield out(own, None)
-                elif len((edge := forest(own))[0]):
-                    yield out(*edge)
+            table, key = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("table", "key"))
+            kind = b.column("print").type
+            prints = b.column("print").to_numpy(zero_copy_only=False)
+            prints = np.frombuffer(b"".join(prints.tolist()), np.uint8).reshape(b.num_rows, -1).view(np.uint64) if pa.types.is_binary(kind) else prints.view(np.uint64).reshape(-1, 1)
+            new = np.flatnonzero((table[1:] != table[:-1]) | (key[1:] != key[:-1])) + 1
+            same = self.held and self.held[-1][0][-1] == table[-1] and self.held[-1][1][-1] == key[-1]
+            if not len(new) and (same or not self.held):
+                self.held.append((table, key, prints))
+                continue
+            cut = int(new[-1]) if len(new) else 0
+            yield from self._done([*self.held, (table[:cut], key[:cut], prints[:cut])])
+            self.held = [(table[cut:], key[cut:], prints[cut:])]
+        if self.held:
+            yield from self._done(self.held)
 
-    return dealt.mapInArrow(run, "a long, b long")
+    @staticmethod
+    def _done(parts: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        table, key, prints = (np.concatenate(x) for x in zip(*parts, strict=True))
+        if len(table):
+            first = np.flatnonzero(np.concatenate(([True], (table[1:] != table[:-1]) | (key[1:] != key[:-1]))))
+            yield prints, first, np.diff(np.append(first, len(table)))
 
 
-def _then_none(batches: Iterator) -> Iterator:
-    yield from batches
-    yield None
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits in which rows of 64-bit words differ."""
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
 def _ramps(sizes: np.ndarray) -> np.ndarray:
@@ -129,19 +132,57 @@ def _ramps(sizes: np.ndarray) -> np.ndarray:
     return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
+def _small_runs(prints: np.ndarray, first: np.ndarray, size: np.ndarray, reach: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Row numbers a, b and distance of near pairs, of all runs of PAIRWISE rows or fewer at once."""
+    small = (size > 1) & (size <= PAIRWISE)
+    at = np.repeat(first[small], size[small]) + _ramps(size[small])
+    left = np.repeat(size[small], size[small]) - _ramps(size[small])
+    for d in range(1, int(size[small].max(initial=1))):
+        own = at[left > d]
+        apart = _apart(prints[own], prints[own + d])
+        near = apart <= reach
+        yield own[near], own[near] + d, apart[near]
+
+
 def forest(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Every member of a run linked to its local component's first member; memory follows the run, not its pairs."""
+    """A run's rows chained within its local components: each to the one before it. Memory follows the run, not its pairs."""
     label = np.arange(len(prints))
-    bits = prints.view(np.uint64)
     for k in range(len(prints) - 1):
-        near = np.flatnonzero(np.bitwise_count(bits[k + 1 :] ^ bits[k]) <= DISTANCE) + k + 1
+        near = np.flatnonzero(_apart(prints[k + 1 :], prints[k]) <= DISTANCE) + k + 1
         met = np.unique(label[near])
         met = met[met != label[k]]
         if len(met):
             met = np.append(met, label[k])
             label[np.isin(label, met)] = met.min()
-    own = np.flatnonzero(label != np.arange(len(prints)))
-    return prints[own], prints[label[own]]
+    order = np.argsort(label, kind="stable")
+    chained = np.flatnonzero(label[order][1:] == label[order][:-1])
+    return order[chained + 1], order[chained]
+
+
+def _links(prints: DataFrame, masks: list[int], set_aside: bool) -> DataFrame:
+    """a, b: verified links; with ``set_aside``, rows with a null b are the members of keys met by over HOT of them."""
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    keyed = prints.select("fingerprint", F.explode(F.array(*(F.struct(F.lit(k).cast("short").alias("table"), F.col("fingerprint").bitwiseAND(F.lit(m).cast("long")).alias("key")) for k, m in enumerate(signed)))).alias("t"))
+    dealt = keyed.select("t.table", "t.key", F.col("fingerprint").alias("print")).repartition("table", "key").sortWithinPartitions("table", "key", "print")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64).ravel()), pa.array(b.view(np.int64).ravel()) if b is not None else pa.nulls(len(a), pa.int64())], names=["a", "b"])
+
+        for prints, first, size in Runs(batches):
+            for a, b, _ in _small_runs(prints, first, size, DISTANCE):
+                if len(a):
+                    yield out(prints[a], prints[b])
+            for f, n in zip(first[size > PAIRWISE], size[size > PAIRWISE], strict=True):
+                own = prints[f : f + n]
+                if set_aside and n > HOT:
+                    yield out(own, None)
+                else:
+                    a, b = forest(own)
+                    if len(a):
+                        yield out(own[a], own[b])
+
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -149,13 +190,17 @@ def components(edges: DataFrame) -> DataFrame:
     both = durable(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
     now = durable(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("label")), "labels")
     while True:
-        near = both.join(now.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        low = now.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("low"))
-        jump = now.select(F.col("node").alias("low"), F.col("label").alias("far"))
-        new = durable(low.join(jump, "low", "left").select("node", "was", F.least("low", F.coalesce("far", "low")).alias("label")), "labels")
-        now = new.select("node", "label")
+        near = both.join(now.withColumnRenamed("node", "b").hint("merge"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        low = durable(now.join(near.hint("merge"), "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("low")), "lower")
+        # Only labels that have a lower label themselves are jumped over; in the end there are none.
+        jump = durable(low.where("node <> low").select(F.col("node").alias("low"), F.col("low").alias("far")).join(low.select("low").distinct().hint("merge"), "low"), "jumps")
+        jumped = low.select("node", "was", F.col("low").alias("label")) if jump.isEmpty() else spread_join(low, jump, "low", F.col("node"), "left").select("node", "was", F.coalesce("far", "low").alias("label"))
+        new = durable(jumped, "labels")
+        release(now, low, jump)
         if new.where("label <> was").isEmpty():
-            return now
+            release(both)
+            return new.select("node", "label")
+        now = new
 
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
@@ -164,28 +209,197 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
         raise ValueError(f"tables are laid out for {DISTANCE} bits")
     own = durable(fingerprints(docs), "fingerprints")
     nodes = durable(own.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "nodes")
-    count = nodes.count()
-    prints = nodes.select("fingerprint")
-    found = durable(_links(prints, table_masks(blocks_for(count)), True), "links")
-    hot = found.where("b IS NULL").select(F.col("a").alias("fingerprint")).distinct()
-    if not hot.isEmpty():
-        found = found.where("b IS NOT NULL").union(_links(durable(hot, "hot"), table_masks(10), False))
-    else:
-        found = found.where("b IS NOT NULL")
-    label = components(found)
-    joined = nodes.join(label, nodes.fingerprint == label.node, "left").select("fingerprint", "least", F.coalesce("label", "fingerprint").alias("label"))
+    prints, levels, parts = nodes.select("fingerprint"), [blocks_for(nodes.count()), *FINER], []
+    for k, blocks in enumerate(levels):
+        found = durable(_links(prints, table_masks(blocks), k < len(levels) - 1), "links")
+        parts.append(found.where("b IS NOT NULL"))
+        prints = durable(found.where("b IS NULL").select(F.col("a").alias("fingerprint")).distinct(), "hot")
+        if prints.isEmpty():
+            break
+    label = components(reduce(DataFrame.union, parts))
+    joined = durable(nodes.join(label.withColumnRenamed("node", "fingerprint").hint("merge"), "fingerprint", "left").select("fingerprint", "least", F.coalesce("label", "fingerprint").alias("label")), "joined")
     best = joined.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = durable(joined.join(best, "label").select("fingerprint", "component_id"), "components")
-    return own.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    named = durable(spread_join(joined, best, "label", F.col("fingerprint")).select("fingerprint", "component_id"), "components")
+    return spread_join(own, named, "fingerprint", F.col("doc_id")).select("doc_id", "fingerprint", "component_id")
+
+
+# -- similarity of shingles -------------------------------------------------------------------------------------------
+def shingles(text: str) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the text's WORDS-word shingles (fewer words: the whole sequence; none: none)."""
+    import xxhash
+
+    words = text.encode().lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    own = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    step = min(WORDS, len(words))
+    h = own[: len(own) - step + 1].copy()
+    for j in range(1, step):
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) + own[j : len(own) - step + 1 + j]
+    return np.unique(h)
+
+
+def wide_print(found: np.ndarray) -> bytes:
+    """WIDE bits of the distinct shingles: each bit the majority's. None: all zero."""
+    counts = np.zeros(WIDE, np.int64)
+    for at in range(0, len(found), 1 << 14):
+        h = found[at : at + (1 << 14), None] + np.arange(1, WIDE // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(31)
+        counts += np.unpackbits(h.view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > len(found), bitorder="little").tobytes()
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    met = len(np.intersect1d(a, b, assume_unique=True))
+    return met / (len(a) + len(b) - met) if len(a) or len(b) else 1.0
+
+
+def wide_tables(rows: int) -> list[np.ndarray]:
+    """The bits of each table's key: so many that some sixteen unrelated documents share one; blocks of seeded permutations."""
+    width = max(12, rows.bit_length() - 4)
+    many = math.ceil(math.log(1 - RECALL) / math.log(1 - SAME**width))
+    rng, out = np.random.default_rng(SEED), []
+    order = np.arange(WIDE)
+    while len(out) < many:
+        out += [order[k : k + width] for k in range(0, WIDE - width + 1, width)]
+        order = rng.permutation(WIDE)
+    return out[:many]
+
+
+def _tree(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A minimum spanning forest of a run under REACH: row numbers and distances."""
+    n = len(prints)
+    best, parent, left = np.full(n, WIDE + 1), np.zeros(n, np.int64), np.ones(n, bool)
+    at, out = 0, []
+    for _ in range(n - 1):
+        left[at] = False
+        apart = _apart(prints, prints[at])
+        closer = left & (apart < best)
+        best[closer], parent[closer] = apart[closer], at
+        at = int(np.where(left, best, WIDE + 2).argmin())
+        if best[at] <= REACH:
+            out.append((at, int(parent[at]), int(best[at])))
+    return tuple(np.array(c, np.int64) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+
+
+def _run_links(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links of a run beyond PAIRWISE. Of over HOT members, those within SURE of a leader are chained to it and stand back; all
+    leaders are compared with each other."""
+    if len(prints) <= HOT:
+        return _tree(prints)
+    found, leaders, todo = [], [], np.arange(len(prints))
+    while len(todo):
+        apart = _apart(prints[todo], prints[todo[0]])
+        own = todo[apart <= SURE]
+        leaders.append(int(todo[0]))
+        if len(own) > 1:
+            gap = _apart(prints[own[1:]], prints[own[:-1]])
+            chained = gap <= SURE
+            found.append((own[1:], np.where(chained, own[:-1], own[0]), np.where(chained, gap, apart[apart <= SURE][1:])))
+        todo = todo[apart > SURE]
+    first = np.array(leaders)
+    a, b, d = _tree(prints[first])
+    found.append((first[a], first[b], d))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def _wide_links(prints: DataFrame, rows: int) -> DataFrame:
+    """a, b, d: pairs within REACH bits that share a key of some table, once each."""
+    tables = wide_tables(rows)
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = b.num_rows
+            if n:
+                bits = np.unpackbits(np.frombuffer(b"".join(b.column("print").to_pylist()), np.uint8).reshape(n, -1), axis=1, bitorder="little").astype(np.int64)
+                for k, own in enumerate(tables):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, k, np.int16)), pa.array(bits[:, own] @ (1 << np.arange(len(own)))), b.column("print")], names=["table", "key", "print"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
+            raw = [[bytes(r) for r in np.ascontiguousarray(x).view(np.uint8)] for x in (a, b)]
+            ordered = [sorted(p) for p in zip(*raw, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in ordered], pa.binary()), pa.array([p[1] for p in ordered], pa.binary()), pa.array(d.astype(np.int32))], names=["a", "b", "d"])
+
+        for prints, first, size in Runs(batches):
+            for a, b, d in _small_runs(prints, first, size, REACH):
+                if len(a):
+                    yield out(prints[a], prints[b], d)
+            for f, n in zip(first[size > PAIRWISE], size[size > PAIRWISE], strict=True):
+                own = prints[f : f + n]
+                a, b, d = _run_links(own)
+                if len(a):
+                    yield out(own[a], own[b], d)
+
+    keyed = prints.mapInArrow(keys, "table short, key long, print binary")
+    dealt = keyed.repartition("table", "key").sortWithinPartitions("table", "key", "print")
+    return dealt.mapInArrow(run, "a binary, b binary, d int").groupBy("a", "b").agg(F.min("d").alias("d"))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b, la, lb) whose texts' shingles have a similarity of SIMILAR or more."""
+    held = pairs
+    for side in ("a", "b"):
+        held = spread_join(durable(held, "pairs"), texts.select(F.col("print").alias(side), F.col("text").alias(f"text_{side}")), side, F.struct("a", "b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = [similarity(shingles(x), shingles(y)) >= SIMILAR for x, y in zip(b.column("text_a").to_pylist(), b.column("text_b").to_pylist(), strict=True)]
+            yield b.select(["la", "lb"]).filter(pa.array(good, pa.bool_()))
+
+    return held.select("la", "lb", "text_a", "text_b").mapInArrow(run, "la binary, lb binary")
+
+
+def _relabelled(labels: DataFrame, merged: DataFrame) -> DataFrame:
+    """``labels`` (node, label) after labels were joined: ``merged`` (node, label) over labels."""
+    return durable(spread_join(labels, merged.select(F.col("node").alias("label"), F.col("label").alias("lower")), "label", F.col("node"), "left").select("node", F.coalesce("lower", "label").alias("label")), "labels")
+
+
+def similar_labels(edges: DataFrame, texts: DataFrame) -> DataFrame:
+    """node, label of all nodes with an edge: components of the sure edges and of those that are verified."""
+    ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    labels = _relabelled(durable(ends.select("node", F.col("node").alias("label")), "nodes"), components(edges.where(F.col("d") <= SURE)))
+    left = edges.where(F.col("d") > SURE)
+    for turn in range(NEAREST_ROUNDS + 1):
+        for side in ("a", "b"):
+            left = spread_join(durable(left.drop(f"l{side}"), "left"), labels.select(F.col("node").alias(side), F.col("label").alias(f"l{side}")), side, F.struct("a", "b"))
+        left = durable(left.where("la <> lb"), "crossing")
+        if left.isEmpty():
+            break
+        nearest = F.min(F.struct("d", "a", "b")).alias("p")
+        chosen = left if turn == NEAREST_ROUNDS else durable(left.groupBy("la").agg(nearest).union(left.groupBy("lb").agg(nearest)).select("p.a", "p.b").distinct(), "nearest")
+        pairs = left if turn == NEAREST_ROUNDS else left.join(chosen.hint("merge"), ["a", "b"], "left_semi")
+        good = durable(_verified(pairs.select("a", "b", "la", "lb"), texts), "verified")
+        if not good.isEmpty():
+            labels = _relabelled(labels, components(good.select(F.col("la").alias("a"), F.col("lb").alias("b"))))
+        if turn < NEAREST_ROUNDS:
+            left = left.join(chosen.hint("merge"), ["a", "b"], "left_anti")
+    return labels
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each group, all columns: the one whose id names the group; documents with a null id stay."""
-    named = near_duplicates(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    first = durable(named, "first")
-    whole = wrapped(docs).withColumn("id", F.col("doc.doc_id").cast("long"))
+    """One document of each group of similar ones, all columns: the least id's (null ids last), the first row of that id."""
+    workers_can_import(docs.sparkSession)
+    columns = docs.columns
+    flat = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("words"), *(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(columns)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [wide_print(shingles(t)) for t in b.column("words").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("id"), pa.array(own, pa.binary()), b.column("words"), *(b.column(f"c{k}") for k in range(len(columns)))], names=["row", "id", "print", "words", *(f"c{k}" for k in range(len(columns)))])
+
+    kinds = ", ".join(f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(docs.schema))
+    table = durable(flat.mapInArrow(run, f"row long, id long, print binary, words string, {kinds}"), "prints")
+    first: Column = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")
+    nodes = durable(table.groupBy("print").agg(first), "nodes")
+    edges = durable(_wide_links(nodes.select("print"), nodes.count()), "links")
+    ends = edges.where(F.col("d") > SURE).select(F.col("a").alias("print")).union(edges.where(F.col("d") > SURE).select("b")).distinct()
+    rows = nodes.join(ends.hint("merge"), "print", "left_semi").select("print", F.col("first.row").alias("row"))
+    texts = durable(table.select("row", F.col("words").alias("text")).join(rows.hint("merge"), "row").select("print", "text"), "texts")
+    labels = similar_labels(edges, texts)
+    joined = nodes.join(labels.withColumnRenamed("node", "print").hint("merge"), "print", "left")
+    kept = durable(joined.groupBy(F.coalesce("label", "print").alias("label")).agg(F.min("first").alias("first")).select("first.row"), "first")
     # The survivors grow with the corpus: never a broadcast, at any size.
-    kept = whole.join(first.select(F.col("doc_id").alias("id")).hint("merge"), "id", "left_semi")
-    if not first.where("n > 1").isEmpty():  # rows that repeat an id: one of them stays
-        kept = kept.groupBy("id").agg(F.min_by("doc", F.xxhash64(F.col("doc.text"))).alias("doc"))
-    return unwrapped(kept.select("doc").unionByName(whole.where("id IS NULL").select("doc")), docs.columns)
+    return table.join(kept.hint("merge"), "row", "left_semi").select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(columns)))
