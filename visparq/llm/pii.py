@@ -1,10 +1,13 @@
 """Personal data: exact base patterns, and terms of their surroundings that disclose them, by corpus co-occurrence.
 
-A protected entity is a base match's value. A term (a word of four letters or more, lower-cased) within ``REACH`` terms of
-an entity is a candidate. The corpus says how strongly it discloses the entity: the share of the documents with the term
-in which it stands beside the entity (posterior), and how many bits that share lies above the entity's own frequency.
-Terms over both thresholds are generalised, and from ``REMOVE`` on removed, where they stand beside that entity, in however
-few documents: most entities occur in one. Frequencies count every document.
+A protected entity is a base match's value. A term (a word of two letters or more, lower-cased) within ``REACH`` terms of an
+entity co-occurs with it. The corpus says how strongly it discloses the entity: ``p``, the share of the documents with the
+term in which the two co-occur, and the information that the term gives about the entity, ``log2(p / P(entity))`` bits. From
+``GENERALISE`` and ``BITS`` on a term is generalised, from ``REMOVE`` on removed, in every document where it co-occurs with that
+entity and at every place there, in however few documents: most entities occur in one. All documents count.
+
+Co-occurrence is near the entity, not anywhere in its document: that bounds the pairs by the entities' number, and in a
+corpus where most entities occur once every rare word of a long document would otherwise count as disclosing.
 
 Base patterns are matched in linear time: each stands for the leftmost, non-overlapping matches of its expression.
 
@@ -15,6 +18,7 @@ table gives an empty result; extra columns are not read (``sanitise`` returns th
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -22,18 +26,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from visparq.llm._common import durable, struct_to_batch, workers_can_import, wrapped
+from visparq.llm._common import durable, spread_join, struct_to_batch, workers_can_import, wrapped
 
 KINDS = ("email", "ip", "card", "phone", "term", "drop")
 REACH, GENERALISE, REMOVE, BITS = 4, 0.5, 0.9, 4.0
-FLUSH, SLICE = 250_000, 1024
+FLUSH, SLICE = 400_000, 1024
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TERM = re.compile(r"[^\W\d_]{4,}")
+_TERM = re.compile(r"[^\W\d_]{2,}")
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -78,32 +82,26 @@ def _key(value: str) -> int:
     return n - (1 << 64) if n >> 63 else n
 
 
-def surroundings(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
-    """Terms within REACH terms of each entity, outside all entities; ``once`` marks a pair's first place in the text."""
-    terms = [m for m in _TERM.finditer(text)]
+def surroundings(text: str, base: list[tuple[int, int, int]]) -> tuple[list[dict], list[dict]]:
+    """The text's pairs (term, entity), each once, and all places of their terms outside all entities."""
     free, k = [], 0
     covered = sorted((a, b) for a, _, b in base)
-    for m in terms:
+    for m in _TERM.finditer(text):
         while k < len(covered) and covered[k][1] <= m.start():
             k += 1
         if k == len(covered) or covered[k][0] >= m.end():
-            free.append(m)
-    starts = [m.start() for m in free]
-    from bisect import bisect_left
-
-    out, seen = [], set()
+            free.append((m.start(), m.end(), m[0].lower()))
+    starts = [a for a, _, _ in free]
+    pairs: dict[tuple[str, int], None] = {}
     for a, kind, b in base:
-        entity = _key(f"{kind}:{text[a:b]}")
-        left, right = bisect_left(starts, a), bisect_left(starts, b)
-        for m in free[max(0, left - REACH) : left] + free[right : right + REACH]:
-            term = _key(m[0].lower())
-            out.append({"term": term, "entity": entity, "start": m.start(), "end": m.end(), "once": (term, entity) not in seen})
-            seen.add((term, entity))
-    return out
+        entity, left, right = _key(f"{kind}:{text[a:b]}"), bisect_left(starts, a), bisect_left(starts, b)
+        pairs.update(dict.fromkeys((t, entity) for _, _, t in free[max(0, left - REACH) : left] + free[right : right + REACH]))
+    terms = {t: _key(t) for t, _ in pairs}
+    return [{"term": terms[t], "entity": e} for t, e in pairs], [{"term": terms[t], "start": a, "end": e} for a, e, t in free if t in terms]
 
 
 SPAN = "struct<kind:int,start:long,end:long>"
-NEAR = "struct<term:long,entity:long,start:long,end:long,once:boolean>"
+PAIR, PLACE = "struct<term:long,entity:long>", "struct<term:long,start:long,end:long>"
 
 
 def _scan(docs: DataFrame) -> DataFrame:
@@ -112,13 +110,14 @@ def _scan(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     span = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))
-    near = pa.list_(pa.struct([("term", pa.int64()), ("entity", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("once", pa.bool_())]))
+    pair = pa.list_(pa.struct([("term", pa.int64()), ("entity", pa.int64())]))
+    place = pa.list_(pa.struct([("term", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count: Counter[str] = Counter()
 
         def rows(n: int, **columns: tuple) -> pa.RecordBatch:
-            kinds = {"doc_id": pa.int64(), "text_key": pa.int64(), "base": span, "near": near, "entities": pa.list_(pa.int64()), "term": pa.int64(), "n_docs": pa.int64()}
+            kinds = {"doc_id": pa.int64(), "text_key": pa.int64(), "base": span, "pairs": pair, "places": place, "entities": pa.list_(pa.int64()), "term": pa.int64(), "n_docs": pa.int64()}
             return struct_to_batch({k: (columns.get(k, [None] * n), t) for k, t in kinds.items()})
 
         def counts() -> Iterator[pa.RecordBatch]:
@@ -132,32 +131,35 @@ def _scan(docs: DataFrame) -> DataFrame:
                 count.update({t.lower() for t in set(_TERM.findall(text))})
                 own = find_base(text)
                 base.append([{"kind": k, "start": a, "end": e} for a, k, e in own])
-                about.append(surroundings(text, own) if own else [])
+                about.append(surroundings(text, own) if own else ([], []))
                 entities.append(list({_key(f"{k}:{text[a:e]}") for a, k, e in own}))
-            yield rows(b.num_rows, doc_id=b.column("doc_id").to_pylist(), text_key=b.column("text_key").to_pylist(), base=base, near=about, entities=entities)
+            yield rows(b.num_rows, doc_id=b.column("doc_id").to_pylist(), text_key=b.column("text_key").to_pylist(), base=base, pairs=[x for x, _ in about], places=[x for _, x in about], entities=entities)
             if len(count) > FLUSH:
                 yield from counts()
                 count.clear()
         yield from counts()
 
-    return own.mapInArrow(run, f"doc_id long, text_key long, base array<{SPAN}>, near array<{NEAR}>, entities array<long>, term long, n_docs long")
+    return own.mapInArrow(run, f"doc_id long, text_key long, base array<{SPAN}>, pairs array<{PAIR}>, places array<{PLACE}>, entities array<long>, term long, n_docs long")
 
 
 def detect(docs: DataFrame) -> DataFrame:
     """doc_id, text_key (a hash of the text), base and terms (arrays of kind, start, end) of every document."""
-    scan = durable(_scan(docs), "scan")
-    own = scan.where("term IS NULL").select(F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), "doc_id", "text_key", "base", "near", "entities")
+    scan = durable(_scan(docs).withColumn("row", F.monotonically_increasing_id()), "scan")
+    own = scan.where("term IS NULL").select("row", "doc_id", "text_key", "base", "pairs", "places", "entities")
     total = own.count()
-    about = own.where("size(near) > 0").select("id", "text_key", F.explode("near").alias("n")).select("id", "text_key", "n.*")
-    pairs = about.where("once").groupBy("term", "entity").agg(F.count("*").alias("together"))
-    often = scan.where("term IS NOT NULL").groupBy("term").agg(F.sum("n_docs").alias("with_term"))
+    about = own.where("size(pairs) > 0").select("row", F.explode("pairs").alias("pair"))
+    pairs = durable(about.groupBy("pair").agg(F.count("*").alias("together")), "pairs").select("pair", "pair.*", "together")
+    # Only terms that co-occur with some entity are counted over the corpus.
+    often = scan.where("term IS NOT NULL").select("term", "n_docs").join(pairs.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n_docs").alias("with_term"))
     known = own.where("size(entities) > 0").select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("with_entity"))
     posterior = F.col("together") / F.col("with_term")
     told = pairs.join(often, "term").join(known, "entity").withColumn("posterior", posterior).where((F.col("posterior") >= GENERALISE) & (F.log2(F.col("posterior") * total / F.col("with_entity")) >= BITS))
-    told = durable(told.select("term", "entity", F.when(F.col("posterior") >= REMOVE, 5).otherwise(4).alias("kind")), "disclosing")
-    spans = about.join(told, ["term", "entity"]).groupBy("id", "text_key", "start", "end").agg(F.max("kind").alias("kind")).groupBy("id", "text_key").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("found"))
-    joined = own.join(spans, ["id", "text_key"], "left")
-    return joined.select("doc_id", "text_key", "base", F.expr(f"coalesce(transform(found, s -> struct(s.kind AS kind, s.start AS start, s.end AS end)), CAST(array() AS array<{SPAN}>))").alias("terms"))
+    told = durable(told.select("pair", F.when(F.col("posterior") >= REMOVE, 5).otherwise(4).alias("kind")), "disclosing")
+    found = spread_join(about, told, "pair", F.col("row")).groupBy("row", "pair.term").agg(F.max("kind").alias("kind"))
+    kinds = found.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "kind"))).alias("kinds"))
+    joined = own.join(kinds.hint("merge"), "row", "left")
+    spans = F.expr("transform(filter(places, p -> map_contains_key(kinds, p.term)), p -> struct(kinds[p.term] AS kind, p.start AS start, p.end AS end))")
+    return joined.select("doc_id", "text_key", "base", F.coalesce(spans, F.expr(f"CAST(array() AS array<{SPAN}>)")).alias("terms"))
 
 
 def of_kind(spans, kind: int):
@@ -188,11 +190,11 @@ def sanitise(docs: DataFrame) -> DataFrame:
 
     A text with neither a digit nor an @ holds no entity and passes unshuffled; the others meet their terms' spans by id.
     """
-    key = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(2**63)))
-    found = detect(docs).where("size(terms) > 0").groupBy(key("doc_id").alias("id"), "text_key").agg(F.first("terms").alias("terms"))
+    found = detect(docs).where("size(terms) > 0").groupBy("doc_id", "text_key").agg(F.first("terms").alias("terms"))
     whole, columns = wrapped(docs), docs.columns
     may = F.coalesce(F.col("doc.text").rlike("[0-9@]"), F.lit(False))
-    held = whole.where(may).withColumns({"id": key("doc.doc_id"), "text_key": F.xxhash64("doc.text")}).join(found.hint("merge"), ["id", "text_key"], "left")
+    held = whole.where(may).withColumn("id", F.col("doc.doc_id").cast("long")).withColumn("key", F.xxhash64("doc.text"))
+    held = held.join(found.hint("merge"), (held.key == found.text_key) & held.id.eqNullSafe(found.doc_id), "left")
     at = columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
