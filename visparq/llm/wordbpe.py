@@ -1,8 +1,13 @@
-"""Exact ids and counts of the word-level BPE vocabulary, through a cache of white-space chunks.
+"""Exact ids, and counts at every prefix, of the word-level BPE vocabulary, through caches of white-space chunks.
 
 The vocabulary's pre-tokens never cross white space, so the ids of a text are those of its chunks, joined. A chunk of
 letters and closing marks is split here and merged by a byte-pair core; every other chunk (digits, quotes,
 special strings, rare scripts) goes to the tokenizer library itself, so the ids are the library's by construction.
+
+Counts come from a dynamic programme over prefixes: the merged form of a prefix ends with the one token that stays whole
+beside the last token of what precedes it, so each entry follows from earlier entries, in time linear in the text. The
+programme follows normalisation and pre-tokens as the text grows; a chunk outside plain letters and marks is checked once
+against the library (its whole count), and only where that differs every prefix of the chunk is asked for.
 """
 
 from __future__ import annotations
@@ -10,6 +15,7 @@ from __future__ import annotations
 import json
 import re
 import sys
+import unicodedata
 from array import array
 
 import numpy as np
@@ -18,8 +24,11 @@ import numpy as np
 #: marks, without those that begin contractions or special strings.
 SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=-@\[-`{-~]*)")
 #: ASCII white space, which the vocabulary's own splitting drops; other white space stays inside its chunk.
-BLANK = re.compile(r"[\x09-\x0d\x20]+")
-CACHE_ENTRIES = 200_000  # a generation; two are held, about 80 MB
+BLANK = re.compile(r"([\x09-\x0d\x20]+)")
+#: White space beyond that, and what a contraction's apostrophe takes (with the letter after, if one must follow).
+WHITE = frozenset("\x09\x0a\x0b\x0c\x0d\x20\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+CONTRACTED = {"s": "", "t": "", "m": "", "d": "", "r": "e", "v": "e", "l": "l"}
+CACHE_ENTRIES, CACHED_LENGTH = 200_000, 200  # of a generation (two are held, about 100 MB); longer chunks are not kept
 MARK = b"\xff"  # never a byte of UTF-8; stands for the end of a pre-token
 
 
@@ -69,8 +78,10 @@ class WordBpe:
         self._ids: dict[bytes, bytes] = {}
         self._older: dict[bytes, bytes] = {}
         self._closing: dict[str, list[int]] = {}
-        self._prefix: dict[str, tuple[int, ...]] = {}
+        self._deltas: dict[str, tuple[bytes, int]] = {}
         self._fits: dict[tuple[int, int], bool] = {}
+        self._wholes: dict[int, bool] = {}
+        self._special = re.compile("|".join(re.escape(t) for t in sorted(special, key=len, reverse=True)) or r"(?!)")
 
     # -- ids ---------------------------------------------------------------------------------------------------
     def _chunk_ids(self, chunk: bytes) -> bytes:
@@ -87,6 +98,8 @@ class WordBpe:
             else:
                 ids = self.library.encode(text, add_special_tokens=False).ids
             out = array("I", ids).tobytes()
+        if len(chunk) > CACHED_LENGTH:
+            return out
         if len(self._ids) >= CACHE_ENTRIES:
             self._older = dict(self._ids)
             self._ids.clear()
@@ -123,14 +136,13 @@ class WordBpe:
         raise ValueError("the vocabulary lacks a byte")
 
     def _whole(self, token: int) -> bool:
-        return self.core.encode_single_piece(self.bytes_of[token]) == [token]
-
-    def word_prefix_counts(self, word: str) -> tuple[int, ...]:
-        """Dynamic programme over one pre-token: entry j is the exact count of the word cut after j code points.
+        known = self._wholes.get(token)
+        if known is None:
+            known = self._wholes[token] = self.core.encode_single_piece(self.bytes_of[token]) == [token]
+        return known
 
-        The merged form of a prefix ends with the one token that stays whole beside the last token of what precedes it,
-        so each entry follows from earlier entries and no prefix is encoded again.
-        """
+    def word_prefix_counts(self, word: str) -> list[int]:
+        """The programme over one pre-token: entry j is the exact count of the word cut after j code points."""
         raw = word.encode()
         last, plain, out, end = [-1], [0], [0], 0
         for char in word:
@@ -141,52 +153,156 @@ class WordBpe:
                 plain.append(plain[start] + 1)
             _, start = self._last(raw, end, True, last)
             out.append(plain[start] + 1)
-        return tuple(out)
+        return out
 
-    def _chunk_prefix(self, chunk: str) -> tuple[int, ...]:
+    def chunk_prefix_counts(self, chunk: str) -> list[int]:
+        """Entry j: the exact count of the chunk cut after j code points."""
         m = SIMPLE.fullmatch(chunk)
         if m:
             out = self.word_prefix_counts(m[1].lower())
-            if m[2]:
-                out += tuple(out[-1] + n for n in self.word_prefix_counts(m[2])[1:])
+            return out + [out[-1] + n for n in self.word_prefix_counts(m[2])[1:]] if m[2] else out
+        out, base, at = [0], 0, 0
+        for special in self._special.finditer(chunk):
+            # Up to its last character a special string is ordinary text; then it is one token, and so is what precedes it cut off.
+            counts = Growing(self).counts(chunk[at : special.end() - 1])
+            out += [base + n for n in counts[1:]]
+            base += counts[special.start() - at] + 1
+            out.append(base)
+            at = special.end()
+        out += [base + n for n in Growing(self).counts(chunk[at:])[1:]]
+        total = len(self.library.encode(chunk, add_special_tokens=False).ids)
+        return out if out[-1] == total else [len(e.ids) for j in range(0, len(chunk) + 1, 256) for e in self.library.encode_batch([chunk[:k] for k in range(j, min(j + 256, len(chunk) + 1))], add_special_tokens=False)]
+
+    def _chunk_deltas(self, chunk: str) -> tuple[bytes, int]:
+        """The steps from each prefix's count to the next, as 16-bit integers, and their sum."""
+        if not chunk or BLANK.match(chunk):
+            out = (bytes(2 * len(chunk)), 0)
         else:
-            # The library's normalisation can join code points and its special strings span them: each prefix is asked for.
-            encode = self.library.encode_batch
-            out = (0, *(len(e.ids) for e in encode([chunk[: j + 1] for j in range(len(chunk))], add_special_tokens=False))) if len(chunk) <= 256 else self._long_prefix(chunk)
-        if len(self._prefix) >= CACHE_ENTRIES // 2:
-            self._prefix.clear()
-        self._prefix[chunk] = out
+            counts = np.array(self.chunk_prefix_counts(chunk), np.int64)
+            out = (np.diff(counts).astype("<i2").tobytes(), int(counts[-1]))
+        if len(chunk) <= CACHED_LENGTH:
+            if len(self._deltas) >= CACHE_ENTRIES:
+                self._deltas.clear()
+            self._deltas[chunk] = out
         return out
 
-    def _long_prefix(self, chunk: str) -> tuple[int, ...]:
-        """A long unusual chunk: its total alone is exact here; the prefixes within it are left at -1."""
-        return (0, *([-1] * (len(chunk) - 1)), len(self.library.encode(chunk, add_special_tokens=False).ids))
-
-    def boundary_counts(self, text: str) -> np.ndarray:
-        """The programme at chunk ends: entry j is the exact count of the text up to the end of its chunk j (uint32)."""
-        return np.cumsum(np.fromiter(map(len, self.chunk_ids(text)), np.int64) >> 2).astype("<u4")
-
-    def count_at(self, text: str, length: int, boundaries: np.ndarray) -> int:
-        """The exact count of ``text[:length]`` from stored boundary counts: only the chunk that is cut is looked into."""
-        head = text[:length]
-        done = len(BLANK.split(head)) - 1 - (not BLANK.match(head[:1] or "x") is None)
-        tail = BLANK.split(head)[-1]
-        base = int(boundaries[done - 1]) if done > 0 else 0
-        whole = next((c for c in [BLANK.split(text[length - len(tail) :])[0]] if c), "")
-        if not tail:
-            return base
-        inside = self._prefix.get(whole) or self._chunk_prefix(whole)
-        return base + (inside[len(tail)] if inside[len(tail)] >= 0 else len(self.library.encode(tail, add_special_tokens=False).ids))
+    def prefix_deltas(self, text: str) -> tuple[bytes, int]:
+        """For each code point, by how much it changes the exact count of the text up to it (16 bits each); the whole count."""
+        get, make = self._deltas.get, self._chunk_deltas
+        parts = [get(c) or make(c) for c in BLANK.split(text)]
+        return b"".join([d for d, _ in parts]), sum([n for _, n in parts])
 
     def prefix_counts(self, text: str) -> np.ndarray:
-        """Entry j: the exact token count of ``text[:j]`` (int32, ``len(text) + 1`` entries)."""
-        out, base, at = np.zeros(len(text) + 1, np.int32), 0, 0
-        for m in re.finditer(r"[^\x09-\x0d\x20]+", text):
-            out[at : m.start() + 1] = base
-            inside = self._prefix.get(m[0]) or self._chunk_prefix(m[0])
-            if -1 in inside:
-                inside = (0, *(len(self.library.encode(m[0][:j], add_special_tokens=False).ids) for j in range(1, len(m[0]) + 1)))
-            out[m.start() : m.end() + 1] = base + np.array(inside, np.int32)
-            base, at = base + inside[-1], m.end()
-        out[at:] = base
+        """Entry j: the exact token count of ``text[:j]`` (``len(text) + 1`` entries)."""
+        return np.concatenate(([0], np.cumsum(np.frombuffer(self.prefix_deltas(text)[0], "<i2"), dtype=np.int64)))
+
+
+class Growing:
+    """The programme over a growing text without special strings: normalised, pre-tokenised and merged as it grows.
+
+    ``kind`` is what the text ends in: letters L, marks M, an apostrophe that may begin a contraction A, such an apostrophe with
+    a letter that needs another one R, or a finished pre-token (empty). ``base`` counts the tokens of finished pre-tokens, and
+    ``at`` is where the unfinished one starts in ``raw``.
+    """
+
+    def __init__(self, bpe: WordBpe):
+        self.bpe, self.raw, self.last, self.plain, self.kind, self.base, self.at = bpe, bytearray(), [-1], [0], "", 0, 0
+
+    def counts(self, text: str) -> list[int]:
+        """Entry j: the exact count of ``text[:j]``."""
+        out = [0]
+        if unicodedata.is_normalized("NFC", text):  # then all its prefixes are
+            for char in text:
+                for c in char.lower():
+                    self._push(c)
+                out.append(self._count())
+            return out
+        group, kept = "", self._state()  # characters that later ones may still compose with, and the state before them
+        compose = lambda t: unicodedata.normalize("NFC", t)
+        for char in text:
+            if not unicodedata.combining(char) and compose(group + char) == compose(group) + compose(char):
+                group, kept = "", self._state()
+            group += char
+            self._restore(kept)
+            for composed in compose(group):
+                for c in composed.lower():
+                    self._push(c)
+            out.append(self._count())
         return out
+
+    def _state(self) -> tuple:
+        return self.kind, self.base, self.at, len(self.raw)
+
+    def _restore(self, state: tuple) -> None:
+        self.kind, self.base, self.at, n = state
+        del self.raw[n:], self.last[n + 1 :], self.plain[n + 1 :]
+
+    def _tail(self, end: int, marked: bool) -> tuple[int, int]:
+        """The last token of the merged pre-token up to ``end`` and how many tokens precede it."""
+        bpe, raw, at = self.bpe, self.raw, self.at
+        for start in range(max(at, end - bpe.longest), end):
+            key = bytes(raw[start:end])
+            token = bpe.by_bytes.get(key + MARK if marked else key)
+            if token is not None and (bpe._whole(token) if start == at else bpe._joins(self.last[start], token)):
+                return token, self.plain[start] if start > at else 0
+        raise ValueError("the vocabulary lacks a byte")
+
+    def _extend(self, c: str) -> None:
+        for byte in c.encode():
+            self.raw.append(byte)
+            token, before = self._tail(len(self.raw), False)
+            self.last.append(token)
+            self.plain.append(before + 1)
+
+    def _word(self, word: str) -> int:
+        return len(self.bpe.core.encode_single_piece(word.encode() + MARK))
+
+    def _count(self) -> int:
+        if not self.kind:
+            return self.base
+        if self.kind == "R":
+            return self.base + self._word("'") + self._word(chr(self.raw[-1]))
+        return self.base + self._tail(len(self.raw), True)[1] + 1
+
+    def _finish(self) -> None:
+        self.base, self.kind, self.at = self._count(), "", len(self.raw)
+
+    def _push(self, c: str) -> None:
+        if self.kind == "A" and c in CONTRACTED or self.kind == "R" and CONTRACTED[chr(self.raw[-1])] == c:
+            if self.kind == "A" and CONTRACTED[c]:
+                self.kind = "R"
+            else:
+                self.base += self._word(self.raw[self.at :].decode() + c)
+                self.kind = ""
+            self._note(c)
+            if not self.kind:
+                self.at = len(self.raw)
+            return
+        if self.kind == "R":  # no contraction: the apostrophe is done and its letter begins a word
+            letter = chr(self.raw[-1])
+            self.base, self.kind = self.base + self._word("'"), "L"
+            self._restore((self.kind, self.base, len(self.raw) - 1, len(self.raw) - 1))
+            self._extend(letter)
+        group = unicodedata.category(c)[0]
+        kind = "" if c in WHITE else group if group in "LN" else "M"
+        if kind == "M" and self.kind in ("A", "M"):
+            self.kind = "M"
+        elif kind != self.kind or kind in ("", "N"):
+            self._finish() if self.kind else None
+            self.at = len(self.raw)
+            self.kind = "A" if c == "'" else kind
+        if kind:
+            self._extend(c)
+            if kind == "N":
+                self.kind = "M"
+                self._finish()
+        else:
+            self._note(c)
+            self.at, self.kind = len(self.raw), ""
+
+    def _note(self, c: str) -> None:
+        """Room for a character whose pre-token is not merged step by step."""
+        for byte in c.encode():
+            self.raw.append(byte)
+            self.last.append(-1)
+            self.plain.append(0)
