@@ -5,12 +5,14 @@ that cannot take its share (its tokens times ``max_epochs``) is filled, and its
 reaches the node's own siblings only when the whole node is full. Each leaf then takes whole epochs and a token prefix of
 one more, in an order seeded by epoch.
 
-All integers, all DataFrame functions. A leaf that holds a third of the rows is never in one task: the prefix is found
-first among ``SLOTS`` ranges of the seeded order (map-side sums), then within a range.
-
-Defined cases: a null text has no tokens; null ids order first; null languages or sources are leaves named ''; children
-without a weight have weight 1; repeated rows are separate documents; an empty table gives an empty result; extra columns
-are not read.
+All integers, all DataFrame functions. A leaf that holds a third of the rows is never in one task: rows with one place in
+the seeded order are counted first, then the prefix is found among ranges of the order (map-side sums), then within a
+range. A leaf's prefix is named by its last place, so documents are taken or left where they are read: no text is shuffled.
+
+Defined cases: a null text has no tokens; null ids order first, and are seeded by their number of tokens; null languages or
+sources are leaves named ''; children without a weight have weight 1; repeated rows (one id and number of tokens in a leaf)
+have one place in the order and are taken together or not at all; an empty table gives an empty result; extra columns are
+not read, or returned untouched.
 """
 
 from __future__ import annotations
@@ -19,22 +21,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from visparq.llm._common import durable, unwrapped, words_of, wrapped
+from visparq.llm._common import durable, spread_join, unwrapped, words_of
 
 MODULUS, SLOT_BITS = 2**31 - 1, 21
 LEVELS = ("domain", "lang", "source")
+BOUND = 200_000  # leaves whose cuts (100 bytes each) may be broadcast; more are joined by shuffle, heavy ones spread
 
 
-def seeded(doc_id: Column, seed: Column) -> Column:
+def seeded(place: Column, seed: Column) -> Column:
     """A number below 2**31 - 1 for a document in an epoch; two multiplicative rounds that any SQL engine can repeat."""
-    x = (F.pmod(F.coalesce(doc_id, F.lit(0)), F.lit(MODULUS)) * 48271 + seed * 1_000_003) % MODULUS
+    x = (F.pmod(place, F.lit(MODULUS)) * 48271 + seed * 1_000_003) % MODULUS
     return ((x * x) % MODULUS * 69621 + x) % MODULUS
 
 
 def leaves_of(docs: DataFrame, domain: Column) -> DataFrame:
-    """doc_id, domain, lang, source, n_tokens (words of the whole text)."""
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), domain.alias("domain"), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return named.select("doc_id", *LEVELS, F.size(words_of(F.col("text"))).cast("long").alias("n_tokens"))
+    """doc (all columns), doc_id, domain, lang, source, n_tokens (words of the whole text)."""
+    named = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), domain.alias("domain"))
+    text = F.coalesce(F.col("doc.text").cast("string"), F.lit(""))
+    return named.select("doc", F.col("doc.doc_id").cast("long").alias("doc_id"), "domain", *(F.coalesce(F.col(f"doc.{c}").cast("string"), F.lit("")).alias(c) for c in ("lang", "source")), F.size(words_of(text)).cast("long").alias("n_tokens"))
 
 
 def _weight(level: str, weights: dict[str, int]) -> Column:
@@ -77,22 +81,41 @@ def budgets(leaves: DataFrame, weights: dict[str, dict[str, int]], percent: int,
     return given.select(*LEVELS, "supply", F.col("budget").alias("given"))
 
 
+def _place(seed: int) -> Column:
+    """A document's place in its leaf's order for the epoch that is cut."""
+    key = seeded(F.coalesce("doc_id", "n_tokens"), F.col("whole") + seed)
+    return F.struct(key.alias("key"), F.col("doc_id").alias("doc_id"), F.col("n_tokens").alias("n_tokens"))
+
+
+def cuts(leaves: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
+    """leaf, whole (epochs that every document has), last (the place up to which one more epoch reaches; null: nobody)."""
+    epochs = plan.select(F.struct(*LEVELS).alias("leaf"), F.expr("CASE WHEN supply > 0 THEN given div supply ELSE 0 END").alias("whole"), F.expr("CASE WHEN supply > 0 THEN given % supply ELSE 0 END").alias("part"))
+    few = epochs.count() <= BOUND
+    counted = leaves.groupBy(F.struct(*LEVELS).alias("leaf"), "doc_id", "n_tokens").agg((F.count("*") * F.col("n_tokens")).alias("tokens"))
+    known = counted.join(F.broadcast(epochs), "leaf") if few else spread_join(counted, epochs, "leaf", F.struct("doc_id", "n_tokens"))
+    keyed = known.withColumn("place", _place(seed)).withColumn("slot", F.shiftright("place.key", SLOT_BITS))
+    leaf = Window.partitionBy("leaf").orderBy("slot")
+    slots = keyed.groupBy("leaf", "slot").agg(F.sum("tokens").alias("sum")).select("leaf", "slot", (F.sum("sum").over(leaf) - F.col("sum")).alias("ahead"))
+    inside = Window.partitionBy("leaf", "slot").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    placed = keyed.join(slots, ["leaf", "slot"]).withColumn("upto", F.col("ahead") + F.sum("tokens").over(inside))
+    last = placed.where("upto <= part").groupBy("leaf").agg(F.max("place").alias("last"))
+    return durable(epochs.join(last, "leaf", "left").select("leaf", "whole", "last"), "cuts")
+
+
+def _decided(docs: DataFrame, domain: Column, weights: dict[str, dict[str, int]], percent: int, max_epochs: int, seed: int, keep: list[str]) -> DataFrame:
+    leaves = durable(leaves_of(docs, domain).select(*keep, "doc_id", *LEVELS, "n_tokens") if "doc" in keep else leaves_of(docs, domain).drop("doc"), "leaves")
+    end = cuts(leaves, durable(budgets(leaves, weights, percent, max_epochs), "budgets"), seed)
+    keyed = leaves.withColumn("leaf", F.struct(*LEVELS))
+    joined = keyed.join(F.broadcast(end), "leaf") if end.count() <= BOUND else spread_join(keyed, end, "leaf", F.struct("doc_id", "n_tokens"))
+    return joined.withColumn("n_copies", F.col("whole") + F.when(_place(seed) <= F.col("last"), 1).otherwise(0))
+
+
 def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, int]], percent: int = 100, max_epochs: int = 4, seed: int = 7) -> DataFrame:
     """doc_id, domain, lang, source, n_tokens, n_copies (0: not taken) of every document."""
-    leaves = durable(leaves_of(docs, domain), "leaves")
-    plan = durable(budgets(leaves, weights, percent, max_epochs), "budgets")
-    epochs = plan.select(*LEVELS, F.expr("CASE WHEN supply > 0 THEN given div supply ELSE 0 END").alias("whole"), F.expr("CASE WHEN supply > 0 THEN given % supply ELSE 0 END").alias("part"))
-    keyed = leaves.join(epochs, list(LEVELS)).withColumn("key", seeded(F.col("doc_id"), F.col("whole") + seed)).withColumn("slot", F.shiftright("key", SLOT_BITS))
-    leaf = Window.partitionBy(*LEVELS).orderBy("slot")
-    slots = keyed.groupBy(*LEVELS, "slot").agg(F.sum("n_tokens").alias("tokens")).select(*LEVELS, "slot", (F.sum("tokens").over(leaf) - F.col("tokens")).alias("ahead"))
-    inside = Window.partitionBy(*LEVELS, "slot").orderBy("key", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
-    placed = keyed.join(slots, [*LEVELS, "slot"]).withColumn("upto", F.col("ahead") + F.sum("n_tokens").over(inside))
-    return placed.select("doc_id", *LEVELS, "n_tokens", (F.col("whole") + F.when(F.col("upto") <= F.col("part"), 1).otherwise(0)).alias("n_copies"))
+    return _decided(docs, domain, weights, percent, max_epochs, seed, []).select("doc_id", *LEVELS, "n_tokens", "n_copies")
 
 
 def apply_mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, int]], percent: int = 100, max_epochs: int = 4, seed: int = 7) -> DataFrame:
-    """The documents of the mix, all columns, each as often as it was taken. Rows that share an id share their least count."""
-    key = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(2**63)))
-    taken = mix(docs, domain, weights, percent, max_epochs, seed).groupBy(key("doc_id").alias("id")).agg(F.min("n_copies").alias("copies")).where("copies > 0")
-    joined = wrapped(docs).withColumn("id", key("doc.doc_id")).join(taken.hint("merge"), "id")  # grows with the corpus: never a broadcast
-    return unwrapped(joined.select("doc", F.explode(F.expr("sequence(1L, copies)")).alias("copy")), docs.columns)
+    """The documents of the mix, all columns, each as often as it was taken."""
+    taken = _decided(docs, domain, weights, percent, max_epochs, seed, ["doc"]).where("n_copies > 0")
+    return unwrapped(taken.select("doc", F.explode(F.expr("sequence(1L, n_copies)")).alias("copy")), docs.columns)
