@@ -5,7 +5,8 @@
 3. The driver packs *counts* best-fit, longest first. Its plan is a list of slot ranges (ranks of one length -> consecutive
    sequences, one offset), whose number depends on the capacity alone.
 4. A piece takes the slot of its rank within its length. The rank is the salt's base plus the rank within (length, salt),
-   so that a length which holds most pieces is still ranked by many tasks.
+   so that a length which holds most pieces is still ranked by many tasks. Salts are dealt in turn, whatever the pieces
+   hold, so repeated rows are spread like others.
 
 Defined cases: a null text is empty and still holds its end id; a null id is kept; repeated rows are packed once each;
 an empty table gives an empty result; extra columns are not read.
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,11 +32,11 @@ SLICE = 2048
 
 
 def cut(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, keep_ids: bool = True) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 and, if asked for, the ids themselves (little-endian uint32)."""
+    """doc_id, piece, start, length, ids_crc32, salt (dealt in turn) and, if asked for, the ids (little-endian uint32)."""
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, width = WordBpe.at(vocabulary), 4 * capacity
+        bpe, width, turn = WordBpe.at(vocabulary), 4 * capacity, 97 * TaskContext.get().partitionId()
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE):
                 part = whole.slice(at, SLICE)
@@ -50,10 +52,11 @@ def cut(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, keep_ids:
                         crc.append(zlib.crc32(own))
                         if keep_ids:
                             kept.append(own)
-                out = {"doc_id": (ids, pa.int64()), "piece": (piece, pa.int32()), "start": (start, pa.int64()), "length": (length, pa.int64()), "ids_crc32": (crc, pa.int64())}
+                out = {"doc_id": (ids, pa.int64()), "piece": (piece, pa.int32()), "start": (start, pa.int64()), "length": (length, pa.int64()), "ids_crc32": (crc, pa.int64()), "salt": ([(turn + k) % SALTS for k in range(len(ids))], pa.int32())}
+                turn += len(ids)
                 yield struct_to_batch(out | ({"ids": (kept, pa.binary())} if keep_ids else {}))
 
-    return texts_of(docs).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids)
+    return texts_of(docs).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, salt int" + ", ids binary" * keep_ids)
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
@@ -88,7 +91,7 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
 
 def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0, keep_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset: one row per piece, each placed in a sequence."""
-    pieces = durable(cut(docs, vocabulary, capacity, end_id, keep_ids).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int")), "pieces")
+    pieces = durable(cut(docs, vocabulary, capacity, end_id, keep_ids), "pieces")
     # At most capacity * SALTS rows (524,288 with the defaults) reach the driver, as arrays.
     rows = pieces.groupBy("length", "salt").count().toArrow()
     per = np.zeros((capacity + 1, SALTS), np.int64)
