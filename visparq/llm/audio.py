@@ -2,8 +2,10 @@
 
 The payload (UTF-8 bytes, padded with 255 to a positive multiple of 576) is stored losslessly as unsigned 8-bit PCM in a
 WAV container, read back from the stored bytes, resampled by a polyphase filter (16 kHz to 8 kHz), framed with overlap,
-turned into log-mel energies, pooled to a fixed ``SLICES x MELS`` tensor, and cut into active segments by an energy gate
-with hysteresis. Frames are processed in blocks, so memory follows the block, not the recording.
+turned into log-mel energies, pooled to a ``SLICES x MELS`` tensor, and cut into active segments by an energy gate with
+hysteresis. The tensor is stored as an Arrow tensor message of that fixed shape (``tensor_of`` reads it), the segments as
+time spans. Frames are made in blocks from the bytes they need: beside the recording's bytes and one energy a frame, memory
+follows the block.
 
 Defined cases: a null text is empty (one padded block); ids may be null or repeat; equal texts give equal values, since
 nothing depends on a row's neighbours; an empty table gives an empty result; extra columns are not read.
@@ -28,7 +30,7 @@ UNIT, RATE, DOWN, TAPS = 576, 16_000, 2, 32
 FRAME, HOP, FFT, MELS, SLICES, BLOCK = 200, 80, 256, 24, 8, 4096
 #: Decibels over the quietest frame at which a segment opens and closes.
 OPEN_DB, CLOSE_DB = 9.0, 6.0
-ROW = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media binary, n_frames long, tensor array<float>, segments array<struct<start_s:double,end_s:double>>"
+ROW = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media binary, n_frames long, tensor binary, segments array<struct<start_s:double,end_s:double>>"
 
 
 def payload_of(raw: bytes) -> bytes:
@@ -58,15 +60,18 @@ def _filter() -> np.ndarray:
     return (h / h.sum()).astype(np.float32)
 
 
-def resample(x: np.ndarray) -> np.ndarray:
-    """Polyphase decimation: only the samples that stay are computed, phase by phase of the filter."""
-    count = -(-len(x) // DOWN)
-    padded = np.zeros(TAPS + DOWN * count, np.float32)
-    padded[TAPS // 2 : TAPS // 2 + len(x)] = x
+def resample(payload: bytes, first: int, count: int) -> np.ndarray:
+    """Samples ``first`` to ``first + count`` at the lower rate, by polyphase decimation: only these are computed, phase by phase
+    of the filter, from the bytes under it; silence (128) lies beyond both ends."""
+    low, size = DOWN * first - TAPS // 2, TAPS + DOWN * count
+    line = np.full(size, 128, np.uint8)
+    a, b = max(0, low), min(len(payload), low + size)
+    if b > a:
+        line[a - low : b - low] = np.frombuffer(payload, np.uint8, b - a, a)
+    x = (line.astype(np.float32) - 128) / 128
     out = np.zeros(count, np.float32)
     for phase in range(DOWN):
-        taps, line = _filter()[phase::DOWN], padded[phase::DOWN]
-        out += np.convolve(line, taps[::-1], "valid")[:count]
+        out += np.convolve(x[phase::DOWN], _filter()[phase::DOWN][::-1], "valid")[:count]
     return out
 
 
@@ -80,31 +85,48 @@ def _mel_bank() -> np.ndarray:
     return np.maximum(0, np.minimum(up, down)).astype(np.float32)
 
 
-def log_mel(x: np.ndarray) -> Iterator[np.ndarray]:
-    """Blocks of (frames, MELS) log energies; a recording shorter than a frame is padded to one."""
-    if len(x) < FRAME:
-        x = np.pad(x, (0, FRAME - len(x)))
-    frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
+def frame_count(n_bytes: int) -> int:
+    """Frames of a recording; one that is shorter than a frame is padded to one."""
+    return 1 + max(0, -(-n_bytes // DOWN) - FRAME) // HOP
+
+
+def log_mel(payload: bytes) -> Iterator[np.ndarray]:
+    """Blocks of (frames, MELS) log energies."""
+    n, length = frame_count(len(payload)), -(-len(payload) // DOWN)
     window = np.hanning(FRAME).astype(np.float32)
-    for at in range(0, len(frames), BLOCK):
-        power = np.abs(np.fft.rfft(frames[at : at + BLOCK] * window, FFT)).astype(np.float32) ** 2
+    for at in range(0, n, BLOCK):
+        many = min(BLOCK, n - at)
+        x = np.zeros((many - 1) * HOP + FRAME, np.float32)
+        have = min(len(x), length - at * HOP)
+        x[:have] = resample(payload, at * HOP, have)
+        frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
+        power = np.abs(np.fft.rfft(frames * window, FFT)).astype(np.float32) ** 2
         yield np.log10(power @ _mel_bank() + 1e-6)
 
 
 def features(payload: bytes) -> tuple[int, np.ndarray, list[tuple[float, float]]]:
     """Frames, the pooled tensor, and the active segments in seconds."""
-    mel = list(log_mel(resample((np.frombuffer(payload, np.uint8).astype(np.float32) - 128) / 128)))
-    n = sum(map(len, mel))
-    slot = np.arange(n) * SLICES // n
-    sums, energy, at = np.zeros((SLICES, MELS)), np.empty(n), 0
-    for block in mel:
-        np.add.at(sums, slot[at : at + len(block)], block)
+    n, at = frame_count(len(payload)), 0
+    sums, energy = np.zeros((SLICES, MELS)), np.empty(n)
+    for block in log_mel(payload):
+        np.add.at(sums, np.arange(at, at + len(block)) * SLICES // n, block)
         energy[at : at + len(block)] = 10 * block.mean(axis=1)
         at += len(block)
-    tensor = sums / np.maximum(np.bincount(slot, minlength=SLICES), 1)[:, None]
+    tensor = sums / np.maximum(np.bincount(np.arange(n) * SLICES // n, minlength=SLICES), 1)[:, None]
     return n, np.round(tensor, 2).astype(np.float32), hysteresis(np.round(energy, 3))
 
 
+def tensor_message(tensor: np.ndarray) -> bytes:
+    """An Arrow tensor message: type, shape and values."""
+    out = pa.BufferOutputStream()
+    pa.ipc.write_tensor(pa.Tensor.from_numpy(np.ascontiguousarray(tensor)), out)
+    return out.getvalue().to_pybytes()
+
+
+def tensor_of(message: bytes) -> np.ndarray:
+    return pa.ipc.read_tensor(pa.py_buffer(message)).to_numpy()
+
+
 def hysteresis(energy: np.ndarray) -> list[tuple[float, float]]:
     """Segments that open at OPEN_DB over the quietest frame and close below CLOSE_DB, as (start, end) seconds."""
     floor = energy.min()
@@ -117,13 +139,8 @@ def hysteresis(energy: np.ndarray) -> list[tuple[float, float]]:
     return [(float(a * step / rate), float((b * step + FRAME - HOP) / rate)) for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)]
 
 
-def feature_string(n_frames: int, tensor: np.ndarray, segments: list[tuple[float, float]]) -> str:
-    spoken = sum(b - a for a, b in segments)
-    return f"frames={n_frames};segments={len(segments)};active={spoken:.2f};mel={zlib.crc32(np.ascontiguousarray(tensor, '<f4').tobytes()):08x}"
-
-
 def audio_columns(docs: DataFrame) -> DataFrame:
-    """Every whole text as stored audio with features: ``tensor`` is SLICES x MELS, row by row (see ``as_tensors``)."""
+    """Every whole text as stored audio with features."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -135,15 +152,9 @@ def audio_columns(docs: DataFrame) -> DataFrame:
                     media = to_wav(payload_of(raw))
                     back = from_wav(media)
                     n, tensor, segments = features(back)
-                    for k, v in zip(out, (len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), media, n, tensor.ravel(), [{"start_s": a, "end_s": b} for a, b in segments]), strict=True):
+                    for k, v in zip(out, (len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), media, n, tensor_message(tensor), [{"start_s": a, "end_s": b} for a, b in segments]), strict=True):
                         out[k].append(v)
-                kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.float32()), pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())])))
+                kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())])))
                 yield struct_to_batch({"doc_id": (part.column("doc_id").to_pylist(), pa.int64())} | {k: (v, t) for (k, v), t in zip(out.items(), kinds, strict=True)})
 
     return texts_of(docs).mapInArrow(run, ROW)
-
-
-def as_tensors(column: pa.ListArray) -> pa.ExtensionArray:
-    """A ``tensor`` column read by Arrow, as fixed-shape tensors."""
-    flat = pa.FixedSizeListArray.from_arrays(column.flatten(), SLICES * MELS)
-    return pa.ExtensionArray.from_storage(pa.fixed_shape_tensor(pa.float32(), (SLICES, MELS)), flat)
