@@ -3,17 +3,19 @@
 import hashlib
 import random
 from collections import Counter, defaultdict
-from statistics import median
 
 import duckdb
 import numpy as np
 import pytest
 import xxhash
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tests.conftest import SF
 from tests.llm.conftest import hard_rows
-from visparq.llm import mixing, quality, queries, simhash, suffix_dedup
+from tests.llm.test_texts import plain_base as plain_spans
+from tests.llm.test_texts import plain_terms
+from visparq.llm import mixing, pii, quality, queries, simhash, suffix_dedup
 
 
 # -- suffix dedup -----------------------------------------------------------------------------------------------------
@@ -155,11 +157,90 @@ def test_links_of_clustered_prints(spark, monkeypatch, hot):
     members = found.where("b IS NULL").selectExpr("a AS fingerprint").distinct()
     assert members.isEmpty() == (hot == 4096)
     links = found.where("b IS NOT NULL").union(simhash._links(members, simhash.table_masks(10), False))
+    degree = Counter(r[c] for r in links.distinct().collect() for c in "ab")
+    assert max(degree.values()) < 2 * 48 * 6  # chains, no hubs
     label = {r["node"]: r["label"] for r in simhash.components(links).collect()}
     want = plain_components(prints, signed)
     assert [label.get(p, p) for p in signed] == want
 
 
+def plain_shingles(text):
+    words = [w for w in "".join(" " if c in "\t\n\x0b\x0c\r" else c.lower() if c.isascii() else c for c in text).split(" ") if w]
+    return frozenset(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def plain_survivors(rows):
+    """The least id of each component of documents with a shingle similarity of 0.8 or more."""
+    sets = [plain_shingles(t) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def find(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if sets[a] == sets[b] or both and both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+                parent[find(a)] = find(b)
+    least = {}
+    for k, (d, _) in enumerate(rows):
+        least[find(k)] = min(least.get(find(k), (True, 0)), (d is None, d or 0))
+    return Counter(None if none else d for none, d in least.values())
+
+
+def edited():
+    """Families of documents whose words were changed here and there, and loners."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 9)))
+    rows = []
+    for family in range(25):
+        base = [word() for _ in range(rng.randrange(80, 400))]
+        for copy in range(rng.randrange(1, 8)):
+            own = list(base)
+            for _ in range(rng.randrange(0, len(base) // 40 + 1)):
+                own[rng.randrange(len(own))] = word()
+            rows.append((len(rows) + 10 * family, " ".join(own)))
+        rows.append((10_000 + family, " ".join(base[: len(base) // 2] + [word() for _ in base])))
+    rng.shuffle(rows)
+    return rows
+
+
+def test_keep_first_keeps_one_of_similar_documents(spark, hard, documents, empty):
+    for rows in (edited(), [(r["doc_id"], r["text"] or "") for r in documents.collect()]):
+        got = Counter(r["doc_id"] for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+        assert got == plain_survivors(rows)
+    kept = simhash.keep_first(hard)
+    assert kept.columns == hard.columns
+    assert Counter(r["doc_id"] for r in kept.collect()) == plain_survivors([(d, t or "") for d, t, *_ in hard_rows()])
+    assert simhash.keep_first(empty).count() == 0
+
+
+def test_rows_that_share_an_id_are_judged_by_themselves(spark):
+    texts = ["one two three four five six", "seven eight nine ten eleven twelve"]
+    rows = [(1, texts[0]), (1, texts[1]), (None, texts[0]), (None, "a null id alone"), (2, texts[1])]
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(map(tuple, kept)) == Counter([(1, texts[0]), (1, texts[1]), (None, "a null id alone")])
+
+
+def test_big_runs_stay_connected(monkeypatch):
+    monkeypatch.setattr(simhash, "HOT", 50)
+    rng = np.random.default_rng(7)
+    prints = rng.integers(0, 2**64, (3, 4), dtype=np.uint64)[rng.integers(0, 3, 400)]
+    for row in prints:
+        for bit in rng.integers(0, 256, rng.integers(0, 9)):
+            row[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    a, b, d = simhash._run_links(prints)
+    assert (simhash._apart(prints[a], prints[b]) == d).all() and (d <= simhash.REACH).all()
+    label = list(range(400))
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        old, new = label[x], label[y]
+        label = [new if v == old else v for v in label]
+    near = simhash._apart(prints[:, None], prints[None]) <= 40
+    assert all((label[x] == label[y]) == bool(near[x, y]) for x in range(400) for y in range(400))
+
+
 # -- quality ----------------------------------------------------------------------------------------------------------
 def plain_base(text):
     blank = " \t\n\x0b\x0c\r"
@@ -211,19 +292,88 @@ def test_an_outlier_in_each_statistic(spark):
     assert {kind: {out[k]["kept"] for k, (own, _) in enumerate(kinds) if own == kind} for kind in made} == {kind: {kind == "good"} for kind in made}
 
 
-def test_estimates_match_a_plain_mcd(spark):
-    """Concentration steps on plain arrays end at the same centers."""
+def plain_mcd(x):
+    """Raw estimate of a group's rounded vectors: three starts, concentration to the end, the least determinant."""
+    floors = np.diag(np.square(quality.FLOORS))
+    low = lambda v, q: np.sort(v, axis=0)[int(np.ceil(len(v) * q)) - 1]
+    m = low(x, 0.5)
+    spread = np.maximum(low(np.abs(x - m), 0.5) * 1.4826, quality.FLOORS)
+    y = (x - m) / spread
+    norm = (y**2).sum(1)
+    sign = np.divide(y, np.sqrt(norm)[:, None], out=np.zeros_like(y), where=norm[:, None] > 0)
+    nearest = lambda d2, q: x[(b := np.floor(np.sqrt(d2) * quality.BINS)) <= low(b, q)]
+    cov = lambda v: np.cov(v.T, bias=True)
+    half = nearest(norm, 0.5)
+    best = None
+    for center, c in ((m, np.diag(spread**2)), (m, 4 * sign.T @ sign / len(x) * np.outer(spread, spread)), (half.mean(0), cov(half))):
+        c = c + floors
+        while True:
+            own = nearest(distance(x, center, c), quality.KEEP)
+            new = cov(own) + floors
+            if not np.linalg.slogdet(new)[1] < np.linalg.slogdet(c)[1] - quality.FALL:
+                break
+            center, c = own.mean(0), new
+        if best is None or np.linalg.slogdet(c)[1] < np.linalg.slogdet(best[1])[1] - 1e-12:
+            best = (center, c)
+    return best
+
+
+def distance(x, center, c):
+    return np.einsum("ij,jk,ik->i", x - center, np.linalg.inv(c), x - center)
+
+
+def plain_scale(x, center, c):
+    d = np.sort(np.floor(np.sqrt(distance(x, center, c)) * quality.BINS))[int(np.ceil(len(x) / 2)) - 1]
+    return max(1.0, ((d + 0.5) / quality.BINS) ** 2 / 3.357)
+
+
+def plain_kept(rows):
+    """The whole verdict on (lang, source, text) rows; and the least distance of any vector to the cutoff."""
+    vectors = []
+    for _, _, t in rows:
+        n, chars, symbols, dup, repeat, failed = plain_base(t)
+        lines = [s for s in t.split("\n") if s.strip(" \t\n\x0b\x0c\r")]
+        vectors.append(None if failed else np.log([max(1, chars) / max(1, n) if n else 1, symbols / max(1, chars) + 0.02, dup / max(1, len(lines)) + 0.1, repeat / max(1, n) + 0.1]))
+    cells = {}
+    for (lang, source, _), v in zip(rows, vectors, strict=True):
+        for key in ((), (lang,), (lang, source)) if v is not None else ():
+            cells.setdefault(key, []).append(np.floor(v * 64 + 0.5) / 64)
+    floors, fits = np.diag(np.square(quality.FLOORS)), {}
+    for key in sorted(cells, key=len):
+        x = np.array(cells[key])
+        center, c = plain_mcd(x)
+        inner = x[distance(x, center, c) <= 11.143 * plain_scale(x, center, c)]
+        n, m, c = len(inner), inner.mean(0), np.cov(inner.T, bias=True) if len(inner) > 1 else np.zeros((4, 4))
+        if key:
+            pm, pc = fits[key[:-1]]
+            m, c = (n * m + 50 * pm) / (n + 50), (n * c + 50 * pc) / (n + 50)
+        fits[key] = (m, c)
+    out, margin = [], np.inf
+    for (lang, source, _), v in zip(rows, vectors, strict=True):
+        if v is None:
+            out.append(False)
+            continue
+        m, c = fits[lang, source]
+        d = distance(v[None], m, c + floors)[0] / plain_scale(np.array(cells[lang, source]), m, c + floors)
+        margin = min(margin, abs(d - quality.CUTOFF))
+        out.append(bool(d <= quality.CUTOFF))
+    return out, margin
+
+
+def test_verdicts_are_those_of_a_plain_estimator(spark, hard, documents):
     rng = np.random.default_rng(8)
-    x = np.vstack([rng.normal(size=(400, 4)) @ np.diag([1, 0.7, 2, 1.5]), rng.normal(9, 1, (60, 4))])
-    df = spark.createDataFrame([("en", "s", *map(float, v)) for v in x], "lang string, source string, " + ", ".join(f"{z} double" for z in quality.STATS))
-    got = {r["group"]: r for r in quality.fit(df).collect()}["2\x01en\x01s"]
-    m = np.array([median(c) for c in x.T])
-    d = ((x - m) ** 2 / (1.4826 * np.array([median(abs(c - b)) for c, b in zip(x.T, m, strict=True)])) ** 2).sum(1)
-    for _ in range(quality.STEPS):
-        own = x[np.argsort(d)[: int(len(x) * quality.KEEP)]]
-        m, c = own.mean(0), np.cov(own.T, bias=True) + np.diag(np.square(quality.FLOORS))
-        d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
-    assert np.allclose([got[f"m{i}"] for i in range(4)], m, atol=0.05)
+    word = lambda n: "".join(rng.choice(list("abcdefghij"), n))
+    made = [(k, "\n".join(" ".join(word(int(rng.integers(2, 6 + k % 3))) + "#" * int(rng.random() < 0.02 * (k % 7)) for _ in range(12)) + ("\nmenu" if rng.random() < 0.02 * (k % 5) else "") for _ in range(5)), ["en", "de"][k % 2], f"s{min(k % 13, 4)}") for k in range(700)]
+    made = spark.createDataFrame(made, "doc_id long, text string, lang string, source string").cache()
+    seen = set()
+    for docs in (documents, hard, made):
+        rows = docs.select("lang", "source", "text", "doc_id").collect()
+        want, margin = plain_kept([(r["lang"], r["source"], r["text"] or "") for r in rows])
+        assert margin > 1e-6
+        got = Counter((r["doc_id"], r["kept"]) for r in quality.quality(docs).collect())
+        assert got == Counter(zip([r["doc_id"] for r in rows], want, strict=True))
+        seen |= set(want)
+    assert seen == {True, False}
 
 
 # -- mixing -----------------------------------------------------------------------------------------------------------
@@ -245,14 +395,30 @@ def test_mix_matches_sql(spark):
     assert {r[5] for r in rows} >= {0, 1}
 
 
-def test_mix_edges(hard, empty):
-    out = mixing.mix(hard, queries.domain_of(), queries.WEIGHTS)
+def test_mix_edges(spark, hard, documents, empty):
+    out = mixing.mix(hard, queries.domain_of(), queries.WEIGHTS, percent=50)
     assert out.count() == hard.count()
-    mixed = mixing.apply_mix(hard, queries.domain_of(), queries.WEIGHTS, percent=50)
-    assert mixed.columns == hard.columns
+    for docs in (hard, documents):
+        taken = Counter()
+        for r in mixing.mix(docs, queries.domain_of(), queries.WEIGHTS, percent=50).collect():
+            taken[r["doc_id"], r["lang"], r["source"], r["n_tokens"]] += r["n_copies"]
+        mixed = mixing.apply_mix(docs, queries.domain_of(), queries.WEIGHTS, percent=50)
+        assert mixed.columns == docs.columns
+        assert Counter((r["doc_id"], r["lang"] or "", r["source"] or "", len([w for w in "".join(" " if c in "\t\n\x0b\x0c\r" else c for c in r["text"] or "").split(" ") if w])) for r in mixed.collect()) == +taken
     assert mixing.mix(empty, queries.domain_of(), {}).count() == 0 and mixing.apply_mix(empty, queries.domain_of(), {}).count() == 0
 
 
+def test_rows_without_ids_are_taken_by_themselves(spark):
+    rows = [(None, "w " * (k + 1), "en", "a") for k in range(40)] + [(None, "w w w", "en", "a")] * 3
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), queries.domain_of(), {}, percent=50).collect()
+    copies = {r["n_tokens"]: set() for r in out}
+    for r in out:
+        copies[r["n_tokens"]].add(r["n_copies"])
+    assert {len(v) for v in copies.values()} == {1} and {c for v in copies.values() for c in v} == {0, 1}
+    total = sum(r["n_tokens"] for r in out)
+    assert sum(r["n_tokens"] * r["n_copies"] for r in out) <= total // 2
+
+
 # -- pipeline ---------------------------------------------------------------------------------------------------------
 def test_pipeline_stages(spark, hard, empty):
     docs, before = hard, None
@@ -266,12 +432,20 @@ def test_pipeline_stages(spark, hard, empty):
         assert stage(spark, empty, SF).count() == 0
 
 
-def test_near_duplicate_stage_keeps_one_of_each(spark, documents):
-    rows = [(r["doc_id"], r["text"]) for r in documents.collect()]
-    want = plain_components([plain_print(t) for _, t in rows], [d for d, _ in rows])
-    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, documents, SF).collect()}
-    assert kept == set(want)
-
-
-def test_pipeline_runs_on_documents(spark):
-    assert corpus_pipeline.run(spark, SF).count() > 100
+def test_pipeline_is_its_stages_in_plain_form(spark, documents):
+    """Up to the texts, plainly: the kept, one of similar ones, rewritten; then each as often as its budget takes it, packed."""
+    docs = documents.select("doc_id", "lang", "source", "text").collect()
+    good, _ = plain_kept([(r["lang"], r["source"], r["text"]) for r in docs])
+    left = [r for r, ok in zip(docs, good, strict=True) if ok]
+    first = plain_survivors([(r["doc_id"], r["text"]) for r in left])
+    left = [r for r in left if r["doc_id"] in first]
+    terms = plain_terms([(r["doc_id"], r["text"]) for r in left])
+    texts = {r["doc_id"]: pii.rewrite(r["text"], plain_spans(r["text"]) + [(a, k, e) for (a, e), k in terms.get(r["doc_id"], {}).items()]) for r in left}
+    clean = spark.createDataFrame([(r["doc_id"], texts[r["doc_id"]], r["lang"], r["source"]) for r in left], "doc_id long, text string, lang string, source string")
+    copies = {r["doc_id"]: r["n_copies"] for r in mixing.mix(clean, queries.domain_of(), queries.WEIGHTS, queries.PERCENT, queries.EPOCHS, queries.SEED).collect()}
+    library, want = Tokenizer.from_file(queries.vocabulary()), Counter()
+    for d, t in texts.items():
+        ids = np.array([*library.encode(t, add_special_tokens=False).ids, 0], "<u4")
+        for k, s in enumerate(range(0, len(ids), queries.CAPACITY)):
+            want[d, k, s, ids[s : s + queries.CAPACITY].tobytes()] += copies[d]
+    assert Counter((r["doc_id"], r["piece"], r["start"], bytes(r["ids"])) for r in corpus_pipeline.run(spark, SF).collect()) == +want
