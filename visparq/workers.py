@@ -1,16 +1,29 @@
-"""Lets Python workers import this package where the session's machines share the checkout."""
+"""Lets Python workers import this package: from the checkout where they share it, else from a copy that Spark ships."""
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-ROOT = str(Path(__file__).resolve().parents[1])
+PACKAGE = Path(__file__).resolve().parent
+ROOT = str(PACKAGE.parent)
+_shipped: set[str] = set()
 
 
 def can_import(spark: SparkSession) -> None:
-    """Put this checkout on the workers' import path; a cluster that ships the package another way is unaffected."""
-    env = spark.sparkContext.environment
-    if ROOT not in env.get("PYTHONPATH", "").split(":"):
-        env["PYTHONPATH"] = ":".join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
+    """In one process with the driver: its checkout on the import path. On a cluster: the package as a zip file, once."""
+    context = spark.sparkContext
+    if context.master.startswith("local"):
+        env = context.environment
+        if ROOT not in env.get("PYTHONPATH", "").split(":"):
+            env["PYTHONPATH"] = ":".join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
+    elif context.applicationId not in _shipped:
+        path = f"{tempfile.mkdtemp()}/{PACKAGE.name}.zip"
+        with zipfile.ZipFile(path, "w") as z:
+            for f in sorted(PACKAGE.rglob("*.py")):
+                z.write(f, f.relative_to(ROOT))
+        context.addPyFile(path)
+        _shipped.add(context.applicationId)
