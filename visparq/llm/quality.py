@@ -104,33 +104,29 @@ def _own_key() -> Column:
     return F.concat(F.lit("2"), F.to_json(F.struct("lang", "source")))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Marked for broadcast only if its size is within the bound."""
-    return F.broadcast(df) if df.count() <= BOUND else df
+def _small(df: DataFrame, few: bool) -> DataFrame:
+    """Marked for broadcast only where there are few groups (BOUND at most)."""
+    return F.broadcast(df) if few else df
 
 
-def _distance() -> Column:
-    """Squared Mahalanobis distance by forward substitution with the covariance's Cholesky root."""
-    solved: list[Column] = []
-    for i, z in enumerate(STATS):
-        rest = reduce(lambda a, j: a - F.col(f"r{i}{j}") * solved[j], range(i), F.col(z) - F.col(f"m{i}"))
-        solved.append(rest / F.col(f"r{i}{i}"))
-    return reduce(lambda a, b: a + b, (s * s for s in solved))
+M, ROOT, COV = [f"m{i}" for i in range(4)], [f"r{i}{j}" for i, j in PAIRS], [f"c{i}{j}" for i, j in PAIRS]
 
 
-def _roots(cov: dict[tuple[int, int], Column]) -> dict[str, Column]:
-    """Cholesky root of a covariance, floors added to its diagonal so that constant statistics stay invertible."""
-    r: dict[tuple[int, int], Column] = {}
-    for i, j in sorted(PAIRS):
-        rest = reduce(lambda a, k: a - r[i, k] * r[j, k], range(j), cov[i, j] + (FLOORS[i] ** 2 if i == j else 0))
-        r[i, j] = F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / r[j, j]
-    return {f"r{i}{j}": c for (i, j), c in r.items()}
+def _with_distance(df: DataFrame) -> DataFrame:
+    """Adds ``d2``, the squared Mahalanobis distance: forward substitution with the covariance's Cholesky root, a column a
+    coordinate. (SQL strings here and below: a tenth of the driver's calls that column objects take.)"""
+    lines = ["(" + " - ".join([f"{z} - m{i}", *(f"r{i}{j} * _s{j}" for j in range(i))]) + f") / r{i}{i} AS _s{i}" for i, z in enumerate(STATS)]
+    return df.selectExpr("*", *lines, " + ".join(f"_s{i} * _s{i}" for i in range(4)) + " AS d2").drop(*(f"_s{i}" for i in range(4)))
 
 
 def _with_roots(df: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep``, centers, roots and the logarithm of the determinant, from centers m0.. and covariances c00.. ."""
-    out = df.select(*keep, *(f"m{i}" for i in range(4)), *(c.alias(n) for n, c in _roots({(i, j): F.col(f"c{i}{j}") for i, j in PAIRS}).items()))
-    return out.withColumn("det", 2 * reduce(lambda a, b: a + b, (F.log(f"r{i}{i}") for i in range(4))))
+    """``keep``, centers, the Cholesky root of the covariance c00.. with floors on its diagonal, the determinant's logarithm."""
+    lines = []
+    for i, j in sorted(PAIRS):
+        rest = " - ".join([f"c{i}{j}" + (f" + {FLOORS[i] ** 2!r}D" if i == j else ""), *(f"r{i}{k} * r{j}{k}" for k in range(j))])
+        lines.append(f"sqrt(greatest({rest}, 1e-9D)) AS r{i}{i}" if i == j else f"({rest}) / r{j}{j} AS r{i}{j}")
+    det = "2 * (" + " + ".join(f"ln(r{i}{i})" for i in range(4)) + ") AS det"
+    return df.selectExpr("*", *lines).selectExpr(*keep, *M, *ROOT, det)
 
 
 def _quantile(binned: DataFrame, keys: list[str], share: float) -> DataFrame:
@@ -143,10 +139,9 @@ def _quantile(binned: DataFrame, keys: list[str], share: float) -> DataFrame:
 
 def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
     """keys, docs, m0.., c00..: count, mean and covariance of weighted rows, sums taken about the centers at hand."""
-    off = [F.col(z) - F.col(f"m{i}") for i, z in enumerate(STATS)]
-    sums = rows.groupBy(*keys, *(f"m{i}" for i in range(4))).agg(F.sum("n").alias("docs"), *(F.sum(F.col("n") * off[i]).alias(f"s{i}") for i in range(4)), *(F.sum(F.col("n") * off[i] * off[j]).alias(f"q{i}{j}") for i, j in PAIRS))
-    mean = [F.col(f"s{i}") / F.col("docs") for i in range(4)]
-    return sums.select(*keys, "docs", *((F.col(f"m{i}") + mean[i]).alias(f"m{i}") for i in range(4)), *((F.col(f"q{i}{j}") / F.col("docs") - mean[i] * mean[j]).alias(f"c{i}{j}") for i, j in PAIRS))
+    off = [f"({z} - m{i})" for i, z in enumerate(STATS)]
+    sums = rows.groupBy(*keys, *M).agg(F.sum("n").alias("docs"), *(F.expr(f"sum(n * {off[i]}) AS s{i}") for i in range(4)), *(F.expr(f"sum(n * {off[i]} * {off[j]}) AS q{i}{j}") for i, j in PAIRS))
+    return sums.selectExpr(*keys, "docs", *(f"m{i} + s{i} / docs AS m{i}" for i in range(4)), *(f"q{i}{j} / docs - s{i} / docs * (s{j} / docs) AS c{i}{j}" for i, j in PAIRS))
 
 
 def cells_of(stats: DataFrame) -> DataFrame:
@@ -159,38 +154,35 @@ def _bin(distance: Column) -> Column:
     return F.floor(F.sqrt(distance) * BINS).alias("bin")
 
 
-def starts(cells: DataFrame) -> DataFrame:
+def starts(cells: DataFrame, few: bool) -> DataFrame:
     """group, start, m0.., r00.., det: three estimates to begin with."""
     line = cells.select("group", "n", F.posexplode(F.array(*(F.round(F.col(z) * GRID).cast("long") for z in STATS))).alias("stat", "bin"))
     median = durable(_quantile(line, ["group", "stat"], 0.5), "medians")
-    near = line.join(_small(median.select("group", "stat", F.col("bin").alias("mid"))), ["group", "stat"]).select("group", "stat", "n", F.abs(F.col("bin") - F.col("mid")).alias("bin"))
+    near = line.join(_small(median.select("group", "stat", F.col("bin").alias("mid")), few), ["group", "stat"]).select("group", "stat", "n", F.abs(F.col("bin") - F.col("mid")).alias("bin"))
     both = median.join(_quantile(near, ["group", "stat"], 0.5).select("group", "stat", (F.col("bin") / GRID * 1.4826).alias("mad")), ["group", "stat"])
-    pick = lambda c: lambda i: F.max(F.when(F.col("stat") == i, c))
-    middle = durable(both.groupBy("group").agg(*(pick(F.col("bin") / GRID)(i).alias(f"m{i}") for i in range(4)), *(F.greatest(pick(F.col("mad"))(i), F.lit(FLOORS[i])).alias(f"d{i}") for i in range(4))), "middles")
-    zero = F.lit(0.0)
-    plain = middle.select("group", F.lit(0).alias("start"), *(f"m{i}" for i in range(4)), *((F.col(f"d{i}") ** 2 if i == j else zero).alias(f"c{i}{j}") for i, j in PAIRS))
-    y = [(F.col(z) - F.col(f"m{i}")) / F.col(f"d{i}") for i, z in enumerate(STATS)]
-    norm = reduce(lambda a, b: a + b, (v * v for v in y))
-    placed = cells.join(_small(middle), "group").withColumn("norm", norm)
-    signs = placed.groupBy("group", *(f"m{i}" for i in range(4)), *(f"d{i}" for i in range(4))).agg(*((4 * F.sum(F.when(F.col("norm") > 0, F.col("n") * y[i] * y[j] / F.col("norm")).otherwise(0.0)) / F.sum("n")).alias(f"u{i}{j}") for i, j in PAIRS))
-    sign = signs.select("group", F.lit(1).alias("start"), *(f"m{i}" for i in range(4)), *((F.col(f"u{i}{j}") * F.col(f"d{i}") * F.col(f"d{j}")).alias(f"c{i}{j}") for i, j in PAIRS))
-    edge = _quantile(placed.select("group", "n", _bin(F.col("norm"))), ["group"], 0.5).select("group", F.col("bin").alias("edge"))
-    half = _moments(placed.withColumn("bin", _bin(F.col("norm"))).join(_small(edge), "group").where("bin <= edge"), ["group"])
-    half = half.select("group", F.lit(2).alias("start"), *(f"m{i}" for i in range(4)), *(f"c{i}{j}" for i, j in PAIRS))
+    middle = durable(both.groupBy("group").agg(*(F.expr(f"max(CASE WHEN stat = {i} THEN bin / {GRID} END) AS m{i}") for i in range(4)), *(F.expr(f"greatest(max(CASE WHEN stat = {i} THEN mad END), {FLOORS[i]!r}D) AS d{i}") for i in range(4))), "middles")
+    plain = middle.selectExpr("group", "0 AS start", *M, *(f"d{i} * d{i} AS c{i}{j}" if i == j else f"0D AS c{i}{j}" for i, j in PAIRS))
+    y = [f"(({z} - m{i}) / d{i})" for i, z in enumerate(STATS)]
+    placed = cells.join(_small(middle, few), "group").selectExpr("*", " + ".join(f"{v} * {v}" for v in y) + " AS norm")
+    signs = placed.groupBy("group", *M, *(f"d{i}" for i in range(4))).agg(*(F.expr(f"4 * sum(CASE WHEN norm > 0 THEN n * {y[i]} * {y[j]} / norm ELSE 0 END) / sum(n) AS u{i}{j}") for i, j in PAIRS))
+    sign = signs.selectExpr("group", "1 AS start", *M, *(f"u{i}{j} * d{i} * d{j} AS c{i}{j}" for i, j in PAIRS))
+    binned = placed.withColumn("bin", _bin(F.col("norm")))
+    edge = _quantile(binned, ["group"], 0.5).withColumnRenamed("bin", "edge")
+    half = _moments(binned.join(_small(edge, few), "group").where("bin <= edge"), ["group"]).selectExpr("group", "2 AS start", *M, *COV)
     return _with_roots(plain.unionByName(sign).unionByName(half), ["group", "start"])
 
 
-def concentrate(cells: DataFrame, now: DataFrame) -> DataFrame:
+def concentrate(cells: DataFrame, now: DataFrame, few: bool) -> DataFrame:
     """One step from each estimate: group, start, m0.., r00.., det of the KEEP share nearest to it."""
-    placed = cells.join(_small(now), "group").withColumn("bin", _bin(_distance()))
+    placed = _with_distance(cells.join(_small(now, few), "group")).withColumn("bin", _bin(F.col("d2")))
     edge = _quantile(placed, ["group", "start"], KEEP).withColumnRenamed("bin", "edge")
-    inner = placed.join(_small(edge), ["group", "start"]).where("bin <= edge")
+    inner = placed.join(_small(edge, few), ["group", "start"]).where("bin <= edge")
     return _with_roots(_moments(inner, ["group", "start"]), ["group", "start"])
 
 
-def _scaled(cells: DataFrame, estimate: DataFrame) -> DataFrame:
+def _scaled(cells: DataFrame, estimate: DataFrame, few: bool) -> DataFrame:
     """``estimate`` with ``scale``: what the squared distances' median is over that of a chi-square, 1 at least."""
-    middle = _quantile(cells.join(_small(estimate), "group").select("group", "n", _bin(_distance())), ["group"], 0.5)
+    middle = _quantile(_with_distance(cells.join(_small(estimate, few), "group")).select("group", "n", _bin(F.col("d2"))), ["group"], 0.5)
     return estimate.join(middle.select("group", F.greatest(F.pow((F.col("bin") + 0.5) / BINS, F.lit(2)) / CHI2_MEDIAN, F.lit(1.0)).alias("scale")), "group")
 
 
@@ -200,10 +192,11 @@ def fit(stats: DataFrame) -> DataFrame:
     ``stats``: lang, source and the vector of the documents that passed the base rules.
     """
     cells = durable(cells_of(stats), "cells")
-    now = durable(starts(cells), "starts")
+    few = cells.agg(F.count_distinct("group")).first()[0] <= BOUND
+    now = durable(starts(cells, few), "starts")
     done = []
     while True:  # a determinant falls by FALL at least in each step and has the floors' as its least
-        after = durable(concentrate(cells, now).join(now.select("group", "start", F.col("det").alias("was")), ["group", "start"]), "steps")
+        after = durable(concentrate(cells, now, few).join(now.select("group", "start", F.col("det").alias("was")), ["group", "start"]), "steps")
         falling = after.where(F.col("det") < F.col("was") - FALL).drop("was")
         done.append(now.join(falling.select("group", "start"), ["group", "start"], "left_anti"))
         if falling.isEmpty():
@@ -211,25 +204,23 @@ def fit(stats: DataFrame) -> DataFrame:
         now = falling
     every = reduce(lambda a, b: a.unionByName(b), done)
     raw = durable(every.groupBy("group").agg(F.min_by(F.struct(*(c for c in every.columns if c != "group")), F.struct("det", "start")).alias("e")).select("group", "e.*"), "least")
-    placed = cells.join(_small(durable(_scaled(cells, raw), "scaled")), "group")
-    weighted = _moments(placed.where(_distance() <= CHI2_INNER * F.col("scale")), ["group"])
+    placed = _with_distance(cells.join(_small(durable(_scaled(cells, raw, few), "scaled"), few), "group"))
+    weighted = _moments(placed.where(F.col("d2") <= CHI2_INNER * F.col("scale")), ["group"])
     own = durable(weighted.withColumn("level", F.substring("group", 1, 1).cast("int")), "reweighted")
-    names = ["docs", *(f"m{i}" for i in range(4)), *(f"c{i}{j}" for i, j in PAIRS)]
-    parent = own.where("level = 0")
-    for level in (1, 2):
-        lang = F.concat(F.lit("1"), F.to_json(F.struct(F.get_json_object(F.substring("group", 2, 1 << 30), "$.lang").alias("lang")))) if level == 2 else F.lit("0")
-        above = parent.select(F.col("group").alias("above"), *(F.col(c).alias(f"p_{c}") for c in names))
-        mixed = lambda c: ((F.col("docs") * F.col(c) + PRIOR * F.col(f"p_{c}")) / (F.col("docs") + PRIOR)).alias(c)
-        parent = own.where(F.col("level") == level).withColumn("above", lang).join(above, "above").select("group", "docs", *(mixed(c) for c in names[1:]))
-    return durable(_scaled(cells, _with_roots(parent, ["group"])), "estimates")
+    names, parent = ["docs", *M, *COV], own.where("level = 0")
+    for level, lang in ((1, "'0'"), (2, "concat('1', to_json(named_struct('lang', get_json_object(substring(group, 2), '$.lang'))))")):
+        above = parent.selectExpr("group AS above", *(f"{c} AS p_{c}" for c in names))
+        mixed = (f"(docs * {c} + {PRIOR} * p_{c}) / (docs + {PRIOR}) AS {c}" for c in names[1:])
+        parent = own.where(f"level = {level}").selectExpr("*", f"{lang} AS above").join(above, "above").selectExpr("group", "docs", *mixed)
+    return durable(_scaled(cells, _with_roots(parent, ["group"]), few), "estimates")
 
 
 def judge(stats: DataFrame, estimates: DataFrame, keep: list[str]) -> DataFrame:
     """``keep``, distance and kept: each document by its own group."""
     keyed = stats.withColumn("group", _own_key())
     joined = keyed.join(F.broadcast(estimates), "group", "left") if estimates.count() <= BOUND else spread_join(keyed, estimates, "group", F.struct(*STATS), "left")
-    distance = F.coalesce(_distance() / F.col("scale"), F.lit(0.0))
-    return joined.select(*keep, distance.alias("distance"), F.when(F.col("base_failed"), False).otherwise(distance <= CUTOFF).alias("kept"))
+    distance = F.coalesce(F.col("d2") / F.col("scale"), F.lit(0.0))
+    return _with_distance(joined).select(*keep, distance.alias("distance"), F.when(F.col("base_failed"), False).otherwise(distance <= CUTOFF).alias("kept"))
 
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
