@@ -22,12 +22,13 @@ WINDOW_FOLD, WINDOW_INK = (0.25, 0.98), (0.0, 1.0)
 ENTRY = "struct<channel:string,hex:string,pixel_count:long,component_count:long,contrast_ratio:double,meets_aa:boolean,measured_against:string,into:string>"
 COLOUR = "struct<hex:string,contrast_ratio:double>"
 PLATEAU = "struct<hex:string,share:double,detection:string,largest_component_share:double>"
+BARE = "struct<hex:string,share:double>"
 FOUND = "struct<hex:string,contrast_ratio:double,pixel_count:long,component_count:long,mean_component_area:long,detected_plateau:boolean,plateau_share:double>"
 DISAGREEMENT = "struct<global_all_meet_aa:boolean,local_all_meet_aa:boolean,local_failing_count:long,local_failing:array<string>>"
 FIT = "struct<applicable:boolean,fraction:double,adequate:boolean>"
 ROW = (
     f"image_id long, left int, top int, width int, height int, background string, background_model string, measurable boolean, verdict string, all_meet_aa boolean, evaluated_count long, failing_count long, passing_count long, "
-    f"worst {COLOUR}, best {COLOUR}, entries array<{ENTRY}>, plateaus array<{PLATEAU}>, fit {FIT}, reconciliation array<{FOUND}>, disagreement {DISAGREEMENT}, truncated boolean, notes array<string>, abstained array<string>"
+    f"worst {COLOUR}, best {COLOUR}, entries array<{ENTRY}>, plateaus array<{PLATEAU}>, plateaus_without_text array<{BARE}>, fit {FIT}, reconciliation array<{FOUND}>, disagreement {DISAGREEMENT}, truncated boolean, notes array<string>, abstained array<string>"
 )
 
 
@@ -189,17 +190,10 @@ def find_plateaus(f: Frame) -> list[Plateau]:
 
 def tile_field(f: Frame) -> tuple[np.ndarray, np.ndarray]:
     """For each pixel of the region: the interpolated background and the noise, from tiles of the whole image."""
-    img, t = f.image.astype(np.float64), S.TILE
-    h, w = img.shape[:2]
-    ny, nx = -(-h // t), -(-w // t)
-    middle, noise = np.zeros((ny, nx, 3)), np.zeros((ny, nx))
-    for ty in range(ny):
-        for tx in range(nx):
-            px = img[ty * t : (ty + 1) * t, tx * t : (tx + 1) * t].reshape(-1, 3)
-            middle[ty, tx] = np.partition(px, len(px) // 2, axis=0)[len(px) // 2]
-            # Per channel about its own median; the noisiest channel counts.
-            noise[ty, tx] = (np.partition(np.abs(px - middle[ty, tx]), len(px) // 2, axis=0)[len(px) // 2] * S.MAD_SCALE).max()
-    axis = lambda at, n: (lambda g: (np.clip(np.floor(g), 0, n - 1).astype(int), np.clip(np.floor(g) + 1, 0, n - 1).astype(int), g - np.floor(g)))((at + 0.5) / t - 0.5)
+    t = S.TILE
+    middle, noise = kernels.tile_noise(f.image, t, S.MAD_SCALE)
+    ny, nx = noise.shape
+    axis = lambda at, n: (lambda g: (np.clip(np.floor(g), 0, n - 1).astype(int), np.clip(np.floor(g) + 1, 0, n - 1).astype(int), g - np.floor(g)))(at / t - 0.5)
     xa, xb, wx = axis(np.arange(f.left, f.left + f.width), nx)
     ya, yb, wy = axis(np.arange(f.top, f.top + f.height), ny)
     at = lambda v, y, x: v[np.ix_(y, x)]
@@ -364,9 +358,14 @@ def measure_region(image: np.ndarray, region: tuple | None = None, o: Options =
     fit = {"applicable": not o.local and not multi, "fraction": None if multi else fraction, "adequate": None if multi else adequate}
     own = [e for e in entries if e["channel"] == "evaluated"]
     failing = [e for e in own if not e["meets_aa"]]
+    # A plateau that no evaluated colour was measured against: nothing is claimed about text on it.
+    met = {g.against for g in evaluated}
+    bare = [p for p in plateaus if multi and not any(d2(p.rgb, c) <= S.PLATEAU_MERGE**2 for c in met)]
+    if bare:
+        notes.append("no assessed text on plateaus: " + ", ".join(f"{hexed(p.rgb)} {100 * p.share:.1f}%" for p in bare) + "; that is not a claim that such text passes")
     out = {
         "left": f.left, "top": f.top, "width": f.width, "height": f.height, "background": hexed(bg), "background_model": "multi-plateau" if multi else "local" if o.local else "global", "measurable": bool(own), "verdict": "unverified", "all_meet_aa": None, "evaluated_count": len(own), "failing_count": len(failing), "passing_count": len(own) - len(failing), "worst": None, "best": None, "entries": entries,
-        "plateaus": [{"hex": hexed(p.rgb), "share": p.share, "detection": p.detection, "largest_component_share": p.largest} for p in plateaus], "fit": fit, "reconciliation": [], "disagreement": None, "truncated": truncated, "notes": notes, "abstained": [],
+        "plateaus": [{"hex": hexed(p.rgb), "share": p.share, "detection": p.detection, "largest_component_share": p.largest} for p in plateaus], "plateaus_without_text": [{"hex": hexed(p.rgb), "share": float(np.floor(p.share * 1000 + 0.5) / 1000)} for p in bare], "fit": fit, "reconciliation": [], "disagreement": None, "truncated": truncated, "notes": notes, "abstained": [],
     }
     if o.plateaus and (panels or multi):
         out["reconciliation"] = _unmasked(image, region, o, own, plateaus)

@@ -1,7 +1,8 @@
 """Reconciliation of what a model read with what OCR read.
 
-Inputs: ``items`` (doc_id, ord, text, confidence, legible, box) and ``words`` (doc_id, ord, text, confidence, box). Both
-sides are normalised once; equality goes through an equi-join, and only containment compares within a document.
+Inputs: ``items`` (doc_id, ord, text, confidence, legible, box) and ``words`` (doc_id, ord, text, confidence, box). Each
+distinct text of a document is normalised and met once. Equality is an equi-join; containment too: what contains a text
+holds the text's first characters somewhere, so the two meet on those and only such pairs are compared.
 """
 
 from __future__ import annotations
@@ -23,18 +24,35 @@ def flatten_words(ocr: DataFrame) -> DataFrame:
     return kept.select("doc_id", "ord", "text", "confidence", "line", F.struct(F.col("bbox.x0").alias("left"), F.col("bbox.y0").alias("top"), (F.col("bbox.x1") - F.col("bbox.x0")).alias("width"), (F.col("bbox.y1") - F.col("bbox.y0")).alias("height")).alias("box"))
 
 
+def met(claims: DataFrame, norms: DataFrame, least: int) -> DataFrame:
+    """doc_id, claim, norm: distinct texts of a document that are equal, or both of ``least`` characters and one in the other.
+
+    ``claims``: doc_id, claim; ``norms``: doc_id, norm; both distinct and not empty."""
+    same = claims.withColumn("norm", F.col("claim")).join(norms, ["doc_id", "norm"], "left_semi").select("doc_id", "claim", "norm")
+    long = lambda c: F.length(c) >= least
+    head = lambda c: F.substring(c, 1, least).alias("gram")
+    inside = claims.where(long("claim")).select("doc_id", "claim", head("claim")).join(norms.select("doc_id", "norm", F.explode(text.grams(F.col("norm"), least)).alias("gram")), ["doc_id", "gram"]).where(F.contains("norm", "claim"))
+    around = claims.select("doc_id", "claim", F.explode(text.grams(F.col("claim"), least)).alias("gram")).join(norms.where(long("norm")).select("doc_id", "norm", head("norm")), ["doc_id", "gram"]).where(F.contains("claim", "norm"))
+    other = inside.unionByName(around).where("claim <> norm").select("doc_id", "claim", "norm")
+    return same.unionByName(other)
+
+
+def _claims(items: DataFrame) -> DataFrame:
+    return items.select("doc_id", text.normalize(F.col("text")).alias("claim")).where("claim <> ''").distinct()
+
+
 def support(items: DataFrame, words: DataFrame) -> DataFrame:
     """doc_id, ord, match, word: the first OCR word that matches an item exactly or by containment.
 
     The first word in OCR order wins, exact or not. Words are grouped by normalised text first, so repeated words meet an
-    item once; containment is decided within a document's distinct words.
+    item once.
     """
     own = words.select("doc_id", "ord", F.col("text").alias("word"), text.normalize(F.col("text")).alias("norm")).where("norm <> ''")
-    distinct = own.groupBy("doc_id", "norm").agg(F.min(F.struct("ord", "word")).alias("first"))
-    said = items.select("doc_id", "ord", text.normalize(F.col("text")).alias("claim")).where("claim <> ''")
-    met = said.join(distinct, "doc_id").withColumn("match", text.match(F.col("claim"), F.col("norm"))).where("match IS NOT NULL")
-    best = met.groupBy("doc_id", "ord").agg(F.min(F.struct(F.col("first.ord").alias("at"), F.col("first.word").alias("word"), "match")).alias("b"))
-    return best.select("doc_id", "ord", "b.match", "b.word")
+    first = own.groupBy("doc_id", "norm").agg(F.min(F.struct("ord", "word")).alias("first"))
+    pairs = met(_claims(items), first.select("doc_id", "norm"), 4).join(first, ["doc_id", "norm"])
+    best = pairs.groupBy("doc_id", "claim").agg(F.min(F.struct(F.col("first.ord").alias("at"), F.col("first.word").alias("word"), F.when(F.col("claim") == F.col("norm"), "exact").otherwise("partial").alias("match"))).alias("b"))
+    said = items.select("doc_id", "ord", text.normalize(F.col("text")).alias("claim"))
+    return said.join(best, ["doc_id", "claim"]).select("doc_id", "ord", "b.match", "b.word")
 
 
 def whole_text(items: DataFrame, words: DataFrame) -> DataFrame:
@@ -64,9 +82,7 @@ def score(supported: Column, plausible: Column, confidence: Column, legible: Col
 def ocr_only(items: DataFrame, words: DataFrame) -> DataFrame:
     """Words (normalised length 3 at least) that no item matches. Decided once for each distinct text of a document."""
     own = words.withColumn("norm", text.normalize(F.col("text"))).where("length(norm) >= 3")
-    said = items.select("doc_id", text.normalize(F.col("text")).alias("claim")).where("claim <> ''").distinct()
-    distinct = own.select("doc_id", "norm").distinct()
-    seen = distinct.join(said, "doc_id").where(text.match(F.col("claim"), F.col("norm")).isNotNull()).select("doc_id", "norm").distinct()
+    seen = met(_claims(items), own.select("doc_id", "norm").distinct(), 4).select("doc_id", "norm").distinct()
     return own.join(seen, ["doc_id", "norm"], "left_anti").drop("norm")
 
 
@@ -98,14 +114,14 @@ def agreement(reconciled: DataFrame) -> DataFrame:
     )
 
 
-def contested(claims: DataFrame, words: DataFrame) -> DataFrame:
-    """doc_id, ord, contest_type, by: unreadable claims against OCR words: those that the claim names, else the first 12 for
-    a general excuse."""
+def contested(claims: DataFrame, words: DataFrame, blanket: int = 12) -> DataFrame:
+    """doc_id, ord, contest_type, by: unreadable claims against OCR words: those that the claim names (three characters at
+    least), all of them in OCR order; without any, the first words for a general excuse."""
     own = words.select("doc_id", F.col("ord").alias("at"), F.col("text").alias("word"), text.normalize(F.col("text")).alias("norm"))
-    said = claims.select("doc_id", "ord", "text", text.normalize(F.col("text")).alias("claim"))
-    named = (F.length("norm") >= 3) & (F.length("claim") >= 3) & (F.contains("claim", "norm") | F.contains("norm", "claim"))
-    met = said.join(own, "doc_id").withColumn("named", named)
-    first = lambda c, n: F.transform(F.slice(F.sort_array(c), 1, n), lambda w: w["word"])
-    rows = met.groupBy("doc_id", "ord", "text").agg(F.collect_list(F.when(F.col("named"), F.struct("at", "word"))).alias("precise"), F.collect_list(F.when(F.col("at") < 12, F.struct("at", "word"))).alias("blanket"))
-    kind = F.when(F.size("precise") > 0, "precise").when(F.col("text").rlike(EXCUSES), "blanket")
-    return rows.withColumn("contest_type", kind).where("contest_type IS NOT NULL").select("doc_id", "ord", "contest_type", F.array_join(F.when(F.col("contest_type") == "precise", first("precise", 1_000_000)).otherwise(first("blanket", 12)), ",").alias("by"))
+    named = met(_claims(claims).where("length(claim) >= 3"), own.where("length(norm) >= 3").select("doc_id", "norm").distinct(), 3)
+    listed = lambda: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "word"))), lambda w: w["word"]), ",")
+    precise = named.join(own, ["doc_id", "norm"]).groupBy("doc_id", "claim").agg(listed().alias("precise"))
+    first = own.where(F.col("at") < blanket).groupBy("doc_id").agg(listed().alias("blanket"))
+    said = claims.select("doc_id", "ord", "text", text.normalize(F.col("text")).alias("claim")).join(precise, ["doc_id", "claim"], "left").join(first, "doc_id", "left")
+    kind = F.when(F.col("precise").isNotNull(), "precise").when(F.col("blanket").isNotNull() & F.col("text").rlike(EXCUSES), "blanket")
+    return said.withColumn("contest_type", kind).where("contest_type IS NOT NULL").select("doc_id", "ord", "contest_type", F.coalesce("precise", "blanket").alias("by"))

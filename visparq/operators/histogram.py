@@ -78,14 +78,18 @@ def diff(before: DataFrame, after: DataFrame, threshold: int = 15) -> DataFrame:
 
 
 def tile_background(pixels: DataFrame, tile: int) -> DataFrame:
-    """image_id, tx, ty, r, g, b (upper medians) and sigma (scaled upper median of the distances to them)."""
-    placed = pixels.select("image_id", F.expr(f"x div {tile}").alias("tx"), F.expr(f"y div {tile}").alias("ty"), "r", "g", "b")
-    upper = lambda c: F.sort_array(F.collect_list(c))[F.expr("CAST(count(*) div 2 AS INT)")]
-    # A tile is at most tile * tile pixels, so each list is bounded.
-    middle = placed.groupBy("image_id", "tx", "ty").agg(*(upper(c).alias(f"m{c}") for c in "rgb"))
-    off = F.sqrt(color.distance2((F.col("r"), F.col("g"), F.col("b")), (F.col("mr"), F.col("mg"), F.col("mb"))).cast("double"))
-    spread = placed.join(middle, ["image_id", "tx", "ty"]).select("image_id", "tx", "ty", "mr", "mg", "mb", off.alias("d"))
-    return spread.groupBy("image_id", "tx", "ty", "mr", "mg", "mb").agg((upper("d") * S.MAD_SCALE).alias("sigma"))
+    """image_id, tx, ty, mr, mg, mb (upper medians) and sigma: the median absolute deviation, about their own median, of the
+    pixels' distances to them, scaled to a standard deviation (upper medians too).
+
+    A tile is at most tile * tile pixels, so its list is bounded; everything after it is array functions, nothing is joined.
+    """
+    placed = pixels.select("image_id", F.expr(f"x div {tile}").alias("tx"), F.expr(f"y div {tile}").alias("ty"), F.struct("r", "g", "b").alias("p"))
+    tiles = placed.groupBy("image_id", "tx", "ty").agg(F.collect_list("p").alias("px"))
+    upper = lambda a: F.get(F.sort_array(a), F.expr("CAST(size(px) div 2 AS INT)"))
+    middle = tiles.select("*", *(upper(F.col(f"px.{c}")).alias(f"m{c}") for c in "rgb"))
+    away = middle.withColumn("d", F.transform("px", lambda p: F.sqrt(color.distance2(tuple(p[c] for c in "rgb"), tuple(F.col(f"m{c}") for c in "rgb")).cast("double"))))
+    centred = away.withColumn("md", upper(F.col("d")))
+    return centred.select("image_id", "tx", "ty", "mr", "mg", "mb", (upper(F.transform("d", lambda v: F.abs(v - F.col("md")))) * S.MAD_SCALE).alias("sigma"))
 
 
 def tile_interpolation(pixels: DataFrame, tiles: DataFrame, tile: int) -> DataFrame:
@@ -94,7 +98,7 @@ def tile_interpolation(pixels: DataFrame, tiles: DataFrame, tile: int) -> DataFr
     The tiles travel as one array an image (tiles are few), so pixels are not joined four times.
     """
     grid = tiles.groupBy("image_id").agg(F.max("tx").alias("nx"), F.max("ty").alias("ny"), F.map_from_entries(F.collect_list(F.struct(F.struct("tx", "ty"), F.struct("mr", "mg", "mb", "sigma")))).alias("grid"))
-    fx, fy = (F.col("x") + 0.5) / tile - 0.5, (F.col("y") + 0.5) / tile - 0.5
+    fx, fy = F.col("x") / tile - 0.5, F.col("y") / tile - 0.5
     x0, y0 = F.floor(fx), F.floor(fy)
     clip = lambda v, n: F.greatest(F.lit(0), F.least(F.col(n), v)).cast("int")
     tx = fx - x0

@@ -102,17 +102,17 @@ def clusters(grouped: DataFrame, tolerance: int = S.CLUSTER_TOLERANCE) -> DataFr
 
 
 def channels(grouped: DataFrame, areas: DataFrame, local: bool = False, floor: int = S.COLOUR_FLOOR, noise: float = S.NOISE_CEILING, region: float = S.REGION_CONTRAST) -> DataFrame:
-    """image_id, key, channel, ratio: each colour in exactly one channel, by the first rule that takes it."""
+    """image_id, key, channel, ratio, raw (the ratio unrounded): each colour in one channel, by the first rule that takes it."""
     ratio = color.contrast(color.luminance(*color.unpack(F.col("key"))), color.luminance(*color.unpack(F.col("bg"))))
     own = grouped.join(areas, "image_id").withColumns({"raw": ratio, "mean": F.col("pixels") / F.col("pieces")})
     independent = (F.col("pieces") >= S.TEXT_COMPONENTS) & (F.col("mean") >= S.TEXT_MEAN)
     wide = (F.col("raw") < region) & ((F.col("mean") / F.col("area") > S.REGION_SHARE) | ((F.col("pixels") / F.col("area") > S.REGION_SHARE) & (F.col("fill_sum") / F.col("pieces") >= S.REGION_FILL)))
     channel = F.when(F.col("structural") == F.col("pieces"), "excluded").when(F.col("pixels") < floor, "skipped").when(F.lit(local) & (F.col("raw") < noise) & ~independent, "suspected_noise").when(wide, "background_region").otherwise("evaluated")
-    return own.select("image_id", F.col("key").cast("long").alias("key"), channel.alias("channel"), color.round2(F.col("raw")).alias("ratio"))
+    return own.select("image_id", F.col("key").cast("long").alias("key"), channel.alias("channel"), color.round2(F.col("raw")).alias("ratio"), "raw")
 
 
 def verdicts(routed: DataFrame, required: float = 4.5) -> DataFrame:
-    """Per image: worst, best, failing, passing, all_meet_aa (null without colours) and the verdict."""
-    ok = F.col("channel") == "evaluated"
-    own = routed.groupBy("image_id").agg(F.min(F.when(ok, F.col("ratio"))).alias("worst"), F.max(F.when(ok, F.col("ratio"))).alias("best"), F.count_if(ok & (F.col("ratio") < required)).alias("failing"), F.count_if(ok & (F.col("ratio") >= required)).alias("passing"), F.bool_and(F.when(ok, F.col("ratio") >= required)).alias("all_meet_aa"))
+    """Per image: worst, best, failing, passing, all_meet_aa (null without colours) and the verdict; judged before rounding."""
+    taken, meets = F.col("channel") == "evaluated", F.col("raw") >= required - 1e-9
+    own = routed.groupBy("image_id").agg(F.min(F.when(taken, F.col("ratio"))).alias("worst"), F.max(F.when(taken, F.col("ratio"))).alias("best"), F.count_if(taken & ~meets).alias("failing"), F.count_if(taken & meets).alias("passing"), F.bool_and(F.when(taken, meets)).alias("all_meet_aa"))
     return own.withColumn("verdict", F.when(F.col("all_meet_aa").isNull(), "unverified").when(F.col("all_meet_aa"), "clean").otherwise("failing"))

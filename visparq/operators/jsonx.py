@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from copy import deepcopy
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -64,13 +64,54 @@ def dump(value, pretty: bool) -> str:
     return json.dumps(number(value), ensure_ascii=False, indent=2 if pretty else None, separators=(",", ": " if pretty else ":"))
 
 
-def _walk(node, path="$"):
-    """(container, key, path, child) of everything inside, parents first."""
-    pairs = enumerate(node) if isinstance(node, list) else node.items() if isinstance(node, dict) else ()
-    for k, child in list(pairs):
-        at = f"{path}[{k}]" if isinstance(node, list) else f"{path}.{k}"
-        yield node, k, at, child
-        yield from _walk(child, at)
+def _places(node, at: tuple = ()) -> Iterator[tuple[tuple, object]]:
+    """(path, value) of a document's parts, parents first."""
+    yield at, node
+    inner = enumerate(node) if isinstance(node, list) else node.items() if isinstance(node, dict) else ()
+    for k, child in inner:
+        yield from _places(child, (*at, k))
+
+
+def _named(path: tuple) -> str:
+    return "$" + "".join(f"[{k}]" if isinstance(k, int) else f".{k}" for k in path)
+
+
+def _cut(node, edits: dict[tuple, int | str], at: tuple = ()):
+    """The document with edits by path: a number keeps that many items of a list, a text stands for a text."""
+    edit = edits.get(at)
+    if isinstance(edit, str):
+        return edit
+    if isinstance(node, list):
+        return [_cut(child, edits, (*at, k)) for k, child in enumerate(node[:edit])]
+    return {k: _cut(child, edits, (*at, k)) for k, child in node.items()} if isinstance(node, dict) else node
+
+
+def _least(low: int, high: int, good: Callable[[int], bool]) -> int:
+    """The least number in low..high that is good, if those above a good one are too; ``high`` if none is."""
+    while low < high:
+        middle = (low + high) // 2
+        low, high = (low, middle) if good(middle) else (middle + 1, high)
+    return low
+
+
+def _trimmed(value, budget: int) -> tuple[object, list[dict]]:
+    """As few long texts shortened, longest first, and then as few items of the longest lists left out as fit the budget."""
+    edits: dict[tuple, int | str] = {}
+    fits = lambda more: units(dump(_cut(value, edits | more), True)) <= budget
+    texts = sorted(((p, units(t)) for p, t in _places(value) if p and isinstance(t, str) and units(t) > LONG_TEXT), key=lambda x: -x[1])
+    short = [(p, CUT_TEXT.format(n)) for p, n in texts]
+    many = _least(0, len(short), lambda k: fits(dict(short[:k])))
+    edits |= dict(short[:many])
+    actions = [{"action": "shortened_string", "path": _named(p), "original_chars": n} for p, n in texts[:many]]
+    for _ in range(ROUNDS):
+        lists = [(p, len(x)) for p, x in _places(_cut(value, edits)) if isinstance(x, list) and len(x) > 1]
+        if not lists or fits({}):
+            break
+        path, was = max(lists, key=lambda x: x[1])
+        gone = _least(1, was - 1, lambda k: fits({path: was - k}))  # noqa: B023
+        edits[path] = was - gone
+        actions.append({"action": "dropped_array_items", "path": _named(path), "dropped": gone, "remaining": was - gone, "was": was})
+    return _cut(value, edits), actions
 
 
 def _contrast(value: dict) -> dict | None:
@@ -110,24 +151,7 @@ def bound_json(value, most: int = S.RESPONSE_CHARS) -> str:
     for pretty in (True, False):
         if units(text := dump(value, pretty)) <= most:
             return text
-    value, budget, actions = deepcopy(value), max(LEAST_BUDGET, most - RESERVE), []
-    over = lambda: units(dump(value, True)) > budget
-    longest = sorted((x for x in _walk(value) if isinstance(x[3], str) and units(x[3]) > LONG_TEXT), key=lambda x: -units(x[3]))
-    for node, key, path, child in longest:
-        if not over():
-            break
-        node[key] = CUT_TEXT.format(units(child))
-        actions.append({"action": "shortened_string", "path": path, "original_chars": units(child)})
-    for _ in range(ROUNDS):
-        arrays = [("$", value)] if isinstance(value, list) else []
-        arrays = sorted((x for x in [*arrays, *((p, c) for _, _, p, c in _walk(value) if isinstance(c, list))] if len(x[1]) > 1), key=lambda x: -len(x[1]))
-        if not over() or not arrays:
-            break
-        path, own = arrays[0]
-        was = len(own)
-        while len(own) > 1 and over():
-            own.pop()
-        actions.append({"action": "dropped_array_items", "path": path, "dropped": was - len(own), "remaining": len(own), "was": was})
+    value, actions = _trimmed(value, max(LEAST_BUDGET, most - RESERVE))
     cut = {"truncated": True, "max_chars": most, "actions": actions}
     forms = [(value, "Texts were shortened or lists trimmed so that this stays valid JSON; trimmed lists are incomplete."), (_reduced(value, True), "Reduced to the verdict and its disclosures; lists of colours were dropped."), (_reduced(value, False), None)]
     for k, (form, note) in enumerate(forms):

@@ -95,3 +95,28 @@ def enclosed_hole(solid: np.ndarray) -> int:
     value, count = np.unique(labels[labels >= 0], return_counts=True)
     inner = count[~np.isin(value, edge)]
     return int(inner.max()) if len(inner) else 0
+
+
+def upper_median(a: np.ndarray) -> np.ndarray:
+    """The upper median along the last axis but one of (.., n, channels)."""
+    return np.partition(a, a.shape[-2] // 2, axis=-2)[..., a.shape[-2] // 2, :]
+
+
+def tile_noise(image: np.ndarray, tile: int, scale: float) -> tuple[np.ndarray, np.ndarray]:
+    """Each tile's median colour (upper medians by channel) and noise: the median absolute deviation, about their own median,
+    of the pixels' distances to that colour, scaled. All whole tiles are taken at once, then the edges'."""
+    h, w = image.shape[:2]
+    ny, nx = -(-h // tile), -(-w // tile)
+    middle, noise = np.zeros((ny, nx, 3)), np.zeros((ny, nx))
+    for ys, y0 in ((tile, 0), (h % tile, h // tile)):
+        for xs, x0 in ((tile, 0), (w % tile, w // tile)):
+            my, mx = (h // tile if ys == tile and not y0 else int(ys > 0)), (w // tile if xs == tile and not x0 else int(xs > 0))
+            if not my or not mx:
+                continue
+            part = image[y0 * tile : y0 * tile + my * ys, x0 * tile : x0 * tile + mx * xs].astype(np.float64)
+            px = part.reshape(my, ys, mx, xs, 3).swapaxes(1, 2).reshape(my, mx, ys * xs, 3)
+            mid = upper_median(px)
+            d = np.sqrt(((px - mid[:, :, None]) ** 2).sum(-1))[..., None]
+            own = np.s_[y0 : y0 + my, x0 : x0 + mx]
+            middle[own], noise[own] = mid, upper_median(np.abs(d - upper_median(d)[:, :, None]))[..., 0] * scale
+    return middle, noise

@@ -69,11 +69,11 @@ def model_residency(spark, sf):
 def diff_image(spark, sf):
     one = pixels.images(spark, sf)
     other = one.select((F.col("image_id") - 1).alias("image_id"), F.col("data").alias("other"))
-    return files.difference(one.join(other, "image_id"), 15).select("image_id", "changed", F.lower(F.hex(F.substring("data", 1, 24))).alias("head"))
+    return files.difference(one.join(other, "image_id"), 15).select("image_id", "changed", F.lower(F.hex("data")).alias("pixels"))
 
 
 DIFF_SQL = f"""WITH g AS ({pixels.GRAY}), d AS (SELECT a.image_id, a.y * 8 + a.x AS i, a.v, 3 * abs(a.v - b.v) > 45 AS hit FROM g a JOIN g b ON b.image_id - 1 = a.image_id AND a.x = b.x AND a.y = b.y)
-SELECT image_id, count(*) FILTER (hit) AS changed, string_agg(CASE WHEN hit THEN 'ff0000' ELSE repeat(printf('%02x', v // 3), 3) END, '' ORDER BY i) FILTER (i < 8) AS head FROM d GROUP BY image_id"""
+SELECT image_id, count(*) FILTER (hit) AS changed, string_agg(CASE WHEN hit THEN 'ff0000' ELSE repeat(printf('%02x', v // 3), 3) END, '' ORDER BY i) AS pixels FROM d GROUP BY image_id"""
 
 
 def feedback_files(spark, sf):

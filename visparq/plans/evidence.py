@@ -1,12 +1,13 @@
 """Queries of reconciliation, each with the same query in SQL.
 
-A document's first 40 words stand for what OCR read; its claims are every fifth of them (some cut, some altered) and words
-that are not there. That prefix is the fixture, not a limit of the operators.
+A document's words stand for what OCR read, all of them; its claims are the same words, some as they are, some marked, some
+cut, and some that are not there.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from visparq.functions import text
 from visparq.operators import evidence
@@ -16,15 +17,15 @@ CROP = (0, 0, 300, 200)
 
 
 def words(spark, sf):
-    own = table(spark, sf, "documents").select("doc_id", F.posexplode(F.slice(F.filter(F.split("text", "[ \n]+"), lambda w: w != ""), 1, 40)).alias("ord", "text"))
+    own = table(spark, sf, "documents").select("doc_id", F.posexplode(F.filter(F.split("text", "[ \n]+"), lambda w: w != "")).alias("ord", "text"))
     return own.select("doc_id", F.col("ord").cast("long").alias("ord"), "text", (50.0 + F.col("ord") % 50).alias("confidence"))
 
 
-WORDS = "SELECT doc_id, (i - 1)::BIGINT AS ord, w[i] AS text, (50 + (i - 1) % 50)::DOUBLE AS confidence FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\n]+'), lambda x: x <> '') AS w FROM documents), (SELECT unnest(range(1, 41)) AS i) WHERE i <= len(w)"
+WORDS = "SELECT doc_id, ord::BIGINT AS ord, text, (50 + ord % 50)::DOUBLE AS confidence FROM (SELECT doc_id, unnest(w) AS text, unnest(range(len(w))) AS ord FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\n]+'), lambda x: x <> '') AS w FROM documents))"
 
 
 def items(spark, sf):
-    own = words(spark, sf).where("ord % 5 = 0")
+    own = words(spark, sf)
     k = F.col("doc_id") + F.col("ord")
     said = F.when(k % 4 == 0, F.col("text")).when(k % 4 == 1, F.concat(F.lit("«"), "text", F.lit("!"))).when(k % 4 == 2, F.substring("text", 1, 4)).otherwise(F.concat(F.lit("zq"), k.cast("string"), F.lit("xv")))
     box = F.when(k % 3 > 0, F.struct((k % 500).cast("double").alias("left"), F.lit(10.0).alias("top"), (k % 60).cast("double").alias("width"), F.lit(20.0).alias("height")))
@@ -32,15 +33,17 @@ def items(spark, sf):
 
 
 _K = "(doc_id + ord)"
-ITEMS = f"SELECT doc_id, ord, CASE {_K} % 4 WHEN 0 THEN text WHEN 1 THEN '«' || text || '!' WHEN 2 THEN left(text, 4) ELSE 'zq' || {_K} || 'xv' END AS text, CASE WHEN {_K} % 6 > 0 THEN ({_K} % 10) / 10.0::DOUBLE END AS confidence, {_K} % 7 > 0 AS legible, {_K} % 3 > 0 AS has_box, ({_K} % 500)::DOUBLE AS l, ({_K} % 60)::DOUBLE AS w FROM words WHERE ord % 5 = 0"
+ITEMS = f"SELECT doc_id, ord, CASE {_K} % 4 WHEN 0 THEN text WHEN 1 THEN '«' || text || '!' WHEN 2 THEN left(text, 4) ELSE 'zq' || {_K} || 'xv' END AS text, CASE WHEN {_K} % 6 > 0 THEN ({_K} % 10) / 10.0::DOUBLE END AS confidence, {_K} % 7 > 0 AS legible, {_K} % 3 > 0 AS has_box, ({_K} % 500)::DOUBLE AS l, ({_K} % 60)::DOUBLE AS w FROM words"
 NORM = "regexp_replace(lower({0}), '[^a-z0-9]', '', 'g')"
 MATCH = "({a} <> '' AND {b} <> '' AND ({a} = {b} OR (length({a}) >= 4 AND length({b}) >= 4 AND (contains({a}, {b}) OR contains({b}, {a})))))"
 BASE = f"""words AS ({WORDS}), items AS ({ITEMS}), wn AS (SELECT *, {NORM.format('text')} AS n FROM words), it AS (SELECT *, {NORM.format('text')} AS n FROM items WHERE trim(text) <> ''),
-met AS (SELECT it.doc_id, it.ord, wn.ord AS pos, wn.text AS word, CASE WHEN it.n = wn.n THEN 'exact' ELSE 'partial' END AS match FROM it JOIN wn ON it.doc_id = wn.doc_id AND {MATCH.format(a='it.n', b='wn.n')}),
-sup AS (SELECT doc_id, ord, match, word FROM met QUALIFY row_number() OVER (PARTITION BY doc_id, ord ORDER BY pos) = 1),
+wd AS (SELECT doc_id, n, min(ord) AS pos, arg_min(text, ord) AS word FROM wn WHERE n <> '' GROUP BY doc_id, n), cd AS (SELECT DISTINCT doc_id, n FROM it WHERE n <> ''),
+pairs AS (SELECT c.doc_id, c.n AS claim, w.n AS norm, w.pos, w.word, CASE WHEN c.n = w.n THEN 'exact' ELSE 'partial' END AS match FROM cd c JOIN wd w ON c.doc_id = w.doc_id AND {MATCH.format(a='c.n', b='w.n')}),
+best AS (SELECT doc_id, claim, match, word FROM pairs QUALIFY row_number() OVER (PARTITION BY doc_id, claim ORDER BY pos) = 1),
+sup AS (SELECT it.doc_id, it.ord, best.match, best.word FROM it JOIN best ON best.doc_id = it.doc_id AND best.claim = it.n),
 full_text AS (SELECT doc_id, {NORM.format("string_agg(text, ' ' ORDER BY ord)")} AS f FROM words GROUP BY doc_id),
 byt AS (SELECT it.doc_id, it.ord FROM it JOIN full_text t ON t.doc_id = it.doc_id WHERE length(it.n) >= 4 AND contains(t.f, it.n)),
-only_ocr AS (SELECT * FROM wn WHERE length(n) >= 3 AND NOT EXISTS (SELECT 1 FROM it WHERE it.doc_id = wn.doc_id AND {MATCH.format(a='it.n', b='wn.n')}))"""
+only_ocr AS (SELECT * FROM wn WHERE length(n) >= 3 AND NOT EXISTS (SELECT 1 FROM pairs p WHERE p.doc_id = wn.doc_id AND p.norm = wn.n))"""
 REC = BASE + f""", j AS (SELECT it.*, sup.match, sup.word, byt.ord IS NOT NULL AS by_text, CASE WHEN has_box THEN greatest(0, least(300, l + w) - l) * 20 / greatest(1, w * 20) >= 0.5 END AS in_crop FROM it LEFT JOIN sup USING (doc_id, ord) LEFT JOIN byt USING (doc_id, ord)),
 s AS (SELECT *, match IS NOT NULL OR by_text AS supported, coalesce(has_box AND w > 0, false) AND coalesce(in_crop, true) AS plausible, coalesce(confidence, 0.5) AS c FROM j),
 rec AS (SELECT doc_id, ord, trim(text) AS text, CASE WHEN supported THEN 'vl+ocr' WHEN plausible THEN 'vl' ELSE 'unverified' END AS source,
@@ -54,9 +57,11 @@ def normalize_text(spark, sf):
 
 
 def text_match(spark, sf):
-    b = table(spark, sf, "benchmark").select("item_id", text.normalize(F.col("text")).alias("b"))
-    own = words(spark, sf).where("ord < 3").select("doc_id", "ord", text.normalize(F.col("text")).alias("a"), (F.col("doc_id") % 20).alias("item_id"))
-    return own.join(b, "item_id").select("doc_id", "ord", text.match(F.col("a"), F.col("b")).alias("match"))
+    """Every word against the benchmark item that its document is dealt."""
+    items = table(spark, sf, "benchmark").select("item_id", text.normalize(F.col("text")).alias("b"))
+    dealt = items.select(F.row_number().over(Window.orderBy("item_id")).alias("k"), "b")  # the benchmark is a small list
+    own = words(spark, sf).select("doc_id", "ord", text.normalize(F.col("text")).alias("a"), (F.col("doc_id") % items.count() + 1).alias("k"))
+    return own.join(F.broadcast(dealt), "k").select("doc_id", "ord", text.match(F.col("a"), F.col("b")).alias("match"))
 
 
 def ocr_support(spark, sf):
@@ -100,7 +105,7 @@ SELECT doc_id, ord, CASE WHEN k > 0 THEN 'precise' ELSE 'blanket' END AS contest
 
 
 def flatten_words(spark, sf):
-    w = words(spark, sf).where("ord < 12")
+    w = words(spark, sf)
     line = F.expr("ord div 4")
     word = F.struct("ord", F.struct(F.when(F.col("ord") % 5 == 4, F.lit(" ")).otherwise(F.col("text")).alias("text"), "confidence", F.when(F.col("ord") % 7 != 3, F.struct(F.col("ord").cast("double").alias("x0"), F.lit(1.0).alias("y0"), (F.col("ord") + 9.0).alias("x1"), F.lit(5.0).alias("y1"))).alias("bbox")).alias("w"))
     lines = w.groupBy("doc_id", line.alias("line")).agg(F.sort_array(F.collect_list(F.struct("ord", "text"))).alias("t"), F.transform(F.array_sort(F.collect_list(word), lambda a, b: (a["ord"] - b["ord"]).cast("int")), lambda x: x["w"]).alias("words"))
@@ -110,12 +115,12 @@ def flatten_words(spark, sf):
     return evidence.flatten_words(ocr).select("doc_id", F.col("ord").cast("long").alias("ord"), "text", "confidence", "line", F.col("box.left").alias("left"), F.col("box.width").alias("width"))
 
 
-FLAT = f"""WITH w AS (SELECT * FROM ({WORDS}) WHERE ord < 12), l AS (SELECT doc_id, ord // 4 AS line_no, string_agg(text, ' ' ORDER BY ord) AS line FROM w GROUP BY doc_id, ord // 4)
+FLAT = f"""WITH w AS ({WORDS}), l AS (SELECT doc_id, ord // 4 AS line_no, string_agg(text, ' ' ORDER BY ord) AS line FROM w GROUP BY doc_id, ord // 4)
 SELECT w.doc_id, w.ord, w.text, w.confidence, l.line, w.ord::DOUBLE AS "left", 9.0::DOUBLE AS width FROM w JOIN l ON l.doc_id = w.doc_id AND l.line_no = w.ord // 4 WHERE w.ord % 5 <> 4 AND w.ord % 7 <> 3"""
 
 QUERIES = {
     "normalize_text": (normalize_text, f"SELECT doc_id, ord, {NORM.format('text')} AS norm FROM ({WORDS})"),
-    "text_match": (text_match, f"WITH a AS (SELECT doc_id, ord, {NORM.format('text')} AS a FROM ({WORDS}) WHERE ord < 3), b AS (SELECT item_id, {NORM.format('text')} AS b FROM benchmark) SELECT doc_id, ord, CASE WHEN a <> '' AND a = b THEN 'exact' WHEN {MATCH.format(a='a', b='b')} THEN 'partial' END AS match FROM a JOIN b ON item_id = doc_id % 20"),
+    "text_match": (text_match, f"WITH a AS (SELECT doc_id, ord, {NORM.format('text')} AS a FROM ({WORDS})), b AS (SELECT row_number() OVER (ORDER BY item_id) AS k, count(*) OVER () AS n, {NORM.format('text')} AS b FROM benchmark) SELECT doc_id, ord, CASE WHEN a <> '' AND a = b THEN 'exact' WHEN {MATCH.format(a='a', b='b')} THEN 'partial' END AS match FROM a JOIN b ON k = doc_id % n + 1"),
     "ocr_support": (ocr_support, f"WITH {BASE} SELECT * FROM sup"),
     "ocr_full_text": (ocr_full_text, f"WITH {BASE} SELECT * FROM byt"),
     "ocr_only": (ocr_only, f"WITH {BASE} SELECT doc_id, ord, text FROM only_ocr"),

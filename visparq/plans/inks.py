@@ -46,7 +46,7 @@ comps AS (SELECT image_id, label, bg, key, area, "left", top, width, height, flo
 GRP = INK + f", grp AS (SELECT image_id, key, bg, sum(area)::BIGINT AS pixels, count(*) AS pieces, sum(fill) AS fill_sum, any_value({D2.format(a='key', b='bg')}) AS d2 FROM comps GROUP BY image_id, key, bg)"
 RAW = "((greatest({l1}, {l2}) + 0.05) / (least({l1}, {l2}) + 0.05))".format(l1=lum("key // 65536", "(key // 256 % 256)", "(key % 256)"), l2=lum("bg // 65536", "(bg // 256 % 256)", "(bg % 256)"))
 CHAN = GRP.replace("> 3600", "> 16") + f""", raw AS (SELECT *, {RAW} AS raw, pixels::DOUBLE / pieces AS mean FROM grp),
-chan AS (SELECT image_id, key::BIGINT AS key, CASE WHEN pixels < {S.COLOUR_FLOOR} THEN 'skipped' WHEN raw < {NOISE} AND NOT (pieces >= 3 AND mean >= 100) THEN 'suspected_noise' WHEN raw < {REGION} AND (mean / 64 > {S.REGION_SHARE} OR (pixels / 64.0 > {S.REGION_SHARE} AND fill_sum / pieces >= {S.REGION_FILL})) THEN 'background_region' ELSE 'evaluated' END AS channel, floor(raw * 100 + 0.5) / 100 AS ratio FROM raw)"""
+chan AS (SELECT image_id, key::BIGINT AS key, CASE WHEN pixels < {S.COLOUR_FLOOR} THEN 'skipped' WHEN raw < {NOISE} AND NOT (pieces >= 3 AND mean >= 100) THEN 'suspected_noise' WHEN raw < {REGION} AND (mean / 64 > {S.REGION_SHARE} OR (pixels / 64.0 > {S.REGION_SHARE} AND fill_sum / pieces >= {S.REGION_FILL})) THEN 'background_region' ELSE 'evaluated' END AS channel, floor(raw * 100 + 0.5) / 100 AS ratio, raw FROM raw)"""
 
 
 def ink_components(spark, sf):
@@ -101,15 +101,15 @@ def _routed(spark, sf, local=True):
 
 
 def channels(spark, sf):
-    return _routed(spark, sf)
+    return _routed(spark, sf).drop("raw")
 
 
 def noise_partition(spark, sf):
-    return _routed(spark, sf).where("channel = 'suspected_noise'")
+    return _routed(spark, sf).where("channel = 'suspected_noise'").drop("raw")
 
 
 def region_backstop(spark, sf):
-    return _routed(spark, sf, False).where("channel = 'background_region'")
+    return _routed(spark, sf, False).where("channel = 'background_region'").drop("raw")
 
 
 def ink_verdicts(spark, sf):
@@ -162,10 +162,10 @@ QUERIES = {
     "second_ink": (second_ink, SECOND),
     "colour_groups": (colour_groups, f"WITH {GRP} SELECT image_id, key::BIGINT AS key, bg::BIGINT AS bg, pixels, pieces, d2::BIGINT AS d2, floor(fill_sum * 1e4 + 0.5) / 1e4 AS fill_sum FROM grp"),
     "colour_clusters": (colour_clusters, CLUSTERS),
-    "channels": (channels, f"WITH {CHAN} SELECT * FROM chan"),
-    "noise_partition": (noise_partition, f"WITH {CHAN} SELECT * FROM chan WHERE channel = 'suspected_noise'"),
-    "region_backstop": (region_backstop, f"WITH {CHAN.replace(f'raw < {NOISE} AND NOT', 'false AND NOT')} SELECT * FROM chan WHERE channel = 'background_region'"),
-    "ink_verdicts": (ink_verdicts, f"WITH {CHAN}, v AS (SELECT image_id, min(ratio) FILTER (channel = 'evaluated') AS worst, max(ratio) FILTER (channel = 'evaluated') AS best, count(*) FILTER (channel = 'evaluated' AND ratio < 4.5) AS failing, count(*) FILTER (channel = 'evaluated' AND ratio >= 4.5) AS passing, bool_and(ratio >= 4.5) FILTER (channel = 'evaluated') AS all_meet_aa FROM chan GROUP BY image_id) SELECT *, CASE WHEN all_meet_aa IS NULL THEN 'unverified' WHEN all_meet_aa THEN 'clean' ELSE 'failing' END AS verdict FROM v"),
+    "channels": (channels, f"WITH {CHAN} SELECT * EXCLUDE (raw) FROM chan"),
+    "noise_partition": (noise_partition, f"WITH {CHAN} SELECT * EXCLUDE (raw) FROM chan WHERE channel = 'suspected_noise'"),
+    "region_backstop": (region_backstop, f"WITH {CHAN.replace(f'raw < {NOISE} AND NOT', 'false AND NOT')} SELECT * EXCLUDE (raw) FROM chan WHERE channel = 'background_region'"),
+    "ink_verdicts": (ink_verdicts, f"WITH {CHAN}, v AS (SELECT image_id, min(ratio) FILTER (channel = 'evaluated') AS worst, max(ratio) FILTER (channel = 'evaluated') AS best, count(*) FILTER (channel = 'evaluated' AND raw < 4.5 - 1e-9) AS failing, count(*) FILTER (channel = 'evaluated' AND raw >= 4.5 - 1e-9) AS passing, bool_and(raw >= 4.5 - 1e-9) FILTER (channel = 'evaluated') AS all_meet_aa FROM chan GROUP BY image_id) SELECT *, CASE WHEN all_meet_aa IS NULL THEN 'unverified' WHEN all_meet_aa THEN 'clean' ELSE 'failing' END AS verdict FROM v"),
     "plateaus": (plateaus, PLATEAUS),
     "region_contrast": (region_contrast, None),
     "aa_fold": (aa_fold, None),

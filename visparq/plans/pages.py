@@ -55,7 +55,7 @@ def html_paragraphs(spark, sf):
 
 
 def html_main_content(spark, sf):
-    return pages(spark, sf).select("page_id", F.explode(F.slice(html.main_content(F.col("html"), 10), 1, 1)).alias("m")).select("page_id", "m.type", "m.preview", "m.paragraphs")
+    return _explode(spark, sf, lambda h: html.main_content(h, 10), ("type", "preview", "paragraphs"))
 
 
 def html_lists(spark, sf):
@@ -166,7 +166,7 @@ QUERIES = {
     "html_nav_links": (html_nav_links, f"WITH n AS ({PAGES}), p AS (SELECT page_id, {_NAV} AS html FROM n) " + _listed(f"regexp_extract_all(html, '{_A}')", f"regexp_extract(m, '{_A}', 1) AS href, {strip(f"regexp_extract(m, '{_A}', 2)")} AS text")),
     "html_sections": (html_sections, f"WITH p AS ({PAGES}), {_SEC} SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS k, tag, left(t, 200) AS preview FROM sec"),
     "html_paragraphs": (html_paragraphs, f"WITH p AS ({PAGES}) " + _listed(inner("p"), f"left({strip('m')}, 200) AS preview", f"WHERE length({strip('m')}) >= 10")),
-    "html_main_content": (html_main_content, f"WITH p AS ({PAGES}), {_SEC} SELECT page_id, 'main' AS type, left(t, 500) AS preview, {n_of('<p[^>]*>', 'm')} AS paragraphs FROM sec WHERE tag = 'main' QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY k) = 1"),
+    "html_main_content": (html_main_content, f"WITH p AS ({PAGES}), {_SEC}, mains AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS k, 'main' AS type, left(t, 500) AS preview, {n_of('<p[^>]*>', 'm')} AS paragraphs FROM sec WHERE tag = 'main'), n AS (SELECT page_id, count(*) AS n FROM mains GROUP BY page_id), paras AS (" + _listed(inner("p"), f"left({strip('m')}, 200) AS preview", f"WHERE length({strip('m')}) >= 10") + ") SELECT * FROM mains UNION ALL SELECT page_id, k + coalesce(n, 0), 'paragraph', preview, NULL FROM paras LEFT JOIN n USING (page_id)"),
     "html_lists": (html_lists, f"WITH p AS ({PAGES}), {_LI} SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS k, type, len(items)::BIGINT AS item_count, array_to_string(list_transform(items[1:20], lambda x: left(x, 100)), '|') AS items FROM l WHERE len(items) > 0"),
     "html_forms": (html_forms, f"WITH p AS ({PAGES}) " + _listed(inner("form"), f"{n_of('<input[^>]*>', 'm')} AS inputs, {n_of('<textarea[^>]*>', 'm')} AS textareas, {n_of('<select[^>]*>', 'm')} AS selects, left({strip('m')}, 200) AS preview")),
     "html_tables": (html_tables, f"WITH p AS ({PAGES}) " + _listed(inner("table"), f"{n_of('<tr[^>]*>', 'm')} AS rows, {n_of('<th[^>]*>', 'm')} AS headers, {n_of('<td[^>]*>', 'm')} AS cells")),

@@ -99,13 +99,13 @@ def legibility(spark, sf):
 
 
 def tile_grid(spark, sf):
-    own = _frames(spark, sf).where("n = 1").select("o", F.explode(geometry.tiles(F.col("w"), F.col("h"))).alias("t"))
-    return own.select("o", *(F.col(f"t.{c}").cast("long").alias(c) for c in ("row", "col", "left", "top", "width", "height")))
+    own = _frames(spark, sf).select("o", "n", F.explode(geometry.tiles(F.col("w"), F.col("h"))).alias("t"))
+    return own.select("o", "n", *(F.col(f"t.{c}").cast("long").alias(c) for c in ("row", "col", "left", "top", "width", "height")))
 
 
-TILE_SQL = f"""WITH f AS (SELECT o, w, h, ceil(w / 2.0)::BIGINT AS tw, ceil(h / 2.0)::BIGINT AS th FROM ({FRAMES}) WHERE n = 1), p AS (SELECT *, floor(tw * 0.1::DOUBLE + 0.5)::BIGINT AS px, floor(th * 0.1::DOUBLE + 0.5)::BIGINT AS py FROM f),
-t AS (SELECT o, "row", col, greatest(0, col * tw - px) AS "left", greatest(0, "row" * th - py) AS top, * EXCLUDE (o) FROM p, (VALUES (0), (1)) r("row"), (VALUES (0), (1)) c(col))
-SELECT o, "row"::BIGINT AS "row", col::BIGINT AS col, "left"::BIGINT AS "left", top::BIGINT AS top, least(w - "left", tw + px * 2)::BIGINT AS width, least(h - top, th + py * 2)::BIGINT AS height FROM t WHERE least(w - "left", tw + px * 2) > 0 AND least(h - top, th + py * 2) > 0"""
+TILE_SQL = f"""WITH f AS (SELECT o, n, w, h, ceil(w / 2.0)::BIGINT AS tw, ceil(h / 2.0)::BIGINT AS th FROM ({FRAMES})), p AS (SELECT *, floor(tw * 0.1::DOUBLE + 0.5)::BIGINT AS px, floor(th * 0.1::DOUBLE + 0.5)::BIGINT AS py FROM f),
+t AS (SELECT o, n, "row", col, greatest(0, col * tw - px) AS "left", greatest(0, "row" * th - py) AS top, * EXCLUDE (o, n) FROM p, (VALUES (0), (1)) r("row"), (VALUES (0), (1)) c(col))
+SELECT o, n, "row"::BIGINT AS "row", col::BIGINT AS col, "left"::BIGINT AS "left", top::BIGINT AS top, least(w - "left", tw + px * 2)::BIGINT AS width, least(h - top, th + py * 2)::BIGINT AS height FROM t WHERE least(w - "left", tw + px * 2) > 0 AND least(h - top, th + py * 2) > 0"""
 
 
 def offset_box(spark, sf):
@@ -139,8 +139,9 @@ def quantitative_question(spark, sf):
     return own.select("id", (F.size("met") > 0).alias("quantitative"), F.array_join("met", ",").alias("matched"))
 
 
+EDGE = chr(92) + "b"  # RE2 has no look-around; its own edge is ASCII
 QUANT_SQL = f"""WITH c AS ({COLOURS}), p AS (SELECT id, lower(CASE id % 8 {' '.join(f"WHEN {n} THEN '{p}'" for n, p in PROMPTS.items())} END || p_type || ' ' || p_name) AS s FROM c)
-SELECT id, matched <> '' AS quantitative, matched FROM (SELECT id, array_to_string(list_filter([{', '.join(f"CASE WHEN regexp_matches(s, '{text.edged(p, chr(92) + 'b', chr(92) + 'b')}') THEN '{n}' END" for n, p in text.QUANTITATIVE)}], lambda x: x IS NOT NULL), ',') AS matched FROM p)"""
+SELECT id, matched <> '' AS quantitative, matched FROM (SELECT id, array_to_string(list_filter([{', '.join(f"CASE WHEN regexp_matches(s, '{p.replace("(?<![0-9A-Za-z_])", EDGE).replace("(?![0-9A-Za-z_])", EDGE)}') THEN '{n}' END" for n, p in text.QUANTITATIVE)}], lambda x: x IS NOT NULL), ',') AS matched FROM p)"""
 
 
 def blocked_ip(spark, sf):
@@ -193,8 +194,7 @@ def public_url(spark, sf):
 
 
 def escape_xml(spark, sf):
-    own = table(spark, sf, "pages").select("page_id", F.substring("html", 1, 400).alias("s"))
-    return own.select("page_id", text.escape_xml(F.col("s")).alias("escaped"))
+    return table(spark, sf, "pages").select("page_id", text.escape_xml(F.col("html")).alias("escaped"))
 
 
 def text_truncate(spark, sf):
@@ -202,7 +202,7 @@ def text_truncate(spark, sf):
 
 
 def dom_fragment(spark, sf):
-    own = table(spark, sf, "documents").select("doc_id", text.fragment(F.concat(F.lit(" \n"), F.substring("text", 1, 4), F.lit("\t"))).alias("fragment"))
+    own = table(spark, sf, "documents").select("doc_id", text.fragment(F.concat(F.lit(" \n"), F.col("text"), F.lit("\t"))).alias("fragment"))
     return own
 
 
@@ -214,7 +214,7 @@ def image_sources(spark, sf):
 
 def annotation_svg(spark, sf):
     k = F.col("id")
-    own = _colours(spark, sf).where("id <= 2000").select(F.floor(k / 8).alias("image_id"), (k % 8).alias("ord"), F.lit(800).alias("image_width"), F.lit(600).alias("image_height"), F.get(F.array(*(F.lit(s) for s in ("label", "BOX", "circle", "arrow"))), (k % 4).cast("int")).alias("type"), F.col("p_type").alias("text"), F.col("r").alias("x"), F.col("g").alias("y"), F.col("b").alias("width"), F.col("r2").alias("height"), F.when(k % 3 == 0, 0).otherwise(F.col("r") + 30).alias("target_x"), (F.col("g") + 40).alias("target_y"), F.when(k % 5 == 0, F.lit(None)).otherwise(color.to_hex(*cols(RGB2))).alias("color"), (k % 90).alias("font_size"))
+    own = _colours(spark, sf).select(F.floor(k / 8).alias("image_id"), (k % 8).alias("ord"), F.lit(800).alias("image_width"), F.lit(600).alias("image_height"), F.get(F.array(*(F.lit(s) for s in ("label", "BOX", "circle", "arrow"))), (k % 4).cast("int")).alias("type"), F.col("p_type").alias("text"), F.col("r").alias("x"), F.col("g").alias("y"), F.col("b").alias("width"), F.col("r2").alias("height"), F.when(k % 3 == 0, 0).otherwise(F.col("r") + 30).alias("target_x"), (F.col("g") + 40).alias("target_y"), F.when(k % 5 == 0, F.lit(None)).otherwise(color.to_hex(*cols(RGB2))).alias("color"), (k % 90).alias("font_size"))
     return annotate.overlay(own)
 
 
@@ -245,7 +245,7 @@ def _svg(template: str) -> str:
 
 
 SVG_SQL = f"""WITH c AS ({COLOURS}), a AS (SELECT id // 8 AS image_id, id % 8 AS ord, id % 4 AS kind, r::DOUBLE AS x, g::DOUBLE AS y, greatest(10, least(72, CASE WHEN id % 90 = 0 THEN 16 ELSE id % 90 END))::DOUBLE AS size, greatest(1, CASE WHEN b = 0 THEN 50 ELSE b END)::DOUBLE AS w, greatest(1, CASE WHEN r2 = 0 THEN 50 ELSE r2 END)::DOUBLE AS h, greatest(1, CASE WHEN b = 0 THEN 25 ELSE b END)::DOUBLE AS rad,
- CASE WHEN id % 5 = 0 THEN '#FF0000' ELSE '#' || printf('%02x%02x%02x', r2, g2, b2) END AS paint, CASE WHEN id % 5 = 0 THEN '255,0,0' ELSE r2 || ',' || g2 || ',' || b2 END AS rgb, p_type AS said, CASE WHEN id % 3 = 0 THEN r + 50 ELSE r + 30 END::DOUBLE AS ex, (g + 40)::DOUBLE AS ey FROM c WHERE id <= 2000),
+ CASE WHEN id % 5 = 0 THEN '#FF0000' ELSE '#' || printf('%02x%02x%02x', r2, g2, b2) END AS paint, CASE WHEN id % 5 = 0 THEN '255,0,0' ELSE r2 || ',' || g2 || ',' || b2 END AS rgb, p_type AS said, CASE WHEN id % 3 = 0 THEN r + 50 ELSE r + 30 END::DOUBLE AS ex, (g + 40)::DOUBLE AS ey FROM c),
 l AS (SELECT *, sqrt((ex - x) * (ex - x) + (ey - y) * (ey - y)) AS len FROM a), u AS (SELECT *, (ex - x) / greatest(len, 1) AS ux, (ey - y) / greatest(len, 1) AS uy FROM l), b AS (SELECT *, ex - ux * 12 AS bx, ey - uy * 12 AS by_ FROM u),
 p AS (SELECT *, y - size + 2 AS ty, greatest(1, floor(length(said) * size * 0.6::DOUBLE + 10 + 0.5)) AS tw, size + 4 AS th, x + 5 AS lx, bx - uy * 7.2::DOUBLE AS p1x, by_ + ux * 7.2::DOUBLE AS p1y, bx + uy * 7.2::DOUBLE AS p2x, by_ - ux * 7.2::DOUBLE AS p2y FROM b),
 s AS (SELECT image_id, ord, CASE kind WHEN 0 THEN {_svg('<rect x="{x}" y="{ty}" width="{tw}" height="{th}" fill="rgba({:rgb},0.85)" rx="3"/><text x="{lx}" y="{y}" font-family="DejaVu Sans, sans-serif" font-size="{size}" fill="white">{:said}</text>')}
@@ -301,9 +301,9 @@ QUERIES = {
     "source_scheme": (source_scheme, "SELECT s_suppkey AS id, ['data', 'file', 'home', 'http', 'upload', 'download', 'path', 'base64', 'unknown'][(s_suppkey % 9 + 1)::INT] AS scheme FROM supplier"),
     "clean_base64": (clean_base64, "SELECT s_suppkey AS id, ['QUJD+REVG', 'QUJD+REVG', 'QU+JD=', 'QUJD%zz'][(s_suppkey % 4 + 1)::INT] AS cleaned FROM supplier"),
     "public_url": (public_url, "SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'scheme' WHEN 1 THEN 'localhost' WHEN 2 THEN 'address' END AS refused FROM pages"),
-    "escape_xml": (escape_xml, "SELECT page_id, replace(replace(replace(replace(replace(left(html, 400), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;') AS escaped FROM pages"),
+    "escape_xml": (escape_xml, "SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;') AS escaped FROM pages"),
     "text_truncate": (text_truncate, "SELECT doc_id, CASE WHEN length(text) > 300 THEN left(text, 300) || chr(10) || '…[truncated]' ELSE text END AS shown FROM documents"),
-    "dom_fragment": (dom_fragment, "SELECT doc_id, CASE WHEN length(t) < 3 THEN '' ELSE t END AS fragment FROM (SELECT doc_id, regexp_replace(left(text, 4), '^[\\s\\x0b]+|[\\s\\x0b]+$', '', 'g') AS t FROM documents)"),
+    "dom_fragment": (dom_fragment, "SELECT doc_id, CASE WHEN length(t) < 3 THEN '' ELSE t END AS fragment FROM (SELECT doc_id, regexp_replace(text, '^[\\s\\x0b]+|[\\s\\x0b]+$', '', 'g') AS t FROM documents)"),
     "image_sources": (image_sources, "SELECT s_suppkey AS id, CASE WHEN s_suppkey % 3 = 0 THEN 'a' || s_suppkey || '.png|b.png' END AS sources FROM supplier"),
     "annotation_svg": (annotation_svg, SVG_SQL),
     "provenance_footer": (provenance_footer, f"WITH c AS ({COLOURS}) SELECT id, concat_ws(' | ', 'model: ' || p_type, 'ttft: ' || CASE WHEN id % 3 > 0 THEN id END || 'ms', 'total: ' || CASE WHEN id % 4 > 0 THEN id * 2 END || 'ms', 'image: ' || r || 'x' || CASE WHEN id % 5 > 0 THEN g END || CASE WHEN id % 2 = 0 THEN ' (downscaled)' ELSE '' END) AS footer FROM c"),

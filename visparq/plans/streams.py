@@ -59,7 +59,7 @@ STATUS_SQL = "SELECT event_id, (CASE WHEN event_id % 11 = 0 THEN 429 WHEN event_
 def chunks(spark, sf):
     """Each turn is a line, cut into two pieces in the middle; some lines are blank or broken, some requests fail."""
     k = F.col("conv_id") + F.col("turn")
-    ok = F.to_json(F.struct(F.substring("text", 1, 20).alias("response"), (F.col("turn") % 3 == 2).alias("done"), F.col("turn").alias("eval_count")))
+    ok = F.to_json(F.struct(F.col("text").alias("response"), (F.col("turn") % 3 == 2).alias("done"), F.col("turn").alias("eval_count")))
     line = F.when(k % 13 == 5, "{broken").when(k % 17 == 3, "").when(k % 29 == 7, '{"error": "out of memory"}').otherwise(ok)
     own = table(spark, sf, "conversations").select("conv_id", "turn", F.concat(line, F.lit("\n")).alias("line"))
     half = F.expr("CAST(length(line) div 2 AS INT)")
@@ -67,7 +67,7 @@ def chunks(spark, sf):
     return own.select("conv_id", "turn", F.explode(pieces).alias("p")).select(F.col("conv_id").alias("request_id"), (F.col("turn") * 2 + F.col("p.h")).alias("seq"), (F.col("turn") * 1000 + F.col("p.h") * 500).alias("recv_ms"), "p.piece")
 
 
-CHUNKS = "SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 13 = 5 THEN 'broken' WHEN (conv_id + turn) % 17 = 3 THEN 'blank' WHEN (conv_id + turn) % 29 = 7 THEN 'error' ELSE 'ok' END AS kind, left(text, 20) AS t FROM conversations"
+CHUNKS = "SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 13 = 5 THEN 'broken' WHEN (conv_id + turn) % 17 = 3 THEN 'blank' WHEN (conv_id + turn) % 29 = 7 THEN 'error' ELSE 'ok' END AS kind, text AS t FROM conversations"
 
 
 def ndjson_reassemble(spark, sf):
