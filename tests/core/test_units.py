@@ -160,3 +160,103 @@ def test_tree_scan(spark, tmp_path):
     (tmp_path / "top.md").write_text("hi")
     got = {(r["path"], r["size"]) for r in tree.scan(spark, str(tmp_path)).collect()}
     assert got == {("a/x.txt", 5), ("top.md", 2)}
+
+
+# -- files ------------------------------------------------------------------------------------------------------------
+@settings(max_examples=40, deadline=None)
+@given(st.integers(1, 9), st.integers(1, 9), st.lists(st.integers(0, 4), min_size=9, max_size=9), st.sampled_from([1, 2, 3, 4]))
+def test_png_filters(w, h, kinds, n):
+    import struct
+    import zlib
+
+    from visparq.operators import files
+
+    rng = np.random.default_rng(w * 10 + h)
+    px = rng.integers(0, 256, (h, w, n)).astype(int)
+    raw = b""
+    for y in range(h):
+        line = [kinds[y]]
+        for x in range(w):
+            for c in range(n):
+                a, b, d = px[y, x - 1, c] if x else 0, px[y - 1, x, c] if y else 0, px[y - 1, x - 1, c] if x and y else 0
+                p = a + b - d
+                paeth = a if abs(p - a) <= abs(p - b) and abs(p - a) <= abs(p - d) else b if abs(p - b) <= abs(p - d) else d
+                line.append((px[y, x, c] - (0, a, b, (a + b) // 2, paeth)[kinds[y]]) % 256)
+        raw += bytes(int(v) for v in line)
+    parts = ((b"IHDR", struct.pack(">IIBBBBB", w, h, 8, {1: 0, 2: 4, 3: 2, 4: 6}[n], 0, 0, 0)), (b"IDAT", zlib.compress(raw)), (b"IEND", b""))
+    made = files.PNG + b"".join(struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d)) for k, d in parts)
+    got, error = files.decode(made)
+    assert error is None and (got == (px[..., :3] if n >= 3 else np.repeat(px[..., :1], 3, 2))).all()
+    assert files.decode(made[:-5])[1] == "truncated"
+
+
+def test_png_files_are_read_by_others(spark, tmp_path):
+    from visparq.operators import files
+
+    frame = np.random.default_rng(1).integers(0, 256, (4, 6, 3)).astype(np.uint8)
+    (tmp_path / "a.png").write_bytes(files.encode_png(frame))
+    row = rasters.read_images(spark, str(tmp_path)).collect()[0]
+    assert bytes(row["data"]) == frame.tobytes()
+    assert (files.decode(files.encode_png(frame))[0] == frame).all() and (files.decode(bmp(frame))[0] == frame).all()
+    assert [files.decode(c)[1] for c in (None, b"", b"GIF89a", b"hello", b"BM")] == ["empty", "empty", "unsupported", "not_an_image", "truncated"]
+
+
+# -- noise ------------------------------------------------------------------------------------------------------------
+def plain_noise(tile):
+    px = tile.reshape(-1, 3).astype(float)
+    mid = np.array([sorted(c)[len(c) // 2] for c in px.T])
+    d = sorted(np.sqrt(((px - mid) ** 2).sum(1)))
+    return mid, 1.4826 * sorted(abs(v - d[len(d) // 2]) for v in d)[len(d) // 2]
+
+
+def test_one_noise_model(spark):
+    from visparq.operators import histogram, kernels
+
+    rng = np.random.default_rng(2)
+    frame = np.clip(rng.normal(128, 6, (100, 110, 3)), 0, 255).astype(np.uint8)
+    middle, noise = kernels.tile_noise(frame, 48, 1.4826)
+    assert middle.shape == (3, 3, 3)
+    native = {(r["ty"], r["tx"]): r for r in histogram.tile_background(rasters.explode_pixels(rasters.images_of(spark, [frame])), 48).collect()}
+    for ty in range(3):
+        for tx in range(3):
+            mid, sigma = plain_noise(frame[ty * 48 : ty * 48 + 48, tx * 48 : tx * 48 + 48])
+            assert (middle[ty, tx] == mid).all() and noise[ty, tx] == pytest.approx(sigma)
+            own = native[ty, tx]
+            assert (own["mr"], own["mg"], own["mb"]) == tuple(mid) and own["sigma"] == pytest.approx(sigma)
+    assert 3 < noise[0, 0] < 6  # of noise of 6 a channel
+
+
+def test_plateaus_without_text_are_disclosed():
+    from visparq.operators import contrast
+
+    glyphs = [(60 + 30 * (i % 6), 60 + 40 * (i // 6), 8, 20, "#e8dfd0") for i in range(30)]
+    frame = rasters.paint(600, 400, "#1a1814", [(300, 0, 300, 400, "#464646"), *glyphs])
+    out = contrast.measure_region(frame)
+    assert out["background_model"] == "multi-plateau" and [p["hex"] for p in out["plateaus_without_text"]] == ["#464646"]
+    assert any("not a claim" in n for n in out["notes"])
+    both = rasters.paint(600, 400, "#1a1814", [(300, 0, 300, 400, "#464646"), *glyphs, *((360 + 30 * (i % 6), 60 + 40 * (i // 6), 8, 20, "#b0ffb0") for i in range(30))])
+    assert contrast.measure_region(both)["plateaus_without_text"] == []
+
+
+# -- bounded JSON ------------------------------------------------------------------------------------------------------
+def test_bounded_json_cuts_as_little_as_fits():
+    texts = {"a": "x" * 3000, "b": "y" * 900, "c": "z" * 100}
+    out = json.loads(jsonx.bound_json(texts, 2200))
+    assert out["a"].startswith("…[truncated 3000") and out["b"] == "y" * 900
+    assert [a["path"] for a in out["_truncation"]["actions"]] == ["$.a"]
+    lists = {"n": list(range(3000)), "m": [{"k": [1, 2, 3]}] * 5}
+    out = json.loads(jsonx.bound_json(lists, 3000))
+    act = out["_truncation"]["actions"]
+    assert [a["path"] for a in act] == ["$.n"] and act[0]["was"] == 3000 and act[0]["remaining"] == len(out["n"]) and out["m"] == lists["m"]
+    one = {**lists, "n": list(range(act[0]["remaining"] + 1))}
+    assert jsonx.units(jsonx.dump(one, True)) > 3000 - jsonx.RESERVE >= jsonx.units(jsonx.dump({**lists, "n": out["n"]}, True))
+
+
+def test_evidence_containment_matches_brute_force(spark):
+    from visparq.operators import evidence
+
+    rng = random.Random(1)
+    made = lambda: "".join(rng.choice("abc") for _ in range(rng.randrange(0, 9)))
+    claims, norms = ({(d, made()) for d in (1, 2) for _ in range(60)} - {(1, ""), (2, "")} for _ in range(2))
+    got = {tuple(r) for r in evidence.met(spark.createDataFrame(sorted(claims), "doc_id long, claim string"), spark.createDataFrame(sorted(norms), "doc_id long, norm string"), 4).collect()}
+    assert got == {(d, c, n) for d, c in claims for e, n in norms if d == e and (c == n or len(c) >= 4 and len(n) >= 4 and (c in n or n in c))}

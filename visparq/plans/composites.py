@@ -78,7 +78,25 @@ SELECT image_id, count(*) FILTER (hit) AS changed, string_agg(CASE WHEN hit THEN
 
 def feedback_files(spark, sf):
     own = files.feedback(pixels.images(spark, sf), 1_700_000_000_000, "diff")
-    return own.select("image_id", F.length("content").cast("long").alias("n_bytes"), F.hex(F.substring("content", 1, 2)).alias("magic"), F.length("name").cast("long").alias("name_length"))
+    side = lambda at: F.conv(F.hex(F.substring("content", at, 4)), 16, 10).cast("long")
+    return own.select("image_id", side(17).alias("width"), side(21).alias("height"), F.hex(F.substring("content", 1, 8)).alias("magic"), F.length("name").cast("long").alias("name_length"))
+
+
+def image_decode(spark, sf):
+    """Feedback files read again; of five, one whole, one cut off, one spoilt, one of another format, one empty."""
+    whole = files.feedback(pixels.images(spark, sf), 0)
+    k, c = F.col("image_id") % 5, F.col("content")
+    sent = F.when(k == 0, c).when(k == 1, F.expr("substring(content, 1, length(content) - 20)")).when(k == 2, F.concat(F.unhex(F.lit("00")), c)).when(k == 3, F.unhex(F.lit("52494646000000005745425000"))).otherwise(F.unhex(F.lit("")))
+    own = files.decode_images(whole.select("image_id", sent.alias("content")))
+    return own.select("image_id", F.col("width").cast("long").alias("width"), F.col("height").cast("long").alias("height"), F.lower(F.hex("data")).alias("pixels"), "error")
+
+
+def image_crop(spark, sf):
+    own = files.crop(pixels.images(spark, sf), 5, -2, 9, 5)
+    return own.select("image_id", F.col("width").cast("long").alias("width"), F.col("height").cast("long").alias("height"), F.lower(F.hex("data")).alias("pixels"))
+
+
+_PIXELS = "string_agg(repeat(printf('%02x', v), 3), '' ORDER BY y, x)"
 
 
 def fixture_boxes(spark, sf):
@@ -99,6 +117,8 @@ QUERIES = {
     "vision_models": (vision_models, "SELECT s_suppkey AS host, 'm' || s_suppkey AS name FROM supplier WHERE s_suppkey % 3 = 0"),
     "model_residency": (model_residency, "SELECT s_suppkey AS host, (s_suppkey % 4 > 0)::BIGINT AS n, CASE WHEN s_suppkey % 4 = 0 THEN NULL WHEN s_suppkey % 2 = 0 THEN 9 ELSE 5 END::BIGINT AS vram FROM supplier"),
     "diff_image": (diff_image, DIFF_SQL),
-    "feedback_files": (feedback_files, "SELECT vec_id AS image_id, 246::BIGINT AS n_bytes, '424D' AS magic, 55::BIGINT AS name_length FROM embeddings"),
+    "feedback_files": (feedback_files, "SELECT vec_id AS image_id, 8::BIGINT AS width, 8::BIGINT AS height, '89504E470D0A1A0A' AS magic, 55::BIGINT AS name_length FROM embeddings"),
+    "image_decode": (image_decode, f"WITH g AS ({pixels.GRAY}) SELECT image_id, CASE WHEN image_id % 5 = 0 THEN 8 END::BIGINT AS width, CASE WHEN image_id % 5 = 0 THEN 8 END::BIGINT AS height, CASE WHEN image_id % 5 = 0 THEN {_PIXELS} END AS pixels, CASE image_id % 5 WHEN 1 THEN 'truncated' WHEN 2 THEN 'not_an_image' WHEN 3 THEN 'unsupported' WHEN 4 THEN 'empty' END AS error FROM g GROUP BY image_id"),
+    "image_crop": (image_crop, f"WITH g AS ({pixels.GRAY}) SELECT image_id, 3::BIGINT AS width, 3::BIGINT AS height, {_PIXELS} AS pixels FROM g WHERE x >= 5 AND y < 3 GROUP BY image_id"),
     "fixture_boxes": (fixture_boxes, BOXES_SQL),
 }
