@@ -103,8 +103,10 @@ def test_questions_are_answered_from_what_is_stored(hard, library):
 
 
 # -- packing ----------------------------------------------------------------------------------------------------------
-def test_packing_is_whole_and_gapless(hard, documents, empty, library):
-    for docs, capacity in ((hard, 64), (documents, 2048)):
+@pytest.mark.parametrize("parts", [1, 1024])
+def test_packing_is_whole_and_gapless(hard, documents, empty, library, monkeypatch, parts):
+    monkeypatch.setattr(packing, "PARTS", parts)
+    for docs, capacity in ((hard.repartition(3), 64), (documents, 2048)):
         out = packing.pack(docs, VOCAB, capacity, 0, keep_ids=True).collect()
         want = Counter()
         for r in docs.collect():

@@ -15,6 +15,8 @@ from visparq.workers import can_import
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 #: Rows of one key that a join may leave in one task.
 PART = 256
+#: The folders that ``durable`` wrote and nobody released yet.
+MADE: dict[str, SparkSession] = {}
 FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -59,6 +61,7 @@ def durable(df: DataFrame, what: str) -> DataFrame:
     fs.deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)
     out.durable_path = path
+    MADE[path] = spark
     return out
 
 
@@ -67,11 +70,13 @@ def _file(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
-def release(*tables: DataFrame) -> None:
-    """Delete what ``durable`` wrote for these; nothing that is still to be evaluated may read them."""
+def release(*tables: DataFrame | str) -> None:
+    """Delete what ``durable`` wrote for these (or to these paths); nothing that is still to be evaluated may read them."""
     for t in tables:
-        fs, at = _file(t.sparkSession, t.durable_path)
-        fs.delete(at, True)
+        path = t if isinstance(t, str) else t.durable_path
+        if path in MADE:
+            fs, at = _file(MADE.pop(path), path)
+            fs.delete(at, True)
 
 
 def spread_join(left: DataFrame, right: DataFrame, key: str, spread_by: Column, how: str = "inner") -> DataFrame:

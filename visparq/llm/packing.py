@@ -1,12 +1,13 @@
 """Best-fit packing by a plan over the histogram of lengths.
 
 1. Every whole text becomes ids plus an end id; only a text longer than the capacity is cut, into full pieces and a rest.
-2. Lengths are counted per (length, salt): at most ``capacity * SALTS`` counts, whatever the number of documents.
+2. Lengths are counted per (length, part), a part being what one task cut: at most ``capacity * PARTS`` counts. More parts than
+   PARTS are counted by ``SALTS`` salts instead, by a piece's place in its part.
 3. The driver packs *counts* best-fit, longest first. Its plan is a list of slot ranges (ranks of one length -> consecutive
    sequences, one offset), whose number depends on the capacity alone.
-4. A piece takes the slot of its rank within its length. The rank is the salt's base plus the rank within (length, salt),
-   so that a length which holds most pieces is still ranked by many tasks. Salts are dealt in turn, whatever the pieces
-   hold, so repeated rows are spread like others.
+4. A piece takes the slot of its rank within its length: the part's base plus the rank within (length, part), which the task
+   that cut it counted; so nothing is shuffled. By salts, the rank within (length, salt) comes from a window, and a length
+   that holds most pieces is still ranked by many tasks.
 
 Defined cases: a null text is empty and still holds its end id; a null id is kept; repeated rows are packed once each;
 an empty table gives an empty result; extra columns are not read.
@@ -27,20 +28,22 @@ from pyspark.sql.window import Window
 from visparq.llm._common import durable, struct_to_batch, texts_of
 from visparq.llm.wordbpe import WordBpe
 
-SALTS = 256
+SALTS, PARTS = 256, 1024
 SLICE = 2048
 
 
 def cut(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, keep_ids: bool = True) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, salt (dealt in turn) and, if asked for, the ids (little-endian uint32)."""
+    """doc_id, piece, start, length, ids_crc32, part (the task's number), turn (the piece's number in it), rank (among those of
+    its length in the part, from 1) and, if asked for, the ids (little-endian uint32)."""
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, width, turn = WordBpe.at(vocabulary), 4 * capacity, 97 * TaskContext.get().partitionId()
+        bpe, width, number, turn = WordBpe.at(vocabulary), 4 * capacity, TaskContext.get().partitionId(), 0
+        met = [0] * (capacity + 1)
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE):
                 part = whole.slice(at, SLICE)
-                ids, piece, start, length, crc, kept = [], [], [], [], [], []
+                ids, piece, start, length, crc, rank, kept = [], [], [], [], [], [], []
                 for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
                     raw = bpe.ids(text) + end
                     for k, s in enumerate(range(0, len(raw), width)):
@@ -50,13 +53,15 @@ def cut(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, keep_ids:
                         start.append(s // 4)
                         length.append(len(own) // 4)
                         crc.append(zlib.crc32(own))
+                        met[len(own) // 4] += 1
+                        rank.append(met[len(own) // 4])
                         if keep_ids:
                             kept.append(own)
-                out = {"doc_id": (ids, pa.int64()), "piece": (piece, pa.int32()), "start": (start, pa.int64()), "length": (length, pa.int64()), "ids_crc32": (crc, pa.int64()), "salt": ([(turn + k) % SALTS for k in range(len(ids))], pa.int32())}
+                out = {"doc_id": (ids, pa.int64()), "piece": (piece, pa.int32()), "start": (start, pa.int64()), "length": (length, pa.int64()), "ids_crc32": (crc, pa.int64()), "part": ([number] * len(ids), pa.int32()), "turn": (range(turn, turn + len(ids)), pa.int64()), "rank": (rank, pa.int64())}
                 turn += len(ids)
                 yield struct_to_batch(out | ({"ids": (kept, pa.binary())} if keep_ids else {}))
 
-    return texts_of(docs).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, salt int" + ", ids binary" * keep_ids)
+    return texts_of(docs).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, turn long, rank long" + ", ids binary" * keep_ids)
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
@@ -92,10 +97,20 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
 def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0, keep_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset: one row per piece, each placed in a sequence."""
     pieces = durable(cut(docs, vocabulary, capacity, end_id, keep_ids), "pieces")
-    # At most capacity * SALTS rows (524,288 with the defaults) reach the driver, as arrays.
-    rows = pieces.groupBy("length", "salt").count().toArrow()
-    per = np.zeros((capacity + 1, SALTS), np.int64)
-    per[rows.column("length").to_numpy(), rows.column("salt").to_numpy()] = rows.column("count").to_numpy()
+    keep = [c for c in pieces.columns if c not in ("part", "turn", "rank")]
+    parts = 1 + (pieces.agg(F.max("part")).first()[0] or 0)
+    ranked = pieces
+    if parts > PARTS:
+        salted = pieces.withColumn("part", F.pmod(F.xxhash64("part", "turn"), F.lit(SALTS)).cast("int"))
+        order = Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32")
+        ranked, parts = salted.withColumn("rank", F.row_number().over(order).cast("long")), SALTS
+        counts = salted.groupBy("length", "part").count()
+    else:
+        counts = pieces.groupBy("length", "part").agg(F.max("rank").alias("count"))
+    # At most capacity * PARTS rows (2,097,152 with the defaults) reach the driver, as arrays.
+    rows = counts.toArrow()
+    per = np.zeros((capacity + 1, parts), np.int64)
+    per[rows.column("length").to_numpy(), rows.column("part").to_numpy()] = rows.column("count").to_numpy()
     base = np.cumsum(per, axis=1) - per
     totals = {int(n): int(c) for n, c in enumerate(per.sum(axis=1)) if c}
     ranges = sorted(plan(totals, capacity))
@@ -104,18 +119,15 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0
     line = np.zeros(capacity + 2, np.int64)
     line[1:] = np.cumsum(per.sum(axis=1))
     shared = docs.sparkSession.sparkContext.broadcast((base, line, line[table[:, 0]] + table[:, 1], table[:, 3], table[:, 4]))
-    keep = [c for c in pieces.columns if c != "salt"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, line, starts, sequence, offset = shared.value
         for b in batches:
             if b.num_rows:
-                length, salt, rank = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "salt", "rank"))
-                at = line[length] + base[length, salt] + rank - 1
+                length, part, rank = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "part", "rank"))
+                at = line[length] + base[length, part] + rank - 1
                 k = np.searchsorted(starts, at, "right") - 1
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(sequence[k] + at - starts[k]), pa.array(offset[k])], names=[*keep, "sequence_id", "offset"])
 
-    order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = pieces.withColumn("rank", F.row_number().over(order))
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema if f.name in keep)
     return ranked.mapInArrow(place, f"{fields}, sequence_id long, offset long")

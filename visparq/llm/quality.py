@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from visparq.llm._common import durable, let, spread_join, words_of
+from visparq.llm._common import durable, let, release, spread_join, words_of
 
 WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 8, 20, 30
 KEEP, GRID, BINS, PRIOR = 0.75, 64, 64, 50
@@ -212,7 +212,9 @@ def fit(stats: DataFrame) -> DataFrame:
         above = parent.selectExpr("group AS above", *(f"{c} AS p_{c}" for c in names))
         mixed = (f"(docs * {c} + {PRIOR} * p_{c}) / (docs + {PRIOR}) AS {c}" for c in names[1:])
         parent = own.where(f"level = {level}").selectExpr("*", f"{lang} AS above").join(above, "above").selectExpr("group", "docs", *mixed)
-    return durable(_scaled(cells, _with_roots(parent, ["group"]), few), "estimates")
+    out = durable(_scaled(cells, _with_roots(parent, ["group"]), few), "estimates")
+    release(cells, raw, own)
+    return out
 
 
 def judge(stats: DataFrame, estimates: DataFrame, keep: list[str]) -> DataFrame:

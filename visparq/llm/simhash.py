@@ -220,6 +220,7 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     joined = durable(nodes.join(label.withColumnRenamed("node", "fingerprint").hint("merge"), "fingerprint", "left").select("fingerprint", "least", F.coalesce("label", "fingerprint").alias("label")), "joined")
     best = joined.groupBy("label").agg(F.min("least").alias("component_id"))
     named = durable(spread_join(joined, best, "label", F.col("fingerprint")).select("fingerprint", "component_id"), "components")
+    release(nodes, joined)
     return spread_join(own, named, "fingerprint", F.col("doc_id")).select("doc_id", "fingerprint", "component_id")
 
 
@@ -399,7 +400,9 @@ def keep_first(docs: DataFrame) -> DataFrame:
     rows = nodes.join(ends.hint("merge"), "print", "left_semi").select("print", F.col("first.row").alias("row"))
     texts = durable(table.select("row", F.col("words").alias("text")).join(rows.hint("merge"), "row").select("print", "text"), "texts")
     labels = similar_labels(edges, texts)
+    release(edges, texts)
     joined = nodes.join(labels.withColumnRenamed("node", "print").hint("merge"), "print", "left")
     kept = durable(joined.groupBy(F.coalesce("label", "print").alias("label")).agg(F.min("first").alias("first")).select("first.row"), "first")
+    release(nodes, labels)
     # The survivors grow with the corpus: never a broadcast, at any size.
     return table.join(kept.hint("merge"), "row", "left_semi").select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(columns)))
