@@ -208,7 +208,7 @@ def fit(stats: DataFrame) -> DataFrame:
     weighted = _moments(placed.where(F.col("d2") <= CHI2_INNER * F.col("scale")), ["group"])
     own = durable(weighted.withColumn("level", F.substring("group", 1, 1).cast("int")), "reweighted")
     names, parent = ["docs", *M, *COV], own.where("level = 0")
-    for level, lang in ((1, "'0'"), (2, "concat('1', to_json(named_struct('lang', get_json_object(substring(group, 2), '$.lang'))))")):
+    for level, lang in ((1, "concat(substring(group, 1, 0), '0')"), (2, "concat('1', to_json(named_struct('lang', get_json_object(substring(group, 2), '$.lang'))))")):
         above = parent.selectExpr("group AS above", *(f"{c} AS p_{c}" for c in names))
         mixed = (f"(docs * {c} + {PRIOR} * p_{c}) / (docs + {PRIOR}) AS {c}" for c in names[1:])
         parent = own.where(f"level = {level}").selectExpr("*", f"{lang} AS above").join(above, "above").selectExpr("group", "docs", *mixed)
