@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from visparq.operators import components, files, measure
-from visparq.plans import evidence, pixels
+from visparq.plans import evidence, pixels, streams
 from visparq.plans.scalars import table
-from visparq.sources import catalog, fixtures, rasters
+from visparq.sources import catalog, fixtures, rasters, resolver
+from visparq.streaming import sessions
 
 
 def _big(spark, sf):
@@ -96,6 +97,35 @@ def image_crop(spark, sf):
     return own.select("image_id", F.col("width").cast("long").alias("width"), F.col("height").cast("long").alias("height"), F.lower(F.hex("data")).alias("pixels"))
 
 
+def resolve_sources(spark, sf):
+    """Inline, stored, missing and remote references; half of the stored ones are there."""
+    k = F.col("s_suppkey")
+    inline = F.regexp_replace(F.base64(F.concat(F.lit("picture "), k.cast("string"), F.lit(" of a supplier, long enough to be taken for base64")).cast("binary")), r"\s", "")
+    ref = F.concat(F.lit("upload://"), k.cast("string"))
+    source = F.when(k % 6 == 0, F.concat(F.lit("data:image/png;base64,"), inline)).when(k % 6 == 1, inline).when(k % 6 == 2, ref).when(k % 6 == 3, "https://example.org/a.png").when(k % 6 == 4, F.concat(F.lit("/srv/"), k.cast("string"), F.lit(".png"))).otherwise("data:image/png;base64,***")
+    own = table(spark, sf, "supplier")
+    stored = own.where(k % 4 < 2).select(ref.alias("ref"), F.concat(F.lit("kept "), k.cast("string")).cast("binary").alias("content"))
+    got = resolver.resolve(own.select(k.alias("request_id"), source.alias("source")), stored)
+    return got.select("request_id", "scheme", F.decode("content", "UTF-8").alias("said"), "error")
+
+
+RESOLVE_SQL = """SELECT s_suppkey AS request_id, CASE s_suppkey % 6 WHEN 0 THEN 'data' WHEN 1 THEN 'base64' WHEN 2 THEN 'upload' WHEN 3 THEN 'http' WHEN 4 THEN 'path' ELSE 'data' END AS scheme,
+CASE WHEN s_suppkey % 6 < 2 THEN 'picture ' || s_suppkey || ' of a supplier, long enough to be taken for base64' WHEN s_suppkey % 6 = 2 AND s_suppkey % 4 < 2 THEN 'kept ' || s_suppkey END AS said,
+CASE WHEN s_suppkey % 6 = 2 AND s_suppkey % 4 >= 2 OR s_suppkey % 6 = 4 THEN 'not_found' WHEN s_suppkey % 6 = 3 THEN 'needs_fetch' WHEN s_suppkey % 6 = 5 THEN 'bad_base64' END AS error FROM supplier"""
+
+
+def pixel_view(spark, sf):
+    own = rasters.explode_pixels(pixels.images(spark, sf))
+    return own.select("image_id", *(F.col(c).cast("long").alias(c) for c in ("x", "y", "r", "g", "b")))
+
+
+def session_registry(spark, sf):
+    k = F.col("event_id")
+    kind = F.when(k % 5 == 0, "close").when(k % 5 == 1, "open").otherwise("use")
+    return sessions.registered(streams.events(spark, sf).withColumn("kind", kind))
+
+
+SESSION_SQL = f"SELECT key, opened_ms, last_ms, uses FROM (SELECT key, min(ms) AS opened_ms, max(ms) AS last_ms, count(*) AS uses, arg_max(event_id % 5 = 0, ms * 1000000 + event_id) AS closed FROM ({streams.EVENTS}) GROUP BY key) WHERE NOT closed"
 _PIXELS = "string_agg(repeat(printf('%02x', v), 3), '' ORDER BY y, x)"
 
 
@@ -118,6 +148,9 @@ QUERIES = {
     "model_residency": (model_residency, "SELECT s_suppkey AS host, (s_suppkey % 4 > 0)::BIGINT AS n, CASE WHEN s_suppkey % 4 = 0 THEN NULL WHEN s_suppkey % 2 = 0 THEN 9 ELSE 5 END::BIGINT AS vram FROM supplier"),
     "diff_image": (diff_image, DIFF_SQL),
     "feedback_files": (feedback_files, "SELECT vec_id AS image_id, 8::BIGINT AS width, 8::BIGINT AS height, '89504E470D0A1A0A' AS magic, 55::BIGINT AS name_length FROM embeddings"),
+    "resolve_sources": (resolve_sources, RESOLVE_SQL),
+    "pixel_view": (pixel_view, f"SELECT image_id, x::BIGINT AS x, y::BIGINT AS y, v::BIGINT AS r, v::BIGINT AS g, v::BIGINT AS b FROM ({pixels.GRAY})"),
+    "session_registry": (session_registry, SESSION_SQL),
     "image_decode": (image_decode, f"WITH g AS ({pixels.GRAY}) SELECT image_id, CASE WHEN image_id % 5 = 0 THEN 8 END::BIGINT AS width, CASE WHEN image_id % 5 = 0 THEN 8 END::BIGINT AS height, CASE WHEN image_id % 5 = 0 THEN {_PIXELS} END AS pixels, CASE image_id % 5 WHEN 1 THEN 'truncated' WHEN 2 THEN 'not_an_image' WHEN 3 THEN 'unsupported' WHEN 4 THEN 'empty' END AS error FROM g GROUP BY image_id"),
     "image_crop": (image_crop, f"WITH g AS ({pixels.GRAY}) SELECT image_id, 3::BIGINT AS width, 3::BIGINT AS height, {_PIXELS} AS pixels FROM g WHERE x >= 5 AND y < 3 GROUP BY image_id"),
     "fixture_boxes": (fixture_boxes, BOXES_SQL),
