@@ -30,9 +30,9 @@ def strip(s: Column) -> Column:
 
 
 def first(html: Column, tag: str) -> Column:
-    """The inside of the first ``tag``, or null if there is none."""
+    """The inside of the first ``tag``, or null if there is none. The page is searched once, its match again."""
     pattern = TAG.format(tag)
-    return F.when(html.rlike(pattern), F.regexp_extract(html, pattern, 1))
+    return F.regexp_extract(F.regexp_substr(html, F.lit(pattern)), pattern, 1)
 
 
 def inner(html: Column, tag: str) -> Column:
@@ -52,7 +52,7 @@ def title(html: Column) -> Column:
 
 
 def description(html: Column) -> Column:
-    return F.when(html.rlike(DESCRIPTION), F.regexp_extract(html, DESCRIPTION, 1))
+    return F.regexp_extract(F.regexp_substr(html, F.lit(DESCRIPTION)), DESCRIPTION, 1)
 
 
 def headings(html: Column, least: int) -> Column:
@@ -62,9 +62,9 @@ def headings(html: Column, least: int) -> Column:
     return F.filter(own, lambda h: F.length(h["text"]) >= least)
 
 
-def nav_links(html: Column) -> Column:
-    """Array of (href, text) of the first nav."""
-    whole = F.regexp_extract_all(F.coalesce(first(html, "nav"), F.lit("")), F.lit(LINK), F.lit(0))
+def nav_links(html: Column, nav: Column | None = None) -> Column:
+    """Array of (href, text) of the first nav (``nav``, where that is known)."""
+    whole = F.regexp_extract_all(F.coalesce(first(html, "nav") if nav is None else nav, F.lit("")), F.lit(LINK), F.lit(0))
     return F.transform(whole, lambda m: F.struct(F.regexp_extract(m, LINK, 1).alias("href"), strip(F.regexp_extract(m, LINK, 2)).alias("text")))
 
 
@@ -79,9 +79,9 @@ def paragraphs(html: Column, least: int) -> Column:
     return long_enough(F.transform(inner(html, "p"), strip), least)
 
 
-def main_content(html: Column, least: int) -> Column:
-    """Array of (type, preview, paragraphs): main sections first, then all paragraphs."""
-    mains = F.transform(F.filter(sections(html, least), lambda s: s["tag"] == "main"), lambda s: F.struct(F.lit("main").alias("type"), F.substring(s["text"], 1, 500).alias("preview"), count(s["body"], "<p[^>]*>").alias("paragraphs")))
+def main_content(html: Column, least: int, found: Column | None = None) -> Column:
+    """Array of (type, preview, paragraphs): main sections first, then all paragraphs. ``found``: the sections, if known."""
+    mains = F.transform(F.filter(sections(html, least) if found is None else found, lambda s: s["tag"] == "main"), lambda s: F.struct(F.lit("main").alias("type"), F.substring(s["text"], 1, 500).alias("preview"), count(s["body"], "<p[^>]*>").alias("paragraphs")))
     rest = F.transform(paragraphs(html, least), lambda t: F.struct(F.lit("paragraph").alias("type"), F.substring(t, 1, 200).alias("preview"), F.lit(None).cast("long").alias("paragraphs")))
     return F.concat(mains, rest)
 
@@ -120,14 +120,17 @@ def extract(pages: DataFrame, least: int = 10, raw: bool = False) -> DataFrame:
     """page_id and the whole control map; a ``least`` of 0 means 10."""
     least = least or 10
     h = F.coalesce(F.col("html"), F.lit(""))
+    # What several columns are made of is found once.
+    pages = pages.select("page_id", "html", sections(h, least).alias("_sections"), first(h, "nav").alias("_nav"))
+    nav, found = F.col("_nav"), F.col("_sections")
     own = {
         "title": title(h),
         "description": description(h),
         "headings": headings(h, least),
-        "nav_raw": trim(first(h, "nav")),
-        "nav_links": nav_links(h),
-        "sections": F.transform(sections(h, least), lambda s: F.struct(s["tag"].alias("tag"), s["attrs"].alias("attrs"), F.substring(s["text"], 1, 200).alias("preview"))),
-        "main_content": main_content(h, least),
+        "nav_raw": trim(nav),
+        "nav_links": nav_links(h, nav),
+        "sections": F.transform(found, lambda s: F.struct(s["tag"].alias("tag"), s["attrs"].alias("attrs"), F.substring(s["text"], 1, 200).alias("preview"))),
+        "main_content": main_content(h, least, found),
         "lists": lists(h, least),
         "forms": forms(h),
         "tables": tables(h),
