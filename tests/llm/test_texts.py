@@ -60,6 +60,16 @@ def test_escape_round_trip(text):
     assert not any(c in chat.escape(text) for c in chat.CONTROL)
 
 
+def test_long_conversations_are_masked_whole():
+    texts = ["<|end|> [INST] \\ é日本 " * 20_000, "", "x" * 300_000, " \n\t", "</s>" * 1000]
+    tok = chat._tokenizer(queries.vocabulary("byte_bpe_50k.json"))
+    formatted, spans = chat.render([(role, t) for t in texts for role in ("user", "assistant")])
+    offsets = np.array(tok.encode(formatted, add_special_tokens=False).offsets).reshape(-1, 2)
+    mask = chat.mask_tokens(offsets[:, 0], offsets[:, 1], spans)
+    own = [formatted[a:b] for a, b in chat.masked_spans(mask, offsets[:, 0], offsets[:, 1])]
+    assert [chat.unescape(t) for t in own] == [t for t in texts if t] and [t for _, t in chat.parse(formatted)] == [t for t in texts for _ in "ua"]
+
+
 # -- counts -----------------------------------------------------------------------------------------------------------
 def test_counts_are_the_librarys(hard, documents, empty, library):
     for docs in (hard, documents):
