@@ -199,7 +199,9 @@ def components(edges: DataFrame) -> DataFrame:
         release(now, low, jump)
         if new.where("label <> was").isEmpty():
             release(both)
-            return new.select("node", "label")
+            out = new.select("node", "label")
+            out.durable_path = new.durable_path
+            return out
         now = new
 
 
@@ -340,44 +342,63 @@ def _wide_links(prints: DataFrame, rows: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b, la, lb) whose texts' shingles have a similarity of SIMILAR or more."""
-    held = pairs
+    """la, lb of the pairs (a, b, la, lb) whose texts' shingles have a similarity of SIMILAR or more; written."""
+    held, made = pairs, []
     for side in ("a", "b"):
-        held = spread_join(durable(held, "pairs"), texts.select(F.col("print").alias(side), F.col("text").alias(f"text_{side}")), side, F.struct("a", "b"))
+        made.append(durable(held, "pairs"))
+        held = spread_join(made[-1], texts.select(F.col("print").alias(side), F.col("text").alias(f"text_{side}")), side, F.struct("a", "b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             good = [similarity(shingles(x), shingles(y)) >= SIMILAR for x, y in zip(b.column("text_a").to_pylist(), b.column("text_b").to_pylist(), strict=True)]
             yield b.select(["la", "lb"]).filter(pa.array(good, pa.bool_()))
 
-    return held.select("la", "lb", "text_a", "text_b").mapInArrow(run, "la binary, lb binary")
+    out = durable(held.select("la", "lb", "text_a", "text_b").mapInArrow(run, "la binary, lb binary"), "verified")
+    release(*made)
+    return out
 
 
-def _relabelled(labels: DataFrame, merged: DataFrame) -> DataFrame:
-    """``labels`` (node, label) after labels were joined: ``merged`` (node, label) over labels."""
-    return durable(spread_join(labels, merged.select(F.col("node").alias("label"), F.col("label").alias("lower")), "label", F.col("node"), "left").select("node", F.coalesce("lower", "label").alias("label")), "labels")
+def _renamed(rows: DataFrame, names: DataFrame, columns: tuple[str, ...], spread_by: Column) -> DataFrame:
+    """``rows`` with what ``names`` (node, label) has another label for replaced in ``columns``; written."""
+    made: list[DataFrame] = []
+    for c in columns:
+        joined = spread_join(made[-1] if made else rows, names.select(F.col("node").alias(c), "label"), c, spread_by, "left")
+        made.append(durable(joined.withColumn(c, F.coalesce("label", c)).drop("label"), "renamed"))
+    release(*made[:-1])
+    return made[-1]
 
 
 def similar_labels(edges: DataFrame, texts: DataFrame) -> DataFrame:
     """node, label of all nodes with an edge: components of the sure edges and of those that are verified."""
+    sure = components(edges.where(F.col("d") <= SURE))
     ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    labels = _relabelled(durable(ends.select("node", F.col("node").alias("label")), "nodes"), components(edges.where(F.col("d") <= SURE)))
-    left = edges.where(F.col("d") > SURE)
+    labels = _renamed(ends.select("node", F.col("node").alias("label_")), sure, ("label_",), F.col("node"))
+    apart = edges.where(F.col("d") > SURE).select("a", "b", "d", F.col("a").alias("la"), F.col("b").alias("lb"))
+    left = _renamed(apart, sure, ("la", "lb"), F.struct("a", "b"))
+    release(sure)
     for turn in range(NEAREST_ROUNDS + 1):
-        for side in ("a", "b"):
-            left = spread_join(durable(left.drop(f"l{side}"), "left"), labels.select(F.col("node").alias(side), F.col("label").alias(f"l{side}")), side, F.struct("a", "b"))
-        left = durable(left.where("la <> lb"), "crossing")
+        crossing = durable(left.where("la <> lb"), "crossing")
+        release(left)
+        left = crossing
         if left.isEmpty():
             break
-        nearest = F.min(F.struct("d", "a", "b")).alias("p")
-        chosen = left if turn == NEAREST_ROUNDS else durable(left.groupBy("la").agg(nearest).union(left.groupBy("lb").agg(nearest)).select("p.a", "p.b").distinct(), "nearest")
-        pairs = left if turn == NEAREST_ROUNDS else left.join(chosen.hint("merge"), ["a", "b"], "left_semi")
-        good = durable(_verified(pairs.select("a", "b", "la", "lb"), texts), "verified")
-        if not good.isEmpty():
-            labels = _relabelled(labels, components(good.select(F.col("la").alias("a"), F.col("lb").alias("b"))))
+        pairs, chosen = left, None
         if turn < NEAREST_ROUNDS:
-            left = left.join(chosen.hint("merge"), ["a", "b"], "left_anti")
-    return labels
+            nearest = F.min(F.struct("d", "a", "b")).alias("p")
+            chosen = durable(left.groupBy("la").agg(nearest).union(left.groupBy("lb").agg(nearest)).select("p.a", "p.b").distinct(), "nearest")
+            pairs = left.join(chosen.hint("merge"), ["a", "b"], "left_semi")
+        good = _verified(pairs.select("a", "b", "la", "lb"), texts)
+        merged = components(good.select(F.col("la").alias("a"), F.col("lb").alias("b")))
+        old, labels = labels, _renamed(labels, merged, ("label_",), F.col("node"))
+        release(old, good)
+        if chosen is None:
+            break
+        old, left = left, _renamed(left.join(chosen.hint("merge"), ["a", "b"], "left_anti"), merged, ("la", "lb"), F.struct("a", "b"))
+        release(old, chosen, merged)
+    release(left)
+    out = labels.select("node", F.col("label_").alias("label"))
+    out.durable_path = labels.durable_path
+    return out
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
