@@ -17,6 +17,7 @@ import re
 import sys
 import unicodedata
 from array import array
+from itertools import pairwise
 
 import numpy as np
 
@@ -28,6 +29,7 @@ BLANK = re.compile(r"([\x09-\x0d\x20]+)")
 #: White space beyond that, and what a contraction's apostrophe takes (with the letter after, if one must follow).
 WHITE = frozenset("\x09\x0a\x0b\x0c\x0d\x20\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 CONTRACTED = {"s": "", "t": "", "m": "", "d": "", "r": "e", "v": "e", "l": "l"}
+HEAD = 24  # bytes of a word's beginning whose entries are kept
 CACHE_ENTRIES, CACHED_LENGTH = 200_000, 200  # of a generation (two are held, about 100 MB); longer chunks are not kept
 MARK = b"\xff"  # never a byte of UTF-8; stands for the end of a pre-token
 
@@ -69,6 +71,7 @@ class WordBpe:
         lone = ranks.pop(MARK, None)  # the symbol of byte 255 cannot occur in UTF-8
         ranks[MARK] = lone if lone is not None else len(ranks) + 10_000
         self.by_bytes = ranks
+        self.ending = {b[:-1]: i for b, i in ranks.items() if b.endswith(MARK) and b != MARK}
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.longest = max(map(len, ranks))
         self.core = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe
@@ -79,8 +82,12 @@ class WordBpe:
         self._older: dict[bytes, bytes] = {}
         self._closing: dict[str, list[int]] = {}
         self._deltas: dict[str, tuple[bytes, int]] = {}
+        self._older_deltas: dict[str, tuple[bytes, int]] = {}
         self._fits: dict[tuple[int, int], bool] = {}
         self._wholes: dict[int, bool] = {}
+        self._words: dict[str, list[int]] = {}
+        self._heads: dict[bytes, tuple[int, int]] = {}
+        self._closed: dict[bytes, int] = {}
         self._special = re.compile("|".join(re.escape(t) for t in sorted(special, key=len, reverse=True)) or r"(?!)")
 
     # -- ids ---------------------------------------------------------------------------------------------------
@@ -141,18 +148,57 @@ class WordBpe:
             known = self._wholes[token] = self.core.encode_single_piece(self.bytes_of[token]) == [token]
         return known
 
+    def _ends(self, raw: bytes, end: int, last: list[int]) -> tuple[int, int, int]:
+        """The last token of the merged ``raw[:end]``, where it starts, and where the last one starts if the word ends there."""
+        plain, ending, joins = self.by_bytes, self.ending, self._fits
+        token = start = close = -1
+        for at in range(end - self.longest if end > self.longest else 0, end):
+            key = raw[at:end]
+            if start < 0 and (t := plain.get(key)) is not None and (self._whole(t) if at == 0 else (self._joins(last[at], t) if (f := joins.get((last[at], t))) is None else f)):
+                token, start = t, at
+                if close >= 0:
+                    break
+            if close < 0 and (t := ending.get(key)) is not None and (self._whole(t) if at == 0 else (self._joins(last[at], t) if (f := joins.get((last[at], t))) is None else f)):
+                close = at
+                if start >= 0:
+                    break
+        if start < 0 or close < 0:
+            raise ValueError("the vocabulary lacks a byte")
+        return token, start, close
+
     def word_prefix_counts(self, word: str) -> list[int]:
-        """The programme over one pre-token: entry j is the exact count of the word cut after j code points."""
-        raw = word.encode()
+        """The programme over one pre-token: entry j is the exact count of the word cut after j code points.
+
+        Words share their beginnings, so the entries of short ones are kept: last token and count of a beginning, and its
+        count as a whole word."""
+        known = self._words.get(word)
+        if known is not None:
+            return known
+        if len(self._heads) >= 2 * CACHE_ENTRIES:
+            self._heads.clear()
+            self._closed.clear()
+        raw, heads, closed = word.encode(), self._heads, self._closed
         last, plain, out, end = [-1], [0], [0], 0
         for char in word:
-            for _ in range(len(char.encode())):
+            for _ in range(1 if char < "\x80" else len(char.encode())):
                 end += 1
-                token, start = self._last(raw, end, False, last)
-                last.append(token)
-                plain.append(plain[start] + 1)
-            _, start = self._last(raw, end, True, last)
-            out.append(plain[start] + 1)
+                key = raw[:end] if end <= HEAD else b""
+                entry = heads.get(key) if key else None
+                if entry is None:
+                    token, start, close = self._ends(raw, end, last)
+                    entry = (token, plain[start] + 1)
+                    whole = plain[close] + 1
+                    if key:
+                        heads[key], closed[key] = entry, whole
+                else:
+                    whole = closed[key]
+                last.append(entry[0])
+                plain.append(entry[1])
+            out.append(whole)
+        if len(word) <= CACHED_LENGTH:
+            if len(self._words) >= CACHE_ENTRIES:
+                self._words.clear()
+            self._words[word] = out
         return out
 
     def chunk_prefix_counts(self, chunk: str) -> list[int]:
@@ -175,13 +221,17 @@ class WordBpe:
 
     def _chunk_deltas(self, chunk: str) -> tuple[bytes, int]:
         """The steps from each prefix's count to the next, as 16-bit integers, and their sum."""
-        if not chunk or BLANK.match(chunk):
+        out = self._older_deltas.get(chunk)
+        if out is not None:
+            pass
+        elif not chunk or BLANK.match(chunk):
             out = (bytes(2 * len(chunk)), 0)
         else:
-            counts = np.array(self.chunk_prefix_counts(chunk), np.int64)
-            out = (np.diff(counts).astype("<i2").tobytes(), int(counts[-1]))
+            counts = self.chunk_prefix_counts(chunk)
+            out = (array("h", [b - a for a, b in pairwise(counts)]).tobytes(), counts[-1])
         if len(chunk) <= CACHED_LENGTH:
             if len(self._deltas) >= CACHE_ENTRIES:
+                self._older_deltas = dict(self._deltas)
                 self._deltas.clear()
             self._deltas[chunk] = out
         return out
