@@ -86,8 +86,7 @@ class WordBpe:
         self._fits: dict[tuple[int, int], bool] = {}
         self._wholes: dict[int, bool] = {}
         self._words: dict[str, list[int]] = {}
-        self._heads: dict[bytes, tuple[int, int]] = {}
-        self._closed: dict[bytes, int] = {}
+        self._heads: dict[bytes, tuple[int, int, int]] = {}
         self._special = re.compile("|".join(re.escape(t) for t in sorted(special, key=len, reverse=True)) or r"(?!)")
 
     # -- ids ---------------------------------------------------------------------------------------------------
@@ -134,14 +133,6 @@ class WordBpe:
             known = self._fits[key] = self.core.encode_single_piece(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
         return known
 
-    def _last(self, raw: bytes, end: int, marked: bool, last: list[int]) -> tuple[int, int]:
-        """The last token of the merged ``raw[:end]`` (with the end mark, if ``marked``) and where it starts."""
-        for start in range(max(0, end - self.longest), end):
-            token = self.by_bytes.get(raw[start:end] + MARK if marked else raw[start:end])
-            if token is not None and (start == 0 and self._whole(token) or start and self._joins(last[start], token)):
-                return token, start
-        raise ValueError("the vocabulary lacks a byte")
-
     def _whole(self, token: int) -> bool:
         known = self._wholes.get(token)
         if known is None:
@@ -176,8 +167,7 @@ class WordBpe:
             return known
         if len(self._heads) >= 2 * CACHE_ENTRIES:
             self._heads.clear()
-            self._closed.clear()
-        raw, heads, closed = word.encode(), self._heads, self._closed
+        raw, heads = word.encode(), self._heads
         last, plain, out, end = [-1], [0], [0], 0
         for char in word:
             for _ in range(1 if char < "\x80" else len(char.encode())):
@@ -186,15 +176,12 @@ class WordBpe:
                 entry = heads.get(key) if key else None
                 if entry is None:
                     token, start, close = self._ends(raw, end, last)
-                    entry = (token, plain[start] + 1)
-                    whole = plain[close] + 1
+                    entry = (token, plain[start] + 1, plain[close] + 1)
                     if key:
-                        heads[key], closed[key] = entry, whole
-                else:
-                    whole = closed[key]
+                        heads[key] = entry
                 last.append(entry[0])
                 plain.append(entry[1])
-            out.append(whole)
+            out.append(entry[2])
         if len(word) <= CACHED_LENGTH:
             if len(self._words) >= CACHE_ENTRIES:
                 self._words.clear()
