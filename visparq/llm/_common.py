@@ -9,10 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visparq.workers import can_import
+from visparq.workers import bounded, can_import
 
-#: Whole texts travel in small Arrow batches: an executor holds several of them at once, outside its heap.
-BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 #: Rows of one key that a join may leave in one task.
 PART = 256
 #: The folders that ``durable`` wrote and nobody released yet.
@@ -23,11 +21,7 @@ FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def workers_can_import(spark: SparkSession) -> None:
     """Put this checkout on the workers' import path (a cluster that ships the package another way is unaffected), and
     bound what the session sends them at once."""
-    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    size = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch"))
-    if not 0 < size <= BATCH_BYTES:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    bounded(spark)
     can_import(spark)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from visparq import schema as S
+from visparq import workers
 from visparq.operators import kernels
 
 FIELDS = ("label", "area", "left", "top", "width", "height", "cx", "cy", "hole")
@@ -22,6 +23,7 @@ def components(images: DataFrame, target: tuple[int, int, int], tolerance: int =
 
     The cap counts regions in scan order, as they are met, and is disclosed in ``truncated``.
     """
+    workers.bounded(images.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from visparq import workers
 from visparq.functions import color
 from visparq.operators import components as comp
 from visparq.operators import contrast, histogram
@@ -143,12 +144,13 @@ def contrast_verdict(spark, sf):
 
 
 def upscale(frames, k: int):
-    """Each pixel as a k x k square: rasters large enough for glyph-sized regions."""
+    """Each pixel as a k x k square: rasters large enough for glyph-sized regions. Made and sent a few MB at a time."""
+    workers.bounded(frames.sparkSession)
 
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in rasters.parts(batches, k * k):
             rows = b.to_pylist()
             data = [np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"], 3).repeat(k, 0).repeat(k, 1).tobytes() for r in rows]
             yield pa.RecordBatch.from_arrays([b.column("image_id"), pa.array([r["width"] * k for r in rows], pa.int32()), pa.array([r["height"] * k for r in rows], pa.int32()), pa.array(data, pa.binary())], names=["image_id", "width", "height", "data"])

@@ -10,10 +10,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from visparq import schema as S
+from visparq import workers
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
@@ -34,6 +36,17 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     return raw.mapInArrow(to_rgb, "path string, width int, height int, data binary").withColumn("image_id", F.xxhash64("path"))
 
 
+def parts(batches: Iterator[pa.RecordBatch], factor: int = 1, most: int = workers.BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches of images cut so that ``factor`` times their data stays within ``most`` bytes, an image at least."""
+    for b in batches:
+        size = pa.compute.fill_null(pa.compute.binary_length(b.column("data")), 0).to_numpy(zero_copy_only=False).astype(np.int64) * factor
+        end, at = np.cumsum(size), 0
+        while at < b.num_rows:
+            upto = max(at + 1, int(np.searchsorted(end, (end[at - 1] if at else 0) + most, side="right")))
+            yield b.slice(at, upto - at)
+            at = upto
+
+
 def byte_at(data: Column, offset: Column) -> Column:
     """The unsigned byte at a 0-based offset."""
     return F.conv(F.hex(F.substring(data, offset + 1, F.lit(1))), 16, 10).cast("int")

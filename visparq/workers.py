@@ -11,6 +11,17 @@ from pyspark.sql import SparkSession
 PACKAGE = Path(__file__).resolve().parent
 ROOT = str(PACKAGE.parent)
 _shipped: set[str] = set()
+#: Whole texts and images travel in small Arrow batches: an executor holds several of them at once, outside its heap.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+
+
+def bounded(spark: SparkSession) -> None:
+    """Bound what the session sends Python workers at once."""
+    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    size = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch"))
+    if not 0 < size <= BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def can_import(spark: SparkSession) -> None:
