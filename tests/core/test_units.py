@@ -260,3 +260,20 @@ def test_evidence_containment_matches_brute_force(spark):
     claims, norms = ({(d, made()) for d in (1, 2) for _ in range(60)} - {(1, ""), (2, "")} for _ in range(2))
     got = {tuple(r) for r in evidence.met(spark.createDataFrame(sorted(claims), "doc_id long, claim string"), spark.createDataFrame(sorted(norms), "doc_id long, norm string"), 4).collect()}
     assert got == {(d, c, n) for d, c in claims for e, n in norms if d == e and (c == n or len(c) >= 4 and len(n) >= 4 and (c in n or n in c))}
+
+
+def test_large_images_travel_in_small_batches(spark):
+    """What an enlargement makes of one batch is sent in parts; colours are counted on an image's row, as pixels count them."""
+    import pyarrow as pa
+
+    from visparq.operators import histogram
+    from visparq.plans import pixels
+
+    whole = pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array([bytes(192)] * 49 + [None], pa.binary())], names=["image_id", "data"])
+    cut = list(rasters.parts([whole], 144, 100_000))
+    assert [r for b in cut for r in b.column("image_id").to_pylist()] == list(range(50))
+    assert len(cut) > 1 and all(144 * sum(map(len, b.column("data").drop_null().to_pylist())) <= 100_000 for b in cut)
+    assert [b.num_rows for b in rasters.parts([whole], 1_000_000, 100)][:3] == [1, 1, 1]
+    frames = pixels.upscale(pixels.images(spark, "/root/testdata/sf0.001").where("image_id < 40"), 3)
+    assert sorted(histogram.of_images(frames).collect()) == sorted(histogram.histogram(rasters.explode_pixels(frames)).collect())
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 2000

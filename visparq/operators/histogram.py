@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from visparq import schema as S
+from visparq import workers
 from visparq.functions import color
+from visparq.operators import kernels
 
 
 def histogram(pixels: DataFrame) -> DataFrame:
@@ -16,6 +22,22 @@ def histogram(pixels: DataFrame) -> DataFrame:
     return keyed.groupBy("image_id", "key").agg(F.count("*").alias("n"), F.min("at").alias("at")).select("image_id", "key", "n", F.col("at.y").alias("first_y"), F.col("at.x").alias("first_x"))
 
 
+def of_images(images: DataFrame) -> DataFrame:
+    """The histogram of whole images, counted where an image's row lies: only distinct colours leave it, no pixel is a row."""
+    workers.bounded(images.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                if r["data"] and r["width"]:
+                    key, first, n = kernels.counted(kernels.pack_rgb(np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"], 3)).ravel())
+                    yield pa.RecordBatch.from_arrays([pa.array([r["image_id"]] * len(key), pa.int64()), pa.array(key, pa.int32()), pa.array(n, pa.int64()), pa.array(first // r["width"], pa.int32()), pa.array(first % r["width"], pa.int32())], names=["image_id", "key", "n", "y", "x"])
+
+    own = images.select("image_id", "width", "height", "data").mapInArrow(run, "image_id long, key int, n long, y int, x int")
+    merged = own.groupBy("image_id", "key").agg(F.sum("n").alias("n"), F.min(F.struct("y", "x")).alias("at"))
+    return merged.select("image_id", "key", "n", F.col("at.y").alias("first_y"), F.col("at.x").alias("first_x"))
+
+
 def dominant(hist: DataFrame, k: int = 8) -> DataFrame:
     """The k most frequent colours of each image with rank and share in percent (two decimals)."""
     w = Window.partitionBy("image_id").orderBy(F.desc("n"), "first_y", "first_x")

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from visparq.functions import color, geometry, text
 from visparq.operators import components, contrast, evidence, histogram, jsonx
-from visparq.sources import rasters
 
 MODES = ("contrast", "colors", "boxes", "layout", "all")
 MODEL_FREE = "computed by pixel maths; no model was involved"
@@ -25,7 +24,7 @@ def measure_image(images: DataFrame, mode: str = "all", box_color: tuple[int, in
         out = out.join(m.select("image_id", F.struct(*(c for c in m.columns if c != "image_id")).alias("contrast")), "image_id", "left")
         abstained.append(F.when(~F.col("contrast.measurable"), F.element_at("contrast.abstained", 1)))
     if want("colors"):
-        top = histogram.dominant(histogram.histogram(rasters.explode_pixels(images)))
+        top = histogram.dominant(histogram.of_images(images))
         out = out.join(top.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("rank", "hex", "n", "share"))).alias("colors")), "image_id", "left")
     if want("boxes") and box_color:
         found = components.boxes(components.components(images, box_color, least=200))
