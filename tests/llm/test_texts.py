@@ -416,3 +416,21 @@ def test_url_query_trains_and_judges_all(spark):
     labels = spark.createDataFrame([], "page_id long, blocked int")
     trees = url_filter.train(pages, labels)
     assert trees.trees == [] and url_filter.judge(pages.limit(0), trees, queries.RULES).count() == 0
+
+
+def test_counts_along_known_beginnings_are_the_librarys():
+    """Words met after others that share their beginnings, of one or more bytes a letter, and after the kept ones were cleared."""
+    from public_tokenizers import path
+    from visparq.llm import wordbpe
+
+    bpe = wordbpe.WordBpe(path("word_bpe_49k.json"))
+    words = ["thonre", "tho", "thonrest", "thon", "éaneux", "éan", "éaß", "a", "", "thé", "thénards", "x" * 40 + "y", "x" * 40 + "z"]
+    for _ in range(2):
+        for word in words:
+            assert bpe.word_prefix_counts(word) == [len(bpe.library.encode(word[:k], add_special_tokens=False).ids) for k in range(len(word) + 1)]
+        bpe._words.clear()
+    steps = [0]
+    known = bpe._back.get
+    bpe._back = type("Counted", (dict,), {"get": lambda self, key: (steps.__setitem__(0, steps[0] + 1), known(key))[1]})()
+    bpe.word_prefix_counts("zqj" * 30)
+    assert steps[0] < 4 * 90  # places looked at follow the vocabulary's endings, not its longest token

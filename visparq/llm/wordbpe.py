@@ -29,8 +29,9 @@ BLANK = re.compile(r"([\x09-\x0d\x20]+)")
 #: White space beyond that, and what a contraction's apostrophe takes (with the letter after, if one must follow).
 WHITE = frozenset("\x09\x0a\x0b\x0c\x0d\x20\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 CONTRACTED = {"s": "", "t": "", "m": "", "d": "", "r": "e", "v": "e", "l": "l"}
-HEAD = 24  # bytes of a word's beginning whose entries are kept
+HEAD, START = 24, 4  # bytes of a word's beginning whose entries are kept; those that are taken at once
 CACHE_ENTRIES, CACHED_LENGTH = 200_000, 200  # of a generation (two are held, about 100 MB); longer chunks are not kept
+DELTA_ENTRIES = 400_000  # of a generation of chunks' steps (two are held, about 220 MB): a third fewer chunks come again than with half
 MARK = b"\xff"  # never a byte of UTF-8; stands for the end of a pre-token
 
 
@@ -74,6 +75,7 @@ class WordBpe:
         self.ending = {b[:-1]: i for b, i in ranks.items() if b.endswith(MARK) and b != MARK}
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.longest = max(map(len, ranks))
+        self._back = self._backwards()
         self.core = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
@@ -86,9 +88,25 @@ class WordBpe:
         self._fits: dict[tuple[int, int], bool] = {}
         self._wholes: dict[int, bool] = {}
         self._words: dict[str, list[int]] = {}
-        self._heads: dict[bytes, tuple[int, int, int]] = {}
+        self._heads: dict[int, tuple[int, int, int, int]] = {}
+        self._starts: dict[bytes, tuple[list[int], list[int], list[int], int]] = {}
+        self._made_heads = 0
         self._special = re.compile("|".join(re.escape(t) for t in sorted(special, key=len, reverse=True)) or r"(?!)")
 
+    def _backwards(self) -> dict[int, tuple[int, int, int]]:
+        """The tokens from their last byte to their first as a tree: node << 8 | byte to node (0: the root), with the tokens that
+        the node is inside a word and at its end (-1: none)."""
+        back: dict[int, tuple[int, int, int]] = {}
+        for kind, tokens in ((1, self.by_bytes), (2, self.ending)):
+            for raw, token in tokens.items():
+                if kind == 2 or not raw.endswith(MARK):
+                    node = 0
+                    for byte in reversed(raw):
+                        key = node << 8 | byte
+                        node = back.setdefault(key, (len(back) + 1, -1, -1))[0]
+                    back[key] = (node, token, back[key][2]) if kind == 1 else (node, back[key][1], token)
+        return back
+
     # -- ids ---------------------------------------------------------------------------------------------------
     def _chunk_ids(self, chunk: bytes) -> bytes:
         """A chunk's ids; full caches become the older generation, which is asked before anything is encoded again."""
@@ -141,21 +159,25 @@ class WordBpe:
 
     def _ends(self, raw: bytes, end: int, last: list[int]) -> tuple[int, int, int]:
         """The last token of the merged ``raw[:end]``, where it starts, and where the last one starts if the word ends there."""
-        plain, ending, joins = self.by_bytes, self.ending, self._fits
-        token = start = close = -1
-        for at in range(end - self.longest if end > self.longest else 0, end):
-            key = raw[at:end]
-            if start < 0 and (t := plain.get(key)) is not None and (self._whole(t) if at == 0 else (self._joins(last[at], t) if (f := joins.get((last[at], t))) is None else f)):
-                token, start = t, at
-                if close >= 0:
-                    break
-            if close < 0 and (t := ending.get(key)) is not None and (self._whole(t) if at == 0 else (self._joins(last[at], t) if (f := joins.get((last[at], t))) is None else f)):
-                close = at
-                if start >= 0:
+        get, joins = self._back.get, self._fits
+        node, at, plain, ending = 0, end, [], []
+        while at and (step := get(node << 8 | raw[at - 1])) is not None:
+            at -= 1
+            node, inside, closing = step
+            if inside >= 0:
+                plain.append((at, inside))
+            if closing >= 0:
+                ending.append((at, closing))
+        found = []
+        for tokens in (plain, ending):  # the longest that stays whole beside what precedes it
+            while tokens:
+                at, t = tokens.pop()
+                if self._whole(t) if at == 0 else (self._joins(last[at], t) if (f := joins.get((last[at], t))) is None else f):
+                    found.append((t, at))
                     break
-        if start < 0 or close < 0:
-            raise ValueError("the vocabulary lacks a byte")
-        return token, start, close
+            else:
+                raise ValueError("the vocabulary lacks a byte")
+        return *found[0], found[1][1]
 
     def word_prefix_counts(self, word: str) -> list[int]:
         """The programme over one pre-token: entry j is the exact count of the word cut after j code points.
@@ -167,21 +189,37 @@ class WordBpe:
             return known
         if len(self._heads) >= 2 * CACHE_ENTRIES:
             self._heads.clear()
-        raw, heads = word.encode(), self._heads
-        last, plain, out, end = [-1], [0], [0], 0
-        for char in word:
-            for _ in range(1 if char < "\x80" else len(char.encode())):
-                end += 1
-                key = raw[:end] if end <= HEAD else b""
-                entry = heads.get(key) if key else None
-                if entry is None:
-                    token, start, close = self._ends(raw, end, last)
-                    entry = (token, plain[start] + 1, plain[close] + 1)
-                    if key:
-                        heads[key] = entry
-                last.append(entry[0])
-                plain.append(entry[1])
-            out.append(entry[2])
+            self._starts.clear()
+            self._made_heads = 0
+        raw, get = word.encode(), self._heads.get
+        known = self._starts.get(raw[:START])
+        if known is None:
+            last, plain, out, node, end = [-1], [0], [0], 0, 0
+        else:
+            last, plain, out, node, end = known[0].copy(), known[1].copy(), known[2].copy(), known[3], START
+        for byte in raw[end:] if end else raw:  # along the beginnings that are known
+            entry = get(node << 8 | byte)
+            if entry is None:
+                break
+            node, token, count, whole = entry
+            last.append(token)
+            plain.append(count)
+            out.append(whole)
+            end += 1
+        while end < len(raw):
+            end += 1
+            token, start, close = self._ends(raw, end, last)
+            last.append(token)
+            plain.append(plain[start] + 1)
+            out.append(plain[close] + 1)
+            if end <= HEAD:
+                self._made_heads += 1
+                self._heads[node << 8 | raw[end - 1]] = (self._made_heads, token, plain[-1], out[-1])
+                node = self._made_heads
+                if end == START:
+                    self._starts[raw[:START]] = (last.copy(), plain.copy(), out.copy(), node)
+        if len(raw) > len(word):  # counts where a code point ends
+            out = [n for n, after in zip(out, [*raw, 0], strict=True) if after & 0xC0 != 0x80]
         if len(word) <= CACHED_LENGTH:
             if len(self._words) >= CACHE_ENTRIES:
                 self._words.clear()
@@ -217,7 +255,7 @@ class WordBpe:
             counts = self.chunk_prefix_counts(chunk)
             out = (array("h", [b - a for a, b in pairwise(counts)]).tobytes(), counts[-1])
         if len(chunk) <= CACHED_LENGTH:
-            if len(self._deltas) >= CACHE_ENTRIES:
+            if len(self._deltas) >= DELTA_ENTRIES:
                 self._older_deltas = dict(self._deltas)
                 self._deltas.clear()
             self._deltas[chunk] = out
