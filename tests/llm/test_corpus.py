@@ -241,6 +241,32 @@ def test_big_runs_stay_connected(monkeypatch):
     assert all((label[x] == label[y]) == bool(near[x, y]) for x in range(400) for y in range(400))
 
 
+def test_big_runs_keep_every_doubtful_link(monkeypatch):
+    """Farther pairs stay beside nearer ones that may fail, in runs of any size; found by rounds, none is left out."""
+    monkeypatch.setattr(simhash, "HOT", 50)
+    rng = np.random.default_rng(8)
+    prints = np.repeat(rng.integers(0, 2**64, (2, 4), dtype=np.uint64), 60, axis=0)
+    for row in prints:
+        for bit in rng.choice(256, rng.integers(8, 26), replace=False):
+            row[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    apart = simhash._apart(prints[:, None], prints[None])
+    a, b, _ = simhash._run_links(prints)
+    tree = simhash._sure(prints)[2]
+    want = {(x, y) for x in range(120) for y in range(x) if simhash.SURE < apart[x, y] <= simhash.REACH and tree[x] != tree[y]}
+    got = {(max(p), min(p)) for p in zip(a.tolist(), b.tolist(), strict=True)}
+    assert want and want <= got and all(apart[p] <= simhash.REACH for p in got)
+    # Each pair counts in one table, and a leader's round leaves no label with a partner out.
+    masks = simhash._masks(simhash.wide_tables(5000))
+    differ = prints[:60, None] ^ prints[None, :60]
+    shared = (differ[:, :, None] & masks).any(-1) == False  # noqa: E712
+    counted = np.stack([shared[:, :, k] & simhash._first_met(differ.reshape(-1, 4), k, masks).reshape(60, 60) for k in range(len(masks))], axis=-1)
+    assert (counted.sum(-1) == shared.any(-1)).all()
+    none = np.zeros((0, 4), np.uint64)
+    every = {(k, int(j)) for k, js, _ in simhash._doubtful(prints, tree, 0, none) for j in js}
+    led = {int(tree[k]) for k, js, _ in simhash._doubtful(prints, tree, 0, none, True) for k in (k, *js)}
+    assert every and led
+
+
 # -- quality ----------------------------------------------------------------------------------------------------------
 def plain_base(text):
     blank = " \t\n\x0b\x0c\r"

@@ -11,8 +11,10 @@ no link either; a key of the finest tables leaves 16 bits, so at most 65,536 fin
 or more. At that similarity 15 % of a fingerprint's bits differ, too many for whole blocks of 64 bits; so its fingerprints
 have ``WIDE`` bits and a table's key is one block, with as many tables (blocks of the fingerprint, then of seeded permutations
 of it) as a pair of similarity SIMILAR needs to share a key with probability ``RECALL``; more similar pairs nearly always do.
-Pairs are verified by Hamming distance: up to ``SURE`` they are links, up to ``REACH`` their shingles are compared exactly, the
-nearest pair of each component first, since most others are then within one component.
+Pairs are judged by Hamming distance: up to ``SURE`` they are links, up to ``REACH`` their shingles are compared exactly. A run
+of any size keeps a forest of its sure links and its members that have a doubtful pair, never its pairs: these are found again
+in every round from the members' labels, a leader's pairs with other components first, and after a few rounds all pairs that
+still lie between two components, so none is left out. A pair counts in the first table in which it shares a key.
 
 Components come from minimum labels with pointer jumping, each round written to the shared folder. Forests are chains, so no
 node is a hub; joins by label or fingerprint spread heavy keys.
@@ -43,7 +45,7 @@ WORDS, SIMILAR, WIDE, RECALL = 5, 0.8, 256, 0.99
 #: The share of equal bits at similarity SIMILAR, and for SURE and REACH three standard deviations to either side of it.
 SAME = 1 - math.acos(2 * SIMILAR / (1 + SIMILAR)) / math.pi
 SURE, REACH = (int(WIDE * (1 - SAME) + k * 3 * math.sqrt(WIDE * SAME * (1 - SAME))) for k in (-1, 1))
-NEAREST_ROUNDS = 3  # of verifying each component's nearest pair; after them all other pairs are verified at once
+LEADER_ROUNDS = 4  # at most, of verifying the pairs of leaders; after them all other pairs between components are verified at once
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -93,6 +95,7 @@ class Runs:
 
     def __init__(self, batches: Iterator[pa.RecordBatch]):
         self.batches, self.held = batches, []
+        self.table = self.key = np.zeros(0, np.int64)  # of the rows that were given last
 
     def __iter__(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Prints, and where runs start and how long they are."""
@@ -114,10 +117,10 @@ class Runs:
         if self.held:
             yield from self._done(self.held)
 
-    @staticmethod
-    def _done(parts: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def _done(self, parts: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         table, key, prints = (np.concatenate(x) for x in zip(*parts, strict=True))
         if len(table):
+            self.table, self.key = table, key
             first = np.flatnonzero(np.concatenate(([True], (table[1:] != table[:-1]) | (key[1:] != key[:-1]))))
             yield prints, first, np.diff(np.append(first, len(table)))
 
@@ -144,11 +147,11 @@ def _small_runs(prints: np.ndarray, first: np.ndarray, size: np.ndarray, reach:
         yield own[near], own[near] + d, apart[near]
 
 
-def forest(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def forest(prints: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
     """A run's rows chained within its local components: each to the one before it. Memory follows the run, not its pairs."""
     label = np.arange(len(prints))
     for k in range(len(prints) - 1):
-        near = np.flatnonzero(_apart(prints[k + 1 :], prints[k]) <= DISTANCE) + k + 1
+        near = np.flatnonzero(_apart(prints[k + 1 :], prints[k]) <= distance) + k + 1
         met = np.unique(label[near])
         met = met[met != label[k]]
         if len(met):
@@ -271,46 +274,77 @@ def wide_tables(rows: int) -> list[np.ndarray]:
     return out[:many]
 
 
-def _tree(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A minimum spanning forest of a run under REACH: row numbers and distances."""
-    n = len(prints)
-    best, parent, left = np.full(n, WIDE + 1), np.zeros(n, np.int64), np.ones(n, bool)
-    at, out = 0, []
-    for _ in range(n - 1):
-        left[at] = False
-        apart = _apart(prints, prints[at])
-        closer = left & (apart < best)
-        best[closer], parent[closer] = apart[closer], at
-        at = int(np.where(left, best, WIDE + 2).argmin())
-        if best[at] <= REACH:
-            out.append((at, int(parent[at]), int(best[at])))
-    return tuple(np.array(c, np.int64) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+def _masks(tables: list[np.ndarray]) -> np.ndarray:
+    """Each table's key bits as words of a fingerprint."""
+    out = np.zeros((len(tables), WIDE), np.uint8)
+    for k, own in enumerate(tables):
+        out[k, own] = 1
+    return np.packbits(out, axis=1, bitorder="little").view(np.uint64)
+
+
+def _first_met(differ: np.ndarray, table: np.ndarray | int, masks: np.ndarray) -> np.ndarray:
+    """Whether pairs with these differing bits share no key in a table before theirs: each pair counts once."""
+    out = np.ones(len(differ), bool)
+    for k in range(int(np.max(table, initial=0))):
+        out &= (table <= k) | (differ & masks[k]).any(axis=1)
+    return out
+
+
+def _doubtful(prints: np.ndarray, label: np.ndarray, table: int, masks: np.ndarray, leaders: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """A row, later rows of other labels beyond SURE and within REACH of it, and their distances; all such pairs that count in
+    this table. With ``leaders`` only of rows whose label no leader has met, with any rows, one pair for each label met."""
+    todo = np.ones(len(prints), bool)
+    for k in range(len(prints)):
+        if not todo[k]:
+            continue
+        at = 0 if leaders else k + 1
+        apart = _apart(prints[at:], prints[k])
+        near = np.flatnonzero((apart > SURE) & (apart <= REACH) & (label[at:] != label[k]))
+        if len(near):
+            near = near[_first_met(prints[at + near] ^ prints[k], table, masks)]
+        if leaders:
+            near = near[np.argsort(apart[near], kind="stable")]
+            met, first = np.unique(label[near], return_index=True)
+            near = near[first]
+            todo[np.isin(label, np.append(met, label[k]))] = False
+        if len(near):
+            yield k, at + near, apart[near]
 
 
 def _run_links(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links of a run beyond PAIRWISE. Of over HOT members, those within SURE of a leader are chained to it and stand back; all
-    leaders are compared with each other."""
-    if len(prints) <= HOT:
-        return _tree(prints)
-    found, leaders, todo = [], [], np.arange(len(prints))
-    while len(todo):
-        apart = _apart(prints[todo], prints[todo[0]])
-        own = todo[apart <= SURE]
-        leaders.append(int(todo[0]))
-        if len(own) > 1:
-            gap = _apart(prints[own[1:]], prints[own[:-1]])
-            chained = gap <= SURE
-            found.append((own[1:], np.where(chained, own[:-1], own[0]), np.where(chained, gap, apart[apart <= SURE][1:])))
-        todo = todo[apart > SURE]
-    first = np.array(leaders)
-    a, b, d = _tree(prints[first])
-    found.append((first[a], first[b], d))
+    """Links of a run of any size: a forest of the sure ones, and all doubtful pairs between its trees."""
+    a, b, label = _sure(prints)
+    found = [(a, b, _apart(prints[a], prints[b]))]
+    found += [(np.full(len(j), k), j, d) for k, j, d in _doubtful(prints, label, 0, np.zeros((0, 1), np.uint64))]
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
+def _sure(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A forest of a run's pairs within SURE, and each row's tree."""
+    label, left, out = np.arange(len(prints)), np.ones(len(prints), bool), []
+    for start in range(len(prints)):
+        todo = [start] if left[start] else []
+        left[start] = False
+        while todo:
+            k = todo.pop()
+            found = np.flatnonzero(left)
+            found = found[_apart(prints[found], prints[k]) <= SURE]
+            left[found], label[found] = False, start
+            out += [(k, j) for j in found.tolist()]
+            todo += found.tolist()
+    pairs = np.array(out, np.int64).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1], label
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    raw = np.ascontiguousarray(rows).view(np.uint8)
+    return pa.array([bytes(r) for r in raw], pa.binary())
+
+
 def _wide_links(prints: DataFrame, rows: int) -> DataFrame:
-    """a, b, d: pairs within REACH bits that share a key of some table, once each."""
+    """a, b: sure links, a forest of each run's; with a null b: table, key and a member that has a doubtful pair there."""
     tables = wide_tables(rows)
+    masks = _masks(tables)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -321,24 +355,75 @@ def _wide_links(prints: DataFrame, rows: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(n, k, np.int16)), pa.array(bits[:, own] @ (1 << np.arange(len(own)))), b.column("print")], names=["table", "key", "print"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
-            raw = [[bytes(r) for r in np.ascontiguousarray(x).view(np.uint8)] for x in (a, b)]
-            ordered = [sorted(p) for p in zip(*raw, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in ordered], pa.binary()), pa.array([p[1] for p in ordered], pa.binary()), pa.array(d.astype(np.int32))], names=["a", "b", "d"])
+        runs = Runs(batches)
 
-        for prints, first, size in Runs(batches):
+        def out(a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
+            none = pa.nulls(len(a), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(runs.table[a].astype(np.int16)), pa.array(runs.key[a]), _binary(prints[a]), none if b is None else _binary(prints[b])], names=["table", "key", "a", "b"])
+
+        for prints, first, size in runs:
+            member, root, sure = np.zeros(len(prints), bool), {}, []
             for a, b, d in _small_runs(prints, first, size, REACH):
-                if len(a):
-                    yield out(prints[a], prints[b], d)
-            for f, n in zip(first[size > PAIRWISE], size[size > PAIRWISE], strict=True):
+                met = _first_met(prints[a] ^ prints[b], runs.table[a], masks)
+                for x, y in zip(a[met & (d <= SURE)].tolist(), b[met & (d <= SURE)].tolist(), strict=True):
+                    p, q = x, y
+                    while p in root:
+                        p = root[p]
+                    while q in root:
+                        q = root[q]
+                    if p != q:
+                        root[max(p, q)] = min(p, q)
+                        sure.append((x, y))
+                member[a[met & (d > SURE)]] = member[b[met & (d > SURE)]] = True
+            pairs = [np.array(sure, np.int64).reshape(-1, 2)]
+            for f, n in zip(first[size > PAIRWISE].tolist(), size[size > PAIRWISE].tolist(), strict=True):
                 own = prints[f : f + n]
-                a, b, d = _run_links(own)
-                if len(a):
-                    yield out(own[a], own[b], d)
+                a, b, label = _sure(own)
+                pairs.append(f + np.stack([a, b], axis=1))
+                for k, j, _ in _doubtful(own, label, int(runs.table[f]), masks):
+                    member[f + k] = member[f + j] = True
+            pairs = np.concatenate(pairs)
+            if len(pairs):
+                yield out(pairs[:, 0], pairs[:, 1])
+            if member.any():
+                yield out(np.flatnonzero(member), None)
 
     keyed = prints.mapInArrow(keys, "table short, key long, print binary")
     dealt = keyed.repartition("table", "key").sortWithinPartitions("table", "key", "print")
-    return dealt.mapInArrow(run, "a binary, b binary, d int").groupBy("a", "b").agg(F.min("d").alias("d"))
+    return dealt.mapInArrow(run, "table short, key long, a binary, b binary")
+
+
+def _crossing(members: DataFrame, labels: DataFrame, rows: int, leaders: bool) -> DataFrame:
+    """a, b, la, lb: doubtful pairs between labels; with ``leaders`` some for each label that has any, else all."""
+    masks = _masks(wide_tables(rows))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs, wide = Runs(batches), WIDE // 64
+        for both, first, size in runs:
+            prints, names = np.ascontiguousarray(both[:, :wide]), np.ascontiguousarray(both[:, wide:])
+            label = np.unique(names, axis=0, return_inverse=True)[1].ravel()
+            a, b = [], []
+            for f, n in zip(first.tolist(), size.tolist(), strict=True):
+                if n > 1 and label[f : f + n].min() < label[f : f + n].max():
+                    for k, j, _ in _doubtful(prints[f : f + n], label[f : f + n], int(runs.table[f]), masks, leaders):
+                        a.append(np.full(len(j), f + k))
+                        b.append(f + j)
+                        if sum(map(len, b[-64:])) > 1 << 14:
+                            yield _pairs(prints, names, a, b)
+                            a, b = [], []
+            if a:
+                yield _pairs(prints, names, a, b)
+
+    named = members.join(labels.select(F.col("node").alias("print"), "label_").hint("merge"), "print").select("table", "key", F.concat("print", "label_").alias("print"))
+    return named.repartition("table", "key").sortWithinPartitions("table", "key", "print").mapInArrow(run, "a binary, b binary, la binary, lb binary")
+
+
+def _pairs(prints: np.ndarray, names: np.ndarray, a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
+    """Pairs of rows, the lesser fingerprint first."""
+    x, y = np.concatenate(a), np.concatenate(b)
+    own = {k: (prints[k].tobytes(), names[k].tobytes()) for k in np.unique(np.append(x, y)).tolist()}
+    ordered = [sorted((own[p], own[q])) for p, q in zip(x.tolist(), y.tolist(), strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array([p[side][part] for p in ordered], pa.binary()) for part in (0, 1) for side in (0, 1)], names=["a", "b", "la", "lb"])
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -368,34 +453,32 @@ def _renamed(rows: DataFrame, names: DataFrame, columns: tuple[str, ...], spread
     return made[-1]
 
 
-def similar_labels(edges: DataFrame, texts: DataFrame) -> DataFrame:
-    """node, label of all nodes with an edge: components of the sure edges and of those that are verified."""
-    sure = components(edges.where(F.col("d") <= SURE))
-    ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    labels = _renamed(ends.select("node", F.col("node").alias("label_")), sure, ("label_",), F.col("node"))
-    apart = edges.where(F.col("d") > SURE).select("a", "b", "d", F.col("a").alias("la"), F.col("b").alias("lb"))
-    left = _renamed(apart, sure, ("la", "lb"), F.struct("a", "b"))
+def similar_labels(found: DataFrame, texts: DataFrame, rows: int) -> DataFrame:
+    """node, label of all nodes with a link or a doubtful pair: components of the sure links and of those that are verified."""
+    links, members = found.where("b IS NOT NULL").select("a", "b"), found.where("b IS NULL").select("table", "key", F.col("a").alias("print"))
+    sure = components(links)
+    ends = links.select(F.col("a").alias("node")).union(links.select("b")).union(members.select("print")).distinct()
+    labels, tried = _renamed(ends.select("node", F.col("node").alias("label_")), sure, ("label_",), F.col("node")), []
     release(sure)
-    for turn in range(NEAREST_ROUNDS + 1):
-        crossing = durable(left.where("la <> lb"), "crossing")
-        release(left)
-        left = crossing
-        if left.isEmpty():
-            break
-        pairs, chosen = left, None
-        if turn < NEAREST_ROUNDS:
-            nearest = F.min(F.struct("d", "a", "b")).alias("p")
-            chosen = durable(left.groupBy("la").agg(nearest).union(left.groupBy("lb").agg(nearest)).select("p.a", "p.b").distinct(), "nearest")
-            pairs = left.join(chosen.hint("merge"), ["a", "b"], "left_semi")
-        good = _verified(pairs.select("a", "b", "la", "lb"), texts)
-        merged = components(good.select(F.col("la").alias("a"), F.col("lb").alias("b")))
-        old, labels = labels, _renamed(labels, merged, ("label_",), F.col("node"))
-        release(old, good)
-        if chosen is None:
+    leaders, turn = True, 0
+    while True:
+        met = durable(_crossing(members, labels, rows, leaders), "crossing")
+        new = met
+        for t in tried:
+            new = new.join(t.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
+        good = _verified(new.select("a", "b", "la", "lb"), texts)
+        tried.append(met)
+        found_any = not good.isEmpty()
+        if found_any:
+            merged = components(good.select(F.col("la").alias("a"), F.col("lb").alias("b")))
+            old, labels = labels, _renamed(labels, merged, ("label_",), F.col("node"))
+            release(old, merged)
+        release(good)
+        if not leaders:
             break
-        old, left = left, _renamed(left.join(chosen.hint("merge"), ["a", "b"], "left_anti"), merged, ("la", "lb"), F.struct("a", "b"))
-        release(old, chosen, merged)
-    release(left)
+        turn += 1
+        leaders = found_any and turn < LEADER_ROUNDS
+    release(*tried)
     out = labels.select("node", F.col("label_").alias("label"))
     out.durable_path = labels.durable_path
     return out
@@ -416,12 +499,13 @@ def keep_first(docs: DataFrame) -> DataFrame:
     table = durable(flat.mapInArrow(run, f"row long, id long, print binary, words string, {kinds}"), "prints")
     first: Column = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")
     nodes = durable(table.groupBy("print").agg(first), "nodes")
-    edges = durable(_wide_links(nodes.select("print"), nodes.count()), "links")
-    ends = edges.where(F.col("d") > SURE).select(F.col("a").alias("print")).union(edges.where(F.col("d") > SURE).select("b")).distinct()
+    many = nodes.count()
+    found = durable(_wide_links(nodes.select("print"), many), "links")
+    ends = found.where("b IS NULL").select(F.col("a").alias("print")).distinct()
     rows = nodes.join(ends.hint("merge"), "print", "left_semi").select("print", F.col("first.row").alias("row"))
     texts = durable(table.select("row", F.col("words").alias("text")).join(rows.hint("merge"), "row").select("print", "text"), "texts")
-    labels = similar_labels(edges, texts)
-    release(edges, texts)
+    labels = similar_labels(found, texts, many)
+    release(found, texts)
     joined = nodes.join(labels.withColumnRenamed("node", "print").hint("merge"), "print", "left")
     kept = durable(joined.groupBy(F.coalesce("label", "print").alias("label")).agg(F.min("first").alias("first")).select("first.row"), "first")
     release(nodes, labels)
