@@ -277,3 +277,24 @@ def test_large_images_travel_in_small_batches(spark):
     frames = pixels.upscale(pixels.images(spark, "/root/testdata/sf0.001").where("image_id < 40"), 3)
     assert sorted(histogram.of_images(frames).collect()) == sorted(histogram.histogram(rasters.explode_pixels(frames)).collect())
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 2000
+
+
+def test_items_and_words_meet_on_a_row(spark):
+    """Per document as the joins have it; the queries over documents shuffle no word."""
+    from visparq.operators import evidence
+    from visparq.plans import evidence as plans
+
+    rng = random.Random(3)
+    for _ in range(300):
+        claims, norms = ([("".join(rng.choice("ab") for _ in range(rng.randrange(0, 8)))) for _ in range(rng.randrange(0, 9))] for _ in range(2))
+        fits = lambda c, n: bool(c and n) and (c == n or min(len(c), len(n)) >= 4 and (c in n or n in c))
+        at, whole, seen = evidence.meet(claims, norms)
+        assert at == [next((j for j, n in enumerate(norms) if fits(c, n)), None) for c in claims]
+        assert whole == [len(c) >= 4 and c in "".join(norms) for c in claims] and seen == [any(fits(c, n) for c in claims) for n in norms]
+    sf = "/root/testdata/sf0.001"
+    for query, flat in ((plans.ocr_support, evidence.support), (plans.ocr_full_text, evidence.whole_text)):
+        own = query(spark, sf)
+        assert "Exchange" not in own._jdf.queryExecution().executedPlan().toString()
+        assert sorted(own.collect()) == sorted(flat(plans.items(spark, sf), plans.words(spark, sf)).collect())
+    for query in (plans.ocr_only, plans.reconcile_items):
+        assert "Exchange" not in query(spark, sf)._jdf.queryExecution().executedPlan().toString()

@@ -1,15 +1,20 @@
 """Reconciliation of what a model read with what OCR read.
 
 Inputs: ``items`` (doc_id, ord, text, confidence, legible, box) and ``words`` (doc_id, ord, text, confidence, box). Each
-distinct text of a document is normalised and met once. Equality is an equi-join; containment too: what contains a text
-holds the text's first characters somewhere, so the two meet on those and only such pairs are compared.
+distinct text of a document is normalised and met once. What contains a text holds the text's first characters somewhere, so
+the two meet on those and only such pairs are compared.
+
+A document's items and words meet on one row (``together``: doc_id, arrays ``items`` and ``words``); who has them on a row
+already passes that row, and nothing is shuffled. ``met`` is the same meeting as equi-joins, for claims that are few.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from visparq import workers
 from visparq.functions import color, geometry, text
 
 #: Fixed value: general excuses, without regard to case.
@@ -41,25 +46,84 @@ def _claims(items: DataFrame) -> DataFrame:
     return items.select("doc_id", text.normalize(F.col("text")).alias("claim")).where("claim <> ''").distinct()
 
 
+def meet(claims: list[str], norms: list[str], least: int = 4) -> tuple[list[int | None], list[bool], list[bool]]:
+    """Of one document's normalised texts: for each claim the first norm that is equal, or holds it or lies in it (both of
+    ``least`` characters); whether it stands in all norms joined; and for each norm whether any claim meets it."""
+    first: dict[str, int] = {}
+    for j, n in enumerate(norms):
+        if n and n not in first:
+            first[n] = j
+    own, full, seen = dict.fromkeys(c for c in claims if c), "".join(norms), set()
+    heads: tuple[dict[str, list[str]], dict[str, list[str]]] = ({}, {})
+    for known, of in zip(heads, (first, own), strict=True):
+        for t in of:
+            if len(t) >= least:
+                known.setdefault(t[:least], []).append(t)
+    best = {c: first[c] for c in own if c in first}
+    seen.update(best)
+    for c in own:
+        for k in range(len(c) - least + 1):
+            for n in heads[0].get(c[k : k + least], ()):
+                if c.startswith(n, k):
+                    seen.add(n)
+                    best[c] = min(best.get(c, first[n]), first[n])
+    for n, j in first.items():
+        for k in range(len(n) - least + 1):
+            for c in heads[1].get(n[k : k + least], ()):
+                if n.startswith(c, k):
+                    seen.add(n)
+                    best[c] = min(best.get(c, j), j)
+    whole = {c: len(c) >= least and c in full for c in own}
+    return [best.get(c) for c in claims], [whole.get(c, False) for c in claims], [n in seen for n in norms]
+
+
+def _met(claims: pa.Array, norms: pa.Array) -> pa.Array:
+    own = [meet(c, n) for c, n in zip(claims.to_pylist(), norms.to_pylist(), strict=True)]
+    return pa.StructArray.from_arrays([pa.array([r[k] for r in own], pa.list_(t)) for k, t in enumerate((pa.int32(), pa.bool_(), pa.bool_()))], names=["at", "whole", "seen"])
+
+
+def together(items: DataFrame, words: DataFrame) -> DataFrame:
+    """doc_id, items, words: one row a document, each list in its order."""
+    listed = lambda df, name: df.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("ord", "text", *(c for c in df.columns if c not in ("doc_id", "ord", "text"))))).alias(name))
+    both = listed(items, "items").join(listed(words, "words"), "doc_id", "full_outer")
+    return both.select("doc_id", *(F.coalesce(c, F.array().cast(both.schema[c].dataType)).alias(c) for c in ("items", "words")))
+
+
+def _judged(docs: DataFrame) -> DataFrame:
+    """doc_id, found, left: items with ``at`` (the first word that matches) and ``whole``; words that no item matches."""
+    # What is made here is exploded with explode_outer: for explode the planner infers a filter on the list's size and pushes it
+    # down into the lists' own making, where each element makes them all again.
+    workers.can_import(docs.sparkSession)
+    workers.bounded(docs.sparkSession)
+    norms = lambda c: F.transform(c, lambda x: text.normalize(x["text"]))
+    own = docs.withColumn("norms", norms("words")).withColumn("met", F.arrow_udf(_met, "struct<at:array<int>,whole:array<boolean>,seen:array<boolean>>")(norms("items"), F.col("norms")))
+    found = F.transform("items", lambda x, i: F.struct(x.alias("item"), F.get("words", F.get("met.at", i))["text"].alias("word"), F.get("norms", F.get("met.at", i)).alias("norm"), F.get("met.whole", i).alias("whole")))
+    left = F.filter("words", lambda w, j: ~F.get("met.seen", j) & (F.length(F.get("norms", j)) >= 3))
+    return own.select("doc_id", found.alias("found"), left.alias("left"))
+
+
+def _match(x: Column) -> Column:
+    return F.when(x["norm"].isNotNull(), F.when(x["norm"] == text.normalize(x["item"]["text"]), "exact").otherwise("partial"))
+
+
 def support(items: DataFrame, words: DataFrame) -> DataFrame:
-    """doc_id, ord, match, word: the first OCR word that matches an item exactly or by containment.
+    """doc_id, ord, match, word: the first OCR word, in OCR order, that matches an item exactly or by containment."""
+    return support_of(together(items, words))
 
-    The first word in OCR order wins, exact or not. Words are grouped by normalised text first, so repeated words meet an
-    item once.
-    """
-    own = words.select("doc_id", "ord", F.col("text").alias("word"), text.normalize(F.col("text")).alias("norm")).where("norm <> ''")
-    first = own.groupBy("doc_id", "norm").agg(F.min(F.struct("ord", "word")).alias("first"))
-    pairs = met(_claims(items), first.select("doc_id", "norm"), 4).join(first, ["doc_id", "norm"])
-    best = pairs.groupBy("doc_id", "claim").agg(F.min(F.struct(F.col("first.ord").alias("at"), F.col("first.word").alias("word"), F.when(F.col("claim") == F.col("norm"), "exact").otherwise("partial").alias("match"))).alias("b"))
-    said = items.select("doc_id", "ord", text.normalize(F.col("text")).alias("claim"))
-    return said.join(best, ["doc_id", "claim"]).select("doc_id", "ord", "b.match", "b.word")
+
+def support_of(docs: DataFrame) -> DataFrame:
+    x = F.col("x")
+    own = _judged(docs).select("doc_id", F.explode_outer("found").alias("x")).where("x.norm IS NOT NULL")
+    return own.select("doc_id", x["item"]["ord"].alias("ord"), _match(x).alias("match"), x["word"].alias("word"))
 
 
 def whole_text(items: DataFrame, words: DataFrame) -> DataFrame:
     """doc_id, ord of items whose normalised text (4 characters at least) stands in the document's joined OCR text."""
-    line = words.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("ord", "text"))).alias("w")).select("doc_id", text.normalize(F.array_join(F.transform("w", lambda w: w["text"]), " ")).alias("full"))
-    said = items.select("doc_id", "ord", text.normalize(F.col("text")).alias("claim")).where("length(claim) >= 4")
-    return said.join(line, "doc_id").where(F.contains("full", "claim")).select("doc_id", "ord")
+    return whole_text_of(together(items, words))
+
+
+def whole_text_of(docs: DataFrame) -> DataFrame:
+    return _judged(docs).select("doc_id", F.explode_outer("found").alias("x")).where("x.whole").select("doc_id", "x.item.ord")
 
 
 def score(supported: Column, plausible: Column, confidence: Column, legible: Column, outside: Column) -> dict[str, Column]:
@@ -81,25 +145,44 @@ def score(supported: Column, plausible: Column, confidence: Column, legible: Col
 
 def ocr_only(items: DataFrame, words: DataFrame) -> DataFrame:
     """Words (normalised length 3 at least) that no item matches. Decided once for each distinct text of a document."""
-    own = words.withColumn("norm", text.normalize(F.col("text"))).where("length(norm) >= 3")
-    seen = met(_claims(items), own.select("doc_id", "norm").distinct(), 4).select("doc_id", "norm").distinct()
-    return own.join(seen, ["doc_id", "norm"], "left_anti").drop("norm")
+    return ocr_only_of(together(items, words))
+
+
+def ocr_only_of(docs: DataFrame) -> DataFrame:
+    return _judged(docs).select("doc_id", F.explode_outer("left").alias("w")).where("w IS NOT NULL").select("doc_id", "w.*")
 
 
 def reconcile(items: DataFrame, words: DataFrame, crop: tuple | None = None) -> DataFrame:
     """doc_id, ord, text, source, confidence, verified, match, word, in_crop, flags: items, then OCR-only words (ord null)."""
-    kept = items.where(F.trim("text") != "")
+    return reconcile_of(together(items, words), crop)
+
+
+def reconcile_of(docs: DataFrame, crop: tuple | None = None) -> DataFrame:
+    """The same of documents on one row each (doc_id, items, words)."""
+    own = _judged(docs.withColumn("items", F.filter("items", lambda x: F.trim(x["text"]) != "")))
+    kind = docs.schema["items"].dataType.elementType["box"].dataType
+    said = F.transform("found", lambda x: F.struct(F.lit(False).alias("ocr"), x["item"]["ord"].cast("long").alias("ord"), x["item"]["text"].alias("text"), x["item"]["confidence"].cast("double").alias("score"), x["item"]["legible"].alias("legible"), x["item"]["box"].alias("box"), _match(x).alias("match"), x["word"].alias("word"), x["whole"].alias("by_text")))
+    rest = F.transform("left", lambda w: F.struct(F.lit(True).alias("ocr"), F.lit(None).cast("long").alias("ord"), w["text"].alias("text"), w["confidence"].cast("double").alias("score"), F.lit(None).cast("boolean").alias("legible"), F.lit(None).cast(kind).alias("box"), F.lit("exact").alias("match"), w["text"].alias("word"), F.lit(False).alias("by_text")))
+    rows = own.select("doc_id", F.inline_outer(F.concat(said, rest))).where("ocr IS NOT NULL")
     box = tuple(F.col(f"box.{k}") for k in ("left", "top", "width", "height"))
     has_box = F.col("box").isNotNull()
-    in_crop = F.when(has_box, geometry.inside_crop(tuple(F.lit(c) for c in crop), box)) if crop else F.lit(None).cast("boolean")
-    direct, whole = support(kept, words), whole_text(kept, words).withColumn("by_text", F.lit(True))
-    joined = kept.join(direct, ["doc_id", "ord"], "left").join(whole, ["doc_id", "ord"], "left").withColumn("in_crop", in_crop)
+    placed = rows.withColumn("in_crop", F.when(has_box, geometry.inside_crop(tuple(F.lit(c) for c in crop), box)) if crop else F.lit(None).cast("boolean"))
     supported = F.col("match").isNotNull() | F.coalesce("by_text", F.lit(False))
     plausible = F.coalesce(has_box & (F.col("box.width") > 0) & (F.col("box.height") > 0), F.lit(False)) & F.coalesce("in_crop", F.lit(True))
-    scored = score(supported, plausible, F.col("confidence"), F.col("legible"), F.coalesce(~F.col("in_crop"), F.lit(False)))
-    top = joined.select("doc_id", "ord", F.trim("text").alias("text"), scored["source"].alias("source"), scored["confidence"].alias("score"), scored["verified"].alias("verified"), F.coalesce("match", F.when(F.col("by_text"), "full_text")).alias("match"), "word", "in_crop", scored["flags"].alias("flags"))
-    rest = ocr_only(kept, words).select("doc_id", F.lit(None).cast("long").alias("ord"), "text", F.lit("ocr").alias("source"), color.round2(F.col("confidence") / 100).alias("score"), F.lit(True).alias("verified"), F.lit("exact").alias("match"), F.col("text").alias("word"), F.lit(None).cast("boolean").alias("in_crop"), F.array(F.lit("ocr_only_not_reported_by_model")).alias("flags"))
-    return top.unionByName(rest).withColumnRenamed("score", "confidence")
+    scored = score(supported, plausible, F.col("score"), F.col("legible"), F.coalesce(~F.col("in_crop"), F.lit(False)))
+    of = lambda word, item: F.when(F.col("ocr"), word).otherwise(item)
+    return placed.select(
+        "doc_id",
+        "ord",
+        of(F.col("text"), F.trim("text")).alias("text"),
+        of(F.lit("ocr"), scored["source"]).alias("source"),
+        of(color.round2(F.col("score") / 100), scored["confidence"]).alias("confidence"),
+        of(F.lit(True), scored["verified"]).alias("verified"),
+        F.coalesce("match", F.when(F.col("by_text"), "full_text")).alias("match"),
+        "word",
+        "in_crop",
+        of(F.array(F.lit("ocr_only_not_reported_by_model")), scored["flags"]).alias("flags"),
+    )
 
 
 def agreement(reconciled: DataFrame) -> DataFrame:
@@ -110,7 +193,8 @@ def agreement(reconciled: DataFrame) -> DataFrame:
         F.count_if(model).alias("n_items"),
         F.count_if(F.col("source") == "unverified").alias("n_unverified"),
         F.count_if(~model).alias("n_ocr_only"),
-        F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"),
+        # The sources are these four: counts are summed in place, where a collected set would sort the rows of many documents.
+        F.concat_ws(",", *(F.when(F.count_if(F.col("source") == s) > 0, s) for s in ("ocr", "unverified", "vl", "vl+ocr"))).alias("sources"),
     )
 
 
