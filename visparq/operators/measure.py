@@ -38,15 +38,20 @@ def measure_image(images: DataFrame, mode: str = "all", box_color: tuple[int, in
     return out.withColumn("abstained", noted).withColumn("provenance", F.lit(MODEL_FREE)).drop("width", "height")
 
 
-def answer(requests: DataFrame, images: DataFrame, words: DataFrame) -> DataFrame:
+def answer(requests: DataFrame, images: DataFrame, words: DataFrame | None = None) -> DataFrame:
     """One row per request (doc_id, image_id, prompt, reply): quantitative prompts by measurement, the rest by the reply's
-    claims against OCR words. The split comes first, so a measured prompt never meets the reply."""
+    claims against OCR words. The split comes first, so a measured prompt never meets the reply. Without ``words`` a request
+    has them on its own row (array ``words``)."""
     asked = requests.withColumn("matched", text.quantitative(F.col("prompt")))
     counted, told = asked.where(F.size("matched") > 0), asked.where(F.size("matched") == 0)
     measured = contrast.measure(images.join(counted.select("image_id").distinct(), "image_id", "left_semi"))
     left = counted.join(measured.select("image_id", "verdict", "evaluated_count", "failing_count"), "image_id", "left").select("doc_id", F.lit("measurement").alias("answered_by"), F.lit(False).alias("model_consulted"), "verdict", "evaluated_count", "failing_count", F.lit(None).cast("double").alias("agreement_rate"), F.lit(None).cast("long").alias("n_items"))
-    parsed = told.select("doc_id", jsonx.claims(jsonx.salvage(F.col("reply"))["document"]).alias("c"))
-    items = parsed.select("doc_id", F.posexplode("c.text_items").alias("ord", "i")).select("doc_id", F.col("ord").cast("long").alias("ord"), "i.text", "i.confidence", "i.legible", "i.box")
-    rate = evidence.agreement(evidence.reconcile(items, words.join(told.select("doc_id").distinct(), "doc_id", "left_semi")))
+    claimed = F.transform(jsonx.claims(jsonx.salvage(F.col("reply"))["document"])["text_items"], lambda i, k: F.struct(k.cast("long").alias("ord"), i["text"].alias("text"), i["confidence"].alias("confidence"), i["legible"].alias("legible"), i["box"].alias("box")))
+    if words is None:
+        listed = told.select("doc_id", claimed.alias("items"), "words")
+        docs = listed.withColumn("items", F.coalesce("items", F.array().cast(listed.schema["items"].dataType)))
+    else:
+        docs = evidence.together(told.select("doc_id", F.inline(claimed)), words.join(told.select("doc_id").distinct(), "doc_id", "left_semi"))
+    rate = evidence.agreement(evidence.reconcile_of(docs))
     right = told.select("doc_id").join(rate, "doc_id", "left").select("doc_id", F.lit("model").alias("answered_by"), F.lit(True).alias("model_consulted"), F.lit(None).cast("string").alias("verdict"), F.lit(None).cast("long").alias("evaluated_count"), F.lit(None).cast("long").alias("failing_count"), "agreement_rate", "n_items")
     return left.unionByName(right)
