@@ -298,3 +298,17 @@ def test_items_and_words_meet_on_a_row(spark):
         assert sorted(own.collect()) == sorted(flat(plans.items(spark, sf), plans.words(spark, sf)).collect())
     for query in (plans.ocr_only, plans.reconcile_items):
         assert "Exchange" not in query(spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_answers_need_no_join_with_words_on_the_row(spark):
+    """Words on the request's row give what a table of words gives."""
+    from visparq.operators import measure
+    from visparq.plans import evidence as plans
+    from visparq.plans import pixels
+
+    sf = "/root/testdata/sf0.001"
+    reply = F.to_json(F.struct(F.transform("items", lambda x: F.struct(x["text"].alias("text"), x["confidence"].alias("confidence"))).alias("text_items")))
+    asked = plans.together(spark, sf).where("doc_id < 20").select("doc_id", F.lit(1).cast("long").alias("image_id"), F.lit("Describe it").alias("prompt"), reply.alias("reply"), "words")
+    frames = pixels.images(spark, sf).where("image_id = 1")
+    own = sorted(map(str, measure.answer(asked, frames).collect()))
+    assert own and own == sorted(map(str, measure.answer(asked.drop("words"), frames, plans.words(spark, sf)).collect()))
