@@ -312,3 +312,29 @@ def test_answers_need_no_join_with_words_on_the_row(spark):
     frames = pixels.images(spark, sf).where("image_id = 1")
     own = sorted(map(str, measure.answer(asked, frames).collect()))
     assert own and own == sorted(map(str, measure.answer(asked.drop("words"), frames, plans.words(spark, sf)).collect()))
+
+
+def test_an_image_is_measured_in_one_pass(spark):
+    """Whatever is asked for, rasters go to Python once and nothing is joined; each part is what its own operator finds."""
+    from visparq.operators import components, contrast, histogram, measure
+    from visparq.plans import pixels
+
+    small, grey = pixels.images(spark, "/root/testdata/sf0.001").where("image_id < 30"), (120, 120, 120)
+    frames = pixels.upscale(small, 12)
+    own = measure.measure_image(small, "all", grey, enlarge=12)
+    plan = own._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and not any(x in plan for x in ("MapInPandas", "Join", "Exchange"))
+    rows = {r["image_id"]: r.asDict(True) for r in own.collect()}
+    assert rows == {r["image_id"]: r.asDict(True) for r in measure.measure_image(frames, "all", grey).collect()} and len(rows) == small.count()
+    for r in contrast.measure(frames).collect():
+        assert rows[r["image_id"]]["contrast"] == {k: v for k, v in r.asDict(True).items() if k != "image_id"}
+    top, boxes = {}, {}
+    for r in histogram.dominant(histogram.of_images(frames)).orderBy("image_id", "rank").collect():
+        top.setdefault(r["image_id"], []).append({k: v for k, v in r.asDict().items() if k != "image_id"})
+    for r in components.boxes(components.components(frames, grey, least=200)).orderBy("image_id", "top", "left").collect():
+        boxes.setdefault(r["image_id"], []).append({k: r[k] for k in ("top", "left", "width", "height", "area")})
+    assert {k: r["colors"] for k, r in rows.items()} == top and {k: r["boxes"] for k, r in rows.items() if r["boxes"]} == boxes and boxes
+    # Rows that share an id are measured by themselves; one without data has its dimensions alone.
+    odd = spark.createDataFrame([(1, 2, 1, bytes(6)), (1, 2, 1, bytes([255] * 6)), (2, 4, 2, None)], "image_id long, width int, height int, data binary")
+    got = sorted((r["image_id"], r["dimensions"]["width"], r["colors"] and r["colors"][0]["hex"], r["contrast"] is None) for r in measure.measure_image(odd).collect())
+    assert got[:2] == [(1, 2, "#000000", False), (1, 2, "#ffffff", False)] and got[2:] == [(2, 4, None, True)]

@@ -31,24 +31,29 @@ def components(images: DataFrame, target: tuple[int, int, int], tolerance: int =
             for r in b.to_pylist():
                 if not r["data"]:
                     continue
-                img = np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"], 3).astype(np.int64)
-                mask = ((img - np.array(target)) ** 2).sum(-1) <= tolerance**2
-                labels = kernels.label4(mask.astype(np.int8), mask)
-                box = kernels.boxes_of(labels)
-                keep = np.flatnonzero(box["area"] >= least)
-                cut = len(keep) > most
-                for k in keep[:most]:
-                    x, y, w, h = (int(box[c][k]) for c in ("left", "top", "width", "height"))
-                    hole = kernels.enclosed_hole(labels[y : y + h, x : x + w] == box["label"][k])
-                    n = int(box["area"][k])
-                    own = (int(box["label"][k]), n, x, y, w, h, int(np.floor(box["sum_x"][k] / n + 0.5)), int(np.floor(box["sum_y"][k] / n + 0.5)), hole)
-                    for c, v in zip(("image_id", *FIELDS, "truncated"), (r["image_id"], *own, cut), strict=True):
+                own, cut = regions(np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"], 3), target, tolerance, least, most)
+                for region in own:
+                    for c, v in zip(("image_id", *FIELDS, "truncated"), (r["image_id"], *region, cut), strict=True):
                         out[c].append(v)
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.bool_() if k == "truncated" else pa.int64()) for k, v in out.items()], names=list(out))
 
     return images.select("image_id", "width", "height", "data").mapInArrow(run, ROW)
 
 
+def regions(image: np.ndarray, target: tuple[int, int, int], tolerance: int, least: int, most: int) -> tuple[list[tuple], bool]:
+    """FIELDS of one image's regions, and whether there are more than ``most``."""
+    mask = ((image.astype(np.int64) - np.array(target)) ** 2).sum(-1) <= tolerance**2
+    labels = kernels.label4(mask.astype(np.int8), mask)
+    box = kernels.boxes_of(labels)
+    keep, out = np.flatnonzero(box["area"] >= least), []
+    for k in keep[:most]:
+        x, y, w, h = (int(box[c][k]) for c in ("left", "top", "width", "height"))
+        hole = kernels.enclosed_hole(labels[y : y + h, x : x + w] == box["label"][k])
+        n = int(box["area"][k])
+        out.append((int(box["label"][k]), n, x, y, w, h, int(np.floor(box["sum_x"][k] / n + 0.5)), int(np.floor(box["sum_y"][k] / n + 0.5)), hole))
+    return out, len(keep) > most
+
+
 def boxes(found: DataFrame, width: int = S.BOX_WIDTH, height: int = S.BOX_HEIGHT) -> DataFrame:
     """Components of a size, in reading order, named box_1, box_2, ..."""
     w = Window.partitionBy("image_id").orderBy("top", "left", "label")

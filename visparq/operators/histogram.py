@@ -47,6 +47,13 @@ def dominant(hist: DataFrame, k: int = 8) -> DataFrame:
     return ranked.select("image_id", "rank", color.to_hex(r, g, b).alias("hex"), "n", color.round2(F.col("n") * 100.0 / F.col("total")).alias("share"))
 
 
+def most_frequent(image: np.ndarray, k: int = 8) -> list[dict]:
+    """key and n of the k most frequent colours of one raster; ties go to the one seen first."""
+    key, first, n = kernels.counted(kernels.pack_rgb(image).ravel())
+    top = np.lexsort((first, -n))[:k]
+    return [{"key": c, "n": m} for c, m in zip(key[top].tolist(), n[top].tolist(), strict=True)]
+
+
 def background(hist: DataFrame) -> DataFrame:
     """image_id, key: the modal colour."""
     return hist.groupBy("image_id").agg(F.max_by("key", F.struct("n", (-F.col("first_y")).alias("y"), (-F.col("first_x")).alias("x"))).alias("key"))

@@ -2,40 +2,88 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
+from visparq import schema as S
+from visparq import workers
 from visparq.functions import color, geometry, text
 from visparq.operators import components, contrast, evidence, histogram, jsonx
+from visparq.sources import rasters
 
 MODES = ("contrast", "colors", "boxes", "layout", "all")
 MODEL_FREE = "computed by pixel maths; no model was involved"
 
 
-def measure_image(images: DataFrame, mode: str = "all", box_color: tuple[int, int, int] | None = None, options: contrast.Options = contrast.Options()) -> DataFrame:
-    """image_id, dimensions, contrast, colors, boxes, layout, abstained, provenance. Only what the mode asks for is planned."""
+def measure_image(images: DataFrame, mode: str = "all", box_color: tuple[int, int, int] | None = None, options: contrast.Options = contrast.Options(), enlarge: int = 1) -> DataFrame:
+    """image_id, dimensions, contrast, colors, boxes, layout, abstained, provenance. Only what the mode asks for is planned.
+    Images are measured with each pixel as a square of ``enlarge`` pixels to a side."""
     if mode not in MODES:
         raise ValueError(f"mode is one of {MODES}")
     want = lambda m: mode in (m, "all")
-    out = images.select("image_id", "width", "height", F.struct("width", "height").alias("dimensions"))
-    abstained: list[Column] = []
+    out = _measured(images, options if want("contrast") else None, want("colors"), box_color if want("boxes") else None, enlarge)
+    out = out.withColumn("dimensions", F.struct("width", "height"))
+    kept, abstained = ["image_id", "dimensions"], []
     if want("contrast"):
-        m = contrast.measure(images, options)
-        out = out.join(m.select("image_id", F.struct(*(c for c in m.columns if c != "image_id")).alias("contrast")), "image_id", "left")
+        kept.append("contrast")
         abstained.append(F.when(~F.col("contrast.measurable"), F.element_at("contrast.abstained", 1)))
     if want("colors"):
-        top = histogram.dominant(histogram.of_images(images))
-        out = out.join(top.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("rank", "hex", "n", "share"))).alias("colors")), "image_id", "left")
+        kept.append("colors")
+        share = lambda c: color.round2(c["n"] * 100.0 / F.col("total"))
+        out = out.withColumn("colors", F.transform("top", lambda c, k: F.struct((k + 1).alias("rank"), color.to_hex(*color.unpack(c["key"])).alias("hex"), c["n"].alias("n"), share(c).alias("share"))))
     if want("boxes") and box_color:
-        found = components.boxes(components.components(images, box_color, least=200))
-        out = out.join(found.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("top", "left", "width", "height", "area"))).alias("boxes")), "image_id", "left")
+        kept.append("boxes")
     elif want("boxes"):
         abstained.append(F.lit("box count: no border colour was given"))
     if want("layout"):
+        kept.append("layout")
         legible = geometry.legibility(F.col("width"), F.col("height"))
         out = out.withColumn("layout", F.struct(F.col("width"), F.col("height"), color.round2(F.col("width") / F.col("height")).alias("aspect_ratio"), legible["legible"].alias("legible"), legible["n_warnings"].alias("n_warnings")))
     noted = F.array_compact(F.array(*abstained)) if abstained else F.expr("CAST(array() AS array<string>)")
-    return out.withColumn("abstained", noted).withColumn("provenance", F.lit(MODEL_FREE)).drop("width", "height")
+    return out.select(*kept, noted.alias("abstained"), F.lit(MODEL_FREE).alias("provenance"))
+
+
+def _measured(images: DataFrame, options: contrast.Options | None, colors: bool, box_color: tuple[int, int, int] | None, enlarge: int) -> DataFrame:
+    """image_id, width, height and what is asked for of ``contrast``, ``top`` and ``total`` (the most frequent colours, all
+    pixels) and ``boxes``, in one pass over the images: each is enlarged, looked at and dropped where its row lies, so no
+    raster is sent twice and nothing is joined. Null where an image has no data or no boxes."""
+    size = [(F.col(c) * enlarge).cast("int").alias(c) for c in ("width", "height")]
+    kinds = {"contrast": f"struct<{contrast.ROW.removeprefix('image_id long, ').replace(' ', ':').replace(',:', ',')}>"} if options else {}
+    kinds |= {"top": "array<struct<key:int,n:long>>", "total": "long"} if colors else {}
+    kinds |= {"boxes": "array<struct<top:long,left:long,width:long,height:long,area:long>>"} if box_color else {}
+    if not kinds:
+        return images.select("image_id", *size)
+    workers.bounded(images.sparkSession)
+    kind = "image_id long, width int, height int, " + ", ".join(f"{k} {t}" for k, t in kinds.items())
+    types = {f.name: to_arrow_type(f.dataType) for f in StructType.fromDDL(kind)}
+
+    def look(width: int, height: int, data: bytes) -> dict:
+        image, own = np.frombuffer(data, np.uint8).reshape(height, width, 3).repeat(enlarge, 0).repeat(enlarge, 1), {}
+        if options:
+            own["contrast"] = contrast.measure_region(image, None, options)
+        if colors and image.size:
+            own["top"], own["total"] = histogram.most_frequent(image), width * height * enlarge**2
+        if box_color and image.size:
+            found, _ = components.regions(image, box_color, S.BOX_TOLERANCE, S.BOX_AREA, S.MASK_COMPONENTS)
+            named = [dict(zip(components.FIELDS, r, strict=True)) for r in found]
+            wide = [r for r in named if r["width"] >= S.BOX_WIDTH and r["height"] >= S.BOX_HEIGHT]
+            own["boxes"] = sorted(wide, key=lambda r: [r[c] for c in ("top", "left", "width", "height", "area")]) or None
+        return own
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rasters.parts(batches):
+            rows = [look(r["width"], r["height"], r["data"]) if r["data"] is not None else {} for r in b.select(["width", "height", "data"]).to_pylist()]
+            sides = [pa.compute.multiply(b.column(c), pa.scalar(enlarge, pa.int32())) for c in ("width", "height")]
+            yield pa.RecordBatch.from_arrays([b.column("image_id"), *sides, *(pa.array([r.get(k) for r in rows], types[k]) for k in kinds)], names=list(types))
+
+    return images.select("image_id", "width", "height", "data").mapInArrow(run, kind)
 
 
 def answer(requests: DataFrame, images: DataFrame, words: DataFrame | None = None) -> DataFrame:
