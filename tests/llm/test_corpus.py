@@ -8,6 +8,7 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -267,6 +268,52 @@ def test_big_runs_keep_every_doubtful_link(monkeypatch):
     assert every and led
 
 
+def test_doubtful_pairs_are_verified_in_their_run(spark, monkeypatch):
+    """Many near copies, most of which fail: the answer holds no pair but a forest, whatever fits in memory at once."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    base, texts = [word() for _ in range(120)], []
+    for _ in range(150):
+        own = list(base)
+        for _ in range(rng.randrange(1, 5)):
+            own[rng.randrange(len(own))] = word()
+        texts.append(" ".join(own))
+    texts += ["", "one", "one two"]
+    sets = [simhash.shingles(t) for t in texts]
+    prints = [simhash.wide_print(x) for x in sets]
+    words = np.frombuffer(b"".join(prints), np.uint64).reshape(len(prints), -1)
+    apart = simhash._apart(words[:, None], words[None])
+    alike = np.array([[len(np.intersect1d(x, y)) / max(1, len(np.union1d(x, y))) >= simhash.SIMILAR for x in sets] for y in sets])
+    doubtful = (apart > simhash.SURE) & (apart <= simhash.REACH)
+    none = np.zeros((0, simhash.WIDE // 64), np.uint64)
+
+    def trees(pairs):
+        label = list(range(len(texts)))
+        for x, y in pairs:
+            old, new = label[x], label[y]
+            label = [new if v == old else v for v in label]
+        return label
+
+    want = trees(np.argwhere(doubtful & alike).tolist())
+    assert (doubtful & ~alike).sum() > 1000 and len(set(want)) < len(texts)
+    for spool in (simhash.SPOOL, 20_000, 1):
+        monkeypatch.setattr(simhash, "SPOOL", spool)
+        held = simhash.Held(0)
+        held.add(prints, prints, texts)
+        assert (held.file is not None) == (spool < simhash.shingles(texts[0]).nbytes * 150)
+        names, a, b = simhash._verified(held, none)
+        got = trees(list(zip(a.tolist(), b.tolist(), strict=True)))
+        assert (names == words).all() and len(a) == len(texts) - len(set(want)) and (doubtful & alike)[a, b].all()
+        assert all((got[x] == got[y]) == (want[x] == want[y]) for x in range(len(texts)) for y in range(x))
+    # The operators between: rows follow the members in their runs, and links are one fewer than the labels they join.
+    found = simhash._wide_links(spark.createDataFrame([(p,) for p in sorted(set(prints))], "print binary"), 5000)
+    members = found.where("b IS NULL").select("table", "key", F.col("a").alias("print")).localCheckpoint()
+    crossing = simhash._crossing(members, members.select(F.col("print").alias("node"), F.col("print").alias("label_")).distinct(), 5000)
+    assert 0 < crossing.count() <= members.count()
+    links = simhash._similar(crossing, spark.createDataFrame(list(dict(zip(prints, texts, strict=True)).items()), "print binary, text string"), 5000)
+    assert links.count() <= crossing.count() - crossing.select("table", "key").distinct().count()
+
+
 # -- quality ----------------------------------------------------------------------------------------------------------
 def plain_base(text):
     blank = " \t\n\x0b\x0c\r"

@@ -12,9 +12,9 @@ or more. At that similarity 15 % of a fingerprint's bits differ, too many for wh
 have ``WIDE`` bits and a table's key is one block, with as many tables (blocks of the fingerprint, then of seeded permutations
 of it) as a pair of similarity SIMILAR needs to share a key with probability ``RECALL``; more similar pairs nearly always do.
 Pairs are judged by Hamming distance: up to ``SURE`` they are links, up to ``REACH`` their shingles are compared exactly. A run
-of any size keeps a forest of its sure links and its members that have a doubtful pair, never its pairs: these are found again
-in every round from the members' labels, a leader's pairs with other components first, and after a few rounds all pairs that
-still lie between two components, so none is left out. A pair counts in the first table in which it shares a key.
+of any size keeps a forest of its sure links and its members that have a doubtful pair, never its pairs. Those members bring
+their texts to the run once more; there all doubtful pairs that still lie between two components are compared, in place, and
+a forest of those that hold is the answer, so no pair is a row. A pair counts in the first table in which it shares a key.
 
 Components come from minimum labels with pointer jumping, each round written to the shared folder. Forests are chains, so no
 node is a hub; joins by label or fingerprint spread heavy keys.
@@ -27,6 +27,7 @@ first row; repeated rows are copies; an empty table gives an empty result; extra
 from __future__ import annotations
 
 import math
+import tempfile
 from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
@@ -45,7 +46,7 @@ WORDS, SIMILAR, WIDE, RECALL = 5, 0.8, 256, 0.99
 #: The share of equal bits at similarity SIMILAR, and for SURE and REACH three standard deviations to either side of it.
 SAME = 1 - math.acos(2 * SIMILAR / (1 + SIMILAR)) / math.pi
 SURE, REACH = (int(WIDE * (1 - SAME) + k * 3 * math.sqrt(WIDE * SAME * (1 - SAME))) for k in (-1, 1))
-LEADER_ROUNDS = 4  # at most, of verifying the pairs of leaders; after them all other pairs between components are verified at once
+SPOOL = 8 << 20  # bytes of a run's sets of shingles that are held at once, or twice that
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -257,11 +258,6 @@ def wide_print(found: np.ndarray) -> bytes:
     return np.packbits(2 * counts > len(found), bitorder="little").tobytes()
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    met = len(np.intersect1d(a, b, assume_unique=True))
-    return met / (len(a) + len(b) - met) if len(a) or len(b) else 1.0
-
-
 def wide_tables(rows: int) -> list[np.ndarray]:
     """The bits of each table's key: so many that some sixteen unrelated documents share one; blocks of seeded permutations."""
     width = max(12, rows.bit_length() - 4)
@@ -393,54 +389,134 @@ def _wide_links(prints: DataFrame, rows: int) -> DataFrame:
     return dealt.mapInArrow(run, "table short, key long, a binary, b binary")
 
 
-def _crossing(members: DataFrame, labels: DataFrame, rows: int, leaders: bool) -> DataFrame:
-    """a, b, la, lb: doubtful pairs between labels; with ``leaders`` some for each label that has any, else all."""
+def _crossing(members: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
+    """table, key, print, label_ of the members that have a doubtful pair with another label in their run."""
     masks = _masks(wide_tables(rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs, wide = Runs(batches), WIDE // 64
         for both, first, size in runs:
             prints, names = np.ascontiguousarray(both[:, :wide]), np.ascontiguousarray(both[:, wide:])
-            label = np.unique(names, axis=0, return_inverse=True)[1].ravel()
-            a, b = [], []
+            label, member = np.unique(names, axis=0, return_inverse=True)[1].ravel(), np.zeros(len(both), bool)
             for f, n in zip(first.tolist(), size.tolist(), strict=True):
                 if n > 1 and label[f : f + n].min() < label[f : f + n].max():
-                    for k, j, _ in _doubtful(prints[f : f + n], label[f : f + n], int(runs.table[f]), masks, leaders):
-                        a.append(np.full(len(j), f + k))
-                        b.append(f + j)
-                        if sum(map(len, b[-64:])) > 1 << 14:
-                            yield _pairs(prints, names, a, b)
-                            a, b = [], []
-            if a:
-                yield _pairs(prints, names, a, b)
+                    for k, j, _ in _doubtful(prints[f : f + n], label[f : f + n], int(runs.table[f]), masks):
+                        member[f + k] = member[f + j] = True
+            at = np.flatnonzero(member)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(runs.table[at].astype(np.int16)), pa.array(runs.key[at]), _binary(prints[at]), _binary(names[at])], names=["table", "key", "print", "label_"])
 
     named = members.join(labels.select(F.col("node").alias("print"), "label_").hint("merge"), "print").select("table", "key", F.concat("print", "label_").alias("print"))
-    return named.repartition("table", "key").sortWithinPartitions("table", "key", "print").mapInArrow(run, "a binary, b binary, la binary, lb binary")
-
-
-def _pairs(prints: np.ndarray, names: np.ndarray, a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
-    """Pairs of rows, the lesser fingerprint first."""
-    x, y = np.concatenate(a), np.concatenate(b)
-    own = {k: (prints[k].tobytes(), names[k].tobytes()) for k in np.unique(np.append(x, y)).tolist()}
-    ordered = [sorted((own[p], own[q])) for p, q in zip(x.tolist(), y.tolist(), strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array([p[side][part] for p in ordered], pa.binary()) for part in (0, 1) for side in (0, 1)], names=["a", "b", "la", "lb"])
+    return named.repartition("table", "key").sortWithinPartitions("table", "key", "print").mapInArrow(run, "table short, key long, print binary, label_ binary")
+
+
+class Held:
+    """The members of one run: fingerprints and labels as words, sets of shingles. Sets beyond SPOOL bytes go to a file without
+    a name, which lasts as long as this object, and are read a block of rows at a time."""
+
+    def __init__(self, table: int):
+        self.table, self.prints, self.names, self.size = table, [], [], []
+        self.sets, self.bytes, self.file = [], 0, None
+
+    def add(self, prints: list[bytes], names: list[bytes], texts: list[str]) -> None:
+        self.prints += prints
+        self.names += names
+        for t in texts:
+            self.sets.append(shingles(t))
+            self.size.append(len(self.sets[-1]))
+            self.bytes += self.sets[-1].nbytes
+            if self.bytes > SPOOL:
+                self._spill()
+
+    def _spill(self) -> None:
+        self.file = self.file or tempfile.TemporaryFile()
+        for own in self.sets:
+            self.file.write(own.tobytes())
+        self.sets, self.bytes = [], 0
+
+    def blocks(self) -> list[tuple[int, int]]:
+        """Bounds of stretches of rows whose sets take up to SPOOL bytes, a row at least."""
+        end, out = np.cumsum(self.size) * 8, [0]
+        while out[-1] < len(end):
+            out.append(max(out[-1] + 1, int(np.searchsorted(end, (end[out[-1] - 1] if out[-1] else 0) + SPOOL, side="right"))))
+        return list(zip(out, out[1:], strict=False))
+
+    def read(self, block: tuple[int, int]) -> np.ndarray:
+        """The sets of a block's rows, one after the other."""
+        if not self.file:
+            return np.concatenate(self.sets[slice(*block)])
+        if self.sets:
+            self._spill()
+        self.file.seek(8 * sum(self.size[: block[0]]))
+        return np.frombuffer(self.file.read(8 * sum(self.size[slice(*block)])), np.uint64)
+
+
+def _verified(held: Held, masks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows a, b of a run whose sets have a similarity of SIMILAR or more, a forest over its labels; every doubtful pair that
+    counts in this table is compared unless its labels are one by then. Memory follows the run, not its pairs."""
+    words = lambda raw: np.frombuffer(b"".join(raw), np.uint64).reshape(len(raw), -1)
+    prints, names = words(held.prints), words(held.names)
+    label, size, out = np.unique(names, axis=0, return_inverse=True)[1].ravel(), np.array(held.size), []
+    blocks = held.blocks()
+    for p, left in enumerate(blocks):
+        for right in blocks[p:]:
+            at = 0 if left == right else left[1] - left[0]  # of the right block's first row among the rows of both
+            rows = np.arange(*left) if left == right else np.concatenate((np.arange(*left), np.arange(*right)))
+            sets, start = None, np.cumsum(size[rows]) - size[rows]
+            for k in range(left[1] - left[0]):
+                own = rows[max(at, k + 1) :]
+                apart = _apart(prints[own], prints[rows[k]])
+                near = np.flatnonzero((apart > SURE) & (apart <= REACH) & (label[own] != label[rows[k]]))
+                near = near[_first_met(prints[own[near]] ^ prints[rows[k]], held.table, masks)] if len(near) else near
+                if not len(near):
+                    continue
+                if sets is None:
+                    values, sets = np.unique(np.concatenate([held.read(x) for x in dict.fromkeys((left, right))]), return_inverse=True)
+                    mark = np.zeros(len(values), bool)
+                near += max(at, k + 1)
+                mine = sets[start[k] : start[k] + size[rows[k]]]
+                mark[mine] = True
+                many = size[rows[near]]
+                met = np.append(0, np.cumsum(mark[sets[np.repeat(start[near], many) + _ramps(many)]]))[np.append(0, np.cumsum(many))]
+                met = np.diff(met)
+                mark[mine] = False
+                whole = many + len(mine) - met
+                good = rows[near[(whole == 0) | (met / np.maximum(whole, 1) >= SIMILAR)]]
+                if len(good):
+                    others, first = np.unique(label[good], return_index=True)
+                    out += [(rows[k], j) for j in good[first].tolist()]
+                    label[np.isin(label, others)] = label[rows[k]]
+    pairs = np.array(out, np.int64).reshape(-1, 2)
+    return names, pairs[:, 0], pairs[:, 1]
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """la, lb of the pairs (a, b, la, lb) whose texts' shingles have a similarity of SIMILAR or more; written."""
-    held, made = pairs, []
-    for side in ("a", "b"):
-        made.append(durable(held, "pairs"))
-        held = spread_join(made[-1], texts.select(F.col("print").alias(side), F.col("text").alias(f"text_{side}")), side, F.struct("a", "b"))
+def _similar(crossing: DataFrame, texts: DataFrame, rows: int) -> DataFrame:
+    """a, b: labels that a verified pair joins, for each run a forest. A member brings its text to each run in which it has a
+    doubtful pair, so rows follow the members and no pair is a row."""
+    masks = _masks(wide_tables(rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(held: Held) -> Iterator[pa.RecordBatch]:
+            names, a, b = _verified(held, masks)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([_binary(names[a]), _binary(names[b])], names=["a", "b"])
+
+        held, of = None, None
         for b in batches:
-            good = [similarity(shingles(x), shingles(y)) >= SIMILAR for x, y in zip(b.column("text_a").to_pylist(), b.column("text_b").to_pylist(), strict=True)]
-            yield b.select(["la", "lb"]).filter(pa.array(good, pa.bool_()))
+            table, key = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("table", "key"))
+            cut = [0, *(np.flatnonzero((table[1:] != table[:-1]) | (key[1:] != key[:-1])) + 1).tolist(), b.num_rows]
+            for x, y in zip(cut, cut[1:], strict=False):
+                if x < y:
+                    if of != (table[x], key[x]):
+                        if held:
+                            yield from out(held)
+                        held, of = Held(int(table[x])), (table[x], key[x])
+                    held.add(*(b.column(c).slice(x, y - x).to_pylist() for c in ("print", "label_", "text")))
+        if held:
+            yield from out(held)
 
-    out = durable(held.select("la", "lb", "text_a", "text_b").mapInArrow(run, "la binary, lb binary"), "verified")
-    release(*made)
-    return out
+    told = crossing.join(texts.hint("merge"), "print").select("table", "key", "print", "label_", "text")
+    return told.repartition("table", "key").sortWithinPartitions("table", "key", "print").mapInArrow(run, "a binary, b binary")
 
 
 def _renamed(rows: DataFrame, names: DataFrame, columns: tuple[str, ...], spread_by: Column) -> DataFrame:
@@ -458,27 +534,16 @@ def similar_labels(found: DataFrame, texts: DataFrame, rows: int) -> DataFrame:
     links, members = found.where("b IS NOT NULL").select("a", "b"), found.where("b IS NULL").select("table", "key", F.col("a").alias("print"))
     sure = components(links)
     ends = links.select(F.col("a").alias("node")).union(links.select("b")).union(members.select("print")).distinct()
-    labels, tried = _renamed(ends.select("node", F.col("node").alias("label_")), sure, ("label_",), F.col("node")), []
+    labels = _renamed(ends.select("node", F.col("node").alias("label_")), sure, ("label_",), F.col("node"))
     release(sure)
-    leaders, turn = True, 0
-    while True:
-        met = durable(_crossing(members, labels, rows, leaders), "crossing")
-        new = met
-        for t in tried:
-            new = new.join(t.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
-        good = _verified(new.select("a", "b", "la", "lb"), texts)
-        tried.append(met)
-        found_any = not good.isEmpty()
-        if found_any:
-            merged = components(good.select(F.col("la").alias("a"), F.col("lb").alias("b")))
-            old, labels = labels, _renamed(labels, merged, ("label_",), F.col("node"))
-            release(old, merged)
-        release(good)
-        if not leaders:
-            break
-        turn += 1
-        leaders = found_any and turn < LEADER_ROUNDS
-    release(*tried)
+    crossing = durable(_crossing(members, labels, rows), "crossing")
+    good = durable(_similar(crossing, texts, rows), "similar")
+    release(crossing)
+    if not good.isEmpty():
+        merged = components(good)
+        old, labels = labels, _renamed(labels, merged, ("label_",), F.col("node"))
+        release(old, merged)
+    release(good)
     out = labels.select("node", F.col("label_").alias("label"))
     out.durable_path = labels.durable_path
     return out
