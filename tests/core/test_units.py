@@ -338,3 +338,35 @@ def test_an_image_is_measured_in_one_pass(spark):
     odd = spark.createDataFrame([(1, 2, 1, bytes(6)), (1, 2, 1, bytes([255] * 6)), (2, 4, 2, None)], "image_id long, width int, height int, data binary")
     got = sorted((r["image_id"], r["dimensions"]["width"], r["colors"] and r["colors"][0]["hex"], r["contrast"] is None) for r in measure.measure_image(odd).collect())
     assert got[:2] == [(1, 2, "#000000", False), (1, 2, "#ffffff", False)] and got[2:] == [(2, 4, None, True)]
+
+
+def test_a_worker_does_not_hold_the_results_of_a_whole_batch(spark):
+    """Results are sent a part of a batch at a time, in order and whole; an image larger than a part is one by itself."""
+    import pyarrow as pa
+
+    from visparq.operators import contrast, measure
+
+    class Frame:
+        sparkSession = spark
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, kind):
+            return run
+
+    sides = [8] * 700 + [160, 8, 0]
+    data = [bytes([k % 251, 9, 200]) * n * n for k, n in enumerate(sides)] + [None]
+    sides.append(8)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(sides)), pa.int64()), pa.array(sides, pa.int32()), pa.array(sides, pa.int32()), pa.array(data, pa.binary())], names=["image_id", "width", "height", "data"])
+    run = measure._measured(Frame(), None, True, None, 2)
+    sent = list(run(iter([batch])))
+    assert [k for b in sent for k in b.column("image_id").to_pylist()] == list(range(len(sides)))
+    for b in sent:
+        held = sum(len(data[k] or b"") for k in b.column("image_id").to_pylist())
+        assert held <= measure.PART_BYTES or b.num_rows == 1 and held == 160 * 160 * 3
+    rows = [r for b in sent for r in b.to_pylist()]
+    assert [r["total"] for r in rows] == [4 * n * n or None for n in sides[:-1]] + [None] and rows[700]["top"] == [{"key": 700 % 251 << 16 | 9 << 8 | 200, "n": 4 * 160 * 160}]
+    # The verdicts come out the same way.
+    first = next(measure._measured(Frame(), contrast.Options(), False, None, 1)(iter([batch])))
+    assert 0 < first.num_rows < 700 and first.column("contrast")[0].as_py()["verdict"] == "unverified"

@@ -20,6 +20,8 @@ from visparq.sources import rasters
 
 MODES = ("contrast", "colors", "boxes", "layout", "all")
 MODEL_FREE = "computed by pixel maths; no model was involved"
+#: So much of the images' data is looked at before its results are sent: they follow the colours, so the pixels, not the rows.
+PART_BYTES = 64 << 10
 
 
 def measure_image(images: DataFrame, mode: str = "all", box_color: tuple[int, int, int] | None = None, options: contrast.Options = contrast.Options(), enlarge: int = 1) -> DataFrame:
@@ -53,7 +55,8 @@ def measure_image(images: DataFrame, mode: str = "all", box_color: tuple[int, in
 def _measured(images: DataFrame, options: contrast.Options | None, colors: bool, box_color: tuple[int, int, int] | None, enlarge: int) -> DataFrame:
     """image_id, width, height and what is asked for of ``contrast``, ``top`` and ``total`` (the most frequent colours, all
     pixels) and ``boxes``, in one pass over the images: each is enlarged, looked at and dropped where its row lies, so no
-    raster is sent twice and nothing is joined. Null where an image has no data or no boxes."""
+    raster is sent twice and nothing is joined. Results leave a part of a batch at a time, so a worker does not hold those of
+    thousands of images. Null where an image has no data or no boxes."""
     size = [(F.col(c) * enlarge).cast("int").alias(c) for c in ("width", "height")]
     kinds = {"contrast": f"struct<{contrast.ROW.removeprefix('image_id long, ').replace(' ', ':').replace(',:', ',')}>"} if options else {}
     kinds |= {"top": "array<struct<key:int,n:long>>", "total": "long"} if colors else {}
@@ -78,7 +81,7 @@ def _measured(images: DataFrame, options: contrast.Options | None, colors: bool,
         return own
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in rasters.parts(batches):
+        for b in rasters.parts(batches, most=PART_BYTES):
             rows = [look(r["width"], r["height"], r["data"]) if r["data"] is not None else {} for r in b.select(["width", "height", "data"]).to_pylist()]
             sides = [pa.compute.multiply(b.column(c), pa.scalar(enlarge, pa.int32())) for c in ("width", "height")]
             yield pa.RecordBatch.from_arrays([b.column("image_id"), *sides, *(pa.array([r.get(k) for r in rows], types[k]) for k in kinds)], names=list(types))
